@@ -52,7 +52,7 @@ class PerfectHash:
 
     def __init__(self, keys: list[bytes], ids: list[int]):
         self.n = len(keys)
-        self.n_buckets = max(1, self.n // 4)
+        self.n_buckets = max(1, self.n // 2)
         buckets: list[list[int]] = [[] for _ in range(self.n_buckets)]
         hashes = [xxhash.xxh3_64_intdigest(k) for k in keys]
         for i, h in enumerate(hashes):
