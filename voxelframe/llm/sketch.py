@@ -67,11 +67,11 @@ def shingles(text: str | None) -> np.ndarray:
 def registers(hashes: np.ndarray) -> np.ndarray:
     """16 bits per register: leading zeros of the minimum (6 bits), then MANTISSA bits after its first one."""
     low = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        part = hashes[at : at + 4096]
-        for k in range(REGISTERS):
-            x = (part ^ (part >> np.uint64(31))) * _SEEDS[0, k] + _SEEDS[1, k]
-            low[k] = min(low[k], x.min())
+    for at in range(0, len(hashes), 1024):
+        part = hashes[at : at + 1024]
+        x = (part ^ (part >> np.uint64(31)))[None, :] * _SEEDS[0][:, None]
+        x += _SEEDS[1][:, None]
+        np.minimum(low, x.min(axis=1), out=low)
     return compress(low)
 
 
