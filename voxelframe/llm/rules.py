@@ -92,8 +92,8 @@ class Regression:
         w, b = np.zeros(x.shape[1], np.float32), 0.0
         m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
         for step in range(1, steps + 1):
-            p = 1 / (1 + np.exp(-np.clip(xf @ w + b, -50, 50)))
-            d = (p - yf) / max(1, len(yf))
+            p = 1 / (1 + np.exp(-np.clip(xf @ w + np.float32(b), -50, 50)))
+            d = ((p - yf) / max(1, len(yf))).astype(np.float32)
             grad = np.append(xf.T @ d + 1e-5 * w, d.sum())
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)

@@ -77,9 +77,10 @@ class PULearner:
         w, b = np.zeros(len(index)), float(np.log(prior / (1 - prior)))
         m, v = np.zeros(len(index) + 1), np.zeros(len(index) + 1)
         for step in range(1, steps + 1):
-            s_p, s_u = _sigmoid(x_p @ w + b), _sigmoid(x_u @ w + b)
+            w4 = w.astype(np.float32)  # a wider vector would copy the matrices
+            s_p, s_u = _sigmoid(x_p @ w4 + b), _sigmoid(x_u @ w4 + b)
             # Sigmoid loss as the method has it: l(z) = 1 - sigmoid(z) as positive, sigmoid(z) as negative.
-            d_p, d_u = s_p * (1 - s_p) / n_p, s_u * (1 - s_u) / n_u
+            d_p, d_u = (s_p * (1 - s_p) / n_p).astype(np.float32), (s_u * (1 - s_u) / n_u).astype(np.float32)
             as_positive = np.append(-(x_p.T @ d_p), -d_p.sum())
             negative = np.append(x_u.T @ d_u, d_u.sum()) - prior * np.append(x_p.T @ d_p, d_p.sum())
             risk = s_u.mean() - prior * s_p.mean()
