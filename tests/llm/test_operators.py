@@ -40,6 +40,35 @@ def test_near(docs, none):
     assert sketch.near_duplicates(none).count() == 0
 
 
+def test_near_matches_brute_force(spark):
+    import random
+
+    rnd = random.Random(7)
+    texts = []
+    for _ in range(12):  # families whose members drift apart: chains of links, and pairs just below the threshold
+        words = [f"w{rnd.randrange(5000)}" for _ in range(rnd.choice((30, 80, 200)))]
+        for _ in range(9):
+            texts.append(" ".join(words))
+            words = list(words)
+            for _ in range(rnd.choice((0, 1, 1, 2, 4))):
+                words[rnd.randrange(len(words))] = f"v{rnd.randrange(5000)}"
+    rnd.shuffle(texts)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for j in range(len(texts)):
+        for i in range(j):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in sketch.near_duplicates(df).collect()}
+    assert got == {i: (len(sets[i]), find(i), find(i) == i) for i in range(len(texts))}
+
+
 def test_bpe(docs, none):
     import tiktoken
     from tokenizers import Tokenizer

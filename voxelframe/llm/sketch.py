@@ -207,20 +207,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     slim = reps.select("rep", "n_shingles", "sketch").join(wanted, "rep", "left_semi")
     tried = links = None
     roots = None
-    for turn in range(PIVOT_ROUNDS + 1):
+    turn, last = 0, False
+    while True:
         here = bands if roots is None else bands.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
         here = here.withColumn("root", F.coalesce("root", "rep")) if roots is not None else here.withColumn("root", F.col("rep"))
         if turn:
             # Buckets that already lie within one class have nothing left to compare.
             spread = here.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
             here = here.join(spread.select("band", "key"), ["band", "key"])
-        if turn < PIVOT_ROUNDS:
+        if not last:
             rank = F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), F.col("rep").alias("p"), F.col("root").alias("p_root"))
             pivot = here.groupBy("band", "key").agg(F.min(rank).alias("m")).select("band", "key", "m.p", "m.p_root")
             pairs = here.join(pivot, ["band", "key"]).filter("root <> p_root")
         else:
             other = here.select("band", "key", F.col("rep").alias("p"), F.col("root").alias("p_root"))
             pairs = here.join(other, ["band", "key"]).filter("rep < p and root <> p_root")
+            # What is left are members of unlike classes; sizes too far apart cannot reach the threshold.
+            n_of = reps.select("rep", "n_shingles")
+            pairs = (
+                pairs.select("rep", "p").distinct().join(n_of.withColumnRenamed("n_shingles", "n_rep"), "rep")
+                .join(n_of.select(F.col("rep").alias("p"), F.col("n_shingles").alias("n_p")), "p")
+                .filter(f"100 * least(n_rep, n_p) >= {PERCENT} * greatest(n_rep, n_p)")
+            )
         pairs = pairs.select(F.least("rep", "p").alias("u"), F.greatest("rep", "p").alias("v")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
@@ -235,11 +243,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         new = likely.join(set_u, "u").join(set_v, "v").filter(_confirmed("set_u", "set_v")).select("u", "v")
         new = _kept(new, f"{at}/links{turn}")
         links = new if links is None else links.unionByName(new)
-        found = not new.isEmpty()
-        if found:
-            roots = components(links, f"{at}/turn{turn}")
-        if turn == PIVOT_ROUNDS or (turn and pairs.isEmpty()):
+        if last:
+            if not new.isEmpty():
+                roots = components(links, f"{at}/turn{turn}")
             break
+        if not new.isEmpty():
+            roots = components(links, f"{at}/turn{turn}")
+        turn += 1
+        # Pivots without a new pair show only that these pivots were tried: the rest is still compared.
+        last = turn >= PIVOT_ROUNDS or pairs.isEmpty()
     class_of = reps.select("a", "b", "n_shingles", F.col("rep"))
     if roots is not None:
         class_of = class_of.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
