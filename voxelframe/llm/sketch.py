@@ -7,8 +7,8 @@ candidates; the collision-corrected Jaccard estimate drops pairs far below the t
 confirm the rest.  Documents of equal sets are one representative from the start.
 
 No bucket emits all its pairs.  In each round a bucket links its members to one pivot per bucket, only
-across classes that are not yet joined.  Pivots change from round to round; when rounds bring few
-new links, the pairs that are still between classes are all compared, so no link is lost to a cap.
+across classes that are not yet joined.  Pivots differ between bands and rounds; then the pairs that
+are still between classes are all compared, so no link is lost to a cap.
 With 4 registers per band and 32 bands, a pair at the threshold is missed with chance (1-0.75^4)^32,
 about 5 in a million, and above the threshold with less.
 
@@ -38,7 +38,9 @@ PERCENT = 75
 #: Estimates this far below the threshold are dropped: over six standard errors of 128 registers.
 SLACK = 0.25
 #: Rounds of pivots before the rest is compared in full.
-PIVOT_ROUNDS = 4
+PIVOT_ROUNDS = 2
+#: Orders of rows by which bands choose their pivots: a round tries so many unlike pivots per group.
+PIVOT_ORDERS = 4
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -171,7 +173,7 @@ def components(links: DataFrame, at: str) -> DataFrame:
     both = links.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(
         links.select(F.col("v").alias("node"), F.col("u").alias("other"))
     )
-    both = _kept(both.distinct(), f"{at}/edges")
+    both = _kept(both, f"{at}/edges")
     roots = _kept(both.groupBy("node").agg(F.least("node", F.min("other")).alias("root")), f"{at}/roots0")
     step = 0
     while True:
@@ -205,8 +207,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = bands.select("rep").distinct()
     sets = _kept(sets_of(docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")), f"{at}/sets")
     slim = reps.select("rep", "n_shingles", "sketch").join(wanted, "rep", "left_semi")
-    tried = links = None
-    roots = None
+    tried = roots = None
     turn, last = 0, False
     while True:
         here = bands if roots is None else bands.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
@@ -216,7 +217,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             spread = here.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
             here = here.join(spread.select("band", "key"), ["band", "key"])
         if not last:
-            rank = F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), F.col("rep").alias("p"), F.col("root").alias("p_root"))
+            rank = F.struct(F.xxhash64(F.lit(turn), F.col("band") % PIVOT_ORDERS, "rep").alias("h"), F.col("rep").alias("p"), F.col("root").alias("p_root"))
             pivot = here.groupBy("band", "key").agg(F.min(rank).alias("m")).select("band", "key", "m.p", "m.p_root")
             pairs = here.join(pivot, ["band", "key"]).filter("root <> p_root")
         else:
@@ -242,13 +243,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         set_v = sets.select(F.col("doc_id").alias("v"), F.col("set").alias("set_v"))
         new = likely.join(set_u, "u").join(set_v, "v").filter(_confirmed("set_u", "set_v")).select("u", "v")
         new = _kept(new, f"{at}/links{turn}")
-        links = new if links is None else links.unionByName(new)
+        if not new.isEmpty():
+            # The classes so far, as stars, carry all earlier links.
+            stars = [] if roots is None else [roots.filter("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v"))]
+            roots = components(new.unionByName(*stars) if stars else new, f"{at}/turn{turn}")
         if last:
-            if not new.isEmpty():
-                roots = components(links, f"{at}/turn{turn}")
             break
-        if not new.isEmpty():
-            roots = components(links, f"{at}/turn{turn}")
         turn += 1
         # Pivots without a new pair show only that these pivots were tried: the rest is still compared.
         last = turn >= PIVOT_ROUNDS or pairs.isEmpty()
