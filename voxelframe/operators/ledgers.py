@@ -30,3 +30,19 @@ def worklist(manifest: DataFrame, retry_failed: bool = False) -> DataFrame:
     """Chains still to run: neither finished nor, unless retried, failed."""
     skip = ("done", "flagged") if retry_failed else ("done", "flagged", "failed")
     return manifest.filter(~F.col("status").isin(*skip))
+
+
+def seeded(existing: DataFrame, chains: DataFrame) -> DataFrame:
+    """Existing rows stay; chains without a row are added as pending."""
+    new = chains.select(*KEY).distinct().join(existing.select(*KEY), KEY, "left_anti")
+    return existing.unionByName(new.withColumn("status", F.lit("pending")))
+
+
+def without(ledger: DataFrame, scope: DataFrame) -> DataFrame:
+    """The ledger less every chain in scope."""
+    return ledger.join(scope.select(*KEY), KEY, "left_anti")
+
+
+def phase_seconds(timings: DataFrame, phases: list[str]) -> DataFrame:
+    """One row per chain with the seconds of each phase; null where a phase did not run."""
+    return timings.groupBy(*KEY).pivot("phase", phases).agg(F.sum("seconds"))

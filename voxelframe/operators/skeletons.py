@@ -46,3 +46,61 @@ def edge_classes(edge: DataFrame, merged: DataFrame) -> DataFrame:
         .otherwise("ok")
     )
     return e.withColumn("class", kind)
+
+
+#: The affine from stack pixels to full-resolution pixels, and file z less stack z.
+STACK_TO_FULL = ((1.11667, 0.03757), (-0.03641, 1.11909))
+STACK_SHIFT = (-893.90, -427.09)
+FILE_Z_LEAD = 7
+
+
+def placed(nodes: DataFrame, scale: float = 4.0) -> DataFrame:
+    """Adds full_x, full_y (affine), model_x, model_y (full / scale) and file_z."""
+    (a, b), (c, d) = STACK_TO_FULL
+    x, y = F.col("x"), F.col("y")
+    full = nodes.withColumns({"full_x": x * a + y * b + STACK_SHIFT[0], "full_y": x * c + y * d + STACK_SHIFT[1]})
+    return full.withColumns(
+        {"model_x": F.col("full_x") / scale, "model_y": F.col("full_y") / scale, "file_z": F.col("z") + FILE_Z_LEAD}
+    )
+
+
+def from_nm(nodes: DataFrame) -> DataFrame:
+    """x, y, z in nanometres become stack pixels."""
+    return nodes.withColumns({c: F.col(c) / v for c, v in zip("xyz", RESOLUTION)})
+
+
+def clipped(nodes: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
+    """Nodes within the inclusive z bounds; either side may be open."""
+    keep = F.lit(True)
+    if low is not None:
+        keep = keep & (F.col("z") >= low)
+    if high is not None:
+        keep = keep & (F.col("z") <= high)
+    return nodes.filter(keep)
+
+
+def with_virtual_nodes(nodes: DataFrame, allowance: int = 8) -> DataFrame:
+    """Fills gaps of 1 to ``allowance`` missing slices between a node and its parent.
+
+    Virtual nodes lie on the straight line and are chained from the child to the parent; the child
+    hangs on the first.  Positions follow from the rank alone, so one join with the parents does all.
+    """
+    p = nodes.select(F.col("node_id").alias("parent_id"), *(F.col(c).alias(f"p_{c}") for c in "xyz"))
+    own = nodes.join(p, "parent_id", "left").withColumn("dz", F.col("p_z") - F.col("z"))
+    gap = F.abs("dz") - 1
+    own = own.withColumn("missing", F.when((gap > 0) & (gap <= allowance), gap).otherwise(0).cast("int"))
+    name = lambda k: F.concat_ws("_", F.lit("v"), F.col("node_id"), F.col("z") + F.signum("dz").cast("long") * k)
+    parent = F.col("parent_id").cast("string")
+    real = own.select(
+        F.col("node_id").cast("string").alias("node_id"), F.when(F.col("missing") > 0, name(1)).otherwise(parent).alias("parent_id"),
+        "cell_name", "x", "y", "z", F.lit(False).alias("is_virtual"),
+    )
+    rank = F.col("rank")
+    share = rank / (F.col("missing") + 1)
+    between = own.filter("missing > 0").withColumn("rank", F.explode(F.sequence(F.lit(1), F.col("missing"))))
+    between = between.select(
+        name(rank).alias("node_id"), F.when(rank < F.col("missing"), name(rank + 1)).otherwise(parent).alias("parent_id"), "cell_name",
+        *((F.col(c) + share * (F.col(f"p_{c}") - F.col(c))).alias(c) for c in "xy"),
+        (F.col("z") + F.signum("dz").cast("long") * rank).alias("z"), F.lit(True).alias("is_virtual"),
+    )
+    return real.unionByName(between)

@@ -214,3 +214,70 @@ def name_normalize(spark, sf):
 def canon_id(spark, sf):
     raw = F.expr("case c_custkey % 3 when 0 then concat(c_custkey, '.0') when 1 then string(c_custkey) else concat('v_', c_custkey, '_', c_nationkey) end")
     return L.table(spark, sf, "customer").select("c_custkey", names.canon_id(raw).alias("node_id"))
+
+
+@query(f"""WITH {L.NODES}, f AS (SELECT node_id, z, x * 1.11667::DOUBLE + y * 0.03757::DOUBLE - 893.9::DOUBLE AS fx, x * -0.03641::DOUBLE + y * 1.11909::DOUBLE - 427.09::DOUBLE AS fy FROM nodes)
+SELECT node_id, round(fx, 10) AS full_x, round(fy, 10) AS full_y, round(fx / 4, 10) AS model_x, round(fy / 4, 10) AS model_y, z + 7 AS file_z FROM f""")
+def affine_apply(spark, sf):
+    out = skeletons.placed(L.nodes(spark, sf))
+    return out.select("node_id", *(F.round(c, 10).alias(c) for c in ("full_x", "full_y", "model_x", "model_y")), "file_z")
+
+
+@query(f"WITH {L.NODES} SELECT node_id, cell_name, round(x / 2, 9) AS x, round(y / 2, 9) AS y, round(z / 50, 9) AS z FROM nodes")
+def node_shape(spark, sf):
+    return skeletons.from_nm(L.nodes(spark, sf)).select("node_id", "cell_name", *(F.round(c, 9).alias(c) for c in "xyz"))
+
+
+@query(f"WITH {L.NODES} SELECT node_id, cell_name, z FROM nodes WHERE z BETWEEN 5 AND 20")
+def chains_clip(spark, sf):
+    return skeletons.clipped(L.nodes(spark, sf), 5, 20).select("node_id", "cell_name", "z")
+
+
+@query(f"""WITH {L.NODES}, o AS (SELECT n.*, p.x AS p_x, p.y AS p_y, p.z - n.z AS dz FROM nodes n LEFT JOIN nodes p ON n.parent_id = p.node_id),
+m AS (SELECT *, CASE WHEN abs(dz) BETWEEN 2 AND 9 THEN abs(dz) - 1 ELSE 0 END AS missing FROM o),
+v AS (SELECT *, unnest(range(1, missing + 1)) AS k FROM m WHERE missing > 0)
+SELECT node_id::VARCHAR AS node_id, CASE WHEN missing > 0 THEN 'v_' || node_id || '_' || (z + sign(dz)::BIGINT) ELSE parent_id::VARCHAR END AS parent_id,
+ cell_name, round(x, 9) AS x, round(y, 9) AS y, z, false AS is_virtual FROM m
+UNION ALL SELECT 'v_' || node_id || '_' || (z + sign(dz)::BIGINT * k), CASE WHEN k < missing THEN 'v_' || node_id || '_' || (z + sign(dz)::BIGINT * (k + 1)) ELSE parent_id::VARCHAR END,
+ cell_name, round(x + k / (missing + 1) * (p_x - x), 9), round(y + k / (missing + 1) * (p_y - y), 9), z + sign(dz)::BIGINT * k, true FROM v""")
+def virtual_nodes(spark, sf):
+    return skeletons.with_virtual_nodes(L.nodes(spark, sf)).withColumns({c: F.round(c, 9) for c in "xy"})
+
+
+@query(f"{_REGION}, s AS (SELECT count(*) AS n_slices, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM k) SELECT *, {_RATIO} FROM s")
+def region_overall(spark, sf):
+    sums = [F.sum(c).alias(c) for c in ("tp", "fp", "fn")]
+    return masks.ratios(_counts(spark, sf).agg(F.count("*").alias("n_slices"), *sums))
+
+
+@query(f"WITH {L.RUNS}, {L.TRUTH} SELECT DISTINCT slice, neuron FROM pred ANTI JOIN truth USING (slice, neuron)")
+def skipped_labels(spark, sf):
+    key = ["slice", "neuron"]
+    return L.raw_runs(spark, sf).select(*key).distinct().join(L.raw_runs(spark, sf, truth=True).select(*key), key, "left_anti")
+
+
+@query(f"""WITH {L.PIXELS}, c AS (SELECT seg, gt, count(*) AS n FROM pixels WHERE gt <> 0 GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY seg) AS n_seg, sum(n) OVER (PARTITION BY gt) AS n_gt FROM c),
+v AS (SELECT -sum(n * log2(n / n_gt)) / sum(n) AS s, -sum(n * log2(n / n_seg)) / sum(n) AS m, sum(n)::BIGINT AS n_pixels FROM m)
+SELECT round(s, 6) AS voi_split, round(m, 6) AS voi_merge, round(s + m, 6) AS voi, n_pixels FROM v""")
+def voi_ignore_bg(spark, sf):
+    return metrics.variation_of_information(metrics.contingency(L.pixels(spark, sf).filter("gt <> 0")))
+
+
+@query(f"""WITH {L.MANIFEST}, {L.REVIEWS} SELECT * FROM manifest
+UNION ALL SELECT DISTINCT neuron, chain_idx, 'pending' FROM reviews ANTI JOIN manifest USING (neuron, chain_idx)""")
+def manifest_seed(spark, sf):
+    return ledgers.seeded(L.manifest(spark, sf), L.reviews(spark, sf))
+
+
+@query(f"WITH {L.MANIFEST}, {L.REVIEWS} SELECT * FROM manifest ANTI JOIN reviews USING (neuron, chain_idx)")
+def manifest_reset(spark, sf):
+    return ledgers.without(L.manifest(spark, sf), L.reviews(spark, sf))
+
+
+_PHASES = ["view", "click", "purchase", "error"]
+
+
+@query("SELECT user_id AS neuron, user_id % 30 AS chain_idx, " + ", ".join(f"sum(event_id % 1000) FILTER (event_type = '{p}')::BIGINT AS \"{p}\"" for p in _PHASES) + " FROM events GROUP BY user_id")
+def timing_pivot(spark, sf):
+    rows = L.table(spark, sf, "events").selectExpr("user_id as neuron", "user_id % 30 as chain_idx", "event_type as phase", "event_id % 1000 as seconds")
+    return ledgers.phase_seconds(rows, _PHASES)
