@@ -102,6 +102,36 @@ def test_mix(spark, docs, none):
     assert mixing.mix(docs).count() == len(ROWS) and mixing.mix(none).count() == 0
 
 
+def test_mix_keeps_the_weights_given(spark):
+    from fractions import Fraction
+
+    many = {str(i): 1.0 for i in range(1199)} | {"hot": 981.0}  # hot: 45 %
+    cases = [
+        ({"a": 0.9, "b": 0.1}, {"a": 4500, "b": 500}),  # repeats after 10 slots
+        ({"a": 7777**0.5, "b": 31**0.5, None: 2**0.5}, {"a": 4000, "b": 300, None: 70}),
+        (many, {s: 900 if s == "hot" else 1 for s in many}),
+    ]
+    for weights, counts in cases:
+        rows = [s for s, n in counts.items() for _ in range(n)]
+        df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, source string")
+        got = sorted(mixing.mix(df, weights, block_rows=1).collect(), key=lambda r: r.slot)
+        assert len(got) == len(rows) == len({r.slot for r in got})
+        total = sum(Fraction(str(w)) for w in weights.values())
+        exact = {s: Fraction(str(w)) / total for s, w in weights.items()}
+        for r in got:
+            w = exact[r.source]
+            assert (r.release, r.deadline) == (r.block // w, -(-(r.block + 1) // w)) and r.release <= r.slot < r.deadline
+        inside = [r for r in got if r.in_target]
+        assert [r.slot for r in inside] == list(range(len(inside))) and len(inside) > 800
+        seen = dict.fromkeys(exact, 0)
+        for t, r in enumerate(inside, 1):
+            seen[r.source] += 1
+            assert all(abs(seen[s] - t * exact[s]) < 1 for s in ({r.source} if weights is many else exact))
+        assert all(abs(seen[s] - len(inside) * exact[s]) < 1 for s in exact)
+    with pytest.raises(ValueError):
+        mixing.whole_weights({"a": 1.0, "b": 0.0})
+
+
 def test_html():
     page = (
         "<html><head><title>t</title></head><body><nav><ul><li><a href='/'>home</a></ul></nav><div class=\"ad\">buy</div>"

@@ -1,30 +1,43 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame functions only.
 
-Each source's rows form blocks.  With weight ``a / q`` (whole numbers, all ``a`` sum to ``q``), block
-``b`` (from 0) of a source is released at slot ``floor(b*q/a)`` and due by slot ``ceil((b+1)*q/a)``.
-Earliest deadline first meets every such window, so in any prefix of slots no source is a whole block
-away from its weight, until a source runs out.  The schedule repeats after ``q`` slots: the driver
-lays out one such period (``q`` slots, a parameter's bound, whatever the data), and each block's slot
-is ``(b div a)*q`` plus the slot of block ``b mod a`` in the period.
+Each source's rows form blocks.  With weight ``a / q`` (whole numbers in the exact ratio of the weights
+given, ``q`` their sum), block ``b`` (from 0) of a source is released at slot ``floor(b*q/a)`` and due by
+slot ``ceil((b+1)*q/a)``.  Earliest deadline first meets every such window, so in any prefix of slots no
+source is a whole block away from its weight, until a source runs out.  Nothing is rounded: a float
+counts as the decimal that it prints as.
+
+The driver lays the slots out with whole numbers of any length.  Weights that repeat within ``period``
+slots are laid out for one period: each block's slot is ``(b div a)*q`` plus the slot of block ``b mod a``.
+Others are laid out for all blocks there are: the driver holds five numbers (40 bytes) per block, that
+is for every ``block_rows`` rows, and this grows with the input.
 
 No row is dropped: a source with more blocks than its share goes on at its own slots after others ran
-out.  ``in_target`` marks slots before the first source runs out, where the deviation bound holds.
+out.  ``in_target`` marks slots before the first source runs out, where the deviation bound holds; a
+weighted source without rows has run out from the start.
 
 Edge cases: a null source is a source of its own; texts don't matter; repeated doc_ids are ordered as
-they come; an empty table gives an empty one; extra columns pass through ``mix`` (names beginning
-with ``_mix`` are replaced).
+they come; weights of zero or less, or that are no numbers, stop the job, as do slots of over 63 bits;
+an empty table gives an empty one; extra columns pass through ``mix`` (names beginning with ``_mix`` are
+replaced).
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK_ROWS = 16
 PERIOD = 1000
+#: Longer layouts are joined by a shuffle.
+BROADCAST_BLOCKS = 100_000
 #: Shares of a source's rows that are numbered side by side.
 LANES = 512
 #: Weights are per source; more sources than this stop the job.
@@ -34,32 +47,40 @@ TEMPERATURE = 0.5
 
 
 def whole_weights(weights: dict, period: int = PERIOD) -> dict:
-    """Weights as whole numbers of at least 1 that sum to the period (largest remainders first)."""
-    period = max(period, len(weights))
-    spare, total = period - len(weights), sum(weights.values())
-    exact = {s: w / total * spare for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s is None, str(s)))
-    for s in order[: period - sum(out.values())]:
-        out[s] += 1
-    return out
-
-
-def period_slots(shares: dict) -> list[tuple]:
-    """(source, block, slot) of one period: earliest deadline first among released blocks."""
-    q = sum(shares.values())
-    waiting = [(0, i, 0) for i in range(len(shares))]  # release, source, block
-    names, counts = list(shares), list(shares.values())
-    ready, out = [], []
+    """Whole numbers in the exact ratio of the weights; they sum to the period where that is a multiple
+    of their least sum, else to that least sum."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    if any(w <= 0 for w in exact.values()):
+        raise ValueError("a weight is not above zero")
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    out = {s: int(w * scale) for s, w in exact.items()}
+    common = math.gcd(*out.values())
+    q = sum(out.values()) // common
+    times = period // q if q and period % q == 0 else 1
+    return {s: a // common * times for s, a in out.items()}
+
+
+def layout(counts: list[int], blocks: list[int]) -> list[array]:
+    """Source, block, slot, release and deadline of so many blocks per source: earliest deadline first
+    among released blocks; of equal deadlines, the first source."""
+    q = sum(counts)
+    waiting = [(0, i, 0) for i in range(len(counts)) if blocks[i]]  # release, source, block
+    ready, out, slot = [], [array("q") for _ in range(5)], 0
     heapq.heapify(waiting)
-    for slot in range(q):
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
-            _, i, b = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(b + 1) * q // counts[i]), i, b))
-        _, i, b = heapq.heappop(ready)
-        out.append((names[i], b, slot))
-        if b + 1 < counts[i]:
+            release, i, b = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(b + 1) * q // counts[i]), i, b, release))
+        deadline, i, b, release = heapq.heappop(ready)
+        for column, x in zip(out, (i, b, slot, release, deadline)):
+            if x >= 1 << 63:
+                raise ValueError("a slot exceeds 63 bits")
+            column.append(x)
+        if b + 1 < blocks[i]:
             heapq.heappush(waiting, ((b + 1) * q // counts[i], i, b + 1))
+        slot += 1
     return out
 
 
@@ -78,11 +99,14 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
     if weights is None:
         weights = {s: float(n) ** TEMPERATURE for s, n in rows.items()}
     shares = whole_weights(weights, period) if weights else {}
-    q = sum(shares.values()) or 1
-    template = spark.createDataFrame(
-        [(s, s is None, b, t, shares[s]) for s, b, t in period_slots(shares)] if shares else [],
-        "_mix_source string, _mix_null boolean, _mix_b long, _mix_t long, _mix_a long",
-    )
+    names = sorted(shares, key=lambda s: (s is None, str(s)))
+    counts, q = [shares[s] for s in names], sum(shares.values())
+    repeats = q <= period
+    blocks = counts if repeats else [-(-rows.get(s, 0) // block_rows) for s in names]
+    laid = layout(counts, blocks)
+    columns = ("_mix_k2", "_mix_b", "_mix_t", "_mix_r", "_mix_d")
+    slots = spark.createDataFrame(pa.table({c: np.frombuffer(x, np.int64) for c, x in zip(columns, laid)}))
+    slots = F.broadcast(slots) if len(laid[0]) <= BROADCAST_BLOCKS else slots
     lane = F.pmod(F.xxhash64("doc_id"), F.lit(LANES))
     laned = docs.withColumn("_mix_lane", lane)
     # Rows before each lane: a running sum over at most LANES counts per source.
@@ -97,24 +121,21 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
     numbered = numbered.join(
         starts, F.col("source").eqNullSafe(F.col("_mix_s")) & (F.col("_mix_lane") == F.col("_mix_l")), "left"
     ).withColumn("block", F.floor((F.col("_mix_start") + F.col("_mix_i")) / F.lit(block_rows)))
-    share = F.broadcast(template.groupBy("_mix_source").agg(F.max("_mix_a").alias("_mix_a")))  # <= period rows
-    shared = numbered.join(share, F.col("source").eqNullSafe(F.col("_mix_source")), "left").drop("_mix_source")
-    unknown = F.raise_error(F.lit("a source has no weight")).cast("long")
-    shared = shared.withColumn("_mix_a", F.coalesce("_mix_a", unknown))
-    slots = F.broadcast(template.select(F.col("_mix_source").alias("_mix_s2"), "_mix_b", "_mix_t"))
-    placed = shared.join(
-        slots,
-        F.col("source").eqNullSafe(F.col("_mix_s2")) & (F.col("block") % F.col("_mix_a") == F.col("_mix_b")),
-        "left",
+    share = spark.createDataFrame(
+        [(s, k, blocks[k]) for k, s in enumerate(names)], "_mix_source string, _mix_k long, _mix_a long"
     )
+    shared = numbered.join(F.broadcast(share), F.col("source").eqNullSafe(F.col("_mix_source")), "left").drop("_mix_source")
+    unknown = F.raise_error(F.lit("a source has no weight")).cast("long")
+    shared = shared.withColumn("_mix_k", F.coalesce("_mix_k", unknown))
+    placed = shared.join(slots, (F.col("_mix_k") == F.col("_mix_k2")) & (F.col("block") % F.col("_mix_a") == F.col("_mix_b")), "left")
     # The first slot that some source can no longer fill.
-    end = min((n // block_rows * q // shares[s] for s, n in rows.items() if s in shares), default=0)
-    slot = F.expr(f"block div _mix_a * {q}") + F.col("_mix_t")
+    end = min((rows.get(s, 0) // block_rows * q // shares[s] for s in names), default=0)
+    before = F.expr(f"block div _mix_a * {q if repeats else 0}")
     return (
-        placed.withColumn("slot", slot)
-        .withColumn("release", F.expr(f"block * {q} div _mix_a"))
-        .withColumn("deadline", F.expr(f"((block + 1) * {q} + _mix_a - 1) div _mix_a"))
-        .withColumn("in_target", F.col("slot") < F.lit(end))
+        placed.withColumn("slot", before + F.col("_mix_t"))
+        .withColumn("release", before + F.col("_mix_r"))
+        .withColumn("deadline", before + F.col("_mix_d"))
+        .withColumn("in_target", F.col("slot") < F.lit(min(end, (1 << 63) - 1)))
         .select(*docs.columns, "block", "release", "deadline", "slot", "in_target")
     )
 
