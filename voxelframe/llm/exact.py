@@ -7,7 +7,8 @@ trusts a digest alone.  The way back from rows to winners uses the digests, whic
 to name one text each; two texts that shared them would stop the job rather than merge.
 
 Edge cases: a null text counts as empty, so null and empty texts form one group; ties go to the
-smallest doc_id; a repeated doc_id counts once per row; an empty table gives an empty one; extra
+smallest doc_id; a repeated doc_id counts once per row; a row with a null doc_id has a null ``kept`` in
+``groups``, while ``keep_one`` always keeps one row per text; an empty table gives an empty one; extra
 columns are ignored by ``groups`` and kept by ``keep_one``.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Salts of a digest: the most rows that one text sends to the last stage.
 SALTS = 64
@@ -58,9 +60,14 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its text; all columns stay."""
-    kept = winners(_keyed(docs, "doc_id", "text")).select(F.col("keep_id").alias("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One whole row per text: that of the smallest doc_id, null ids last.  Ties go to the smallest row,
+    column by column (to any of them if a column holds maps).  Each task drops its own copies first, so a
+    hot text sends one row a task; rows are compared by the whole text."""
+    rows = docs.select("doc_id", F.struct("*").alias("_row"), normalised(F.col("text")).alias("_norm"))
+    rows = rows.withColumn("_h2", F.xxhash64("_norm"))
+    tie = [] if "map<" in docs.schema.simpleString() else [F.col("_row")]
+    first = F.row_number().over(Window.partitionBy("_h2", "_norm").orderBy(F.col("doc_id").asc_nulls_last(), *tie))
+    return rows.withColumn("_nth", first).filter("_nth = 1").select("_row.*")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
