@@ -142,6 +142,22 @@ def test_html():
     assert html.main_text("<ul><li><a href=x>menu</a></li></ul><p>plain text</p>") == "plain text"
 
 
+def test_html_with_tags_left_out():
+    text = html.main_text
+    assert text("<html><head><title>t</title><body><article><p>text</p></article>") == "text"
+    assert text("<head><meta charset=x><title>t</title><p>text</p>") == text("<head><title>t</title>text") == "text"
+    assert text("<p><svg class=i/>one</p><p>two</p>") == "one\ntwo"
+    assert text("<p>a <svg><title/><path d=x><g><text>no</text></g></svg>b</p><svg><g>no<p>two</p>") == "a b\ntwo"
+    assert text("<datalist><option value=x></datalist><p>two</p>") == "two"
+    assert text("<select><option>no<option>no</select><p>one</p><select><option>no<p>two</p>") == "one\ntwo"
+    assert text("<noscript><p>no</p></noscript><p>one</p><template><div>no</div></template>") == "one"
+    assert text("<a name=top><p>one</p><p>two</p>") == "one\ntwo"
+    assert text("<p>one more line <a href=x>not closed</p><p>two</p>") == "one more line not closed\ntwo"
+    assert text("<a href=x><div>menu</div><div>menu</div></a><p>two</p>") == "two"
+    assert text("<main> &nbsp; </main><p>text</p>") == "text"
+    assert text("<script>if (a<b) '<p>no</p>'</script ><p>one</p><style>p{}") == "one"
+
+
 def test_rules(docs, none):
     def brute(text):
         w = re.findall(r"[^\x20\x09-\x0D]+", text)

@@ -7,7 +7,10 @@ where it rises from nothing, a dive where it falls back to nothing.  Text betwee
 is kept.  When a page marks its article, only the article's lines have length; else lines that are
 mostly link text have none.
 
-Edge cases: null or empty html gives the empty text; unclosed or stray tags are tolerated; a cut-off
+Edge cases: null or empty html gives the empty text; unclosed or stray tags are tolerated: head, option,
+select and svg end where later tags imply it, a link that is not closed ends with its block, an anchor
+without href is no link, an article or main of white space marks nothing.  Only a script, style,
+textarea, title or iframe that is never closed takes the rest of the page, as in HTML.  A cut-off
 tag at the end is markup and dropped; pages are taken whole at any length; rows are independent.
 """
 
@@ -25,10 +28,21 @@ WINDOW = 3
 LINK_SHARE = 0.5
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|option|title|head)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+#: Elements of plain text: nothing in them is markup but their own end tag.
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in "script style textarea title iframe".split()}
+#: Elements whose text is never shown as such; they break no line.
+_HIDDEN = frozenset("head noscript template svg select datalist option".split())
+_IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+_IN_SELECT = frozenset("option optgroup hr script template".split())
+_ENDS_SVG = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre "
+    "ruby s small span strong strike sub sup table tt u ul var article aside footer form header main nav section".split()
+)
+_ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
+_HREF = re.compile(r"\bhref\s*=", re.I)
 _INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr del label".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CHROME = frozenset("nav header footer aside form button menu dialog".split())
@@ -48,12 +62,28 @@ class Line:
         self.parts, self.linked, self.article = [], 0, article
 
 
+def _implied(stack: list, tag: str) -> None:
+    """Ends hidden elements that this start tag cannot be in."""
+    for k in range(len(stack) - 1, -1, -1):
+        name = stack[k][0]
+        if (
+            (name == "head" and tag not in _IN_HEAD and k == len(stack) - 1)
+            or (name == "option" and tag in ("option", "optgroup"))
+            or (name in ("select", "datalist", "option") and tag not in _IN_SELECT and tag not in _INLINE)
+            or (name == "svg" and tag in _ENDS_SVG and not any(x[0] == "foreignobject" for x in stack[k:]))
+        ):
+            del stack[k:]
+
+
 def _lines(page: str) -> list[Line]:
-    stack: list[tuple[str, bool, bool]] = []  # tag, chrome, article: of it or of an element around it
-    lines, at, links = [Line(False)], 0, 0
+    # Tag, chrome, article, hidden: the last three of it or of an element around it.
+    stack: list[tuple[str, bool, bool, bool]] = []
+    lines, at, links, closed = [Line(False)], 0, 0, False
 
     def text(upto: int):
-        if upto > at and not (stack and stack[-1][1]):
+        if upto > at and stack and stack[-1][0] == "head" and page[at:upto].strip():
+            stack.pop()
+        if upto > at and not (stack and (stack[-1][1] or stack[-1][3])):
             piece = page[at:upto]
             lines[-1].parts.append(piece)
             lines[-1].linked += len(piece.strip()) if links else 0
@@ -61,31 +91,44 @@ def _lines(page: str) -> list[Line]:
     def fresh():
         lines.append(Line(bool(stack) and stack[-1][2]))
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         text(m.start())
         at = m.end()
-        tag = m.group(3)
+        tag = m.group(2)
         if not tag:
             continue
-        tag = tag.lower()
+        tag, end, alone = tag.lower(), bool(m.group(1)), m.group(3).endswith("/")
+        if not end:
+            _implied(stack, tag)
+        if tag in _RAW:
+            if not end and not (alone and any(x[0] == "svg" for x in stack)):
+                stop = _RAW[tag].search(page, at)
+                at = stop.end() if stop else len(page)
+            continue
         if tag == "a":
-            links = 0 if m.group(2) else 1
+            links = 0 if end else int(bool(_HREF.search(m.group(3))))
+            # A link that no end tag closes before the next one ends with its block.
+            closed = bool(links) and (after := _ANCHOR.search(page, at)) is not None and bool(after.group(1))
         if tag in _INLINE:
             continue
-        if m.group(2):
+        if links and not closed and tag not in _HIDDEN:
+            links = 0
+        was = bool(stack) and stack[-1][3]
+        if end:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
                     break
-        elif tag not in _VOID and not m.group(4).endswith("/"):
+        elif tag not in _VOID and not alone:
             if tag in ("p", "li", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == tag:
                 stack.pop()
-            chrome, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            names = " ".join("".join(n) for n in _NAMES.findall(m.group(4)))
+            chrome, article, hidden = stack[-1][1:] if stack else (False, False, False)
+            names = " ".join("".join(n) for n in _NAMES.findall(m.group(3)))
             inside = tag in ("article", "main") or "article" in names.split()
             chrome = chrome or tag in _CHROME or (tag not in ("body", "html", "article", "main") and bool(_CHROME_NAME.search(names)))
-            stack.append((tag, chrome, article or inside))
-        fresh()
+            stack.append((tag, chrome, article or inside, hidden or tag in _HIDDEN))
+        if tag not in _HIDDEN and not (was and stack and stack[-1][3]):
+            fresh()
     text(len(page))
     return lines
 
@@ -95,11 +138,11 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = _lines(page)
-    marked = any(x.article and x.parts for x in lines)
+    raws = ["".join(x.parts) for x in lines]
+    plain = [_SPACE.sub(" ", entities.unescape(raw)).strip() for raw in raws]
+    marked = any(x.article and t for x, t in zip(lines, plain))
     texts, lengths = [], []
-    for x in lines:
-        raw = "".join(x.parts)
-        t = _SPACE.sub(" ", entities.unescape(raw)).strip()
+    for x, raw, t in zip(lines, raws, plain):
         out = not t or (marked and not x.article) or (not marked and x.linked > LINK_SHARE * len(raw.strip()))
         texts.append(t)
         lengths.append(0 if out else len(t))
