@@ -158,6 +158,23 @@ def test_html_with_tags_left_out():
     assert text("<script>if (a<b) '<p>no</p>'</script ><p>one</p><style>p{}") == "one"
 
 
+def test_html_distribution_decides(monkeypatch):
+    long = [f"{w} " * 30 for w in ("one", "two", "three", "four")]
+    parts = ["Buy our nice things now", "<h2>Head</h2>", long[0], long[1], "short", "tiny", "brief", "small", long[2], long[3], "All rights reserved 2024"]
+    page = "".join(f"<div><p>{t}</p></div>" for t in parts)
+    words = lambda: [t.split()[0] for t in html.main_text(page).split("\n")]
+    assert words() == ["Head", "one", "two", "short", "tiny", "brief", "small", "three", "four"]
+    monkeypatch.setattr(html, "WINDOW", 1)
+    assert words()[0] == "Buy" and words()[-1] == "All"  # a tenth of one line is the threshold
+    monkeypatch.setattr(html, "WINDOW", 3)
+    nav = page.replace("<div><p>tiny", "<nav>menu</nav><div><p>tiny")
+    assert [t.split()[0] for t in html.main_text(nav).split("\n")] == ["Head", "one", "two", "three", "four"]
+    assert "brief" in html.main_text(nav.replace("<p>brief", "<p>brief " + "b " * 40)) and "tiny" not in html.main_text(nav)
+    monkeypatch.setattr(html, "THRESHOLD", 1)
+    assert words() == ["Buy", "Head", "one", "two", "short", "tiny", "brief", "small", "three", "four", "All"]
+    assert html.main_text("<nav>menu</nav>" + "".join(f"<p>line {k}</p>" for k in range(9))).count("line") == 9
+
+
 def test_rules(docs, none):
     def brute(text):
         w = re.findall(r"[^\x20\x09-\x0D]+", text)

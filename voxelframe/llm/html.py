@@ -1,11 +1,18 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one per block; lines in elements that never hold an article (menus,
-headers, footers, sidebars, forms, adverts, comments by readers) become empty, as stripped markup does
-in the method.  The text length of each window of WINDOW lines gives the distribution; a surge is
-where it rises from nothing, a dive where it falls back to nothing.  Text between a surge and its dive
-is kept.  When a page marks its article, only the article's lines have length; else lines that are
-mostly link text have none.
+Markup is stripped into lines, one per block; blank lines don't count.  Lines in elements that never
+hold an article (menus, headers, footers, sidebars, forms, adverts, comments by readers) and lines that
+are mostly link text count as empty, with length 0.  The text length of each window of WINDOW lines
+gives the distribution.  A surge is where it reaches the threshold, a dive where it falls below; a block
+runs from a surge to its dive.  At its edges a line goes when the window from it outward stays below the
+threshold, so a short notice beside long text goes too; headings that lead a block stay.  Blocks with no
+empty line between them are one.  The threshold
+is THRESHOLD characters, or PEAK_SHARE of the fullest window where that is less (short pages).
+
+When a page marks its article (article or main), the mark decides instead: all lines in it that are in
+no element of the above kinds are kept, and the distribution is not used.  On unmarked pages short lines
+at the edges of the text or between empty lines can be lost, and notices between long paragraphs stay,
+as in the method.
 
 Edge cases: null or empty html gives the empty text; unclosed or stray tags are tolerated: head, option,
 select and svg end where later tags imply it, a link that is not closed ends with its block, an anchor
@@ -24,6 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WINDOW = 3
+#: Characters in a window that only running text has.
+THRESHOLD = 86
+PEAK_SHARE = 0.1
 #: Share of link text above which a line outside a marked article is a menu line.
 LINK_SHARE = 0.5
 
@@ -41,6 +51,7 @@ _ENDS_SVG = frozenset(
     "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre "
     "ruby s small span strong strike sub sup table tt u ul var article aside footer form header main nav section".split()
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 _HREF = re.compile(r"\bhref\s*=", re.I)
 _INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr del label".split())
@@ -56,10 +67,11 @@ _SPACE = re.compile(r"\s+")
 
 
 class Line:
-    __slots__ = ("parts", "linked", "article")
+    __slots__ = ("parts", "linked", "article", "heading", "dropped")
 
-    def __init__(self, article: bool):
-        self.parts, self.linked, self.article = [], 0, article
+    def __init__(self, article: bool, heading: bool = False):
+        self.parts, self.linked, self.article, self.heading = [], 0, article, heading
+        self.dropped = False  # it had text in an element that never holds an article
 
 
 def _implied(stack: list, tag: str) -> None:
@@ -87,9 +99,11 @@ def _lines(page: str) -> list[Line]:
             piece = page[at:upto]
             lines[-1].parts.append(piece)
             lines[-1].linked += len(piece.strip()) if links else 0
+        elif upto > at and not stack[-1][3] and page[at:upto].strip():
+            lines[-1].dropped = True
 
     def fresh():
-        lines.append(Line(bool(stack) and stack[-1][2]))
+        lines.append(Line(bool(stack) and stack[-1][2], any(x[0] in _HEADINGS for x in stack)))
 
     while m := _TOKEN.search(page, at):
         text(m.start())
@@ -141,25 +155,44 @@ def main_text(page: str | None) -> str:
     raws = ["".join(x.parts) for x in lines]
     plain = [_SPACE.sub(" ", entities.unescape(raw)).strip() for raw in raws]
     marked = any(x.article and t for x, t in zip(lines, plain))
-    texts, lengths = [], []
+    if marked:
+        return "\n".join(t for x, t in zip(lines, plain) if t and x.article)
+    texts, lengths, heads = [], [], []
     for x, raw, t in zip(lines, raws, plain):
-        out = not t or (marked and not x.article) or (not marked and x.linked > LINK_SHARE * len(raw.strip()))
-        texts.append(t)
-        lengths.append(0 if out else len(t))
-    # Distribution over windows of lines, then the spans between a surge and its dive.
-    n = len(lines)
-    sums = [0] * (n + 1)
-    for i, x in enumerate(lengths):
-        sums[i + 1] = sums[i] + x
+        if t or x.dropped:
+            texts.append(t)
+            lengths.append(0 if x.linked > LINK_SHARE * len(raw.strip()) else len(t))
+            heads.append(x.heading)
+    return "\n".join(texts[k] for k in running_text(lengths, heads))
+
+
+def running_text(lengths: list[int], heads: list[bool]) -> list[int]:
+    """The lines between surges and dives of the distribution over windows of WINDOW lines."""
+    n = len(lengths)
+    sums = [0]
+    for x in lengths:
+        sums.append(sums[-1] + x)
+
+    def window(first: int) -> int:
+        return sums[max(0, min(n, first + WINDOW))] - sums[max(0, first)]
+
+    least = min(THRESHOLD, PEAK_SHARE * max(map(window, range(1 - WINDOW, n)), default=0))
     kept, surge = [], None
-    for i in range(n + 1):
-        block = sums[min(n, i + WINDOW)] - sums[i] if i < n else 0
-        if block and surge is None:
+    for i in range(1 - WINDOW, n + 1):
+        full = i < n and least and window(i) >= least
+        if full and surge is None:
             surge = i
-        elif not block and surge is not None:
-            kept.extend(texts[k] for k in range(surge, i) if lengths[k])
+        elif not full and surge is not None:
+            lo, hi = max(0, surge), min(n, i + WINDOW - 1)
+            while lo < hi and window(lo - WINDOW + 1) < least and not (lengths[lo] and heads[lo]):
+                lo += 1
+            while lo < hi and window(hi - 1) < least:
+                hi -= 1
+            if kept and all(lengths[kept[-1] + 1 : lo]):
+                lo = kept[-1] + 1  # nothing empty lies between the blocks: they are one
+            kept.extend(k for k in range(lo, hi) if lengths[k] and (not kept or k > kept[-1]))
             surge = None
-    return "\n".join(kept)
+    return kept
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
