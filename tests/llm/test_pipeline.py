@@ -1,9 +1,11 @@
 """Row counts of the pipeline's stages with null and repeated ids."""
 
+import hashlib
 from collections import Counter
 
 import corpus_pipeline
 from tests.llm.test_operators import ROWS, SCHEMA
+from voxelframe.llm import mixing
 
 LONG = [f"w{i}" for i in range(60)]
 NEAR = " ".join([*LONG[:59], "other"])
@@ -40,7 +42,40 @@ def test_mixed_keeps_every_row_once(spark):
     assert _rows(corpus_pipeline.mixed(spark, spark.createDataFrame(rows, SCHEMA), "")) == Counter(rows)
 
 
-def test_stages_take_empty_tables(spark):
-    none = spark.createDataFrame([], SCHEMA)
+def _read_again(spark, df, tmp_path, name):
+    df.write.parquet(f"{tmp_path}/{name}")
+    return spark.read.parquet(f"{tmp_path}/{name}")
+
+
+def test_positions_follow_the_slots(spark, tmp_path):
+    rows = [(i, f"text {i}" + " word" * (i % 50), "en", s, 9, "x") for i, s in enumerate(["a"] * 700 + ["b"] * 200 + [None] * 100)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    slot = {r.doc_id: r.slot for r in mixing.mix(docs.select("doc_id", "source")).collect()}
+    mixed = _read_again(spark, corpus_pipeline.mixed(spark, docs, ""), tmp_path, "mixed")
+    got = {r.position: r for r in corpus_pipeline.encoded(spark, mixed, "").collect()}
+    assert sorted(got) == list(range(len(rows)))
+    assert [got[k].doc_id for k in range(len(rows))] == sorted(slot, key=lambda i: (slot[i], i))
+    text = {r[0]: r[1] for r in rows}
+    assert all(r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest() for r in got.values())
+
+
+def test_encoded_keeps_every_row_once(spark, tmp_path):
+    docs = _read_again(spark, spark.createDataFrame(ROWS + MORE, SCHEMA).repartition(3), tmp_path, "rows")
+    got = corpus_pipeline.encoded(spark, docs, "").collect()
+    assert Counter((r.doc_id, r.decoded_sha256) for r in got) == Counter((r[0], hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in ROWS + MORE)
+
+
+def test_columns_of_any_name_stay(spark):
+    names = "score row key _row slot block _norm position id".split()
+    schema = SCHEMA + "".join(f", {n} long" for n in names)
+    rows = [(*r, *range(i, i + len(names))) for i, r in enumerate(ROWS[4:5] + MORE[:2])]
+    docs = spark.createDataFrame(rows, schema)
+    for stage in (corpus_pipeline.exact_dedup, corpus_pipeline.near_dedup, corpus_pipeline.mixed):
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns and _rows(got) == Counter(rows)
+
+
+def test_stages_take_empty_tables(spark, tmp_path):
+    none = _read_again(spark, spark.createDataFrame([], SCHEMA), tmp_path, "none")
     for stage in (corpus_pipeline.exact_dedup, corpus_pipeline.near_dedup, corpus_pipeline.mixed, corpus_pipeline.encoded):
         assert stage(spark, none, "").count() == 0

@@ -293,15 +293,16 @@ def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def roundtrip(docs: DataFrame) -> DataFrame:
-    """Ids and decoded bytes of every text, as digests."""
+def roundtrip(docs: DataFrame, *extra: str) -> DataFrame:
+    """Ids and decoded bytes of every text, as digests; the extra columns stay."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = decode(encode(docs.select("doc_id", "text"), path).drop("text"), path)
+    coded = decode(encode(docs.select("doc_id", "text", *extra), path).drop("text"), path)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *extra,
     )
 
 
