@@ -69,6 +69,13 @@ def test_near_matches_brute_force(spark):
     assert got == {i: (len(sets[i]), find(i), find(i) == i) for i in range(len(texts))}
 
 
+def test_near_links_one_shingle_at_any_length(spark):
+    texts = [" ".join(["word"] * n) for n in (4, 5, 6, 50)] + ["a b c d e", "A  b c d\te", "a b c d e f"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in sketch.near_duplicates(df).collect()}
+    assert got == {0: (1, 0), 1: (1, 1), 2: (1, 1), 3: (1, 1), 4: (1, 4), 5: (1, 4), 6: (2, 6)}
+
+
 def test_bpe(docs, none):
     import tiktoken
     from tokenizers import Tokenizer

@@ -53,7 +53,7 @@ def shingles(text: str | None) -> np.ndarray:
     words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
     if not words:
         return np.empty(0, np.uint64)
-    if len(words) <= WORDS:
+    if len(words) < WORDS:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))], np.uint64)
     h = xxhash.xxh3_64_intdigest
     memo = {w: h(w) for w in set(words)}
