@@ -1,4 +1,4 @@
-"""Skeleton operators: edges, merge labels, edge classes, run lengths, slices, coordinates."""
+"""Skeleton operators: edges, merge labels, edge classes, slices, coordinates."""
 
 from __future__ import annotations
 
