@@ -4,23 +4,32 @@ A document's set holds the 64-bit hashes of its distinct five-word shingles.  It
 REGISTERS buckets, one seeded hash per bucket; a bucket stores the leading-zero count of its minimum
 and MANTISSA bits after the first one, 16 bits in all.  Bands of compressed registers give buckets of
 candidates; the collision-corrected Jaccard estimate drops pairs far below the threshold, and full sets
-confirm the rest.  Documents of equal sets are one representative from the start.
+confirm the rest.  Documents of equal sets are one node from the start: their sets are compared in full,
+grouped by digest and set, and two unlike sets of one digest would stop the job.
+
+No bucket emits all its pairs.  In each round a bucket compares its members with one pivot, only across
+classes that are not yet joined; a pivot that has met its whole bucket leaves it, and a bucket that lies
+within one class is done.  After PIVOT_ROUNDS, nodes whose buckets still hold several classes (texts that
+share a common passage, say) get narrower buckets: one for each shingle of their rarest quarter.  Two sets
+at the threshold always share one of these, whatever the order of shingles is, so nothing is lost, and
+shingles of common passages come last in the order and make no bucket.  Pivot rounds run on these, then
+what is left in buckets of several classes is compared in full, each distinct bucket once.
 
-No bucket emits all its pairs.  In each round a bucket links its members to one pivot per bucket, only
-across classes that are not yet joined.  Pivots differ between bands and rounds; then the pairs that
-are still between classes are all compared, so no link is lost to a cap.
 With 4 registers per band and 32 bands, a pair at the threshold is missed with chance (1-0.75^4)^32,
 about 5 in a million, and above the threshold with less.
 
 Edge cases: null, empty and white-space texts have no shingles and are linked with nothing; texts of
 fewer than five words have one shingle; ties go to the smallest doc_id; a repeated doc_id is one
-document per row; an empty table gives an empty one; extra columns are ignored.
+document per row, and a null doc_id is never the smallest unless a class has no other; an empty table
+gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType
 
 WORDS = 5
 REGISTERS = 128
@@ -37,8 +46,11 @@ MANTISSA = 10
 PERCENT = 75
 #: Estimates this far below the threshold are dropped: over six standard errors of 128 registers.
 SLACK = 0.25
-#: Rounds of pivots before the rest is compared in full.
+#: Rounds of pivots in the buckets of bands, then in those of single shingles.
 PIVOT_ROUNDS = 2
+NARROW_ROUNDS = 2
+#: Common shingles that come last in the order of shingles; sets the cost, not the result.
+HOT = 200_000
 #: Orders of rows by which bands choose their pivots: a round tries so many unlike pivots per group.
 PIVOT_ORDERS = 4
 
@@ -88,50 +100,68 @@ def compress(low: np.ndarray) -> np.ndarray:
     return ((zeros << np.uint64(MANTISSA)) | (after >> np.uint64(64 - MANTISSA))).astype("<u2")
 
 
+@lru_cache(maxsize=None)
+def _collision(n_a: int, n_b: int) -> float:
+    """Chance that the registers of two disjoint sets of these sizes agree: over all register values, the
+    product of the chances that either minimum falls into the value's interval."""
+    zeros = np.arange(64)[:, None]
+    edges = (1 << MANTISSA) + np.arange((1 << MANTISSA) + 1)[None, :]
+    bounds = np.log1p(-np.minimum(edges * 2.0 ** -(zeros + MANTISSA + 1.0), 1 - 2.0**-53))
+    chance = lambda n: -np.diff(np.exp(n * bounds), axis=1)
+    return float((chance(n_a) * chance(n_b)).sum())
+
+
 def estimate(equal: float, n_a: int, n_b: int) -> float:
-    """Jaccard from the share of equal registers, less the share that unlike minima make by chance:
-    two minima agree in zeros with about one half and in the mantissa with 2^-MANTISSA, at most."""
-    chance = 0.5 * 2.0**-MANTISSA * 2.0 * min(n_a, n_b) / max(n_a, n_b, 1)
+    """Jaccard from the share of equal registers, less the share that unlike minima make by chance.
+    Sizes are taken to the nearest eighth of a power of two."""
+    near = lambda n: int(round(2 ** (round(8 * np.log2(max(1, n))) / 8)))
+    chance = _collision(near(n_a), near(n_b))
     return max(0.0, (equal - chance) / (1 - chance))
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder that the session names."""
+    """A new folder under the shared checkpoint folder that the session names.  Only a local master may
+    go without one, as in tests: elsewhere executors would each write to their own disk."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="spark-")  # only where no cluster names one, as in tests
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-")
     return f"{shared}/near-{uuid.uuid4().hex}"
 
 
 def _kept(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables that nothing reads any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_hash (two 64-bit hashes of the whole set), sketch."""
+    """Adds n_shingles, digest (128 bits of the whole set; null without shingles) and sketch."""
 
-    @F.pandas_udf("n long, a long, b long, sketch binary")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        rows = []
+    @F.arrow_udf("struct<n:bigint,digest:binary,sketch:binary>")
+    def of(texts: pa.Array) -> pa.Array:
+        n, digest, sketch = [], [], []
         for t in texts:
-            s = shingles(t)
-            raw = s.tobytes()
-            a, b = (xxhash.xxh3_64_intdigest(raw, seed) for seed in (1, 2))
-            rows.append((len(s), a - (1 << 63), b - (1 << 63), registers(s).tobytes() if len(s) else b""))
-        return pd.DataFrame(rows, columns=["n", "a", "b", "sketch"])
-
-    return docs.select("doc_id", of("text").alias("s")).select("doc_id", F.col("s.n").alias("n_shingles"), "s.a", "s.b", "s.sketch")
+            s = shingles(t.as_py())
+            n.append(len(s))
+            digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+            sketch.append(registers(s).tobytes() if len(s) else None)
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary())], ["n", "digest", "sketch"])
 
+    made = docs.withColumn("_s", of("text"))
+    return made.select(*docs.columns, F.col("_s.n").alias("n_shingles"), "_s.digest", "_s.sketch")
 
-def sets_of(docs: DataFrame) -> DataFrame:
-    @F.arrow_udf("binary")
-    def packed(texts: pa.Array) -> pa.Array:
-        return pa.array([shingles(t.as_py()).tobytes() for t in texts], pa.binary())
 
-    return docs.select("doc_id", packed("text").alias("set"))
+@F.arrow_udf(BinaryType())
+def _set(texts: pa.Array) -> pa.Array:
+    return pa.array([shingles(t.as_py()).tobytes() for t in texts], pa.binary())
 
 
 @F.pandas_udf(BooleanType())
@@ -167,6 +197,41 @@ def _bands(sketch: pa.Array) -> pa.Array:
     return pa.array(rows, pa.list_(pa.int64()))
 
 
+def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The HOT shingles that most sets hold and their counts, by shingle.  They only set the order of
+    shingles, so counts may be low: a shingle counts where it occurs twice in a batch of rows."""
+
+    def counted(batches):
+        for b in batches:
+            raw = b"".join(v.as_py() for v in b.column(0))
+            found, n = np.unique(np.frombuffer(raw, np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found[n > 1]), pa.array(n[n > 1].astype(np.int64))], ["shingle", "n"])
+
+    counts = sets.select("set").mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "shingle").limit(HOT).toArrow().sort_by("shingle")
+    return tuple(top.column(c).to_numpy() for c in ("shingle", "n"))
+
+
+def rarest(found: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first quarter of a set and one more, by count and shingle: two sets at the threshold share one."""
+    n = len(found)
+    at = np.minimum(np.searchsorted(hot, found), max(0, len(hot) - 1))
+    known = np.where(hot[at] == found, counts[at], 0) if len(hot) else np.zeros(n, np.int64)
+    order = np.lexsort((found, known))
+    return found[order[: n - -(-PERCENT * n // 100) + 1]]
+
+
+def _narrow(sets: DataFrame) -> DataFrame:
+    """bucket, node, pos: one bucket per shingle among the rarest of two sets or more; pos is its place there."""
+    sent = sets.sparkSession.sparkContext.broadcast(_common(sets))  # HOT pairs of numbers at most
+
+    @F.arrow_udf("array<bigint>")
+    def prefix(packed: pa.Array) -> pa.Array:
+        return pa.array([rarest(np.frombuffer(v.as_py(), np.int64), *sent.value) for v in packed], pa.list_(pa.int64()))
+
+    return sets.select("node", F.posexplode(prefix("set")).alias("pos", "bucket"))
+
+
 def components(links: DataFrame, at: str) -> DataFrame:
     """node, root (the smallest node reachable) by neighbour minima and pointer jumps; every step is
     a table in the shared folder.  Aggregates combine map-side, so a hub costs no single task."""
@@ -193,72 +258,113 @@ def components(links: DataFrame, at: str) -> DataFrame:
             return roots
 
 
+class _Classes:
+    """Classes of nodes while links are found: tables in the shared folder, read again at each step."""
+
+    def __init__(self, nodes: DataFrame, sets: DataFrame, at: str):
+        self.nodes, self.sets, self.at, self.spark = nodes, sets, at, nodes.sparkSession
+        self.roots = self.tried = None
+        self.step = 0
+
+    def open(self, buckets: DataFrame) -> DataFrame:
+        """bucket, node, root of the buckets that hold more than one class."""
+        if self.roots is None:
+            here = buckets.withColumn("root", F.col("node"))
+        else:
+            here = buckets.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        spread = here.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+        self.step += 1
+        return _kept(here.join(spread.select("bucket"), "bucket"), f"{self.at}/open{self.step}")
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Links the pairs u, v that reach the threshold, and joins their classes."""
+        self.step += 1
+        at = f"{self.at}/step{self.step}"
+        pairs = pairs.distinct()
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["u", "v"], "left_anti")
+        pairs = _kept(pairs, f"{at}/pairs")
+        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
+        of = lambda name, *columns: [F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns)]
+        sides = (self.nodes.select(*of(s, "n_shingles", "sketch")) for s in "uv")
+        likely = pairs.join(next(sides), "u").filter("sketch_u is not null").join(next(sides), "v")
+        likely = _kept(likely.filter(_likely("sketch_u", "sketch_v", "n_shingles_u", "n_shingles_v")).select("u", "v"), f"{at}/likely")
+        sides = (self.sets.select(*of(s, "set")) for s in "uv")
+        new = likely.join(next(sides), "u").join(next(sides), "v").filter(_confirmed("set_u", "set_v")).select("u", "v")
+        new = _kept(new, f"{at}/links")
+        if not new.isEmpty():
+            if self.roots is not None:  # the classes so far, as stars, carry all earlier links
+                new = new.unionByName(self.roots.filter("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")))
+            self.roots = components(new, f"{at}/classes")
+        _removed(self.spark, f"{at}/likely")
+
+    def by_pivots(self, buckets: DataFrame, rounds: int) -> DataFrame:
+        """Compares buckets with a pivot per round and gives back what is still open, without its pivots."""
+        for turn in range(rounds):
+            here = self.open(buckets)
+            if here.isEmpty():
+                return here
+            rank = F.struct(F.xxhash64(F.lit(self.step), F.col("bucket") % PIVOT_ORDERS, "node").alias("h"), F.col("node").alias("p"), F.col("root").alias("p_root"))
+            pivot = here.groupBy("bucket").agg(F.min(rank).alias("m")).select("bucket", "m.p", "m.p_root")
+            met = here.join(pivot, "bucket")
+            self.compare(met.filter("root <> p_root").select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")))
+            buckets = met.filter("node <> p").select(*buckets.columns)
+        return self.open(buckets)
+
+    def in_full(self, here: DataFrame) -> None:
+        """Compares the pairs of unlike classes that share a shingle early enough in both sets: sets of n and
+        m that reach the threshold share at least ``least`` shingles, so the first shared one has as many from
+        it on in either set.  Of buckets with the same members the first in the order of shingles will do."""
+        here = here.join(self.nodes.select("node", "n_shingles"), "node")
+        member = F.xxhash64("node")
+        same = here.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n"), F.bit_xor(member).alias("x"), F.sum(F.shiftright(member, 8)).alias("s"), F.min("pos").alias("pos"))
+        once = same.groupBy("lo", "hi", "n", "x", "s").agg(F.min_by("bucket", "pos").alias("bucket")).select("bucket")
+        here = here.join(once, "bucket")
+        other = here.select("bucket", F.col("node").alias("v"), F.col("root").alias("v_root"), F.col("n_shingles").alias("n_v"), F.col("pos").alias("pos_v"))
+        least = f"ceil({PERCENT} * (n_shingles + n_v) / {100 + PERCENT}D)"
+        near = F.expr(f"node < v and root <> v_root and pos + {least} <= n_shingles and pos_v + {least} <= n_v")
+        self.compare(here.join(other, "bucket").filter(near).select(F.col("node").alias("u"), "v"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     at = _scratch(spark)
-    docs = docs.select("doc_id", "text")
-    all_docs = _kept(sketches(docs), f"{at}/sketches")
-    same = all_docs.filter("n_shingles > 0").groupBy("a", "b", "n_shingles")
-    reps = _kept(same.agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), f"{at}/reps")
-    bands = reps.select("rep", F.posexplode(_bands("sketch")).alias("band", "key"))
-    shared = bands.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    bands = _kept(bands.join(shared, ["band", "key"]), f"{at}/bands")
-    wanted = bands.select("rep").distinct()
-    sets = _kept(sets_of(docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")), f"{at}/sets")
-    slim = reps.select("rep", "n_shingles", "sketch").join(wanted, "rep", "left_semi")
-    tried = roots = None
-    turn, last = 0, False
-    while True:
-        here = bands if roots is None else bands.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-        here = here.withColumn("root", F.coalesce("root", "rep")) if roots is not None else here.withColumn("root", F.col("rep"))
-        if turn:
-            # Buckets that already lie within one class have nothing left to compare.
-            spread = here.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-            here = here.join(spread.select("band", "key"), ["band", "key"])
-        if not last:
-            rank = F.struct(F.xxhash64(F.lit(turn), F.col("band") % PIVOT_ORDERS, "rep").alias("h"), F.col("rep").alias("p"), F.col("root").alias("p_root"))
-            pivot = here.groupBy("band", "key").agg(F.min(rank).alias("m")).select("band", "key", "m.p", "m.p_root")
-            pairs = here.join(pivot, ["band", "key"]).filter("root <> p_root")
-        else:
-            other = here.select("band", "key", F.col("rep").alias("p"), F.col("root").alias("p_root"))
-            pairs = here.join(other, ["band", "key"]).filter("rep < p and root <> p_root")
-            # What is left are members of unlike classes; sizes too far apart cannot reach the threshold.
-            n_of = reps.select("rep", "n_shingles")
-            pairs = (
-                pairs.select("rep", "p").distinct().join(n_of.withColumnRenamed("n_shingles", "n_rep"), "rep")
-                .join(n_of.select(F.col("rep").alias("p"), F.col("n_shingles").alias("n_p")), "p")
-                .filter(f"100 * least(n_rep, n_p) >= {PERCENT} * greatest(n_rep, n_p)")
-            )
-        pairs = pairs.select(F.least("rep", "p").alias("u"), F.greatest("rep", "p").alias("v")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = _kept(pairs, f"{at}/pairs{turn}")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        u = slim.select(F.col("rep").alias("u"), F.col("n_shingles").alias("n_u"), F.col("sketch").alias("s_u"))
-        v = slim.select(F.col("rep").alias("v"), F.col("n_shingles").alias("n_v"), F.col("sketch").alias("s_v"))
-        likely = pairs.join(u, "u").join(v, "v").filter(_likely("s_u", "s_v", "n_u", "n_v")).select("u", "v")
-        likely = _kept(likely, f"{at}/likely{turn}")
-        set_u = sets.select(F.col("doc_id").alias("u"), F.col("set").alias("set_u"))
-        set_v = sets.select(F.col("doc_id").alias("v"), F.col("set").alias("set_v"))
-        new = likely.join(set_u, "u").join(set_v, "v").filter(_confirmed("set_u", "set_v")).select("u", "v")
-        new = _kept(new, f"{at}/links{turn}")
-        if not new.isEmpty():
-            # The classes so far, as stars, carry all earlier links.
-            stars = [] if roots is None else [roots.filter("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v"))]
-            roots = components(new.unionByName(*stars) if stars else new, f"{at}/turn{turn}")
-        if last:
-            break
-        turn += 1
-        # Pivots without a new pair show only that these pivots were tried: the rest is still compared.
-        last = turn >= PIVOT_ROUNDS or pairs.isEmpty()
-    class_of = reps.select("a", "b", "n_shingles", F.col("rep"))
-    if roots is not None:
-        class_of = class_of.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    else:
-        class_of = class_of.withColumn("root", F.col("rep"))
-    out = all_docs.drop("sketch").join(class_of.drop("rep"), ["a", "b", "n_shingles"], "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    rows = _kept(sketches(docs).drop("text"), f"{at}/rows")
+    # A document stands for all of its set: the smallest doc_id, and one of its texts.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    same = rows.filter("n_shingles > 0").groupBy("digest").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
+    nodes = _kept(same.select(F.monotonically_increasing_id().alias("node"), "digest", "n_shingles", "sketch", "copies", "first.doc_id", "first.text_hash"), f"{at}/nodes")
+    bands = nodes.select("node", F.posexplode(_bands("sketch")).alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
+    shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    buckets = _kept(bands.join(shared, "bucket"), f"{at}/buckets")
+    wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash")
+    own = lambda ids: F.expr(f"doc_id <=> {ids}_id and text_hash <=> {ids}_hash")
+    chosen = wanted.select("node", F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"))
+    sets = _kept(docs.join(chosen, own("w")).select("node", _set("text").alias("set")).dropDuplicates(["node"]), f"{at}/sets")
+    # Copies: every digest must name one set.
+    copied = rows.join(nodes.filter("copies > 1").select("digest"), "digest", "left_semi")
+    copied = copied.select(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash"), "digest").distinct()
+    unlike = docs.join(copied, own("c")).select("digest", _set("text").alias("set")).groupBy("digest", "set").agg(F.lit(1).alias("one"))
+    if not unlike.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        raise ValueError("two unlike sets share a digest of 128 bits")
+    classes = _Classes(nodes, sets, at)
+    left = classes.by_pivots(buckets, PIVOT_ROUNDS)
+    if not left.isEmpty():
+        unsure = sets.join(left.select("node").distinct(), "node", "left_semi")
+        narrow = _narrow(unsure)
+        several = narrow.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+        narrow = _kept(narrow.join(several, "bucket"), f"{at}/narrow")
+        left = classes.by_pivots(narrow, NARROW_ROUNDS)
+        if not left.isEmpty():
+            classes.in_full(left)
+    named = nodes.select("node", "digest", "doc_id")
+    named = named.withColumn("root", F.col("node")) if classes.roots is None else named.join(classes.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    ids = named.join(least, "root").select("digest", "component_id")
+    out = rows.select("doc_id", "n_shingles", "digest").join(ids, "digest", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
