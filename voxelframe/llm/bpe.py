@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+from array import array
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -25,8 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries of a worker's pre-token memo; at the bound it starts anew.  Bounds memory, not results.
-MEMO_ENTRIES = 300_000
+#: Entries of each of the two generations of a worker's pre-token memo.  Bounds memory, not results.
+MEMO_ENTRIES = 250_000
+#: Ids decoded at once.
+DECODE_IDS = 1 << 18
 
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _LATIN = "A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f"
@@ -129,6 +132,25 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Memo(dict):
+    """What has been made for a pre-token, in two generations: when the younger is full, the older is
+    forgotten and the younger takes its place; what is used again moves to the younger."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, token: str):
+        made = self.older.get(token)
+        if made is None:
+            made = self.make(token)
+        if len(self) >= MEMO_ENTRIES:
+            self.older = dict(self)
+            self.clear()
+        self[token] = made
+        return made
+
+
 class Encoder:
     """A rank file's encoder and decoder.  Sent to the executors once, by a broadcast of a few MB."""
 
@@ -136,33 +158,58 @@ class Encoder:
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
         self.whole = PerfectHash(list(self.ranks), list(self.ranks.values()))
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(self._made)
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}}
+        return {"ranks": self.ranks, "whole": self.whole}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state, memo=Memo(self._made))
 
     def ids_of(self, token: str) -> list[int]:
         piece = token.encode("utf-8", "surrogatepass")
         i = self.whole.get(piece)
         return [i] if i is not None else merge_bytes(piece, self.ranks)
 
+    def _made(self, token: str) -> bytes:
+        return array("i", self.ids_of(token)).tobytes()
+
     def packed(self, text: str) -> bytes:
         """Ids of a text as 32-bit integers."""
-        tokens, memo = pre_tokens(text), self.memo
-        try:
-            return b"".join(map(memo.__getitem__, tokens))
-        except KeyError:
-            pass
-        new = set(tokens).difference(memo)
-        if len(memo) + len(new) > MEMO_ENTRIES:
-            memo.clear()
-            new = set(tokens)
-        for t in new:
-            memo[t] = np.array(self.ids_of(t), "<i4").tobytes()
-        return b"".join(map(memo.__getitem__, tokens))
-
-    def decoder(self) -> dict[int, bytes]:
-        return {i: t for t, i in self.ranks.items()}
+        return b"".join(map(self.memo.__getitem__, pre_tokens(text)))
+
+
+class Decoder:
+    """Bytes of ids: all tokens lie in one pool, and ids gather their stretches of it."""
+
+    def __init__(self, path: str):
+        ranks = Encoder(path).ranks
+        self.length = np.zeros(max(ranks.values(), default=-1) + 1, np.int32)
+        for token, i in ranks.items():
+            self.length[i] = len(token)
+        ends = np.cumsum(self.length, dtype=np.int64)
+        self.start = (ends - self.length).astype(np.int32)
+        self.pool = np.frombuffer(b"".join(sorted(ranks, key=ranks.get)), np.uint8)
+
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        n = self.length[ids]
+        ends = np.cumsum(n)
+        at = np.repeat(self.start[ids] - (ends - n).astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.pool[at]
+
+    def rows(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The bytes of each row; row k has the ids from ends[k] to ends[k + 1]."""
+        sizes = np.concatenate(([0], np.cumsum(self.length[ids], dtype=np.int64)))[ends]
+        parts = [self.bytes_of(ids[k : k + DECODE_IDS]) for k in range(0, len(ids), DECODE_IDS)]
+        data = np.concatenate(parts) if parts else np.empty(0, np.uint8)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(sizes), pa.py_buffer(data)])
+
+
+def _ids(encoder: Encoder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts in a row, and where each text's begin."""
+    packed = [encoder.packed(t.as_py() or "") for t in texts]
+    return np.frombuffer(b"".join(packed), "<i4"), np.cumsum([0, *(len(p) // 4 for p in packed)])
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -171,25 +218,38 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
 
     @F.arrow_udf("array<int>")
     def ids_of(texts: pa.Array) -> pa.Array:
-        packed = [encoder.value.packed(t.as_py() or "") for t in texts]
-        ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+        found, ends = _ids(encoder.value, texts)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found))
 
     return df.withColumn(ids, ids_of(F.col(text)))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds the column ``decoded``: the bytes that the ids stand for (null ids: no bytes)."""
-    tokens = df.sparkSession.sparkContext.broadcast(Encoder(path).decoder())
+    decoder = df.sparkSession.sparkContext.broadcast(Decoder(path))
 
     @F.arrow_udf("binary")
     def bytes_of(rows: pa.Array) -> pa.Array:
-        get = tokens.value.__getitem__
-        return pa.array([b"".join(map(get, r.values.to_pylist() if r.is_valid else ())) for r in rows], pa.binary())
+        ends = np.concatenate(([0], np.cumsum(rows.value_lengths().fill_null(0).to_numpy())))
+        return decoder.value.rows(rows.flatten().to_numpy(), ends.astype(np.int64)).cast(pa.binary())
 
     return df.withColumn(decoded, bytes_of(F.col(ids)))
 
 
+def encode_and_decode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """Adds ``ids`` and ``decoded``: encodes each whole text once and decodes these very ids, in one pass."""
+    encoder = df.sparkSession.sparkContext.broadcast(Encoder(path))
+    decoder = df.sparkSession.sparkContext.broadcast(Decoder(path))
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
+    def both(texts: pa.Array) -> pa.Array:
+        found, ends = _ids(encoder.value, texts)
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found))
+        return pa.StructArray.from_arrays([ids, decoder.value.rows(found, ends).cast(pa.binary())], ["ids", "decoded"])
+
+    return df.withColumns({c: both(F.col(text))[c] for c in ("ids", "decoded")})
+
+
 class Counter:
     """Counts the tokens of a ``tokenizers`` byte-level BPE file."""
 
@@ -207,10 +267,13 @@ class Counter:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges.setdefault(vocab[a] << 20 | vocab[b], (rank, vocab[a + b]))
-        self.memo: dict[str, int] = {}
+        self.memo = Memo(self.merged)
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}}
+        return {k: v for k, v in self.__dict__.items() if k != "memo"}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state, memo=Memo(self.merged))
 
     def merged(self, token: str) -> int:
         """Initial symbols minus merges; the lowest-rank adjacent pair goes first, the leftmost on ties."""
@@ -257,18 +320,7 @@ class Counter:
         return self._plain(text)
 
     def _plain(self, text: str) -> int:
-        tokens, memo = pre_tokens(text), self.memo
-        try:
-            return sum(map(memo.__getitem__, tokens))
-        except KeyError:
-            pass
-        new = set(tokens).difference(memo)
-        if len(memo) + len(new) > MEMO_ENTRIES:
-            memo.clear()
-            new = set(tokens)
-        for t in new:
-            memo[t] = self.merged(t)
-        return sum(map(memo.__getitem__, tokens))
+        return sum(map(self.memo.__getitem__, pre_tokens(text)))
 
 
 def _byte_letters() -> list[str]:
@@ -296,7 +348,7 @@ def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def roundtrip(docs: DataFrame, *extra: str) -> DataFrame:
     """Ids and decoded bytes of every text, as digests; the extra columns stay."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = decode(encode(docs.select("doc_id", "text", *extra), path).drop("text"), path)
+    coded = encode_and_decode(docs.select("doc_id", "text", *extra), path)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
