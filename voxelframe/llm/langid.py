@@ -1,11 +1,14 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary, built from a bounded sample of its texts.  A text
-takes the language whose dictionary compresses it smallest.  When the best two sizes differ by less
-than MARGIN bytes the answer is marked ``rejected``; the best guess still stands in ``lang_pred``.
+Each language has a zstandard raw-content dictionary: slices of SLICE characters of SAMPLE_ROWS of its
+texts.  A text takes the language whose dictionary compresses it smallest.  When the best two sizes
+differ by less than MARGIN bytes the answer is marked ``rejected``; the best guess still stands in
+``lang_pred``.
 
 Edge cases: null texts and texts without letters are ``und`` with score 0; equal sizes go to the first
-language by name; texts are compressed whole; with nothing to learn from, every row is ``und``.
+language by name; texts are compressed whole at any length; repeated rows repeat their result, and a
+repeated doc_id is learned from once; with nothing to learn from, every row is ``und``; an empty table
+gives an empty one; columns named lang_pred, score or rejected are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -18,10 +21,11 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.llm.sampling import bounded, fold
+from voxelframe.llm.sampling import added, bounded, fold, texts_of
 
+#: What is learned from, per language: so many texts, and so many characters from the middle of each.
 SAMPLE_ROWS = 400
-DICTIONARY_BYTES = 110_000
+SLICE = 2000
 LEVEL = 3
 MARGIN = 4
 _LETTER = regex.compile(r"\p{L}")
@@ -53,17 +57,18 @@ class Compressors:
 
 
 def train(docs: DataFrame) -> Compressors:
-    """From text and lang of the rows given; a bounded sample per language reaches the driver."""
-    known = docs.filter("lang is not null and length(text) between 40 and 8000")
+    """From text and lang of the rows given; SAMPLE_ROWS slices per language reach the driver."""
+    known = docs.filter("lang is not null and text rlike '\\\\p{L}'")
+    middle = F.expr(f"substring(text, 1 + greatest(0, (length(text) - {SLICE}) div 2), {SLICE})")
     raw: dict[str, list[bytes]] = {}
-    for r in bounded(known, "lang", SAMPLE_ROWS).select("lang", "text").collect():
+    for r in texts_of(known, bounded(known, "lang", SAMPLE_ROWS), middle).select("lang", "text").collect():
         raw.setdefault(r["lang"], []).append(r["text"].lower().encode("utf-8", "surrogatepass"))
-    return Compressors({lang: b"\n".join(sorted(texts))[-DICTIONARY_BYTES:] for lang, texts in raw.items()})
+    return Compressors({lang: b"\n".join(sorted(texts)) for lang, texts in raw.items()})
 
 
 def classify(docs: DataFrame, trained: Compressors, text: str = "text") -> DataFrame:
     """Adds lang_pred, score, rejected."""
-    sent = docs.sparkSession.sparkContext.broadcast(trained)  # DICTIONARY_BYTES per language
+    sent = docs.sparkSession.sparkContext.broadcast(trained)  # SAMPLE_ROWS * SLICE characters per language
 
     @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
     def of(texts: pa.Array) -> pa.Array:
@@ -71,7 +76,7 @@ def classify(docs: DataFrame, trained: Compressors, text: str = "text") -> DataF
         kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
         return pa.array([dict(zip(("lang_pred", "score", "rejected"), r)) for r in rows], kind)
 
-    return docs.withColumn("_lang", of(F.col(text))).select("*", "_lang.*").drop("_lang")
+    return added(docs, of(F.col(text)), ["lang_pred", "score", "rejected"])
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

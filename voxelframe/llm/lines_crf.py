@@ -1,15 +1,18 @@
 """Document quality from a linear-chain conditional random field over lines.
 
 Every line is good or bad; its potentials use features of the line and of its two neighbours, and
-adjacent lines share a transition.  The field is trained by the gradient of the log-likelihood, with
-each line of a labelled document bearing the document's label.  A document's quality is the mean of
-the forward-backward marginals of its lines, weighted by length, then mapped to a probability.
-
-Training reads a bounded sample (SAMPLE_ROWS per label), in chains of CHAIN lines; scoring runs over
-all lines of every whole text.
-
-Edge cases: null, empty and white-space texts have no lines and get the share of good labels;
-repeated rows repeat their score; with no labels every score is 0.5; empty tables give empty tables.
+adjacent lines share a transition.  Labels are of documents, so the lines' labels are latent: training
+alternates between the field's own marginals and the gradient of the log-likelihood of the labels they
+give, under the constraint that a good document is good for GOOD_SHARE of its length at least and a bad
+one bad for BAD_SHARE of it.  A document's quality is the mean of the forward-backward marginals of its
+lines, weighted by length, then mapped to a probability.
+
+Training reads a bounded sample: SAMPLE_ROWS documents per label, and of each at most CHAINS chains of
+CHAIN lines, evenly spread over the whole text.  Scoring runs over all lines of every whole text.
+
+Edge cases: null, empty and white-space texts have no lines and get the share of good labels in the
+sample; repeated rows repeat their score, and a repeated doc_id is learned from once; with no labels
+every score is 0.5; empty tables give empty tables; a column named score is replaced, others stay.
 """
 
 from __future__ import annotations
@@ -21,31 +24,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.llm.sampling import bounded, fold
+from voxelframe.llm.sampling import bounded, fold, texts_of
 
 SAMPLE_ROWS = 1500
 CHAIN = 32
+CHAINS = 8
+GOOD_SHARE, BAD_SHARE = 0.8, 0.3
 PREDICT_AT = 0.3
 _N = 12
-_COUNTED = [re.compile(p) for p in (r"[^\w\s.,;:'\"()-]", r"[A-ZÀ-Þ]", r"\d", r"\w{3}[*#$%&!|~^]{2}", r"[|<>{}\[\]=_@]", r"https?:|www\.|@", r"[*#$%&]{2}|!!")]
+#: Kinds of characters that are counted: symbols, capitals, digits, brackets and marks of code, an
+#: unusual mark after a letter, a mark repeated.
+_COUNTED = [re.compile(p) for p in (r"[^\w\s.,;:'\"()-]", r"[A-ZÀ-Þ]", r"\d", r"[|<>{}\[\]=_\\]", r"\w[^\w\s.,;:'\")\]?!-]", r"([^\w\s.])\1")]
+_LINES = re.compile(r"[\n\r\x0b\x0c]+")
 
 
 def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(lines, features) and line lengths; lines without a word are left out."""
-    lines = [x for x in re.split(r"[\n\r\x0b\x0c]+", text or "") if x.strip()]
-    rows, seen = np.zeros((len(lines), _N)), {}
+    lines = [x for x in _LINES.split(text or "") if x.strip()]
+    rows, seen = np.zeros((len(lines), _N)), set()
     for i, line in enumerate(lines):
-        n = len(line)
-        words = line.split()
+        n, words = len(line), line.split()
         k = len(words)
-        c = [len(p.findall(line)) for p in _COUNTED]
-        again = seen.get(line, 0)
-        seen[line] = again + 1
+        symbols, capitals, digits, code, after, twice = (len(p.findall(line)) for p in _COUNTED)
         rows[i] = (
-            min(1.0, 8 * c[0] / n), min(1.0, 3 * c[1] / n), min(1.0, 4 * c[2] / n), min(1.0, 3 * c[3] / k),
-            min(1.0, 8 * c[4] / n), min(1.0, c[5] / k * 4), min(1.0, c[6] / k * 2), min(2.0, n / k / 8),
-            float(again > 0), len(set(words)) / k, min(1.5, np.log1p(k) / 5), float(line.rstrip()[-1] in ".!?:\"'"),
+            min(1.0, 8 * symbols / n), min(1.0, 3 * capitals / n), min(1.0, 4 * digits / n), min(1.0, 8 * code / n),
+            min(1.0, 2 * after / k), min(1.0, 2 * twice / k), min(2.0, n / k / 8), float(line in seen),
+            len(set(words)) / k, min(1.5, np.log1p(k) / 5), float(line.rstrip()[-1] in ".!?:\"'"), float(max(map(len, words)) > 30),
         )
+        seen.add(line)
     return rows, np.array([len(x) for x in lines], float)
 
 
@@ -60,6 +66,16 @@ def with_neighbours(rows: np.ndarray) -> np.ndarray:
     return np.hstack([rows, before, after, edge])
 
 
+def chains(text: str | None) -> list[np.ndarray]:
+    """At most CHAINS chains of CHAIN lines, evenly spread: features of lines and neighbours, then length."""
+    rows, lengths = line_features(text)
+    table = np.hstack([with_neighbours(rows), lengths[:, None]]).astype(np.float32)
+    starts = np.arange(0, len(rows), CHAIN)
+    if len(starts) > CHAINS:
+        starts = starts[np.arange(CHAINS) * (len(starts) - 1) // (CHAINS - 1)]
+    return [table[at : at + CHAIN] for at in starts]
+
+
 class LineField:
     """Two labels (0 bad, 1 good): emission score of good over bad, and a 2 x 2 transition."""
 
@@ -67,8 +83,8 @@ class LineField:
         self.weights, self.transition, self.slope, self.offset, self.empty = weights, transition, slope, offset, empty
 
     def marginals(self, rows: np.ndarray) -> np.ndarray:
-        """P(good) of every line, by forward-backward in scaled form."""
-        e = np.exp(np.clip(with_neighbours(rows) @ self.weights, -30, 30)).tolist()
+        """P(good) of every line of a table with neighbours, by forward-backward in scaled form."""
+        e = np.exp(np.clip(rows @ self.weights, -30, 30)).tolist()
         (t00, t01), (t10, t11) = np.exp(self.transition).tolist()
         n = len(e)
         ahead = [0.0] * n
@@ -91,7 +107,7 @@ class LineField:
 
     def raw(self, text: str | None) -> float | None:
         rows, lengths = line_features(text)
-        return float(self.marginals(rows) @ lengths / lengths.sum()) if len(rows) else None
+        return float(self.marginals(with_neighbours(rows)) @ lengths / lengths.sum()) if len(rows) else None
 
     def score(self, text: str | None) -> float:
         r = self.raw(text)
@@ -100,26 +116,25 @@ class LineField:
         return 1 / (1 + np.exp(-np.clip(self.slope * _logit(r) + self.offset, -50, 50)))
 
     @classmethod
-    def fit(cls, texts: list, labels: list[int], steps: int = 150, rate: float = 0.1) -> "LineField":
+    def fit(cls, documents: list[list[np.ndarray]], labels: list[int], steps: int = 200, rate: float = 0.1) -> "LineField":
+        """From the chains of each document and its label."""
         d = 3 * _N + 3
         if not labels:
             return cls(np.zeros(d), np.zeros((2, 2)))
-        x, y, has = [], [], []
-        for text, label in zip(texts, labels):
-            rows = with_neighbours(line_features(text)[0])
-            for at in range(0, len(rows), CHAIN):
-                part = rows[at : at + CHAIN]
-                x.append(np.vstack([part, np.zeros((CHAIN - len(part), d))]))
-                has.append(len(part))
-                y.append(label)
         field = cls(np.zeros(d), np.zeros((2, 2)), empty=float(np.mean(labels)))
-        if not x:
+        parts = [(c, y) for cs, y in zip(documents, labels) for c in cs]
+        if not parts:
             return field
-        x, y = np.array(x, np.float32), np.array(y)
-        live = np.arange(CHAIN)[None, :] < np.array(has)[:, None]
+        x = np.zeros((len(parts), CHAIN, d), np.float32)
+        size = np.zeros((len(parts), CHAIN))
+        for k, (c, _) in enumerate(parts):
+            x[k, : len(c)], size[k, : len(c)] = c[:, :d], c[:, d]
+        label = np.array([y for _, y in parts])
+        live = size > 0
         links = live[:, 1:]
-        share = y.mean()
-        cost = np.where(y == 1, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3)) / live.sum(1)
+        share = label.mean()
+        cost = np.where(label == 1, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3)) / live.sum(1)
+        y = np.repeat(label[:, None], CHAIN, 1).astype(float)  # the lines' labels, first those of documents
         theta = np.zeros(d + 4)
         m, v = np.zeros(d + 4), np.zeros(d + 4)
         for step in range(1, steps + 1):
@@ -139,24 +154,38 @@ class LineField:
                 b[:, i] = np.where(live[:, i + 1, None], new, 0.0)
             z = np.logaddexp(a[:, -1, 0], a[:, -1, 1])
             good = np.exp(a[..., 1] + b[..., 1] - z[:, None])
-            g_e = np.where(live, good - y[:, None], 0.0) * cost[:, None]
+            if step > steps // 4 and step % 10 == 0:
+                y = line_labels(good, size, label)
+            g_e = np.where(live, good - y, 0.0) * cost[:, None]
             g_t = np.zeros((2, 2))
             for j in range(2):
                 for k in range(2):
                     both = np.exp(a[:, :-1, j] + t[j, k] + emit[:, 1:, k] + b[:, 1:, k] - z[:, None])
-                    seen = ((y == j) & (y == k)).astype(float)[:, None]
+                    seen = (y[:, :-1] == j) & (y[:, 1:] == k)
                     g_t[j, k] = (np.where(links, both - seen, 0.0) * cost[:, None]).sum()
             grad = np.append(np.einsum("st,std->d", g_e.astype(np.float32), x), g_t.ravel()) / cost.sum()
             grad += 1e-3 * theta
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         field.weights, field.transition = theta[:d], theta[d:].reshape(2, 2)
-        scores = [(field.raw(t), y) for t, y in zip(texts, labels)]
-        s = np.array([_logit(r) for r, _ in scores if r is not None])
-        field.slope, field.offset = platt(s, np.array([y for r, y in scores if r is not None], float))
+        found = [(sum(float(field.marginals(c[:, :d]) @ c[:, d]) for c in cs) / sum(float(c[:, d].sum()) for c in cs), y) for cs, y in zip(documents, labels) if cs]
+        field.slope, field.offset = platt(np.array([_logit(r) for r, _ in found]), np.array([y for _, y in found], float))
         return field
 
 
+def line_labels(good: np.ndarray, size: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The likelier label of every line, but the lines most like the document's label have it until they
+    make up the share that the constraint asks for."""
+    towards = np.where(label[:, None] == 1, good, 1 - good)
+    order = np.argsort(np.where(size > 0, -towards, 2.0), axis=1, kind="stable")
+    ahead = np.take_along_axis(size, order, 1)
+    ahead = np.cumsum(ahead, 1) - ahead  # length of the lines before it in this order
+    need = np.where(label == 1, GOOD_SHARE, BAD_SHARE) * size.sum(1)
+    bound = np.zeros(size.shape, bool)
+    np.put_along_axis(bound, order, ahead < need[:, None], 1)
+    return np.where(bound, label[:, None], good > 0.5).astype(float)
+
+
 def _logit(p: float) -> float:
     p = min(1 - 1e-6, max(1e-6, p))
     return float(np.log(p / (1 - p)))
@@ -176,12 +205,17 @@ def platt(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> LineField:
-    """``docs`` and ``labels`` are what may be learned from; a bounded sample reaches the driver."""
+    """``docs`` and ``labels`` are what may be learned from; chains of a bounded sample reach the driver."""
     marked = labels.filter("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    sample = bounded(marked, "quality", SAMPLE_ROWS)
-    rows = docs.filter("length(text) <= 20000").join(sample, "doc_id").select("text", "quality").collect()
-    rows = sorted((r["text"] or "", int(r["quality"])) for r in rows)
-    return LineField.fit([t for t, _ in rows], [q for _, q in rows])
+
+    @F.arrow_udf("array<binary>")
+    def packed(texts: pa.Array) -> pa.Array:
+        return pa.array([[c.tobytes() for c in chains(t.as_py())] for t in texts], pa.list_(pa.binary()))
+
+    rows = texts_of(docs, bounded(marked, "quality", SAMPLE_ROWS), F.col("text"))
+    rows = sorted((r["doc_id"], r["chains"], int(r["quality"])) for r in rows.select("doc_id", "quality", packed("text").alias("chains")).collect())
+    made = [[np.frombuffer(c, np.float32).reshape(-1, 3 * _N + 4) for c in cs] for _, cs, _ in rows]
+    return LineField.fit(made, [q for *_, q in rows])
 
 
 def score(docs: DataFrame, field: LineField, text: str = "text") -> DataFrame:

@@ -1,13 +1,16 @@
 """Quality rules: base counts of a text, then a calibrated logistic regression over hashed n-grams.
 
-Features are hashed words and character trigrams (case kept), as log counts of unit length.  The
-regression is trained on labelled quality rows, calibrated on rows held back from it, and applied in
-Arrow batches against the fixed threshold KEEP_AT.
+Features are hashed words and pairs of words, and trigrams of characters (code points, case kept), as
+log counts of unit length.  The regression is trained on labelled quality rows, calibrated on rows held
+back from it, and applied in Arrow batches, a matrix of ROWS texts at a time, against the fixed
+threshold KEEP_AT.
 
 Training reads a bounded sample (SAMPLE_ROWS per label); scoring reads every whole text.
 
-Edge cases: null and empty texts have no words and fail the base; repeated rows repeat their result;
-with no labels the verdict is to keep; empty tables give empty tables; extra columns are ignored.
+Edge cases: null and empty texts have no words and fail the base; texts of any length are read whole;
+repeated rows repeat their result, and a repeated doc_id is learned from once; with no labels the
+verdict is to keep; empty tables give empty tables; columns that have the names of the results are
+replaced, others stay.
 """
 
 from __future__ import annotations
@@ -21,15 +24,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelframe.llm.lines_crf import platt
-from voxelframe.llm.sampling import bounded
+from voxelframe.llm.sampling import added, bounded, texts_of
 
 SAMPLE_ROWS = 1500
 DIMS = 4096
 KEEP_AT = 0.5
+#: Texts scored by one product.
+ROWS = 256
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -56,26 +62,29 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), len(_SYMBOL.findall(text)), dup, repeat
 
 
-def vector(text: str | None) -> np.ndarray:
-    """Hashed log counts of words (first half) and character trigrams (second half), unit length."""
-    text = text or ""
+def _hashed(codes: np.ndarray) -> np.ndarray:
+    """Counts by the top bits of a multiplicative hash, over half of DIMS."""
     half = DIMS // 2
-    out = np.zeros(DIMS, np.float32)
-    words = _WORD.findall(text)
-    if words:
-        h = xxhash.xxh3_64_intdigest
-        counts: dict[str, int] = {}
-        for w in words:
-            counts[w] = counts.get(w, 0) + 1
-        at = np.fromiter((h(w.encode("utf-8", "surrogatepass")) % half for w in counts), np.int64, len(counts))
-        out[:half] = np.bincount(at, np.fromiter(counts.values(), np.int64, len(counts)), half)
-    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
-    if len(b) > 2:
-        code = (b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)
-        out[half:] = np.bincount(code >> np.uint32(32 - (half.bit_length() - 1)), minlength=half)
-    for part in (out[:half], out[half:]):
-        np.log1p(part, out=part)
-        part /= max(1e-9, float(np.sqrt(part @ part)))
+    return np.bincount((codes * _MIX) >> np.uint64(64 - (half.bit_length() - 1)), minlength=half)
+
+
+def vectors(texts: list) -> np.ndarray:
+    """Hashed log counts of words and word pairs (first half) and character trigrams (second half)."""
+    half = DIMS // 2
+    out = np.zeros((len(texts), DIMS), np.float32)
+    memo: dict[str, int] = {}
+    for row, text in zip(out, texts):
+        text = text or ""
+        words = _WORD.findall(text)
+        for w in set(words).difference(memo):
+            memo[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+        row[:half] = _hashed(h) + _hashed(h[:-1] * np.uint64(3) + h[1:])
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        row[half:] = _hashed(c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:])
+    np.log1p(out, out=out)
+    for part in (out[:, :half], out[:, half:]):
+        part /= np.maximum(1e-9, np.sqrt((part * part).sum(axis=1, keepdims=True)))
     return out
 
 
@@ -101,42 +110,43 @@ class Regression:
         slope, offset = platt(x[check] @ w + b, y[check])
         return cls(w, float(b), slope, offset)
 
-    def probability(self, text: str | None) -> float:
+    def probabilities(self, texts: list) -> np.ndarray:
         if self.weights is None:
-            return 1.0
-        z = float(vector(text) @ self.weights) + self.bias
-        return float(1 / (1 + np.exp(-np.clip(self.slope * z + self.offset, -50, 50))))
+            return np.ones(len(texts))
+        z = [vectors(texts[k : k + ROWS]) @ self.weights + self.bias for k in range(0, len(texts), ROWS)]
+        z = np.concatenate(z).astype(float) if z else np.zeros(0)
+        return 1 / (1 + np.exp(-np.clip(self.slope * z + self.offset, -50, 50)))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Regression:
+    """``docs`` and ``labels`` are what may be learned from; vectors of a bounded sample reach the driver."""
     marked = labels.filter("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
 
     @F.arrow_udf("binary")
-    def vectors(texts: pa.Array) -> pa.Array:
-        return pa.array([vector(t.as_py()).astype("<f2").tobytes() for t in texts], pa.binary())
+    def packed(texts: pa.Array) -> pa.Array:
+        texts = texts.to_pylist()
+        return pa.array([v.tobytes() for k in range(0, len(texts), ROWS) for v in vectors(texts[k : k + ROWS]).astype("<f2")], pa.binary())
 
-    chosen = docs.join(bounded(marked, "quality", SAMPLE_ROWS), "doc_id")
-    rows = chosen.select("doc_id", "quality", vectors("text").alias("x")).collect()
-    rows.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r["doc_id"])), r["x"]))
+    chosen = texts_of(docs, bounded(marked, "quality", SAMPLE_ROWS), F.col("text"))
+    rows = chosen.select("doc_id", "quality", packed("text").alias("x")).collect()
+    rows.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r["doc_id"])), r["doc_id"]))
     x = np.array([np.frombuffer(r["x"], "<f2") for r in rows], np.float32).reshape(len(rows), DIMS)
     return Regression.fit(x, np.array([r["quality"] for r in rows], float))
 
 
 def apply_rules(docs: DataFrame, model: Regression, text: str = "text") -> DataFrame:
-    """Adds the counts, base_failed, probability and kept."""
+    """Adds the counts, probability, base_failed and kept."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # DIMS weights
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     @F.arrow_udf("struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,probability:double>")
     def of(texts: pa.Array) -> pa.Array:
-        rows = []
-        for t in texts:
-            v = t.as_py()
-            rows.append(dict(zip(names, base_counts(v))) | {"probability": sent.value.probability(v)})
-        return pa.array(rows, pa.struct([(n, pa.int64()) for n in names] + [("probability", pa.float64())]))
+        texts = texts.to_pylist()
+        counts = np.array([base_counts(t) for t in texts], np.int64).reshape(len(texts), len(names))
+        return pa.StructArray.from_arrays([*(pa.array(c) for c in counts.T.copy()), pa.array(sent.value.probabilities(texts))], [*names, "probability"])
 
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = docs.withColumn("_rules", of(F.col(text))).select("*", "_rules.*").drop("_rules").withColumn("base_failed", failed)
+    out = added(docs, of(F.col(text)), [*names, "probability"]).drop("base_failed", "kept").withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= KEEP_AT))
 
 

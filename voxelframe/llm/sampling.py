@@ -1,9 +1,12 @@
-"""Bounded samples of labelled rows to train on."""
+"""Bounded samples of rows to train on, the same in every run and for every partitioning."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+_SPAN = (1 << 31) - 1
 
 
 def fold(doc_id: str, n: int) -> Column:
@@ -11,11 +14,25 @@ def fold(doc_id: str, n: int) -> Column:
 
 
 def bounded(rows: DataFrame, group: str, at_most: int) -> DataFrame:
-    """About ``at_most`` rows of each group, by a hash of doc_id; counts are over all rows.  Groups
-    are class labels or languages, a small closed set; the limit bounds what reaches the driver."""
-    counts = rows.groupBy(group).count().limit(1000).collect()
-    keep = F.lit(False)
-    for r in counts:
-        share = min(1.0, at_most / max(1, r["count"]))
-        keep = keep | (F.col(group).eqNullSafe(F.lit(r[group])) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) <= int(share * 1_000_003)))
-    return rows.filter(keep).limit(max(1, at_most * len(counts)))
+    """doc_id and group of the ``at_most`` doc_ids of each group that come first by a hash; a repeated
+    doc_id counts once, a null one never.  Counts are over all rows.  They are broadcast: one row per group, and each group
+    (a class or a language) has its own part of a model that the driver holds anyway."""
+    rows = rows.filter("doc_id is not null").select("doc_id", group).withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(_SPAN)))
+    counts = rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
+    # Far more than at_most hashes lie below the cut, so that the order alone decides.
+    below = F.col("_h") * F.col("_n") <= F.lit(float(_SPAN)) * (1.25 * at_most + 50)
+    near = rows.join(F.broadcast(counts), F.col(group).eqNullSafe(F.col("_g"))).filter(below).select("doc_id", group, "_h").distinct()
+    nth = F.row_number().over(Window.partitionBy(group).orderBy("_h", "doc_id"))
+    return near.withColumn("_nth", nth).filter(F.col("_nth") <= at_most).select("doc_id", group)
+
+
+def texts_of(docs: DataFrame, chosen: DataFrame, text: Column) -> DataFrame:
+    """The columns of ``chosen`` and a text for each of its doc_ids: of several texts the first by a hash."""
+    found = docs.select("doc_id", F.struct(F.xxhash64("text").alias("h"), text.alias("text")).alias("_t"))
+    one = found.join(chosen, "doc_id").groupBy(*chosen.columns).agg(F.min("_t").alias("_t"))
+    return one.select(*chosen.columns, "_t.text")
+
+
+def added(df: DataFrame, made: Column, names: list[str]) -> DataFrame:
+    """The fields of ``made`` as columns ``names`` at the end; columns that had these names are gone."""
+    return df.withColumn("_made", made).drop(*names).select("*", *(F.col("_made")[n].alias(n) for n in names)).drop("_made")

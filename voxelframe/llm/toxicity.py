@@ -8,8 +8,9 @@ second part falls below zero its gradient is turned, as the non-negative method
 Training reads a bounded sample (POSITIVES and UNLABELLED rows); scoring reads every whole text.
 
 Edge cases: null and empty texts have no features and get the bias's score; repeated rows repeat their
-score; with no positive rows at all every score is 0; empty tables give empty tables; extra columns are
-ignored.
+score, and a repeated doc_id is learned from once; with no positive rows at all every score is that of
+logit -50, with nothing unlabelled 0.5; texts are read whole at any length; empty tables give empty
+tables; a column named score is replaced, others stay.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.llm.sampling import bounded, fold
+from voxelframe.llm.sampling import bounded, fold, texts_of
 
 POSITIVES, UNLABELLED = 3000, 9000
 HASH_BITS = 22
@@ -115,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame) -> PULearner:
         return pa.array([sorted(features(t.as_py())) for t in texts], pa.list_(pa.int32()))
 
     def rows(ids):
-        return [set(r[0]) for r in docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(hashed("text")).collect()]
+        return [set(r[0]) for r in texts_of(docs, ids, F.col("text")).orderBy("doc_id").select(hashed("text")).collect()]
 
     return PULearner.fit(rows(chosen), rows(at), prior)
 
