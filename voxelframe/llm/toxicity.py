@@ -3,7 +3,8 @@
 A linear classifier over hashed words is trained in numpy from confirmed toxic rows
 plus unlabelled text.  The risk is the class-prior-corrected estimator: prior * loss of positives as
 positive + max(0, loss of unlabelled as negative - prior * loss of positives as negative); when the
-second part falls below zero its gradient is turned, as the non-negative method does.
+second part falls below zero its gradient is turned, as the non-negative method does.  The bias is then
+set so that the mean score of the unlabelled sample is the prior.
 
 Training reads a bounded sample (POSITIVES and UNLABELLED rows); scoring reads every whole text.
 
@@ -91,7 +92,7 @@ class PULearner:
             v = 0.999 * v + 0.001 * grad**2
             move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
             w, b = w - move[:-1], b - move[-1]
-        return cls(index, w, float(b))
+        return cls(index, w, float(b) + _shift((x_u @ w.astype(np.float32)).astype(float) + b, prior))
 
     def score(self, found: set[int]) -> float:
         index = self.index
@@ -99,6 +100,15 @@ class PULearner:
         return float(_sigmoid(np.float64(z)))
 
 
+def _shift(z: np.ndarray, prior: float) -> float:
+    """What to add to logits of unlabelled rows so that their mean probability is the class prior."""
+    low, high = -20.0, 20.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _sigmoid(z + middle).mean() < prior else (low, middle)
+    return (low + high) / 2
+
+
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
