@@ -97,9 +97,9 @@ def test_mix(spark, docs, none):
     rows = [(i, s) for s, n in (("a", 300), ("b", 100), (None, 60)) for i in range(n)]
     df = spark.createDataFrame([(k, s) for k, (_, s) in enumerate(rows)], "doc_id long, source string")
     weights = {"a": 3.0, "b": 1.5, None: 0.7}
-    got = mixing.mix(df, weights, block_rows=1, period=52).collect()
+    got = mixing.mix(df, weights, block_rows=1).collect()
     assert len(got) == len(rows) and all(r.release <= r.slot < r.deadline for r in got)
-    shares = mixing.whole_weights(weights, 52)
+    shares = mixing.whole_weights(weights)
     inside = [r for r in sorted(got, key=lambda r: r.slot) if r.in_target]
     assert [r.slot for r in inside] == list(range(len(inside))) and len(inside) > 50
     seen = dict.fromkeys(shares, 0)

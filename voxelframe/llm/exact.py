@@ -3,8 +3,9 @@
 Texts are equal when identical after every run of white space (``[\\x20\\x09-\\x0D]+``) becomes one
 space.  Copies meet first inside their task (the partial aggregate), then in salted groups, then the
 winners of the salts meet once.  Each of these groups on the digest *and* the whole text, so no stage
-trusts a digest alone.  The way back from rows to winners uses the digests, which by then are proven
-to name one text each; two texts that shared them would stop the job rather than merge.
+trusts a digest alone.  The winner then goes back to every salt that its copies have, and rows join the
+winner of their digests (320 bits) and salt.  By then the digests are proven to name one text each; two texts
+that shared them would stop the job rather than merge.
 
 Edge cases: a null text counts as empty, so null and empty texts form one group; ties go to the
 smallest doc_id; a repeated doc_id counts once per row; a row with a null doc_id has a null ``kept`` in
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Salts of a digest: the most rows that one text sends to the last stage.
+#: Salts of a digest, at most 64: the most rows that one text sends to the last stage.
 SALTS = 64
 
 
@@ -28,32 +29,33 @@ def normalised(text: Column) -> Column:
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), normalised(F.col(text)).alias("_norm")).select(
-        "doc_id", "_norm", F.sha2("_norm", 256).alias("text_sha256"), F.xxhash64("_norm").alias("_h2")
+        "doc_id", "_norm", F.sha2("_norm", 256).alias("text_sha256"), F.xxhash64("_norm").alias("_h2"),
+        F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SALTS)).alias("_salt"),
     )
 
 
 def winners(keyed: DataFrame) -> DataFrame:
-    """One row per text: text_sha256, _h2, keep_id, group_size."""
-    salted = (
-        keyed.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-        .groupBy("text_sha256", "_h2", "_norm", "_salt")
-        .agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n"))
+    """One row per text and salt that its copies have: text_sha256, _h2, _salt, keep_id, group_size."""
+    salted = keyed.groupBy("text_sha256", "_h2", "_norm", "_salt").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n"))
+    # Dealt once, by the digest; both groupings below and the next join's side stay in place.
+    salts = F.bit_or(F.expr("shiftleft(1L, cast(_salt as int))")).alias("_salts")
+    whole = salted.repartition("text_sha256").groupBy("text_sha256", "_h2", "_norm").agg(
+        F.min("_first").alias("keep_id"), F.sum("_n").alias("group_size"), salts
     )
-    whole = salted.groupBy("text_sha256", "_h2", "_norm").agg(
-        F.min("_first").alias("keep_id"), F.sum("_n").alias("group_size")
-    )
-    per_digest = whole.groupBy("text_sha256", "_h2").agg(
-        F.count("*").alias("_texts"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")
+    one = whole.groupBy("text_sha256", "_h2").agg(
+        F.count("*").alias("_texts"), *(F.first(c).alias(c) for c in ("keep_id", "group_size", "_salts"))
     )
     clash = F.when(F.col("_texts") > 1, F.raise_error(F.lit("two different texts share their digests")).cast("long"))
-    return per_digest.select("text_sha256", "_h2", F.coalesce(clash, F.col("keep_id")).alias("keep_id"), "group_size")
+    present = F.expr(f"filter(sequence(0L, {SALTS - 1}L), s -> (shiftright(_salts, cast(s as int)) & 1L) = 1L)")
+    return one.select("text_sha256", "_h2", F.explode(present).alias("_salt"), F.coalesce(clash, F.col("keep_id")).alias("keep_id"), "group_size")
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, keep_id, group_size, kept, text_sha256.  The way back joins slim rows; a hot
-    digest is split by adaptive skew handling, as its side has only ids and digests."""
+    """Per row: doc_id, keep_id, group_size, kept, text_sha256.  The way back joins slim rows with the
+    winner of their digest and salt, so a hot text is dealt to as many tasks as it has salts."""
     keyed = _keyed(docs, doc_id, text)
-    found = keyed.select("doc_id", "text_sha256", "_h2").join(winners(keyed), ["text_sha256", "_h2"])
+    key = ["text_sha256", "_h2", "_salt"]
+    found = keyed.select("doc_id", *key).join(winners(keyed), key)
     return found.select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256"
     )

@@ -1,24 +1,25 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame functions only.
 
-Each source's rows form blocks.  With weight ``a / q`` (whole numbers in the exact ratio of the weights
-given, ``q`` their sum), block ``b`` (from 0) of a source is released at slot ``floor(b*q/a)`` and due by
-slot ``ceil((b+1)*q/a)``.  Earliest deadline first meets every such window, so in any prefix of slots no
-source is a whole block away from its weight, until a source runs out.  Nothing is rounded: a float
-counts as the decimal that it prints as.
+Each source's rows form blocks of equal size.  With weight ``a / q`` (whole numbers in the exact ratio of
+the weights given, ``q`` their sum), block ``b`` (from 0) of a source is released at slot ``floor(b*q/a)``
+and due by slot ``ceil((b+1)*q/a)``.  Earliest deadline first meets every such window, so in any prefix of
+slots no source is a whole block away from its weight, until a source runs out.  Nothing is rounded: a
+float counts as the decimal that it prints as.
 
-The driver lays the slots out with whole numbers of any length.  Weights that repeat within ``period``
-slots are laid out for one period: each block's slot is ``(b div a)*q`` plus the slot of block ``b mod a``.
-Others are laid out for all blocks there are: the driver holds five numbers (40 bytes) per block, that
-is for every ``block_rows`` rows, and this grows with the input.
+A block has the same share of all rows at any scale: BLOCKS blocks, or as many as there are rows, and one
+more per source for its rest.  So the driver lays out, with whole numbers of any length, a number of
+slots that is bounded whatever the input (five numbers, 40 bytes, a slot), and these are all it holds,
+besides a weight and a count per source.
 
 No row is dropped: a source with more blocks than its share goes on at its own slots after others ran
 out.  ``in_target`` marks slots before the first source runs out, where the deviation bound holds; a
 weighted source without rows has run out from the start.
 
-Edge cases: a null source is a source of its own; texts don't matter; repeated doc_ids are ordered as
-they come; weights of zero or less, or that are no numbers, stop the job, as do slots of over 63 bits;
-an empty table gives an empty one; extra columns pass through ``mix`` (names beginning with ``_mix`` are
-replaced).
+Edge cases: a null source is a source of its own; texts don't matter; rows of a source go by a hash of
+doc_id, then doc_id, then a hash of the whole row, so only rows that are equal throughout may change
+places; weights of zero or less, or that are no numbers, stop the job, as do slots of over 63 bits; an
+empty table gives an empty one; extra columns pass through ``mix``, but those named block, release,
+deadline, slot or in_target, or beginning with ``_mix``, are replaced.
 """
 
 from __future__ import annotations
@@ -34,30 +35,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCK_ROWS = 16
-PERIOD = 1000
-#: Longer layouts are joined by a shuffle.
-BROADCAST_BLOCKS = 100_000
+#: Blocks that all rows make up; a block is the unit in which shares are kept.
+BLOCKS = 100_000
 #: Shares of a source's rows that are numbered side by side.
 LANES = 512
-#: Weights are per source; more sources than this stop the job.
-MAX_SOURCES = 10_000
 #: Default weights: the row share of a source to this power.
 TEMPERATURE = 0.5
 
 
-def whole_weights(weights: dict, period: int = PERIOD) -> dict:
-    """Whole numbers in the exact ratio of the weights; they sum to the period where that is a multiple
-    of their least sum, else to that least sum."""
+def whole_weights(weights: dict) -> dict:
+    """The least whole numbers in the exact ratio of the weights."""
     exact = {s: Fraction(str(w)) for s, w in weights.items()}
     if any(w <= 0 for w in exact.values()):
         raise ValueError("a weight is not above zero")
     scale = math.lcm(*(w.denominator for w in exact.values()))
     out = {s: int(w * scale) for s, w in exact.items()}
     common = math.gcd(*out.values())
-    q = sum(out.values()) // common
-    times = period // q if q and period % q == 0 else 1
-    return {s: a // common * times for s, a in out.items()}
+    return {s: a // common for s, a in out.items()}
 
 
 def layout(counts: list[int], blocks: list[int]) -> list[array]:
@@ -85,30 +79,28 @@ def layout(counts: list[int], blocks: list[int]) -> list[array]:
 
 
 def source_rows(docs: DataFrame) -> dict:
-    """Rows per source; one small row per source reaches the driver, and no more than MAX_SOURCES."""
-    counts = docs.groupBy("source").count().limit(MAX_SOURCES + 1).collect()
-    if len(counts) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    return {r["source"]: r["count"] for r in counts}
+    """Rows per source: one small row per source reaches the driver, which holds a weight for each."""
+    return {r["source"]: r["count"] for r in docs.groupBy("source").count().collect()}
 
 
-def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, block_rows: int | None = None) -> DataFrame:
     """Adds block, release, deadline, slot, in_target.  A source not in ``weights`` stops the job."""
     spark = docs.sparkSession
     rows = source_rows(docs)
+    block_rows = block_rows or max(1, -(-sum(rows.values()) // BLOCKS))
     if weights is None:
         weights = {s: float(n) ** TEMPERATURE for s, n in rows.items()}
-    shares = whole_weights(weights, period) if weights else {}
+    shares = whole_weights(weights) if weights else {}
     names = sorted(shares, key=lambda s: (s is None, str(s)))
     counts, q = [shares[s] for s in names], sum(shares.values())
-    repeats = q <= period
-    blocks = counts if repeats else [-(-rows.get(s, 0) // block_rows) for s in names]
-    laid = layout(counts, blocks)
-    columns = ("_mix_k2", "_mix_b", "_mix_t", "_mix_r", "_mix_d")
+    laid = layout(counts, [-(-rows.get(s, 0) // block_rows) for s in names])
+    columns = ("_mix_k2", "_mix_b", "slot", "release", "deadline")
     slots = spark.createDataFrame(pa.table({c: np.frombuffer(x, np.int64) for c, x in zip(columns, laid)}))
-    slots = F.broadcast(slots) if len(laid[0]) <= BROADCAST_BLOCKS else slots
-    lane = F.pmod(F.xxhash64("doc_id"), F.lit(LANES))
-    laned = docs.withColumn("_mix_lane", lane)
+    added = ("block", "release", "deadline", "slot", "in_target")
+    kept = [c for c in docs.columns if c not in added and not c.startswith("_mix")]
+    # Maps have no hash: rows that differ in them alone count as equal.
+    plain = [c for c, t in docs.dtypes if c in kept and "map<" not in t]
+    laned = docs.select(*kept).withColumn("_mix_lane", F.pmod(F.xxhash64("doc_id"), F.lit(LANES))).withColumn("_mix_h", F.xxhash64(*plain))
     # Rows before each lane: a running sum over at most LANES counts per source.
     starts = laned.groupBy("source", "_mix_lane").agg(F.count("*").alias("_mix_n"))
     starts = starts.select(
@@ -116,28 +108,20 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
         F.col("_mix_lane").alias("_mix_l"),
         (F.sum("_mix_n").over(Window.partitionBy("source").orderBy("_mix_lane")) - F.col("_mix_n")).alias("_mix_start"),
     )
-    order = Window.partitionBy("source", "_mix_lane").orderBy("doc_id")
+    order = Window.partitionBy("source", "_mix_lane").orderBy("doc_id", "_mix_h")
     numbered = laned.withColumn("_mix_i", F.row_number().over(order) - 1)
     numbered = numbered.join(
         starts, F.col("source").eqNullSafe(F.col("_mix_s")) & (F.col("_mix_lane") == F.col("_mix_l")), "left"
-    ).withColumn("block", F.floor((F.col("_mix_start") + F.col("_mix_i")) / F.lit(block_rows)))
-    share = spark.createDataFrame(
-        [(s, k, blocks[k]) for k, s in enumerate(names)], "_mix_source string, _mix_k long, _mix_a long"
-    )
+    ).withColumn("block", F.expr(f"(_mix_start + _mix_i) div {block_rows}L"))
+    share = spark.createDataFrame([(s, k) for k, s in enumerate(names)], "_mix_source string, _mix_k long")
+    # Both broadcasts are tables of the driver: one row per weight, and one per slot, at most BLOCKS and one per source.
     shared = numbered.join(F.broadcast(share), F.col("source").eqNullSafe(F.col("_mix_source")), "left").drop("_mix_source")
     unknown = F.raise_error(F.lit("a source has no weight")).cast("long")
     shared = shared.withColumn("_mix_k", F.coalesce("_mix_k", unknown))
-    placed = shared.join(slots, (F.col("_mix_k") == F.col("_mix_k2")) & (F.col("block") % F.col("_mix_a") == F.col("_mix_b")), "left")
+    placed = shared.join(F.broadcast(slots), (F.col("_mix_k") == F.col("_mix_k2")) & (F.col("block") == F.col("_mix_b")), "left")
     # The first slot that some source can no longer fill.
     end = min((rows.get(s, 0) // block_rows * q // shares[s] for s in names), default=0)
-    before = F.expr(f"block div _mix_a * {q if repeats else 0}")
-    return (
-        placed.withColumn("slot", before + F.col("_mix_t"))
-        .withColumn("release", before + F.col("_mix_r"))
-        .withColumn("deadline", before + F.col("_mix_d"))
-        .withColumn("in_target", F.col("slot") < F.lit(min(end, (1 << 63) - 1)))
-        .select(*docs.columns, "block", "release", "deadline", "slot", "in_target")
-    )
+    return placed.withColumn("in_target", F.col("slot") < F.lit(min(end, (1 << 63) - 1))).select(*kept, *added)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
