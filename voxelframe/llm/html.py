@@ -1,24 +1,26 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one per block; blank lines don't count.  Lines in elements that never
-hold an article (menus, headers, footers, sidebars, forms, adverts, comments by readers) and lines that
-are mostly link text count as empty, with length 0.  The text length of each window of WINDOW lines
-gives the distribution.  A surge is where it reaches the threshold, a dive where it falls below; a block
-runs from a surge to its dive.  At its edges a line goes when the window from it outward stays below the
-threshold, so a short notice beside long text goes too; headings that lead a block stay.  Blocks with no
-empty line between them are one.  The threshold
-is THRESHOLD characters, or PEAK_SHARE of the fullest window where that is less (short pages).
-
-When a page marks its article (article or main), the mark decides instead: all lines in it that are in
-no element of the above kinds are kept, and the distribution is not used.  On unmarked pages short lines
-at the edges of the text or between empty lines can be lost, and notices between long paragraphs stay,
-as in the method.
-
-Edge cases: null or empty html gives the empty text; unclosed or stray tags are tolerated: head, option,
-select and svg end where later tags imply it, a link that is not closed ends with its block, an anchor
-without href is no link, an article or main of white space marks nothing.  Only a script, style,
-textarea, title or iframe that is never closed takes the rest of the page, as in HTML.  A cut-off
-tag at the end is markup and dropped; pages are taken whole at any length; rows are independent.
+Markup is stripped into lines, one per block; blank lines don't count.  Each line has a weight: its text
+length.  Tags are evidence and change weights: lines in elements that never hold an article (menus, page
+headers, footers, sidebars, forms, adverts, comments by readers) and lines that are mostly link text weigh
+nothing; where a page marks its article (article or main), a line in it weighs MARKED more and a line
+outside only OUTSIDE of its length.
+
+The weight of each window of WINDOW lines gives the distribution.  A surge is where it reaches the
+threshold, a dive where it falls below; a block runs from a surge to its dive.  At its edges a line goes
+when the window from it outward stays below the threshold, so a short notice beside long text goes too;
+headings that lead a block stay.  Blocks with no empty line between them are one.  The threshold is
+THRESHOLD, or PEAK_SHARE of the fullest window where that is less (short pages).  On unmarked pages short
+lines at the edges of the text or between empty lines can be lost, and notices between long paragraphs
+stay, as in the method.
+
+Edge cases: null or empty html gives the empty text, an empty table an empty one; rows are independent, so
+repeated rows repeat their result; pages are taken whole at any length; a column that has the name of the
+result is replaced, others stay.  Unclosed or stray tags are tolerated: head, option, select and svg end
+where later tags imply it, a link that is not closed ends with its block, an anchor without href is no
+link, an article or main of white space marks nothing, a quote in a tag that is never closed is a
+character.  Only a script, style, textarea, title or iframe that is never closed takes the rest of the
+page, as in HTML.  A cut-off tag at the end is markup and dropped.
 """
 
 from __future__ import annotations
@@ -34,11 +36,17 @@ WINDOW = 3
 #: Characters in a window that only running text has.
 THRESHOLD = 86
 PEAK_SHARE = 0.1
+#: What a line in a marked article weighs besides its length, and the share of its length that a line
+#: outside it weighs.
+MARKED = 1000
+OUTSIDE = 0.1
 #: Share of link text above which a line outside a marked article is a menu line.
 LINK_SHARE = 0.5
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=\s*(?![\"'])[^\s>]+|[=\"'])*+)(?:>|\Z)"
+    r"|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 #: Elements of plain text: nothing in them is markup but their own end tag.
@@ -57,13 +65,35 @@ _HREF = re.compile(r"\bhref\s*=", re.I)
 _INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr del label".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CHROME = frozenset("nav header footer aside form button menu dialog".split())
-_CHROME_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|nav|navbar|navigation|menu|sidebar|breadcrumbs?|"
-    r"footer|header|masthead|comments?|disqus|replies|cookies?|consent|notice|popup|modal|share|social|related|newsletter|subscribe|widget)(?:$|[\s_-])",
-    re.I,
+#: Names of elements that hold no article: alone, or as the first or last part of a longer name.
+_PARTS = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu sidebar breadcrumb "
+    "breadcrumbs footer header masthead comments disqus cookie cookies newsletter popup modal".split()
 )
+#: Names that mean it alone, or with one of _TAILS after them.
+_WEAK = frozenset("comment replies consent notice share sharing social related subscribe widget widgets".split())
+_TAILS = frozenset("area bar block box button buttons container form icons item items links list media panel posts section stories widget widgets wrapper".split())
+#: First parts of names that tell how a page is laid out, not what an element holds.
+_LAYOUT = frozenset("with has no without is show hide layout page".split())
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
+_SPLIT = re.compile(r"[-_:]+")
+
+
+def _names_chrome(names: str) -> bool:
+    """Whether a class, id or role says that an element holds no article."""
+    for name in names.lower().split():
+        parts = [p for p in _SPLIT.split(name) if p]
+        if not parts or parts[0] in _LAYOUT:
+            continue
+        if parts[0] in _PARTS or parts[-1] in _PARTS:
+            return True
+        if parts[0] in _WEAK and all(p in _TAILS or p in _WEAK for p in parts[1:]):
+            return True
+    return False
+
+
+_BY_NAME, _BY_TAG = 1, 2
 
 
 class Line:
@@ -88,8 +118,8 @@ def _implied(stack: list, tag: str) -> None:
 
 
 def _lines(page: str) -> list[Line]:
-    # Tag, chrome, article, hidden: the last three of it or of an element around it.
-    stack: list[tuple[str, bool, bool, bool]] = []
+    # Tag; chrome by tag or by name, article, hidden: these of it or of an element around it.
+    stack: list[tuple[str, int, bool, bool]] = []
     lines, at, links, closed = [Line(False)], 0, 0, False
 
     def text(upto: int):
@@ -136,10 +166,15 @@ def _lines(page: str) -> list[Line]:
         elif tag not in _VOID and not alone:
             if tag in ("p", "li", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == tag:
                 stack.pop()
-            chrome, article, hidden = stack[-1][1:] if stack else (False, False, False)
+            chrome, article, hidden = stack[-1][1:] if stack else (0, False, False)
             names = " ".join("".join(n) for n in _NAMES.findall(m.group(3)))
-            inside = tag in ("article", "main") or "article" in names.split()
-            chrome = chrome or tag in _CHROME or (tag not in ("body", "html", "article", "main") and bool(_CHROME_NAME.search(names)))
+            inside = tag in ("article", "main") or "article" in names.lower().split()
+            if inside and chrome == _BY_NAME:
+                chrome = 0  # a wrapper's name does not decide on the article in it
+            if tag in _CHROME and not (tag == "header" and (article or inside)):
+                chrome = _BY_TAG
+            elif not chrome and not inside and tag not in ("body", "html") and _names_chrome(names):
+                chrome = _BY_NAME
             stack.append((tag, chrome, article or inside, hidden or tag in _HIDDEN))
         if tag not in _HIDDEN and not (was and stack and stack[-1][3]):
             fresh()
@@ -155,18 +190,21 @@ def main_text(page: str | None) -> str:
     raws = ["".join(x.parts) for x in lines]
     plain = [_SPACE.sub(" ", entities.unescape(raw)).strip() for raw in raws]
     marked = any(x.article and t for x, t in zip(lines, plain))
-    if marked:
-        return "\n".join(t for x, t in zip(lines, plain) if t and x.article)
-    texts, lengths, heads = [], [], []
+    texts, weights, heads = [], [], []
     for x, raw, t in zip(lines, raws, plain):
         if t or x.dropped:
+            n = len(t)
+            if marked:
+                n = n and (n + MARKED if x.article else OUTSIDE * n)
+            if not (marked and x.article) and x.linked > LINK_SHARE * len(raw.strip()):
+                n = 0
             texts.append(t)
-            lengths.append(0 if x.linked > LINK_SHARE * len(raw.strip()) else len(t))
+            weights.append(n)
             heads.append(x.heading)
-    return "\n".join(texts[k] for k in running_text(lengths, heads))
+    return "\n".join(texts[k] for k in running_text(weights, heads))
 
 
-def running_text(lengths: list[int], heads: list[bool]) -> list[int]:
+def running_text(lengths: list[float], heads: list[bool]) -> list[int]:
     """The lines between surges and dives of the distribution over windows of WINDOW lines."""
     n = len(lengths)
     sums = [0]
