@@ -200,7 +200,8 @@ def test_rules(docs, none):
 
 
 def test_classifiers(spark, docs, none):
-    field = lines_crf.LineField.fit(["Good line here.\nAnd more."] * 8 + ["BAD*** ### $$$\n!! XX"] * 8, [1] * 8 + [0] * 8)
+    texts = ["Good line here.\nAnd more."] * 8 + ["BAD*** ### $$$\n!! XX"] * 8
+    field = lines_crf.LineField.fit([lines_crf.chains(t) for t in texts], [1] * 8 + [0] * 8)
     assert field.score("Good words there.\nAnd others.") > 0.5 > field.score("BAD$$$ *** ###\nXX !!")
     assert lines_crf.score(docs, field).filter("score between 0 and 1").count() == len(ROWS)
     learner = toxicity.PULearner.fit([{1, 5}, {1, 6}, {1}] * 4, [{2}, {3}, {2, 1}, {4}] * 4, 0.25)
@@ -225,4 +226,4 @@ def test_marginals_match_all_paths():
     for p in itertools.product((0, 1), repeat=5):
         w = np.exp(sum(e[i] for i in range(5) if p[i]) + sum(field.transition[a, b] for a, b in zip(p, p[1:])))
         total, good = total + w, good + w * np.array(p)
-    assert np.allclose(field.marginals(rows), good / total)
+    assert np.allclose(field.marginals(lines_crf.with_neighbours(rows)), good / total)

@@ -136,6 +136,8 @@ class LineField:
         cost = np.where(label == 1, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3)) / live.sum(1)
         y = np.repeat(label[:, None], CHAIN, 1).astype(float)  # the lines' labels, first those of documents
         theta = np.zeros(d + 4)
+        # At first each line speaks for itself: else no line could differ from its document's label.
+        alone, own = steps // 4, np.r_[np.ones(_N), np.zeros(2 * _N), 1, 0, 0, np.zeros(4)]
         m, v = np.zeros(d + 4), np.zeros(d + 4)
         for step in range(1, steps + 1):
             e = np.clip(x @ theta[:d].astype(np.float32), -30, 30)
@@ -154,7 +156,7 @@ class LineField:
                 b[:, i] = np.where(live[:, i + 1, None], new, 0.0)
             z = np.logaddexp(a[:, -1, 0], a[:, -1, 1])
             good = np.exp(a[..., 1] + b[..., 1] - z[:, None])
-            if step > steps // 4 and step % 10 == 0:
+            if step >= alone and step % 10 == 0:
                 y = line_labels(good, size, label)
             g_e = np.where(live, good - y, 0.0) * cost[:, None]
             g_t = np.zeros((2, 2))
@@ -165,6 +167,8 @@ class LineField:
                     g_t[j, k] = (np.where(links, both - seen, 0.0) * cost[:, None]).sum()
             grad = np.append(np.einsum("st,std->d", g_e.astype(np.float32), x), g_t.ravel()) / cost.sum()
             grad += 1e-3 * theta
+            if step <= alone:
+                grad *= own
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         field.weights, field.transition = theta[:d], theta[d:].reshape(2, 2)

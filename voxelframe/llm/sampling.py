@@ -35,4 +35,4 @@ def texts_of(docs: DataFrame, chosen: DataFrame, text: Column) -> DataFrame:
 
 def added(df: DataFrame, made: Column, names: list[str]) -> DataFrame:
     """The fields of ``made`` as columns ``names`` at the end; columns that had these names are gone."""
-    return df.withColumn("_made", made).drop(*names).select("*", *(F.col("_made")[n].alias(n) for n in names)).drop("_made")
+    return df.select(*(df[c] for c in df.columns if c not in names), *(made[n].alias(n) for n in names))
