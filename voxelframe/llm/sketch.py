@@ -44,10 +44,11 @@ REGISTERS = 128
 BAND_ROWS = 4
 MANTISSA = 10
 PERCENT = 75
-#: Estimates this far below the threshold are dropped: over six standard errors of 128 registers.
-SLACK = 0.25
+#: Estimates this far below the threshold are dropped: over four and a half standard errors of 128 registers,
+#: which a pair at the threshold exceeds with a chance of about 2 in a million.
+SLACK = 0.18
 #: Rounds of pivots in the buckets of bands, then in those of single shingles.
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 1
 NARROW_ROUNDS = 2
 #: Common shingles that come last in the order of shingles; sets the cost, not the result.
 HOT = 200_000
@@ -222,14 +223,20 @@ def rarest(found: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.ndarray
 
 
 def _narrow(sets: DataFrame) -> DataFrame:
-    """bucket, node, pos: one bucket per shingle among the rarest of two sets or more; pos is its place there."""
+    """bucket, node, n, pos: one bucket per shingle among a set's rarest; n is the set's size, pos the shingle's place."""
     sent = sets.sparkSession.sparkContext.broadcast(_common(sets))  # HOT pairs of numbers at most
 
     @F.arrow_udf("array<bigint>")
     def prefix(packed: pa.Array) -> pa.Array:
         return pa.array([rarest(np.frombuffer(v.as_py(), np.int64), *sent.value) for v in packed], pa.list_(pa.int64()))
 
-    return sets.select("node", F.posexplode(prefix("set")).alias("pos", "bucket"))
+    n = F.expr("octet_length(set) div 8").alias("n")
+    return sets.select("node", n, F.posexplode(prefix("set")).alias("pos", "bucket"))
+
+
+#: Sets of n and n_v shingles that reach the threshold share ``least`` of them at least, so the first one that
+#: they share, in the order of shingles, has as many from it on in either set.
+_FITS = "pos + least <= n and pos_v + least <= n_v".replace("least", f"ceil({PERCENT} * (n + n_v) / {100 + PERCENT}D)")
 
 
 def components(links: DataFrame, at: str) -> DataFrame:
@@ -263,18 +270,22 @@ class _Classes:
 
     def __init__(self, nodes: DataFrame, sets: DataFrame, at: str):
         self.nodes, self.sets, self.at, self.spark = nodes, sets, at, nodes.sparkSession
-        self.roots = self.tried = None
+        self.roots = self.tried = self.opened = None
         self.step = 0
 
     def open(self, buckets: DataFrame) -> DataFrame:
-        """bucket, node, root of the buckets that hold more than one class."""
+        """bucket, node, n, pos, root of the buckets that hold more than one class."""
         if self.roots is None:
             here = buckets.withColumn("root", F.col("node"))
         else:
             here = buckets.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         spread = here.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
         self.step += 1
-        return _kept(here.join(spread.select("bucket"), "bucket"), f"{self.at}/open{self.step}")
+        found = _kept(here.join(spread.select("bucket"), "bucket"), f"{self.at}/open{self.step}")
+        if self.opened:
+            _removed(self.spark, self.opened)
+        self.opened = f"{self.at}/open{self.step}"
+        return found
 
     def compare(self, pairs: DataFrame) -> None:
         """Links the pairs u, v that reach the threshold, and joins their classes."""
@@ -304,26 +315,24 @@ class _Classes:
             here = self.open(buckets)
             if here.isEmpty():
                 return here
-            rank = F.struct(F.xxhash64(F.lit(self.step), F.col("bucket") % PIVOT_ORDERS, "node").alias("h"), F.col("node").alias("p"), F.col("root").alias("p_root"))
-            pivot = here.groupBy("bucket").agg(F.min(rank).alias("m")).select("bucket", "m.p", "m.p_root")
+            # A set with few rare shingles is close to most: it goes first, in buckets of bands any.
+            rank = F.struct((F.col("pos") / F.col("n")).alias("at"), F.xxhash64(F.lit(self.step), F.col("bucket") % PIVOT_ORDERS, "node").alias("h"), F.col("node").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("n_v"), F.col("pos").alias("pos_v"))
+            pivot = here.groupBy("bucket").agg(F.min(rank).alias("m")).select("bucket", "m.p", "m.p_root", "m.n_v", "m.pos_v")
             met = here.join(pivot, "bucket")
-            self.compare(met.filter("root <> p_root").select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")))
+            self.compare(met.filter(f"root <> p_root and {_FITS}").select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")))
             buckets = met.filter("node <> p").select(*buckets.columns)
         return self.open(buckets)
 
     def in_full(self, here: DataFrame) -> None:
-        """Compares the pairs of unlike classes that share a shingle early enough in both sets: sets of n and
-        m that reach the threshold share at least ``least`` shingles, so the first shared one has as many from
-        it on in either set.  Of buckets with the same members the first in the order of shingles will do."""
-        here = here.join(self.nodes.select("node", "n_shingles"), "node")
+        """Compares the pairs of unlike classes that meet early enough in a bucket.  Of buckets with the same
+        members the first in the order of shingles will do."""
         member = F.xxhash64("node")
-        same = here.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n"), F.bit_xor(member).alias("x"), F.sum(F.shiftright(member, 8)).alias("s"), F.min("pos").alias("pos"))
-        once = same.groupBy("lo", "hi", "n", "x", "s").agg(F.min_by("bucket", "pos").alias("bucket")).select("bucket")
+        same = here.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("k"), F.bit_xor(member).alias("x"), F.sum(F.shiftright(member, 8)).alias("s"), F.min("pos").alias("pos"))
+        once = same.groupBy("lo", "hi", "k", "x", "s").agg(F.min_by("bucket", "pos").alias("bucket")).select("bucket")
         here = here.join(once, "bucket")
-        other = here.select("bucket", F.col("node").alias("v"), F.col("root").alias("v_root"), F.col("n_shingles").alias("n_v"), F.col("pos").alias("pos_v"))
-        least = f"ceil({PERCENT} * (n_shingles + n_v) / {100 + PERCENT}D)"
-        near = F.expr(f"node < v and root <> v_root and pos + {least} <= n_shingles and pos_v + {least} <= n_v")
-        self.compare(here.join(other, "bucket").filter(near).select(F.col("node").alias("u"), "v"))
+        other = here.select("bucket", F.col("node").alias("v"), F.col("root").alias("v_root"), F.col("n").alias("n_v"), F.col("pos").alias("pos_v"))
+        pairs = here.join(other, "bucket").filter(f"node < v and root <> v_root and {_FITS}")
+        self.compare(pairs.select(F.col("node").alias("u"), "v"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -336,8 +345,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     same = rows.filter("n_shingles > 0").groupBy("digest").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
     nodes = _kept(same.select(F.monotonically_increasing_id().alias("node"), "digest", "n_shingles", "sketch", "copies", "first.doc_id", "first.text_hash"), f"{at}/nodes")
-    bands = nodes.select("node", F.posexplode(_bands("sketch")).alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    bands = nodes.select("node", F.col("n_shingles").alias("n"), F.posexplode(_bands("sketch")).alias("band", "key"))
+    bands = bands.select("node", "n", F.lit(0).alias("pos"), F.xxhash64("band", "key").alias("bucket"))
+    shared = bands.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").select("bucket")
     buckets = _kept(bands.join(shared, "bucket"), f"{at}/buckets")
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash")
     own = lambda ids: F.expr(f"doc_id <=> {ids}_id and text_hash <=> {ids}_hash")
@@ -354,7 +364,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not left.isEmpty():
         unsure = sets.join(left.select("node").distinct(), "node", "left_semi")
         narrow = _narrow(unsure)
-        several = narrow.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+        several = narrow.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").select("bucket")
         narrow = _kept(narrow.join(several, "bucket"), f"{at}/narrow")
         left = classes.by_pivots(narrow, NARROW_ROUNDS)
         if not left.isEmpty():
