@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 
 def normalize_name(c: Column) -> Column:
-    """White space, then trailing marks, then one pair of brackets are taken off."""
-    c = F.regexp_replace(c, r"^\s+|\s+$", "")
-    c = F.regexp_replace(c, r"[!?]+$", "")
-    return F.regexp_replace(c, r"^\[+|\]+$", "")
+    """What a leading bracket and the last closing one enclose, or all; without trailing marks and outer space."""
+    c = F.regexp_replace(_trim(c), r"(?s)^\[(.*)\].*$", "$1")
+    return _trim(F.regexp_replace(_trim(c), r"[!?]+$", ""))
+
+
+def _trim(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def canon_id(c: Column) -> Column:

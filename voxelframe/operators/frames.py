@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -46,6 +46,8 @@ def summary(flagged: DataFrame) -> DataFrame:
         F.count("*").alias("n_frames"),
         F.count_if("flag").alias("n_flagged"),
         F.count_if("queue").alias("n_queue"),
+        F.count_if("intervene").alias("n_intervene"),
+        F.count_if(~F.col("skeleton_contained")).alias("n_missing"),
         F.count_if(F.col("skeleton_contained").isNull()).alias("n_not_assessable"),
     )
     rate = F.round(F.col("n_flagged") / F.col("n_frames"), 4)
@@ -56,3 +58,27 @@ def worst(flagged: DataFrame, k: int = 10) -> DataFrame:
     """The k queued frames of each chain with most signals, then smallest z."""
     w = Window.partitionBy(*CHAIN).orderBy(F.desc("flag_count"), "z")
     return flagged.filter("queue").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def reasons(ratio=(0.5, 2.0), temporal: float = 0.3, pred_iou: float = 0.5) -> Column:
+    """Tags of the signals of a frame, with their values; decimal ties go to the even digit."""
+    area, overlap, score = (F.col(c) for c in ("area_ratio", "temporal_iou", "pred_iou"))
+    tags = F.array(
+        F.when(~F.col("skeleton_contained"), "noskel"),
+        F.when((area < ratio[0]) | (area > ratio[1]), F.format_string("area x%.1f", F.bround(area, 1))),
+        F.when(overlap < temporal, F.format_string("tIoU %.2f", F.bround(overlap, 2))),
+        F.when(score < pred_iou, F.format_string("pIoU %.2f", F.bround(score, 2))),
+    )
+    return F.array_join(F.array_compact(tags), " ")
+
+
+def failure(flagged: DataFrame) -> DataFrame:
+    """Per chain the frame of most signals, that of the ratio furthest from 1 and that of the biggest jump
+    of area against the area before plus one; the earliest on ties, -1 where no frame has the signal."""
+    jump = F.abs(F.col("area") - F.col("p_area")) / (F.col("p_area") + 1)
+    f = flagged.withColumn("jump", jump)
+    at = lambda by: F.coalesce(F.max_by("z", F.when(by.isNotNull(), F.struct(by, -F.col("z")))), F.lit(-1))
+    return f.groupBy(*CHAIN).agg(
+        at(F.col("flag_count")).alias("flag_z"), at(F.abs(F.col("area_ratio") - 1)).alias("ratio_z"),
+        at(F.col("jump")).alias("jump_z"), F.round(F.max("jump"), 9).alias("jump"),
+    )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ["neuron", "chain_idx"]
@@ -15,9 +17,10 @@ def latest(events: DataFrame, value: str) -> DataFrame:
     return events.groupBy(*KEY).agg(F.max_by(value, F.struct("ts", "seq")).alias(value))
 
 
-def pending(manifest: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Flagged chains without a terminal disposition."""
-    closed = latest(reviews, "review").filter(F.col("review").isin(*TERMINAL)).select(*KEY)
+def pending(manifest: DataFrame, reviews: DataFrame, claimed: bool = True) -> DataFrame:
+    """Flagged chains without a terminal disposition; those in review only if ``claimed``."""
+    done = TERMINAL if claimed else (*TERMINAL, "in_review")
+    closed = latest(reviews, "review").filter(F.col("review").isin(*done)).select(*KEY)
     return manifest.filter("status = 'flagged'").join(closed, KEY, "left_anti")
 
 
@@ -26,10 +29,20 @@ def chain_status(manifest: DataFrame, reviews: DataFrame) -> DataFrame:
     return manifest.join(latest(reviews, "review"), KEY, "left").select(*KEY, F.coalesce("review", "status").alias("badge"))
 
 
-def worklist(manifest: DataFrame, retry_failed: bool = False) -> DataFrame:
-    """Chains still to run: neither finished nor, unless retried, failed."""
-    skip = ("done", "flagged") if retry_failed else ("done", "flagged", "failed")
-    return manifest.filter(~F.col("status").isin(*skip))
+def should_run(status: Column, retry_failed: bool = False, force: bool = False) -> Column:
+    """Whether a chain still has to run: it did not complete and, unless retried, did not fail."""
+    if force:
+        return F.lit(True)
+    return ~status.isin("done", "flagged") if retry_failed else ~status.isin("done", "flagged", "failed")
+
+
+def second_pass(status: Column, cropped: bool = False, on_flagged: bool = True, everywhere: bool = False) -> Column:
+    """Whether a chain that completed its first pass, not cropped, gets a second one."""
+    if cropped:
+        return F.lit(False)
+    if everywhere:
+        return status.isin("done", "flagged")
+    return (status == "flagged") if on_flagged else F.lit(False)
 
 
 def seeded(existing: DataFrame, chains: DataFrame) -> DataFrame:
@@ -46,3 +59,20 @@ def without(ledger: DataFrame, scope: DataFrame) -> DataFrame:
 def phase_seconds(timings: DataFrame, phases: list[str]) -> DataFrame:
     """One row per chain with the seconds of each phase; null where a phase did not run."""
     return timings.groupBy(*KEY).pivot("phase", phases).agg(F.sum("seconds"))
+
+
+def of_shards(shards: list[DataFrame]) -> DataFrame:
+    """The rows of all shards that exist; columns that older ones lack are null."""
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), shards)
+
+
+def states(documents: DataFrame, schema) -> DataFrame:
+    """Columns of saved states (``json``); frame numbers, which JSON keeps as text, are whole again."""
+    s = documents.withColumn("_s", F.from_json("json", schema)).select(*(c for c in documents.columns if c != "json"), "_s.*")
+    return s.withColumn("frame_to_z", F.transform_keys("frame_to_z", lambda k, _: k.cast("int")))
+
+
+def of_path(path: Column) -> Column:
+    """neuron, chain_idx and z of a mask's path, as a struct."""
+    part = lambda k: F.regexp_extract(path, r"([^/]+)/chain_(\d+)/masks/mask_0*(\d+)\.png$", k)
+    return F.struct(part(1).alias("neuron"), part(2).cast("long").alias("chain_idx"), part(3).cast("long").alias("z"))

@@ -29,14 +29,34 @@ def moments(runs: DataFrame) -> DataFrame:
 
 
 def region_counts(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """tp, fp, fn per (slice, neuron) that has a prediction; runs meet on their image row only."""
-    t = truth.select(*ROW, F.col("x0").alias("t0"), F.col("x1").alias("t1"))
-    inside = pred.join(t, [*ROW]).filter("x0 < t1 and t0 < x1")
-    tp = inside.groupBy("slice", "neuron").agg(F.sum(F.least("x1", "t1") - F.greatest("x0", "t0")).alias("tp"))
-    area = lambda d, name: d.groupBy("slice", "neuron").agg(F.sum(F.col("x1") - F.col("x0")).alias(name))
+    """tp, fp, fn and areas per predicted (slice, neuron); runs meet on their image row only.  Neurons
+    without any truth and slices that the truth does not have are left out; a slice where only the neuron's
+    truth is empty counts, all of it false."""
     key = ["slice", "neuron"]
-    out = area(pred, "n_pred").join(area(truth, "n_gt"), key).join(tp, key, "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
-    return out.select(*key, "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gt") - F.col("tp")).alias("fn"))
+    scored = pred.join(truth.select("neuron").distinct(), "neuron", "left_semi").join(truth.select("slice").distinct(), "slice", "left_semi")
+    t = truth.select(*ROW, F.col("x0").alias("t0"), F.col("x1").alias("t1"))
+    inside = scored.join(t, [*ROW]).filter("x0 < t1 and t0 < x1")
+    tp = inside.groupBy(*key).agg(F.sum(F.least("x1", "t1") - F.greatest("x0", "t0")).alias("tp"))
+    area = lambda d, name: d.groupBy(*key).agg(F.sum(F.col("x1") - F.col("x0")).alias(name))
+    out = area(scored, "pred_area").join(area(truth, "gt_area"), key, "left").join(tp, key, "left").fillna(0, ["tp", "gt_area"])
+    fp, fn = F.col("pred_area") - F.col("tp"), F.col("gt_area") - F.col("tp")
+    return out.select(*key, "tp", fp.alias("fp"), fn.alias("fn"), "pred_area", "gt_area")
+
+
+def rollup(counts: DataFrame, *by: str) -> DataFrame:
+    """Ratios of summed counts, and means of the slices' ratios."""
+    sums = [F.sum(c).alias(c) for c in ("tp", "fp", "fn")]
+    tp, wrong = F.col("tp"), F.col("fp") + F.col("fn")
+    macro = [
+        F.round(F.avg(F.try_divide(tp.cast("double"), tp + wrong)), 9).alias("macro_iou"),
+        F.round(F.avg(F.try_divide(2.0 * tp, 2 * tp + wrong)), 9).alias("macro_dice"),
+    ]
+    return ratios(counts.groupBy(*by).agg(F.count("*").alias("n_slices"), *sums, *macro))
+
+
+def skipped(pred: DataFrame, known: DataFrame) -> DataFrame:
+    """Predicted neurons that the truth does not know at all."""
+    return pred.select("neuron").distinct().join(known.distinct(), "neuron", "left_anti").withColumn("reason", F.lit("not in truth"))
 
 
 def ratios(counts: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from voxelframe.operators import graph
 
 #: Voxel size in nm.
 RESOLUTION = (2.0, 2.0, 50.0)
@@ -20,32 +23,128 @@ def edges(nodes: DataFrame) -> DataFrame:
 
 
 def merge_labels(edge: DataFrame, min_count: int = 1, min_share: float = 0.0) -> DataFrame:
-    """Labels that two or more neurons contribute to; only nodes on an edge count."""
-    ends = edge.select("node_id", "label", "cell_name").unionByName(
-        edge.select(F.col("p_node_id").alias("node_id"), F.col("p_label").alias("label"), F.col("p_cell_name").alias("cell_name"))
-    )
-    counts = ends.distinct().filter("label <> 0").groupBy("label", "cell_name").agg(F.count("*").alias("n"))
-    totals = counts.groupBy("label").agg(F.sum("n").alias("total"))
-    need = F.greatest(F.lit(float(min_count)), F.lit(min_share) * F.col("total"))
-    return (
-        counts.join(totals, "label").filter(F.col("n") >= need)
-        .groupBy("label").agg(F.count("*").alias("contributors"), F.sum("n").alias("n_nodes")).filter("contributors >= 2")
-    )
+    """Labels that two or more neurons contribute to; only nodes on an edge count.  A neuron contributes with
+    min_count of its nodes, or the share of the label's nodes if that is more."""
+    own = F.struct("node_id", "label", "cell_name")
+    parent = F.struct(F.col("p_node_id").alias("node_id"), F.col("p_label").alias("label"), F.col("p_cell_name").alias("cell_name"))
+    ends = edge.select(F.explode(F.array(own, parent)).alias("e")).select("e.*").filter("label <> 0")
+    counts = ends.distinct().groupBy("label", "cell_name").agg(F.count("*").alias("n"))
+    need = F.lit(float(min_count))
+    if min_share:
+        need = F.greatest(need, min_share * F.sum("n").over(Window.partitionBy("label")))
+    found = counts.withColumn("need", need).filter("n >= need").groupBy("label")
+    return found.agg(F.count("*").alias("contributors"), F.sum("n").alias("n_nodes"), F.array_sort(F.collect_set("cell_name")).alias("neurons")).filter("contributors >= 2")
 
 
 def edge_classes(edge: DataFrame, merged: DataFrame) -> DataFrame:
-    """class per edge: background, merge, split or ok, tested in this order."""
-    m = merged.select(F.col("label").alias("m"))
-    e = edge.join(m, edge.label == m.m, "left").withColumnRenamed("m", "m_u")
-    m = m.withColumnRenamed("m", "m_v")
-    e = e.join(m, e.p_label == m.m_v, "left")
+    """class per edge: background, merge, split or ok, tested in this order.  Background ends have no key, so
+    they meet nothing and no task collects them."""
+    m = merged.select(F.col("label").alias("m"), F.lit(True).alias("hit"))
+    e = edge.withColumn("k_u", F.expr("nullif(label, 0)")).withColumn("k_v", F.expr("nullif(p_label, 0)"))
+    e = e.join(m.select(F.col("m").alias("k_u"), F.col("hit").alias("m_u")), "k_u", "left")
+    e = e.join(m.select(F.col("m").alias("k_v"), F.col("hit").alias("m_v")), "k_v", "left")
     kind = (
-        F.when((F.col("label") == 0) | (F.col("p_label") == 0), "background")
+        F.when(F.col("k_u").isNull() | F.col("k_v").isNull(), "background")
         .when(F.col("m_u").isNotNull() | F.col("m_v").isNotNull(), "merge")
         .when(F.col("label") != F.col("p_label"), "split")
         .otherwise("ok")
     )
-    return e.withColumn("class", kind)
+    return e.withColumn("class", kind).drop("k_u", "k_v", "m_u", "m_v")
+
+
+def classified(nodes: DataFrame, **tolerance) -> DataFrame:
+    """Edges with their class; merge labels are found over all neurons."""
+    e = edges(nodes)
+    return edge_classes(e, merge_labels(e, **tolerance))
+
+
+def runs(classes: DataFrame) -> DataFrame:
+    """Error-free runs: run (its top node), cell_name, n_edges, length; those of no length are no runs.
+    An edge's upper end belongs to a run even if it is in no lower end, so tops need no row of their own."""
+    ok = classes.filter("class = 'ok'").select(F.col("node_id").alias("node"), F.col("p_node_id").alias("up"), "cell_name", "length")
+    ok = graph.cut(ok)
+    # A node whose parent is the lower end of no error-free edge hangs right under the run's top.
+    top = graph.tops(ok.select("node", "up")).withColumnRenamed("top", "low")
+    over = ok.select(F.col("node").alias("low"), F.col("up").alias("run"))
+    found = ok.join(top, "node").join(over, "low").groupBy("run", "cell_name")
+    return found.agg(F.count("*").alias("n_edges"), F.sum("length").alias("length")).filter("length > 0")
+
+
+def run_lengths(classes: DataFrame, run: DataFrame, *by: str) -> DataFrame:
+    """Expected run length: squares of the runs' lengths over the length of all edges, with counts."""
+    n = lambda kind: F.count_if(F.col("class") == kind)
+    totals = classes.groupBy(*by).agg(
+        F.sum("length").alias("total_length"), n("split").alias("n_split_edges"), n("background").alias("n_bg_edges"), n("merge").alias("n_merge_edges")
+    )
+    squares = run.groupBy(*by).agg(F.sum(F.col("length") ** 2).alias("squares"), F.count("*").alias("n_runs"), F.max("length").alias("max_run"))
+    out = totals.join(squares, list(by), "left") if by else totals.join(squares)  # both have one row
+    out = out.fillna(0, ["squares", "n_runs", "max_run"])
+    erl = F.coalesce(F.try_divide("squares", "total_length"), F.lit(0.0))
+    r = lambda c: F.round(c, 4).alias(c)
+    return out.select(*by, F.round(erl, 4).alias("erl"), r("total_length"), "n_runs", r("max_run"), "n_split_edges", "n_bg_edges", "n_merge_edges")
+
+
+def of_neurons(nodes: DataFrame, neurons: DataFrame) -> DataFrame:
+    """Nodes of the neurons given; edges to other nodes drop out with them."""
+    return nodes.join(neurons.select("cell_name").distinct(), "cell_name", "left_semi")
+
+
+def chains(nodes: DataFrame) -> DataFrame:
+    """node_id, head, pos, origin: each node's chain, its place in it and the branch node that the chain comes
+    from.  A chain starts at a root and at each child of a node with two children or more."""
+    n = graph.cut(nodes.select("node_id", "parent_id", "cell_name"))
+    known = n.select(F.col("node_id").alias("parent_id")).withColumn("known", F.lit(True))
+    kids = n.groupBy("parent_id").agg(F.count("*").alias("kids"))
+    at = n.join(known, "parent_id", "left").join(kids, "parent_id", "left")
+    starts = F.col("known").isNull() | (F.col("kids") >= 2)
+    at = graph.cut(at.select("node_id", "cell_name", F.when(~starts, F.col("parent_id")).alias("up"), F.when(F.col("known"), F.col("parent_id")).alias("origin")))
+    placed = graph.tops(at.select(F.col("node_id").alias("node"), "up"))
+    origin = at.filter("up is null").select(F.col("node_id").alias("head"), "origin")
+    placed = placed.select(F.col("node").alias("node_id"), F.col("top").alias("head"), F.col("depth").alias("pos"))
+    return at.select("node_id", "cell_name").join(placed, "node_id").join(origin, "head")
+
+
+def chain_table(chain_nodes: DataFrame) -> DataFrame:
+    """One row per chain, numbered per neuron by head; its nodes in order."""
+    t = chain_nodes.groupBy("cell_name", "head").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "node_id"))).alias("n"), F.first("origin").alias("origin")
+    )
+    nodes = F.transform("n", lambda x: x["node_id"])
+    nth = (F.row_number().over(Window.partitionBy("cell_name").orderBy("head")) - 1).cast("long")
+    return t.select("cell_name", "head", nth.alias("chain_idx"), nodes.alias("nodes"), F.col("origin").alias("origin_branch"), F.col("origin").isNull().alias("is_root"))
+
+
+def _cells(x: Column, y: Column, size: float, around: int = 0) -> Column:
+    """Grid cells of the point, and of its neighbours up to ``around`` cells away, as an array of structs."""
+    cx, cy = (F.floor(c / size) for c in (x, y))
+    step = F.sequence(F.lit(-around), F.lit(around))
+    return F.flatten(F.transform(step, lambda i: F.transform(step, lambda j: F.struct((cx + i).alias("cx"), (cy + j).alias("cy")))))
+
+
+def within(points: DataFrame, nodes: DataFrame, radius: float) -> DataFrame:
+    """Pairs of points (point, z, px, py) and nodes of the same slice at most ``radius`` apart, with dist."""
+    p = points.withColumn("_c", F.explode(_cells(F.col("px"), F.col("py"), radius, 1))).select("*", "_c.*").drop("_c")
+    n = nodes.select("node_id", "z", "x", "y").withColumn("_c", _cells(F.col("x"), F.col("y"), radius)[0]).select("*", "_c.*").drop("_c")
+    dist = F.sqrt((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2)
+    return p.join(n, ["z", "cx", "cy"]).withColumn("dist", dist).filter(F.col("dist") <= radius)
+
+
+def nearest(points: DataFrame, nodes: DataFrame, radius: float) -> DataFrame:
+    """The nearest node of each point within the radius, null if there is none; the smaller id on ties."""
+    best = within(points, nodes, radius).groupBy("point").agg(F.min(F.struct("dist", "node_id")).alias("b"))
+    return points.join(best, "point", "left").select("point", "b.node_id", "b.dist")
+
+
+def k_nearest(points: DataFrame, nodes: DataFrame, k: int, radius: float) -> DataFrame:
+    """The k nearest other nodes of each point's slice.  Points that have k within the radius are done by grid
+    cells; only the others meet their whole slice."""
+    order = Window.partitionBy("point").orderBy("dist", "node_id")
+    top = lambda d: d.filter("node_id <> point").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("point", "rank", "node_id", "dist")
+    near = graph.cut(top(within(points, nodes, radius)))
+    full = near.groupBy("point").agg(F.count("*").alias("n")).filter(F.col("n") == k).select("point")
+    rest = points.join(full, "point", "left_anti").join(nodes.select("node_id", "z", "x", "y"), "z")
+    rest = top(rest.withColumn("dist", F.sqrt((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2)))
+    return near.join(full, "point", "left_semi").unionByName(rest)
 
 
 #: The affine from stack pixels to full-resolution pixels, and file z less stack z.

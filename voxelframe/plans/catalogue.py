@@ -6,25 +6,15 @@ from pyspark.sql import functions as F
 
 from voxelframe.functions import names
 from voxelframe.operators import frames, ledgers, masks, metrics, skeletons
+from voxelframe.plans.base import QUERIES, SQL, query
 from voxelframe.sources import lenses as L
 
-_Q, _SQL = {}, {}
-
-
-def query(sql: str):
-    def add(f):
-        _Q[f.__name__], _SQL[f.__name__] = f, sql
-        return f
-
-    return add
-
-
 def queries():
-    return dict(_Q)
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return dict(_SQL)
+    return dict(SQL)
 
 
 _EDGES = f"""WITH {L.NODES},
@@ -34,7 +24,7 @@ edges AS (SELECT n.*, p.node_id AS p_node_id, p.label AS p_label, p.cell_name AS
 _MERGED = f"""{_EDGES},
 ends AS (SELECT node_id, label, cell_name FROM edges UNION SELECT p_node_id, p_label, p_cell_name FROM edges),
 cnt AS (SELECT label, cell_name, count(*) AS n FROM ends WHERE label <> 0 GROUP BY ALL),
-merged AS (SELECT label, count(*) AS contributors, sum(n)::BIGINT AS n_nodes FROM cnt WHERE n >= {{least}} GROUP BY label HAVING count(*) >= 2)"""
+merged AS (SELECT label, count(*) AS contributors, sum(n)::BIGINT AS n_nodes, string_agg(cell_name, ',' ORDER BY cell_name) AS neurons FROM cnt WHERE n >= {{least}} GROUP BY label HAVING count(*) >= 2)"""
 def _merged(least):
     return _MERGED.replace("{least}", str(least))
 
@@ -54,12 +44,12 @@ def skel_edges(spark, sf):
 
 @query(f"{_merged(1)} SELECT * FROM merged")
 def merge_labels(spark, sf):
-    return skeletons.merge_labels(skeletons.edges(L.nodes(spark, sf)))
+    return skeletons.merge_labels(skeletons.edges(L.nodes(spark, sf))).withColumn("neurons", F.array_join("neurons", ","))
 
 
 @query(f"{_merged(2)} SELECT * FROM merged")
 def merge_labels_tolerant(spark, sf):
-    return skeletons.merge_labels(skeletons.edges(L.nodes(spark, sf)), min_count=2)
+    return skeletons.merge_labels(skeletons.edges(L.nodes(spark, sf)), min_count=2).withColumn("neurons", F.array_join("neurons", ","))
 
 
 @query(f"""{_merged(1)}, k AS (SELECT cell_name, length, CASE WHEN label = 0 OR p_label = 0 THEN 'background'
@@ -95,15 +85,20 @@ def qc_flags(spark, sf):
 
 
 @query(f"""{_FLAGS} SELECT neuron, chain_idx, count(*) AS n_frames, count_if(flag_count >= 1) AS n_flagged, count_if(flag_count >= 2) AS n_queue,
- count_if(skeleton_contained IS NULL) AS n_not_assessable, round(count_if(flag_count >= 1) / count(*), 4) AS flag_rate,
+ count_if(flag_count >= 1) AS n_intervene, count_if(NOT skeleton_contained) AS n_missing, count_if(skeleton_contained IS NULL) AS n_not_assessable, round(count_if(flag_count >= 1) / count(*), 4) AS flag_rate,
  CASE WHEN count_if(flag_count >= 2) >= 1 THEN 'flagged' ELSE 'done' END AS status FROM flags GROUP BY ALL""")
 def qc_summary(spark, sf):
     return frames.summary(frames.flags(L.frames(spark, sf)))
 
 
-@query(f"{_FLAGS} SELECT neuron, chain_idx, z, area, flag_count FROM flags WHERE flag_count >= 2 ORDER BY flag_count DESC, neuron, chain_idx, z")
+_REASONS = """trim(concat(CASE WHEN NOT skeleton_contained THEN 'noskel ' ELSE '' END,
+ CASE WHEN area_ratio < 0.5 OR area_ratio > 2 THEN printf('area x%.1f ', round_even(area_ratio, 1)) ELSE '' END,
+ CASE WHEN temporal_iou < 0.3 THEN printf('tIoU %.2f ', round_even(temporal_iou, 2)) ELSE '' END, CASE WHEN pred_iou < 0.5 THEN printf('pIoU %.2f', round_even(pred_iou, 2)) ELSE '' END))"""
+
+
+@query(f"{_FLAGS} SELECT neuron, chain_idx, z, area, flag_count, {_REASONS} AS reasons FROM flags WHERE flag_count >= 2")
 def triage_queue(spark, sf):
-    q = frames.flags(L.frames(spark, sf)).filter("queue").select(*_COLS)
+    q = frames.flags(L.frames(spark, sf)).filter("queue").withColumn("reasons", frames.reasons()).select(*_COLS, "reasons")
     return q.orderBy(F.desc("flag_count"), "neuron", "chain_idx", "z")
 
 
@@ -113,10 +108,12 @@ def worst_frames(spark, sf):
     return frames.worst(frames.flags(L.frames(spark, sf))).select("neuron", "chain_idx", "z", "flag_count", "rank")
 
 
-@query(f"""{_FLAGS} SELECT neuron, chain_idx, arg_max(z, (abs(area - p_area), -z)) AS z, max(abs(area - p_area)) AS jump FROM flags WHERE p_area IS NOT NULL GROUP BY ALL""")
+@query(f"""{_FLAGS} SELECT neuron, chain_idx, arg_max(z, (flag_count, -z)) AS flag_z,
+ coalesce(arg_max(z, (abs(area_ratio - 1), -z)) FILTER (area_ratio IS NOT NULL), -1) AS ratio_z,
+ coalesce(arg_max(z, (abs(area - p_area) / (p_area + 1), -z)) FILTER (p_area IS NOT NULL), -1) AS jump_z,
+ round(max(abs(area - p_area) / (p_area + 1)), 9) AS jump FROM flags GROUP BY ALL""")
 def failure_frame(spark, sf):
-    s = frames.signals(L.frames(spark, sf)).filter("p_area is not null").withColumn("jump", F.abs(F.col("area") - F.col("p_area")))
-    return s.groupBy("neuron", "chain_idx").agg(F.max_by("z", F.struct("jump", -F.col("z"))).alias("z"), F.max("jump").alias("jump"))
+    return frames.failure(frames.flags(L.frames(spark, sf)))
 
 
 @query(f"WITH {L.PIXELS} SELECT seg, gt, count(*) AS n FROM pixels GROUP BY ALL")
@@ -128,14 +125,15 @@ _TABLE = f"WITH {L.PIXELS}, c AS (SELECT seg, gt, count(*) AS n FROM pixels GROU
 
 
 @query(f"""{_TABLE}, v AS (SELECT -sum(n * log2(n / n_gt)) / sum(n) AS s, -sum(n * log2(n / n_seg)) / sum(n) AS m, sum(n)::BIGINT AS n_pixels FROM m)
-SELECT round(s, 6) AS voi_split, round(m, 6) AS voi_merge, round(s + m, 6) AS voi, n_pixels FROM v""")
+SELECT round(s, 6) AS voi_split, round(m, 6) AS voi_merge, round(s + m, 6) AS voi, n_pixels, round(5 * m + s, 6) AS weighted FROM v""")
 def voi_split_merge(spark, sf):
-    return metrics.variation_of_information(metrics.contingency(L.pixels(spark, sf)))
+    return metrics.variation_of_information(metrics.contingency(L.pixels(spark, sf)), merge_weight=5.0)
 
 
 @query(f"""{_TABLE}, b AS (SELECT sum(n * (n - 1))::DOUBLE AS b FROM c), s AS (SELECT sum(k * (k - 1))::DOUBLE AS s FROM (SELECT sum(n) AS k FROM c GROUP BY seg)),
 g AS (SELECT sum(k * (k - 1))::DOUBLE AS g FROM (SELECT sum(n) AS k FROM c GROUP BY gt))
-SELECT b AS pairs, round(b / s, 9) AS precision, round(b / g, 9) AS recall, round(1 - 2 * (b / s) * (b / g) / (b / s + b / g), 9) AS are FROM b, s, g""")
+SELECT b AS pairs, round(b / s, 9) AS precision, round(b / g, 9) AS recall, round(2 * (b / s) * (b / g) / (b / s + b / g), 9) AS f_score, round(1 - 2 * (b / s) * (b / g) / (b / s + b / g), 9) AS are,
+ round(1 - b / g, 9) AS split_error, round(1 - b / s, 9) AS merge_error FROM b, s, g""")
 def adapted_rand(spark, sf):
     return metrics.adapted_rand(metrics.contingency(L.pixels(spark, sf)))
 
@@ -160,7 +158,9 @@ _REGION = f"""WITH {L.RUNS}, {L.TRUTH},
 a AS (SELECT slice, neuron, sum(x1 - x0)::BIGINT AS n_pred FROM pred GROUP BY ALL), b AS (SELECT slice, neuron, sum(x1 - x0)::BIGINT AS n_gt FROM truth GROUP BY ALL),
 t AS (SELECT p.slice, p.neuron, sum(least(p.x1, g.x1) - greatest(p.x0, g.x0))::BIGINT AS tp FROM pred p JOIN truth g USING (slice, neuron, y)
   WHERE p.x0 < g.x1 AND g.x0 < p.x1 GROUP BY ALL),
-k AS (SELECT slice, neuron, coalesce(tp, 0) AS tp, n_pred - coalesce(tp, 0) AS fp, n_gt - coalesce(tp, 0) AS fn FROM a JOIN b USING (slice, neuron) LEFT JOIN t USING (slice, neuron))"""
+k AS (SELECT slice, neuron, coalesce(tp, 0) AS tp, n_pred - coalesce(tp, 0) AS fp, coalesce(n_gt, 0) - coalesce(tp, 0) AS fn, n_pred AS pred_area, coalesce(n_gt, 0) AS gt_area
+  FROM a LEFT JOIN b USING (slice, neuron) LEFT JOIN t USING (slice, neuron)
+  WHERE neuron IN (SELECT neuron FROM truth) AND slice IN (SELECT slice FROM truth))"""
 _RATIO = "round(tp / nullif(tp + fp + fn, 0), 9) AS iou, round(2 * tp / nullif(2 * tp + fp + fn, 0), 9) AS dice, round(tp / nullif(tp + fp, 0), 9) AS precision, round(tp / nullif(tp + fn, 0), 9) AS recall"
 
 
@@ -173,10 +173,10 @@ def region_score(spark, sf):
     return masks.ratios(_counts(spark, sf))
 
 
-@query(f"{_REGION}, s AS (SELECT neuron, count(*) AS n_slices, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM k GROUP BY ALL) SELECT *, {_RATIO} FROM s")
+@query(f"""{_REGION}, s AS (SELECT neuron, count(*) AS n_slices, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn,
+ round(avg(tp / nullif(tp + fp + fn, 0)), 9) AS macro_iou, round(avg(2 * tp / nullif(2 * tp + fp + fn, 0)), 9) AS macro_dice FROM k GROUP BY ALL) SELECT *, {_RATIO} FROM s""")
 def neuron_rollup(spark, sf):
-    sums = [F.sum(c).alias(c) for c in ("tp", "fp", "fn")]
-    return masks.ratios(_counts(spark, sf).groupBy("neuron").agg(F.count("*").alias("n_slices"), *sums))
+    return masks.rollup(_counts(spark, sf), "neuron")
 
 
 _LATEST = f"WITH {L.MANIFEST}, {L.REVIEWS}, latest AS (SELECT neuron, chain_idx, arg_max(review, (ts, seq)) AS review FROM reviews GROUP BY ALL)"
@@ -197,15 +197,22 @@ def chain_status(spark, sf):
     return ledgers.chain_status(L.manifest(spark, sf), L.reviews(spark, sf))
 
 
-@query(f"WITH {L.MANIFEST} SELECT * FROM manifest WHERE status NOT IN ('done', 'flagged', 'failed')")
+@query(f"""WITH {L.MANIFEST} SELECT *, status NOT IN ('done', 'flagged') AS runs, status NOT IN ('done', 'flagged', 'failed') AS runs_no_retry, true AS runs_forced,
+ status = 'flagged' AS second_pass, status IN ('done', 'flagged') AS second_pass_all FROM manifest WHERE neuron < 'N5'""")
 def worklist(spark, sf):
-    return ledgers.worklist(L.manifest(spark, sf))
+    chosen = L.manifest(spark, sf).filter("neuron < 'N5'")
+    run = lambda **k: ledgers.should_run(F.col("status"), **k)
+    again = lambda **k: ledgers.second_pass(F.col("status"), **k)
+    return chosen.withColumns({
+        "runs": run(retry_failed=True), "runs_no_retry": run(), "runs_forced": run(force=True), "second_pass": again(), "second_pass_all": again(everywhere=True)})
 
 
-_S = "CASE c_custkey % 5 WHEN 0 THEN '[' || c_name || ']' WHEN 1 THEN c_name || '!' WHEN 2 THEN '[' || c_name || ']?!' WHEN 3 THEN '  ' || c_name || ' ' ELSE c_name END"
+_S = """CASE c_custkey % 10 WHEN 0 THEN '[' || c_name || ']' WHEN 1 THEN c_name || '!' WHEN 2 THEN '[' || c_name || ']?!' WHEN 3 THEN '  ' || c_name || ' '
+ WHEN 4 THEN '[' || c_name || '] note' WHEN 5 THEN c_name || ' !' WHEN 6 THEN '[' || c_name WHEN 7 THEN '[' || c_name || '!]' WHEN 8 THEN '[[' || c_name || ']]' ELSE c_name END"""
 
 
-@query("SELECT c_custkey, c_name AS name FROM customer")
+@query(f"""WITH r AS (SELECT c_custkey, trim({_S}) AS s FROM customer), c AS (SELECT c_custkey, CASE WHEN starts_with(s, '[') AND contains(s, ']')
+ THEN substr(s, 2, length(s) - instr(reverse(s), ']') - 1) ELSE s END AS s FROM r) SELECT c_custkey, trim(rtrim(trim(s), '!?')) AS name FROM c""")
 def name_normalize(spark, sf):
     return L.table(spark, sf, "customer").select("c_custkey", names.normalize_name(F.expr(_S)).alias("name"))
 
@@ -217,10 +224,10 @@ def canon_id(spark, sf):
 
 
 @query(f"""WITH {L.NODES}, f AS (SELECT node_id, z, x * 1.11667::DOUBLE + y * 0.03757::DOUBLE - 893.9::DOUBLE AS fx, x * -0.03641::DOUBLE + y * 1.11909::DOUBLE - 427.09::DOUBLE AS fy FROM nodes)
-SELECT node_id, round(fx, 10) AS full_x, round(fy, 10) AS full_y, round(fx / 4, 10) AS model_x, round(fy / 4, 10) AS model_y, z + 7 AS file_z FROM f""")
+SELECT node_id, round(fx, 10) AS full_x, round(fy, 10) AS full_y, round(fx / 4, 10) AS model_x, round(fy / 4, 10) AS model_y, round(fx / 4 * 4, 10) AS back_x, z + 7 AS file_z FROM f""")
 def affine_apply(spark, sf):
     out = skeletons.placed(L.nodes(spark, sf))
-    return out.select("node_id", *(F.round(c, 10).alias(c) for c in ("full_x", "full_y", "model_x", "model_y")), "file_z")
+    return out.select("node_id", *(F.round(c, 10).alias(c) for c in ("full_x", "full_y", "model_x", "model_y")), F.round(F.col("model_x") * 4, 10).alias("back_x"), "file_z")
 
 
 @query(f"WITH {L.NODES} SELECT node_id, cell_name, round(x / 2, 9) AS x, round(y / 2, 9) AS y, round(z / 50, 9) AS z FROM nodes")
@@ -250,10 +257,10 @@ def region_overall(spark, sf):
     return masks.ratios(_counts(spark, sf).agg(F.count("*").alias("n_slices"), *sums))
 
 
-@query(f"WITH {L.RUNS}, {L.TRUTH} SELECT DISTINCT slice, neuron FROM pred ANTI JOIN truth USING (slice, neuron)")
+@query(f"WITH {L.RUNS}, {L.TRUTH} SELECT DISTINCT neuron, 'not in truth' AS reason FROM pred WHERE neuron NOT IN (SELECT neuron FROM truth WHERE slice = 3 AND y < 3)")
 def skipped_labels(spark, sf):
-    key = ["slice", "neuron"]
-    return L.raw_runs(spark, sf).select(*key).distinct().join(L.raw_runs(spark, sf, truth=True).select(*key), key, "left_anti")
+    known = L.raw_runs(spark, sf, truth=True).filter("slice = 3 and y < 3").select("neuron")
+    return masks.skipped(L.raw_runs(spark, sf), known)
 
 
 @query(f"""WITH {L.PIXELS}, c AS (SELECT seg, gt, count(*) AS n FROM pixels WHERE gt <> 0 GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY seg) AS n_seg, sum(n) OVER (PARTITION BY gt) AS n_gt FROM c),
@@ -281,3 +288,6 @@ _PHASES = ["view", "click", "purchase", "error"]
 def timing_pivot(spark, sf):
     rows = L.table(spark, sf, "events").selectExpr("user_id as neuron", "user_id % 30 as chain_idx", "event_type as phase", "event_id % 1000 as seconds")
     return ledgers.phase_seconds(rows, _PHASES)
+
+
+from voxelframe.plans import label_queries, mask_queries, registration_queries, skeleton_queries, stream_queries  # noqa: E402, F401

@@ -45,8 +45,8 @@ nodes AS (SELECT event_id AS node_id, 'U' || user_id AS cell_name,
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of chains with one run per mask."""
     return table(spark, sf_dir, "events").selectExpr(
-        "event_type as neuron", "user_id % 30 as chain_idx",
-        "1499L + row_number() over (partition by event_type, user_id % 30 order by ts, event_id) as z",
+        "event_type as neuron", "user_id as chain_idx",
+        "1499L + row_number() over (partition by event_type, user_id order by ts, event_id) as z",
         "if(event_id % 23 = 0, 0L, cast(floor(value) as bigint) + 5) as area", "event_id % 400 as x0",
         "if(event_id % 7 = 0, null, (event_id % 100) / 100.0D) as pred_iou",
         "if(event_id % 3 = 0, null, event_id % 8 <> 0) as skeleton_contained",
@@ -54,8 +54,8 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FRAMES = """
-frames AS (SELECT event_type AS neuron, user_id % 30 AS chain_idx,
-  1499 + row_number() OVER (PARTITION BY event_type, user_id % 30 ORDER BY ts, event_id) AS z,
+frames AS (SELECT event_type AS neuron, user_id AS chain_idx,
+  1499 + row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS z,
   CASE WHEN event_id % 23 = 0 THEN 0 ELSE floor(value)::BIGINT + 5 END AS area, event_id % 400 AS x0,
   CASE WHEN event_id % 7 = 0 THEN NULL ELSE (event_id % 100) / 100.0::DOUBLE END AS pred_iou,
   CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 8 <> 0 END AS skeleton_contained FROM events)"""
@@ -93,29 +93,29 @@ RUNS, TRUTH = _runs_sql("pred", False), _runs_sql("truth", True)
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(
-        "concat('N', o_custkey % 100) as neuron",
-        "cast(row_number() over (partition by o_custkey % 100 order by o_orderkey) - 1 as bigint) as chain_idx",
+        "concat('N', o_custkey) as neuron",
+        "cast(row_number() over (partition by o_custkey order by o_orderkey) - 1 as bigint) as chain_idx",
         """case o_orderstatus when 'F' then 'done' when 'P' then 'flagged' else
            element_at(array('failed', 'pending', 'running'), cast(o_orderkey % 3 as int) + 1) end as status""",
     )
 
 
 MANIFEST = """
-manifest AS (SELECT 'N' || (o_custkey % 100) AS neuron,
-  row_number() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderkey) - 1 AS chain_idx,
+manifest AS (SELECT 'N' || o_custkey AS neuron,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS chain_idx,
   CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'P' THEN 'flagged' ELSE
     ['failed', 'pending', 'running'][(o_orderkey % 3)::INT + 1] END AS status FROM orders)"""
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
-        "concat('N', user_id % 100) as neuron", "event_id % 150 as chain_idx", "ts", "event_id as seq",
+        "concat('N', user_id) as neuron", "event_id % 15 as chain_idx", "ts", "event_id as seq",
         """case event_type when 'view' then 'in_review' when 'click' then 'approved' when 'error' then 'rejected'
            when 'purchase' then 'corrected' else 'unreviewed' end as review""",
     )
 
 
 REVIEWS = """
-reviews AS (SELECT 'N' || (user_id % 100) AS neuron, event_id % 150 AS chain_idx, ts, event_id AS seq,
+reviews AS (SELECT 'N' || user_id AS neuron, event_id % 15 AS chain_idx, ts, event_id AS seq,
   CASE event_type WHEN 'view' THEN 'in_review' WHEN 'click' THEN 'approved' WHEN 'error' THEN 'rejected'
     WHEN 'purchase' THEN 'corrected' ELSE 'unreviewed' END AS review FROM events)"""
