@@ -267,11 +267,9 @@ def gt_neuron_area(spark, sf):
     return own.join(px, "nr").groupBy("label", "slice").agg(F.sum("n").alias("area"), F.count("*").alias("n_segments"))
 
 
-_PATH = "'/out/' || c_name || '/chain_' || lpad((c_custkey % 30)::VARCHAR, 2, '0') || '/masks/mask_' || lpad(c_custkey::VARCHAR, greatest(4, length(c_custkey::VARCHAR)), '0') || '.png'"
-
-
 def _paths(spark, sf):
-    return L.table(spark, sf, "customer").select(ledgers.of_path(F.expr(_PATH.replace("::VARCHAR", "").replace("lpad((c_custkey % 30)", "lpad(string(c_custkey % 30)").replace("lpad(c_custkey,", "lpad(string(c_custkey),").replace("length(c_custkey)", "length(string(c_custkey))"))).alias("p")).select("p.*")
+    path = "concat('/out/', c_name, '/chain_', lpad(string(c_custkey % 30), 2, '0'), '/masks/mask_', lpad(string(c_custkey), greatest(4, length(string(c_custkey))), '0'), '.png')"
+    return L.table(spark, sf, "customer").select(ledgers.of_path(F.expr(path)).alias("p")).select("p.*")
 
 
 @query("SELECT c_name AS neuron, c_custkey % 30 AS chain_idx, c_custkey AS z FROM customer")
