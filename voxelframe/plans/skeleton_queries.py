@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxelframe.operators import skeletons
+from voxelframe.operators import masks, metrics, skeletons
 from voxelframe.plans.base import query
 from voxelframe.sources import lenses as L
 
@@ -228,3 +228,25 @@ def grow_window(spark, sf):
     low = lambda c: F.greatest(F.lit(0), F.floor(c) - 30)
     high = lambda c: F.least(F.lit(1000), F.floor(c) + 130)
     return L.nodes(spark, sf).select("node_id", low("x").alias("left_"), low("y").alias("top_"), (high("x") - low("x")).alias("width"), (high("y") - low("y")).alias("height"))
+
+
+_MAPS = f"""{L.RUNS}, {L.TRUTH}, px AS (SELECT slice, y, unnest(range(x0, x1)) AS x, substr(neuron, 7)::INT AS lab FROM pred), gx AS (SELECT slice, y, unnest(range(x0, x1)) AS x, substr(neuron, 7)::INT AS lab FROM truth),
+a AS (SELECT slice, y, x, min(lab) AS seg, count(*) AS n FROM px GROUP BY ALL), b AS (SELECT slice, y, x, min(lab) AS gt FROM gx GROUP BY ALL),
+c AS (SELECT seg, gt, count(*) AS n FROM a JOIN b USING (slice, y, x) GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY seg) AS n_seg, sum(n) OVER (PARTITION BY gt) AS n_gt FROM c),
+v AS (SELECT -sum(n * log2(n / n_gt)) / sum(n) AS vs, -sum(n * log2(n / n_seg)) / sum(n) AS vm FROM m), pb AS (SELECT sum(n * (n - 1))::DOUBLE AS b FROM c),
+ps AS (SELECT sum(q * (q - 1))::DOUBLE AS s FROM (SELECT sum(n) AS q FROM c GROUP BY seg)), pg AS (SELECT sum(q * (q - 1))::DOUBLE AS g FROM (SELECT sum(n) AS q FROM c GROUP BY gt))"""
+
+
+@query(f"""WITH RECURSIVE {L.NODES}, {_runs_sql()}, {_MAPS}, tot AS ({_TOTAL})
+SELECT erl, total_length, (SELECT sum(n - 1)::BIGINT FROM a) AS collisions, round(vs, 6) AS voi_split, round(vm, 6) AS voi_merge, round(1 - 2 * (b / s) * (b / g) / (b / s + b / g), 9) AS are,
+ round(1 - b / g, 9) AS split_error, round(1 - b / s, 9) AS merge_error FROM tot, v, pb, ps, pg""")
+def labelmap_report(spark, sf):
+    """Collisions of the composite, both partition scores of its pixels against the truth's, run length."""
+    pred, truth = (masks.merged(L.raw_runs(spark, sf, truth=t)) for t in (False, True))
+    a, b = masks.composite(pred), masks.composite(truth).select("slice", "y", F.col("neuron").alias("gt"), F.col("x0").alias("t0"), F.col("x1").alias("t1"))
+    both = a.join(b, ["slice", "y"]).filter("x0 < t1 and t0 < x1")
+    table = both.groupBy(F.col("neuron").alias("seg"), "gt").agg(F.sum(F.least("x1", "t1") - F.greatest("x0", "t0")).alias("n"))
+    voi = metrics.variation_of_information(table).select("voi_split", "voi_merge")
+    rand = metrics.adapted_rand(table).select("are", "split_error", "merge_error")
+    lost = masks.collisions(pred).agg(F.sum("collisions").alias("collisions"))
+    return _total(L.nodes(spark, sf)).select("erl", "total_length").crossJoin(lost).crossJoin(voi).crossJoin(rand)  # one row each
