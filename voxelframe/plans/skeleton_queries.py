@@ -230,7 +230,7 @@ def grow_window(spark, sf):
     return L.nodes(spark, sf).select("node_id", low("x").alias("left_"), low("y").alias("top_"), (high("x") - low("x")).alias("width"), (high("y") - low("y")).alias("height"))
 
 
-_MAPS = f"""{L.RUNS}, {L.TRUTH}, px AS (SELECT slice, y, unnest(range(x0, x1)) AS x, substr(neuron, 7)::INT AS lab FROM pred), gx AS (SELECT slice, y, unnest(range(x0, x1)) AS x, substr(neuron, 7)::INT AS lab FROM truth),
+_MAPS = f"""{L.RUNS}, {L.TRUTH}, px AS (SELECT slice, y, unnest(range(x0, x1)) AS x, neuron AS lab FROM pred), gx AS (SELECT slice, y, unnest(range(x0, x1)) AS x, neuron AS lab FROM truth),
 a AS (SELECT slice, y, x, min(lab) AS seg, count(*) AS n FROM px GROUP BY ALL), b AS (SELECT slice, y, x, min(lab) AS gt FROM gx GROUP BY ALL),
 c AS (SELECT seg, gt, count(*) AS n FROM a JOIN b USING (slice, y, x) GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY seg) AS n_seg, sum(n) OVER (PARTITION BY gt) AS n_gt FROM c),
 v AS (SELECT -sum(n * log2(n / n_gt)) / sum(n) AS vs, -sum(n * log2(n / n_seg)) / sum(n) AS vm FROM m), pb AS (SELECT sum(n * (n - 1))::DOUBLE AS b FROM c),
