@@ -27,9 +27,11 @@ def bounded(rows: DataFrame, group: str, at_most: int) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, chosen: DataFrame, text: Column) -> DataFrame:
-    """The columns of ``chosen`` and a text for each of its doc_ids: of several texts the first by a hash."""
+    """The columns of ``chosen`` and a text for each of its doc_ids: of several texts the first by a hash.
+    What is broadcast is a sample by ``bounded``: its bound per group, of short rows; so no text is shuffled
+    but those of the sample."""
     found = docs.select("doc_id", F.struct(F.xxhash64("text").alias("h"), text.alias("text")).alias("_t"))
-    one = found.join(chosen, "doc_id").groupBy(*chosen.columns).agg(F.min("_t").alias("_t"))
+    one = found.join(F.broadcast(chosen), "doc_id").groupBy(*chosen.columns).agg(F.min("_t").alias("_t"))
     return one.select(*chosen.columns, "_t.text")
 
 
