@@ -372,7 +372,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = nodes.select("node", "digest", "doc_id")
     named = named.withColumn("root", F.col("node")) if classes.roots is None else named.join(classes.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    ids = named.join(least, "root").select("digest", "component_id")
+    ids = _kept(named.join(least, "root").select("digest", "component_id"), f"{at}/ids")
+    _removed(spark, *(f"{at}/{name}" for name in ("nodes", "buckets", "sets", "narrow", *(f"{kind}{k}" for k in range(1, classes.step + 1) for kind in ("open", "step")))))
     out = rows.select("doc_id", "n_shingles", "digest").join(ids, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
