@@ -23,7 +23,7 @@ def _rows(rows, columns):
     return sorted(repr([float(r[i]) if isinstance(r[i], (int, float)) and not isinstance(r[i], bool) else r[i] for i in order]) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query(spark, duck, name):
     df = catalogue.queries()[name](spark, SF)
     want = duck.sql(catalogue.oracle_sql()[name])
