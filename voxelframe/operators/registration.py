@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from voxelframe.operators import graph
+
 PARAMETERS = ("a", "b", "tx", "c", "d", "ty")
 #: A pair is an outlier beyond this distance, or three medians if that is more.
 OUTLIER = 40.0
@@ -75,14 +77,14 @@ def residuals(pairs: DataFrame, fit: DataFrame) -> DataFrame:
 
 def affine(pairs: DataFrame) -> DataFrame:
     """A fit per section of four pairs or more, with one round of rejecting outliers if four pairs stay."""
-    first = _fit(pairs)
+    first = graph.cut(_fit(pairs))  # a row per section; what follows reads it several times
     res = pairs.join(first.drop("n"), "z").withColumn("res", F.hypot(
         F.col("a") * F.col("sx") + F.col("b") * F.col("sy") + F.col("tx") - F.col("gx"), F.col("c") * F.col("sx") + F.col("d") * F.col("sy") + F.col("ty") - F.col("gy")))
     bound = res.groupBy("z").agg(F.greatest(F.lit(OUTLIER), 3 * F.median("res")).alias("bound"))
     kept = res.join(bound, "z").filter("res <= bound").select(*pairs.columns)
     again = _fit(kept).select("z", *(F.col(p).alias(f"{p}2") for p in PARAMETERS))
     both = first.join(again, "z", "left")
-    return both.select("z", *(F.coalesce(f"{p}2", p).alias(p) for p in PARAMETERS))
+    return graph.cut(both.select("z", *(F.coalesce(f"{p}2", p).alias(p) for p in PARAMETERS)))
 
 
 def filled(fit: DataFrame, low: int, high: int, columns=PARAMETERS) -> DataFrame:
