@@ -132,12 +132,12 @@ def triage_export(spark, sf):
     return _flags(spark, sf).filter("flag").select(F.concat(F.lit("N_"), "neuron").alias("cell_name"), "chain_idx", "z", "flag_count")
 
 
-@query(f"""WITH {L.FRAMES}, u AS (SELECT DISTINCT z, z - 7 AS catmaid_z FROM frames WHERE z BETWEEN 1503 AND 1512) SELECT z, catmaid_z, row_number() OVER (ORDER BY z) - 1 AS frame_idx, 'frame_' || lpad(z::VARCHAR, 5, '0') AS key FROM u""")
+@query(f"""WITH {L.FRAMES}, u AS (SELECT DISTINCT z, z - 7 AS stack_z FROM frames WHERE z BETWEEN 1503 AND 1512) SELECT z, stack_z, row_number() OVER (ORDER BY z) - 1 AS frame_idx, 'frame_' || lpad(z::VARCHAR, 5, '0') AS key FROM u""")
 def frame_range(spark, sf):
     """Slices in a range whose bounds may come in any order, with a dense index; the window is over slices only."""
     low, high = F.least(F.lit(1512), F.lit(1503)), F.greatest(F.lit(1512), F.lit(1503))
     u = L.frames(spark, sf).filter(F.col("z").between(low, high)).select("z").distinct()
-    return u.select("z", (F.col("z") - 7).alias("catmaid_z"), (F.row_number().over(Window.orderBy("z")) - 1).cast("long").alias("frame_idx"), F.concat(F.lit("frame_"), F.lpad(F.col("z").cast("string"), 5, "0")).alias("key"))
+    return u.select("z", (F.col("z") - 7).alias("stack_z"), (F.row_number().over(Window.orderBy("z")) - 1).cast("long").alias("frame_idx"), F.concat(F.lit("frame_"), F.lpad(F.col("z").cast("string"), 5, "0")).alias("key"))
 
 
 @query(f"""{_FLAGS}, s AS (SELECT neuron, chain_idx, round(avg((NOT skeleton_contained)::INT), 9) AS rate, count(*) AS n_frames FROM flags GROUP BY ALL HAVING bool_or(skeleton_contained))

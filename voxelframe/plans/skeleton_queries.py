@@ -199,7 +199,7 @@ _W = {"x": (80, 160), "y": (160, 240)}
 
 
 @query(f"""WITH {L.NODES}, c AS (SELECT node_id, (x - 80) / 2 AS crop_x, (y - 160) / 2 AS crop_y, x, y FROM nodes)
-SELECT node_id, round(crop_x, 9) AS crop_x, round(crop_y, 9) AS crop_y, round((crop_x * 2 + 80) / 8, 9) AS sam_x, round((crop_y * 2 + 160) / 8, 9) AS sam_y,
+SELECT node_id, round(crop_x, 9) AS crop_x, round(crop_y, 9) AS crop_y, round((crop_x * 2 + 80) / 8, 9) AS model_x, round((crop_y * 2 + 160) / 8, 9) AS model_y,
  crop_x >= 0 AND crop_x < 80 AND crop_y >= 0 AND crop_y < 120 AS inside FROM c""")
 def window_maps(spark, sf):
     """Points in a crop of origin (80, 160), size (160, 240) and scale 2, and through it in the model's space."""
@@ -208,7 +208,7 @@ def window_maps(spark, sf):
     inside = F.lit(True)
     for c, (_, size) in _W.items():
         inside = inside & (F.col(f"crop_{c}") >= 0) & (F.col(f"crop_{c}") < size / 2)
-    sam = [F.round((F.col(f"crop_{c}") * 2 + origin) / 8, 9).alias(f"sam_{c}") for c, (origin, _) in _W.items()]
+    sam = [F.round((F.col(f"crop_{c}") * 2 + origin) / 8, 9).alias(f"model_{c}") for c, (origin, _) in _W.items()]
     return n.select("node_id", *(F.round(c, 9).alias(c) for c in crop), *sam, inside.alias("inside"))
 
 
