@@ -223,3 +223,17 @@ def test_registration_finds_a_known_affine(spark):
     assert set(got) == {3, 5} and all(np.allclose([r.a, r.b, r.tx, r.c, r.d, r.ty], [1.1, 0.04, z, -0.03, 1.2, -z]) for z, r in got.items())
     full = {r.z: r.tx for r in registration.filled(registration.affine(pairs), 2, 6).collect()}
     assert np.allclose([full[z] for z in range(2, 7)], [3, 3, 4, 5, 5])
+
+
+def test_best_residual_is_least_squares_per_section(spark):
+    rng = np.random.default_rng(2)
+    rows = [(z, *map(float, rng.uniform(0, 500, 4))) for z, n in ((1, 3), (2, 4), (3, 25)) for _ in range(n)]
+    rows += [(4, float(k), 0.0, float(k * k), float(-k)) for k in range(6)]  # on one line
+    rows += [(5, 7.0, 7.0, float(k), 1.0) for k in range(5)]  # in one place
+    got = registration.best(spark.createDataFrame(rows, "z long, sx double, sy double, gx double, gy double")).collect()
+    assert {r.z for r in got} == {2, 3, 4, 5}
+    for z in (2, 3, 4, 5):
+        p = np.array([r[1:] for r in rows if r[0] == z])
+        s = np.c_[p[:, :2], np.ones(len(p))]
+        left = np.linalg.norm(s @ np.linalg.lstsq(s, p[:, 2:], rcond=None)[0] - p[:, 2:], axis=1)
+        assert np.allclose(sorted(r.best for r in got if r.z == z), sorted(left), atol=1e-6)

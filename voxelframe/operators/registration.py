@@ -75,6 +75,21 @@ def residuals(pairs: DataFrame, fit: DataFrame) -> DataFrame:
     return applied(pairs, fit).withColumn("res", F.hypot(F.col("rx") - F.col("gx"), F.col("ry") - F.col("gy")))
 
 
+def best(pairs: DataFrame, least: int = 4) -> DataFrame:
+    """z, best: what each pair of a section with enough of them keeps under that section's own least squares, a
+    lower bound for any affine per section.  Points on one line are fitted along it, which leaves no more."""
+    at = centred(pairs).filter(F.col("n") >= least)
+    sums = _solved(at.groupBy("z").agg(*_products()))
+    wide = F.col("xx") >= F.col("yy")
+    along = lambda c, g, q, side: F.coalesce(c, F.when(side, F.try_divide(g, q)), F.lit(0.0))
+    fit = sums.select(
+        "z", along(F.col("a"), F.col("gxx"), F.col("xx"), wide).alias("a"), along(F.col("b"), F.col("gxy"), F.col("yy"), ~wide).alias("b"),
+        along(F.col("c"), F.col("gyx"), F.col("xx"), wide).alias("c"), along(F.col("d"), F.col("gyy"), F.col("yy"), ~wide).alias("d"),
+    )
+    off = lambda p, q, v: F.col(p) * F.col("ux") + F.col(q) * F.col("uy") - F.col(v)
+    return at.join(fit, "z").select("z", F.hypot(off("a", "b", "vx"), off("c", "d", "vy")).alias("best"))
+
+
 def affine(pairs: DataFrame) -> DataFrame:
     """A fit per section of four pairs or more, with one round of rejecting outliers if four pairs stay."""
     first = graph.cut(_fit(pairs))  # a row per section; what follows reads it several times

@@ -110,10 +110,13 @@ def chain_prompts(spark, sf):
 _RES = f"WITH {_SMOOTH}, res AS (SELECT p.z, a * sx + b * sy + tx - gx AS dx, c * sx + d * sy + ty - gy AS dy, sqrt((a * sx + b * sy + tx - gx) ** 2 + (c * sx + d * sy + ty - gy) ** 2) AS res FROM pairs p JOIN smo USING (z))"
 
 
-@query(f"{_RES} SELECT count(*) AS n, round(avg(res), 6) AS mean, round(median(res), 6) AS median, round(quantile_cont(res, 0.9), 6) AS p90, round(max(res), 6) AS max FROM res")
+@query(f"{_RES} SELECT count(*) AS n, round(avg(res), 6) AS mean, round(median(res), 6) AS median, round(quantile_cont(res, 0.9), 6) AS p90, round(max(res), 6) AS max, (SELECT round(avg(res), 6) FROM r1) AS best_mean, (SELECT round(median(res), 6) FROM r1) AS best_median, (SELECT round(quantile_cont(res, 0.9), 6) FROM r1) AS best_p90 FROM res")
 def residual_report(spark, sf):
-    r = R.residuals(_pairs(spark, sf), _model(spark, sf))
-    return r.agg(F.count("*").alias("n"), *(F.round(f, 6).alias(c) for c, f in (("mean", F.avg("res")), ("median", F.median("res")), ("p90", F.percentile("res", 0.9)), ("max", F.max("res")))))
+    """Residuals under the model, and under the best affine that each section could have had."""
+    pairs = _pairs(spark, sf)
+    r = R.residuals(pairs, _model(spark, sf)).select("res").unionByName(R.best(pairs).select("best"), allowMissingColumns=True)
+    of = lambda c, name: (F.round(F.avg(c), 6).alias(f"{name}mean"), F.round(F.median(c), 6).alias(f"{name}median"), F.round(F.percentile(c, 0.9), 6).alias(f"{name}p90"))
+    return r.agg(F.count("res").alias("n"), *of("res", ""), F.round(F.max("res"), 6).alias("max"), *of("best", "best_"))
 
 
 @query(f"{_RES} SELECT z, count(*) AS n, round(sqrt(avg(dx) ** 2 + avg(dy) ** 2) / avg(res), 6) AS coherence FROM res GROUP BY z HAVING count(*) >= 4")
