@@ -98,27 +98,23 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int | None = N
     slots = spark.createDataFrame(pa.table({c: np.frombuffer(x, np.int64) for c, x in zip(columns, laid)}))
     added = ("block", "release", "deadline", "slot", "in_target")
     kept = [c for c in docs.columns if c not in added and not c.startswith("_mix")]
+    share = spark.createDataFrame([(s, k) for k, s in enumerate(names)], "_mix_source string, _mix_k long")
+    # Both broadcasts are tables of the driver: one row per weight, and one per slot, at most BLOCKS and one per source.
+    numbers = docs.select(*kept).join(F.broadcast(share), F.col("source").eqNullSafe(F.col("_mix_source")), "left").drop("_mix_source")
+    unknown = F.raise_error(F.lit("a source has no weight")).cast("long")
     # Maps have no hash: rows that differ in them alone count as equal.
     plain = [c for c, t in docs.dtypes if c in kept and "map<" not in t]
-    laned = docs.select(*kept).withColumn("_mix_lane", F.pmod(F.xxhash64("doc_id"), F.lit(LANES))).withColumn("_mix_h", F.xxhash64(*plain))
+    laned = numbers.withColumns({"_mix_k": F.coalesce("_mix_k", unknown), "_mix_lane": F.pmod(F.xxhash64("doc_id"), F.lit(LANES)), "_mix_h": F.xxhash64(*plain)})
     # Rows before each lane: a running sum over at most LANES counts per source.
-    starts = laned.groupBy("source", "_mix_lane").agg(F.count("*").alias("_mix_n"))
-    starts = starts.select(
-        F.col("source").alias("_mix_s"),
-        F.col("_mix_lane").alias("_mix_l"),
-        (F.sum("_mix_n").over(Window.partitionBy("source").orderBy("_mix_lane")) - F.col("_mix_n")).alias("_mix_start"),
-    )
-    order = Window.partitionBy("source", "_mix_lane").orderBy("doc_id", "_mix_h")
+    lane = ["_mix_k", "_mix_lane"]
+    starts = laned.groupBy(*lane).agg(F.count("*").alias("_mix_n"))
+    before = F.sum("_mix_n").over(Window.partitionBy("_mix_k").orderBy("_mix_lane")) - F.col("_mix_n")
+    starts = starts.select(*lane, before.alias("_mix_start"))
+    # Numbered and joined by the same keys, which are never null: whole rows are dealt once for both.
+    order = Window.partitionBy(*lane).orderBy("doc_id", "_mix_h")
     numbered = laned.withColumn("_mix_i", F.row_number().over(order) - 1)
-    numbered = numbered.join(
-        starts, F.col("source").eqNullSafe(F.col("_mix_s")) & (F.col("_mix_lane") == F.col("_mix_l")), "left"
-    ).withColumn("block", F.expr(f"(_mix_start + _mix_i) div {block_rows}L"))
-    share = spark.createDataFrame([(s, k) for k, s in enumerate(names)], "_mix_source string, _mix_k long")
-    # Both broadcasts are tables of the driver: one row per weight, and one per slot, at most BLOCKS and one per source.
-    shared = numbered.join(F.broadcast(share), F.col("source").eqNullSafe(F.col("_mix_source")), "left").drop("_mix_source")
-    unknown = F.raise_error(F.lit("a source has no weight")).cast("long")
-    shared = shared.withColumn("_mix_k", F.coalesce("_mix_k", unknown))
-    placed = shared.join(F.broadcast(slots), (F.col("_mix_k") == F.col("_mix_k2")) & (F.col("block") == F.col("_mix_b")), "left")
+    numbered = numbered.join(starts, lane, "left").withColumn("block", F.expr(f"(_mix_start + _mix_i) div {block_rows}L"))
+    placed = numbered.join(F.broadcast(slots), (F.col("_mix_k") == F.col("_mix_k2")) & (F.col("block") == F.col("_mix_b")), "left")
     # The first slot that some source can no longer fill.
     end = min((rows.get(s, 0) // block_rows * q // shares[s] for s in names), default=0)
     return placed.withColumn("in_target", F.col("slot") < F.lit(min(end, (1 << 63) - 1))).select(*kept, *added)
