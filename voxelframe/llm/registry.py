@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from voxelframe.llm import bpe, exact, html, langid, lines_crf, mixing, rules, sketch, toxicity
+from voxelframe.llm import bpe, exact, html, langid, leaks, lines_crf, mixing, rules, sketch, toxicity
 
 
 def queries():
@@ -15,9 +15,10 @@ def queries():
         sketch.op8_minhash_near_dedup,
         bpe.op9_token_counts,
         rules.op10_quality_rules,
+        leaks.op13_decontamination,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql():
-    return {"op5_exact_dedup": exact.OP5_SQL}
+    return {"op5_exact_dedup": exact.OP5_SQL, "op13_decontamination": leaks.OP13_SQL}
