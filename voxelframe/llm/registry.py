@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from voxelframe.llm import bpe, exact, html, langid, leaks, lines_crf, mixing, rules, sketch, toxicity
+from voxelframe.llm import align, bpe, exact, html, langid, leaks, lines_crf, mixing, rules, sketch, toxicity, trie
 
 
 def queries():
@@ -15,10 +15,12 @@ def queries():
         sketch.op8_minhash_near_dedup,
         bpe.op9_token_counts,
         rules.op10_quality_rules,
+        align.op11_tokenizer_alignment,
+        trie.op12_prefix_trie,
         leaks.op13_decontamination,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql():
-    return {"op5_exact_dedup": exact.OP5_SQL, "op13_decontamination": leaks.OP13_SQL}
+    return {"op5_exact_dedup": exact.OP5_SQL, "op12_prefix_trie": trie.OP12_SQL, "op13_decontamination": leaks.OP13_SQL}
