@@ -72,6 +72,20 @@ def states(documents: DataFrame, schema) -> DataFrame:
     return s.withColumn("frame_to_z", F.transform_keys("frame_to_z", lambda k, _: k.cast("int")))
 
 
+def of_neurons(chains: DataFrame, actions: DataFrame) -> DataFrame:
+    """A disposition of a neuron (neuron, review, ts, seq) as one of each of its chains."""
+    return chains.select(*KEY).distinct().join(actions.select("neuron", "review", "ts", "seq"), "neuron").select(*KEY, "review", "ts", "seq")
+
+
+def saved(states: DataFrame, branches: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What saving corrected branches (neuron, chain_idx, ts, seq) changes: the states, of which a saved one takes
+    its neuron's window (neuron, crop_window), and the dispositions ``corrected``, to be added to the reviews.
+    A branch without a state has only the disposition."""
+    own = branches.select(*KEY).distinct().join(windows.select("neuron", F.col("crop_window").alias("_w")), "neuron")
+    at = states.join(own, KEY, "left").withColumn("crop_window", F.coalesce("_w", "crop_window")).select(*states.columns)
+    return at, branches.select(*KEY, F.lit("corrected").alias("review"), "ts", "seq")
+
+
 def of_path(path: Column) -> Column:
     """neuron, chain_idx and z of a mask's path, as a struct."""
     part = lambda k: F.regexp_extract(path, r"([^/]+)/chain_(\d+)/masks/mask_0*(\d+)\.png$", k)

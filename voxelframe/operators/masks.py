@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,6 +10,22 @@ from voxelframe.operators import graph
 
 ROW = ("slice", "neuron", "y")
 MASK = ["slice", "neuron"]
+#: Runs meet within tiles of 2 ** TILE_BITS pixels of an image row.
+TILE_BITS = 6
+
+
+def tiled(runs: DataFrame, x0: str = "x0", x1: str = "x1") -> DataFrame:
+    """A row for each tile that the interval [x0, x1) touches, an empty one none."""
+    ends = F.shiftright(x0, TILE_BITS), F.shiftright(F.col(x1) - 1, TILE_BITS)
+    return runs.filter(F.col(x0) < F.col(x1)).withColumn("tile", F.explode(F.sequence(*ends)))
+
+
+def met(a: DataFrame, b: DataFrame, on: list[str], b0: str, b1: str) -> DataFrame:
+    """Pairs of overlapping intervals, [x0, x1) of ``a`` and [b0, b1) of ``b``, of the same image row (``on``),
+    each once: in the tile in which the overlap begins.  A row of many runs is dealt by its tiles, and a run
+    meets only what its own tiles hold, so the work grows with the runs and not with their square."""
+    begins = F.shiftright(F.greatest("x0", b0), TILE_BITS) == F.col("tile")
+    return tiled(a).join(tiled(b, b0, b1), [*on, "tile"]).filter((F.col("x0") < F.col(b1)) & (F.col(b0) < F.col("x1")) & begins).drop("tile")
 
 
 def merged(runs: DataFrame) -> DataFrame:
@@ -38,7 +54,7 @@ def region_counts(pred: DataFrame, truth: DataFrame) -> DataFrame:
     key = ["slice", "neuron"]
     scored = pred.join(truth.select("neuron").distinct(), "neuron", "left_semi").join(truth.select("slice").distinct(), "slice", "left_semi")
     t = truth.select(*ROW, F.col("x0").alias("t0"), F.col("x1").alias("t1"))
-    inside = scored.join(t, [*ROW]).filter("x0 < t1 and t0 < x1")
+    inside = met(scored, t, [*ROW], "t0", "t1")
     tp = inside.groupBy(*key).agg(F.sum(F.least("x1", "t1") - F.greatest("x0", "t0")).alias("tp"))
     area = lambda d, name: d.groupBy(*key).agg(F.sum(F.col("x1") - F.col("x0")).alias(name))
     out = area(scored, "pred_area").join(area(truth, "gt_area"), key, "left").join(tp, key, "left").fillna(0, ["tp", "gt_area"])
@@ -78,7 +94,8 @@ def pieces(runs: DataFrame) -> DataFrame:
     row = ["slice", "y"]
     ends = runs.select(*row, F.explode(F.array("x0", "x1")).alias("s")).distinct()
     cuts = ends.withColumn("e", F.lead("s").over(Window.partitionBy(*row).orderBy("s"))).filter("e is not null")
-    on = cuts.join(runs, row).filter("x0 <= s and e <= x1")
+    at = cuts.withColumn("tile", F.shiftright("s", TILE_BITS))  # no run ends within a piece: its start decides
+    on = at.join(tiled(runs), [*row, "tile"]).filter("x0 <= s and s < x1")
     return on.groupBy(*row, F.col("s").alias("x0"), F.col("e").alias("x1")).agg(F.min("neuron").alias("first"), F.max("neuron").alias("last"), F.count("*").alias("n"))
 
 
@@ -98,7 +115,8 @@ def difference(old: DataFrame, new: DataFrame) -> DataFrame:
     both = old.withColumn("side", F.lit("lost")).unionByName(new.withColumn("side", F.lit("gained")))
     ends = both.select(*ROW, F.explode(F.array("x0", "x1")).alias("s")).distinct()
     cuts = ends.withColumn("e", F.lead("s").over(Window.partitionBy(*ROW).orderBy("s"))).filter("e is not null")
-    on = cuts.join(both, [*ROW]).filter("x0 <= s and e <= x1").groupBy(*ROW, "s", "e")
+    at = cuts.withColumn("tile", F.shiftright("s", TILE_BITS))
+    on = at.join(tiled(both), [*ROW, "tile"]).filter("x0 <= s and s < x1").groupBy(*ROW, "s", "e")
     one = on.agg(F.min("side").alias("side"), F.count("*").alias("n")).filter("n = 1")
     return one.select(*ROW, F.col("s").alias("x0"), F.col("e").alias("x1"), "side")
 
@@ -108,8 +126,9 @@ def labelled(runs: DataFrame, corners: bool = True) -> DataFrame:
     and the component's size and first pixel (first_y, first_x)."""
     at = graph.cut(runs.withColumn("node", F.monotonically_increasing_id()))
     below = at.select("slice", "neuron", (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("node").alias("v"))
-    touch = "x0 <= b1 and b0 <= x1" if corners else "x0 < b1 and b0 < x1"
-    links = at.join(below, [*ROW]).filter(touch).select(F.col("node").alias("u"), "v")
+    wider = int(corners)  # runs that touch over a corner overlap when both are longer by a pixel
+    above = at.select(*ROW, "x0", (F.col("x1") + wider).alias("x1"), F.col("node").alias("u"))
+    links = met(above, below.withColumn("b1", F.col("b1") + wider), [*ROW], "b0", "b1").select("u", "v")
     part = at.join(graph.components(at.select("node"), links), "node")
     first = F.min(F.struct("y", "x0")).alias("p")
     size = part.groupBy("component").agg(F.sum(F.col("x1") - F.col("x0")).alias("size"), first)
@@ -146,11 +165,11 @@ def dilated(runs: DataFrame, shape=CROSS) -> DataFrame:
     return merged(d.select("slice", "neuron", (F.col("y") + F.col("_s.dy")).alias("y"), (F.col("x0") - F.col("_s.dx")).alias("x0"), (F.col("x1") + F.col("_s.dx")).alias("x1")))
 
 
-def clipped(runs: DataFrame, frame: tuple[int, int]) -> DataFrame:
+def clipped(runs: DataFrame, frame: tuple[int | Column, int | Column]) -> DataFrame:
     """Runs within a frame of (rows, columns)."""
-    rows, columns = frame
-    r = runs.filter(F.col("y").between(0, rows - 1))
-    return r.withColumns({"x0": F.greatest("x0", F.lit(0)), "x1": F.least("x1", F.lit(columns))}).filter("x0 < x1")
+    rows, columns = (F.lit(n) if isinstance(n, int) else n for n in frame)
+    r = runs.filter((F.col("y") >= 0) & (F.col("y") < rows))
+    return r.withColumns({"x0": F.greatest("x0", F.lit(0)), "x1": F.least("x1", columns)}).filter("x0 < x1")
 
 
 def complement(runs: DataFrame, frame: tuple[int, int], pad: int = 0) -> DataFrame:
@@ -206,19 +225,61 @@ def cleaned(runs: DataFrame, frame: tuple[int, int]) -> DataFrame:
     return filled(largest(labelled(closed(opened(runs, frame), frame))), frame)
 
 
+def resampled(runs: DataFrame, frame: tuple[Column, Column], to: tuple[Column, Column]) -> DataFrame:
+    """Nearest-neighbour scaling from a frame of (rows, columns) to another, both of which each row may have
+    for itself: pixel t of the target shows pixel floor(t * from / to).  So a run, and an image row, covers the
+    pixels from its start, scaled and rounded up, to its end, scaled and rounded up; the image rows that
+    show nothing of it are left out."""
+    (h, w), (h2, w2) = ([F.lit(c) if isinstance(c, int) else c for c in x] for x in (frame, to))
+    up = lambda c, a, b: F.ceil(c * b / a)
+    r = runs.withColumns({"_a": up(F.col("y"), h, h2), "_b": up(F.col("y") + 1, h, h2), "x0": up(F.col("x0"), w, w2), "x1": up(F.col("x1"), w, w2)})
+    return r.filter("_a < _b and x0 < x1").withColumn("y", F.explode(F.sequence("_a", F.col("_b") - 1))).drop("_a", "_b")
+
+
 def rescaled(runs: DataFrame, frame: tuple[int, int], to: tuple[int, int]) -> DataFrame:
-    """Nearest-neighbour scaling: pixel t of the target shows pixel floor(t * from / to)."""
-    (h, w), (h2, w2) = frame, to
-    up = lambda c, a, b: F.expr(f"cast((({c}) * {b} + {a} - 1) div {a} as bigint)")
-    r = runs.withColumns({"_a": up("y", h, h2), "_b": up("y + 1", h, h2), "x0": up("x0", w, w2), "x1": up("x1", w, w2)})
-    return r.filter("_a < _b and x0 < x1").select("slice", "neuron", F.explode(F.sequence("_a", F.col("_b") - 1)).alias("y"), "x0", "x1")
+    """All masks from one frame to another."""
+    return resampled(runs, frame, to).select(*ROW, "x0", "x1")
 
 
-def placed(runs: DataFrame, origin: tuple[int, int], frame: tuple[int, int]) -> DataFrame:
-    """Runs of a crop put at its origin (row, column) in the full frame, without what lies outside."""
+def placed(runs: DataFrame, origin: tuple[int | Column, int | Column], frame: tuple[int | Column, int | Column]) -> DataFrame:
+    """Runs of a crop put at its origin (row, column) in the full frame, without what lies outside; origin and
+    frame may be columns."""
     return clipped(runs.withColumns({"y": F.col("y") + origin[0], "x0": F.col("x0") + origin[1], "x1": F.col("x1") + origin[1]}), frame)
 
 
+def _extent(length: Column, scale: Column) -> Column:
+    """Pixels of a stretch of full-resolution pixels at a scale, one at least; halves go to the even number."""
+    return F.greatest(F.lit(1), F.bround(length / scale).cast("long"))
+
+
+def remapped(runs: DataFrame, source: Column, target: Column) -> DataFrame:
+    """Runs of crops in the grid of other windows.  A window is a struct of ``origin_tif`` (x, y), ``size_tif``
+    (width, height) and ``crop_scale``, one per row: the source's crop is laid over the rectangle that it
+    shows, at the target's scale, and clipped to the target."""
+    s = F.col("_to.crop_scale")
+    r = runs.withColumns({"_from": source, "_to": target})
+    size = lambda window, k, scale: _extent(F.col(window)["size_tif"][k], scale)
+    own = F.col("_from.crop_scale")
+    r = resampled(r, (size("_from", 1, own), size("_from", 0, own)), (size("_from", 1, s), size("_from", 0, s)))
+    at = lambda k: F.bround((F.col("_from.origin_tif")[k] - F.col("_to.origin_tif")[k]) / s).cast("long")
+    return placed(r, (at(1), at(0)), (size("_to", 1, s), size("_to", 0, s))).drop("_from", "_to")
+
+
+def unplaced(runs: DataFrame, states: DataFrame, frame: tuple[int, int], scale: int) -> DataFrame:
+    """Runs of chains' masks (slice, neuron, chain_idx, y, x0, x1) in the full frame at the model's scale.  The
+    saved state of a chain (neuron, chain_idx, crop_window) tells where its masks lie: a crop is scaled down to
+    its window and put at the window's origin; without a window, or a state, masks are the full frame
+    already.  Parts beyond the frame are clipped."""
+    whole = F.struct(
+        F.array(F.lit(0.0), F.lit(0.0)).alias("origin_tif"), F.array(*(F.lit(n * scale) for n in reversed(frame))).alias("size_tif"),
+        F.lit(scale).alias("crop_scale"),
+    )
+    window = F.struct(*(F.col(f"crop_window.{c}").alias(c) for c in ("origin_tif", "size_tif", "crop_scale")))
+    known = states.filter("crop_window is not null").select("neuron", "chain_idx", window.alias("_w"))
+    at = runs.join(known, ["neuron", "chain_idx"], "left")
+    return remapped(at, F.coalesce("_w", whole), whole).drop("_w")
+
+
 def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
     """The old masks, but the new one where there is one."""
     return old.join(new.select(*MASK).distinct(), MASK, "left_anti").unionByName(new)
@@ -236,8 +297,7 @@ def signals(runs: DataFrame) -> DataFrame:
     m = m.withColumns({f"p_{c}": F.lag(c).over(w) for c in ("slice", "area", "cy", "cx")})
     before = runs.select("neuron", F.col("slice").alias("p_slice"), "y", F.col("x0").alias("b0"), F.col("x1").alias("b1"))
     now = runs.join(m.select(*MASK, "p_slice"), MASK)
-    shared = now.join(before, ["neuron", "p_slice", "y"]).filter("x0 < b1 and b0 < x1")
-    shared = shared.groupBy(*MASK).agg(F.sum(F.least("x1", "b1") - F.greatest("x0", "b0")).alias("shared"))
+    shared = met(now, before, ["neuron", "p_slice", "y"], "b0", "b1").groupBy(*MASK).agg(F.sum(F.least("x1", "b1") - F.greatest("x0", "b0")).alias("shared"))
     m = m.join(shared, MASK, "left").withColumn("shared", F.when(F.col("p_area").isNotNull(), F.coalesce("shared", F.lit(0))))
     return m.select(
         *MASK, "area", "cy", "cx", (F.col("area") / F.greatest("p_area", F.lit(1))).alias("area_ratio"),
@@ -250,8 +310,9 @@ def hits(points: DataFrame, runs: DataFrame, radius: int = 0) -> DataFrame:
     """Pairs of a point (id, slice, px, py) and a run within ``radius``, with the pixels of the run in the
     point's window; the point goes to the image rows around it, so the join has an equal key."""
     p = points.withColumn("y", F.explode(F.sequence(F.col("py") - radius, F.col("py") + radius)))
-    on = p.join(runs.select("slice", "neuron", "y", "x0", "x1"), ["slice", "y"]).filter(f"x0 <= px + {radius} and x1 > px - {radius}")
-    return on.withColumn("pixels", F.least("x1", F.col("px") + radius + 1) - F.greatest("x0", F.col("px") - radius))
+    p = p.withColumns({"w0": F.col("px") - radius, "w1": F.col("px") + radius + 1})
+    on = met(runs.select("slice", "neuron", "y", "x0", "x1"), p, ["slice", "y"], "w0", "w1")
+    return on.withColumn("pixels", F.least("x1", "w1") - F.greatest("x0", "w0")).drop("w0", "w1")
 
 
 def labels_at(points: DataFrame, runs: DataFrame, label, radius: int = 0) -> DataFrame:

@@ -1,16 +1,17 @@
 """Registration of sections: linear and affine least squares by sums of products, filling, smoothing, residuals.
 
 Pairs are rows of z, sx, sy (skeleton) and gx, gy (truth).  A fit is one row of six parameters per section:
-x = a*sx + b*sy + tx, y = c*sx + d*sy + ty.  Sums are taken after centring on each section, for accuracy.
+x = a*sx + b*sy + tx, y = c*sx + d*sy + ty.  Sums are those of pairs centred on each section, for accuracy.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxelframe.operators import graph
+from voxelframe.operators import graph, masks
+from voxelframe.operators.quantiles import quantiles
 
 PARAMETERS = ("a", "b", "tx", "c", "d", "ty")
 #: A pair is an outlier beyond this distance, or three medians if that is more.
@@ -28,39 +29,45 @@ def _solved(sums: DataFrame) -> DataFrame:
     })
 
 
-def _products() -> list:
-    s = lambda p, q, name: F.sum(F.col(p) * F.col(q)).alias(name)
-    return [s("ux", "ux", "xx"), s("uy", "uy", "yy"), s("ux", "uy", "xy"), s("vx", "ux", "gxx"), s("vx", "uy", "gxy"), s("vy", "ux", "gyx"), s("vy", "uy", "gyy")]
+_PRODUCTS = {"xx": ("sx", "sx"), "yy": ("sy", "sy"), "xy": ("sx", "sy"), "gxx": ("gx", "sx"), "gxy": ("gx", "sy"), "gyx": ("gy", "sx"), "gyy": ("gy", "sy")}
 
 
-def centred(pairs: DataFrame) -> DataFrame:
-    """Adds each pair's place against the means of its section: ux, uy, vx, vy; and these means."""
-    means = pairs.groupBy("z").agg(*(F.avg(c).alias(f"m_{c}") for c in ("sx", "sy", "gx", "gy")), F.count("*").alias("n"))
-    at = pairs.join(means, "z")
-    return at.withColumns({u: F.col(c) - F.col(f"m_{c}") for u, c in (("ux", "sx"), ("uy", "sy"), ("vx", "gx"), ("vy", "gy"))})
+def moments(pairs: DataFrame, *by: str) -> DataFrame:
+    """Per section (or one row for all): n, the means m_* and the sums of products of the pairs centred on
+    them, in one aggregate; the running covariances that it merges keep their accuracy far from the origin."""
+    means = [F.avg(c).alias(f"m_{c}") for c in ("sx", "sy", "gx", "gy")]
+    sums = [(F.covar_pop(p, q) * F.count("*")).alias(name) for name, (p, q) in _PRODUCTS.items()]
+    return pairs.groupBy(*by).agg(F.count("*").alias("n"), *means, *sums)
 
 
 def linear(pairs: DataFrame) -> DataFrame:
     """One row a, b, c, d: the linear part that all sections share."""
-    return _solved(centred(pairs).agg(*_products())).select("a", "b", "c", "d")
+    return _solved(moments(pairs, "z").agg(*(F.sum(c).alias(c) for c in _PRODUCTS))).select("a", "b", "c", "d")
 
 
 def offsets(pairs: DataFrame, model: DataFrame, least: int = 3) -> DataFrame:
     """Median residual per section after the linear part, where there are enough pairs."""
     r = pairs.crossJoin(F.broadcast(model))  # the model is one row
     rx, ry = F.col("gx") - F.col("a") * F.col("sx") - F.col("b") * F.col("sy"), F.col("gy") - F.col("c") * F.col("sx") - F.col("d") * F.col("sy")
-    return r.groupBy("z").agg(F.median(rx).alias("tx"), F.median(ry).alias("ty"), F.count("*").alias("n")).filter(F.col("n") >= least)
+    both = r.select("z", F.explode(F.array(F.struct(F.lit("tx").alias("name"), rx.alias("r")), F.struct(F.lit("ty").alias("name"), ry.alias("r")))).alias("p"))
+    q = quantiles(both.select("z", "p.*"), "r", ["z", "name"], [0.5])
+    of = lambda name: F.max(F.when(F.col("name") == name, F.col("q0"))).alias(name)
+    return q.groupBy("z").agg(of("tx"), of("ty"), F.max("n").alias("n")).filter(F.col("n") >= least)
 
 
-def _fit(pairs: DataFrame) -> DataFrame:
-    means = [f"m_{c}" for c in ("sx", "sy", "gx", "gy")]
-    fit = _solved(centred(pairs).groupBy("z", "n", *means).agg(*_products())).filter("n >= 4 and a is not null")
+def _fit(pairs: DataFrame, *by: str) -> DataFrame:
+    fit = _solved(moments(pairs, *by)).filter("n >= 4 and a is not null")
     return fit.select(
-        "z", "n", "a", "b", (F.col("m_gx") - F.col("a") * F.col("m_sx") - F.col("b") * F.col("m_sy")).alias("tx"),
+        *by, "n", "a", "b", (F.col("m_gx") - F.col("a") * F.col("m_sx") - F.col("b") * F.col("m_sy")).alias("tx"),
         "c", "d", (F.col("m_gy") - F.col("c") * F.col("m_sx") - F.col("d") * F.col("m_sy")).alias("ty"),
     )
 
 
+def _by(fit: DataFrame) -> tuple[Column, Column]:
+    """Where a fit, whose parameters are columns beside the pair's, puts the pair."""
+    return F.col("a") * F.col("sx") + F.col("b") * F.col("sy") + F.col("tx"), F.col("c") * F.col("sx") + F.col("d") * F.col("sy") + F.col("ty")
+
+
 def applied(rows: DataFrame, fit: DataFrame, x: str = "sx", y: str = "sy") -> DataFrame:
     """Adds rx, ry: the place in the truth's pixels by the section's fit; sections beyond the fitted ones take
     the nearest end."""
@@ -78,30 +85,54 @@ def residuals(pairs: DataFrame, fit: DataFrame) -> DataFrame:
 def best(pairs: DataFrame, least: int = 4) -> DataFrame:
     """z, best: what each pair of a section with enough of them keeps under that section's own least squares, a
     lower bound for any affine per section.  Points on one line are fitted along it, which leaves no more."""
-    at = centred(pairs).filter(F.col("n") >= least)
-    sums = _solved(at.groupBy("z").agg(*_products()))
+    sums = _solved(moments(pairs, "z")).filter(F.col("n") >= least)
     wide = F.col("xx") >= F.col("yy")
     along = lambda c, g, q, side: F.coalesce(c, F.when(side, F.try_divide(g, q)), F.lit(0.0))
     fit = sums.select(
-        "z", along(F.col("a"), F.col("gxx"), F.col("xx"), wide).alias("a"), along(F.col("b"), F.col("gxy"), F.col("yy"), ~wide).alias("b"),
+        "z", *(f"m_{c}" for c in ("sx", "sy", "gx", "gy")),
+        along(F.col("a"), F.col("gxx"), F.col("xx"), wide).alias("a"), along(F.col("b"), F.col("gxy"), F.col("yy"), ~wide).alias("b"),
         along(F.col("c"), F.col("gyx"), F.col("xx"), wide).alias("c"), along(F.col("d"), F.col("gyy"), F.col("yy"), ~wide).alias("d"),
     )
-    off = lambda p, q, v: F.col(p) * F.col("ux") + F.col(q) * F.col("uy") - F.col(v)
-    return at.join(fit, "z").select("z", F.hypot(off("a", "b", "vx"), off("c", "d", "vy")).alias("best"))
+    u = {c: F.col(c) - F.col(f"m_{c}") for c in ("sx", "sy", "gx", "gy")}
+    off = lambda p, q, v: F.col(p) * u["sx"] + F.col(q) * u["sy"] - u[v]
+    return pairs.join(fit, "z").select("z", F.hypot(off("a", "b", "gx"), off("c", "d", "gy")).alias("best"))
 
 
 def affine(pairs: DataFrame) -> DataFrame:
     """A fit per section of four pairs or more, with one round of rejecting outliers if four pairs stay."""
-    first = graph.cut(_fit(pairs))  # a row per section; what follows reads it several times
-    res = pairs.join(first.drop("n"), "z").withColumn("res", F.hypot(
-        F.col("a") * F.col("sx") + F.col("b") * F.col("sy") + F.col("tx") - F.col("gx"), F.col("c") * F.col("sx") + F.col("d") * F.col("sy") + F.col("ty") - F.col("gy")))
-    bound = res.groupBy("z").agg(F.greatest(F.lit(OUTLIER), 3 * F.median("res")).alias("bound"))
+    first = graph.cut(_fit(pairs, "z"))  # a row per section; what follows reads it several times
+    rx, ry = _by(first)
+    res = pairs.join(first.drop("n"), "z").withColumn("res", F.hypot(rx - F.col("gx"), ry - F.col("gy")))
+    bound = quantiles(res, "res", ["z"], [0.5]).select("z", F.greatest(F.lit(OUTLIER), 3 * F.col("q0")).alias("bound"))
     kept = res.join(bound, "z").filter("res <= bound").select(*pairs.columns)
-    again = _fit(kept).select("z", *(F.col(p).alias(f"{p}2") for p in PARAMETERS))
+    again = _fit(kept, "z").select("z", *(F.col(p).alias(f"{p}2") for p in PARAMETERS))
     both = first.join(again, "z", "left")
     return graph.cut(both.select("z", *(F.coalesce(f"{p}2", p).alias(p) for p in PARAMETERS)))
 
 
+def correspondences(nodes: DataFrame, runs: DataFrame, segments: DataFrame, least: int = 1, spread: float = 400.0) -> DataFrame:
+    """Pairs for a registration, one per section and label: z, label, n_nodes, sx, sy (mean of the label's nodes
+    there) and gx, gy (centroid of its mask).
+
+    ``nodes`` are label, z, x, y; ``runs`` are slice, segment, y, x0, x1; ``segments`` names the label of each
+    segment, and a label's mask is the union of all of its segments.  Left out is where the pairing would be
+    ambiguous: too few nodes, nodes in several places (sample spread beyond ``spread``), or a mask in more
+    than one piece (pixels that meet at a corner only are apart)."""
+    std = lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))
+    at = nodes.filter("x is not null and y is not null and z is not null").withColumn("z", F.col("z").cast("long"))
+    at = at.groupBy("z", "label").agg(F.count("*").alias("n_nodes"), F.avg("x").alias("sx"), F.avg("y").alias("sy"), F.hypot(std("x"), std("y")).alias("spread"))
+    at = at.filter((F.col("n_nodes") >= least) & (F.col("spread") <= spread)).drop("spread")
+    own = runs.join(segments, "segment").select("slice", F.col("label").alias("neuron"), "y", "x0", "x1")
+    own = own.join(at.select(F.col("z").alias("slice"), F.col("label").alias("neuron")), ["slice", "neuron"], "left_semi")
+    whole = masks.labelled(masks.merged(own), corners=False)
+    n = F.col("x1") - F.col("x0")
+    mask = whole.groupBy(F.col("slice").alias("z"), F.col("neuron").alias("label")).agg(
+        F.countDistinct("component").alias("pieces"),
+        (F.sum(n * (F.col("x0") + F.col("x1") - 1)) / 2 / F.sum(n)).alias("gx"), (F.sum(n * F.col("y")) / F.sum(n)).alias("gy"),
+    )
+    return at.join(mask.filter("pieces = 1").drop("pieces"), ["z", "label"])
+
+
 def filled(fit: DataFrame, low: int, high: int, columns=PARAMETERS) -> DataFrame:
     """A row per section from low to high: missing ones lie on the line between their neighbours, those
     beyond the ends repeat them.  Windows are per parameter, over the sections of one registration."""
@@ -134,8 +165,9 @@ def scaled(fit: DataFrame, factor: float) -> DataFrame:
 
 def landmarks(pairs: DataFrame) -> DataFrame:
     """One affine for all landmarks: scale, angle and residuals."""
-    one = pairs.withColumn("z", F.lit(0))
-    fit = _fit(one)
-    r = residuals(one, fit).agg(F.avg("res").alias("mean"), F.max("res").alias("max"), F.stddev_pop("res").alias("std"))
+    fit = graph.cut(_fit(pairs))
+    rx, ry = _by(fit)
+    r = pairs.crossJoin(F.broadcast(fit)).withColumn("res", F.hypot(rx - F.col("gx"), ry - F.col("gy")))  # one row
+    r = r.agg(F.avg("res").alias("mean"), F.max("res").alias("max"), F.stddev_pop("res").alias("std"))
     shape = fit.select(*PARAMETERS, F.sqrt(F.col("a") ** 2 + F.col("c") ** 2).alias("scale"), F.degrees(F.atan2("c", "a")).alias("angle"))
     return shape.crossJoin(r)  # one row each

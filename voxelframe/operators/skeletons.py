@@ -135,16 +135,98 @@ def nearest(points: DataFrame, nodes: DataFrame, radius: float) -> DataFrame:
     return points.join(best, "point", "left").select("point", "b.node_id", "b.dist")
 
 
-def k_nearest(points: DataFrame, nodes: DataFrame, k: int, radius: float) -> DataFrame:
-    """The k nearest other nodes of each point's slice.  Points that have k within the radius are done by grid
-    cells; only the others meet their whole slice."""
+def on_frames(members: DataFrame, states: DataFrame, scale: int, image: tuple[int, int]) -> DataFrame:
+    """Nodes of chains (neuron, chain_idx, node_id, x, y, z, in full-resolution pixels) as points on the chains'
+    frames: frame, px, py, and whether the point is inside the picture.
+
+    A chain's state (neuron, chain_idx, frame_to_z, crop_window) says which section each frame shows, and of which
+    window, scaled by its crop_scale; without a window it is the whole image of (rows, columns), scaled by
+    ``scale``.  A node on a section of no frame has frame null, as have all nodes of a chain without a state."""
+    of = F.map_entries("frame_to_z")
+    shown = states.select("neuron", "chain_idx", F.explode(of).alias("e")).select("neuron", "chain_idx", F.col("e.value").alias("z"), F.col("e.key").alias("frame"))
+    at = members.join(shown.groupBy("neuron", "chain_idx", "z").agg(F.max("frame").alias("frame")), ["neuron", "chain_idx", "z"], "left")
+    at = at.join(states.select("neuron", "chain_idx", "crop_window"), ["neuron", "chain_idx"], "left")
+    w = F.col("crop_window")
+    point = lambda c, k: F.when(w.isNull(), F.col(c) / scale).otherwise((F.col(c) - w["origin_tif"][k]) / w["crop_scale"])
+    size = lambda k: F.when(w.isNull(), F.lit(image[1 - k] / scale)).otherwise(F.bround(w["size_tif"][k] / w["crop_scale"]))
+    at = at.withColumns({"px": point("x", 0), "py": point("y", 1)})
+    inside = (F.col("px") >= 0) & (F.col("px") < size(0)) & (F.col("py") >= 0) & (F.col("py") < size(1))
+    return at.select("neuron", "chain_idx", "node_id", "z", "frame", "px", "py", inside.alias("inside"))
+
+
+#: Levels of the tree of cells below a slice's square, and the most places of a cell that is not split.
+LEVELS, LEAF = 12, 32
+
+
+def _tree(nodes: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Places (z, x, y, with the k + 1 smallest ids of the nodes there) in the cells of a tree over each slice's
+    square, and all of its cells down to those that are not split: z, level, cx, cy, n (nodes, not more than
+    k + 1 of a place), split, and the square's corner x0, y0 and side."""
+    at = nodes.select("node_id", "z", "x", "y").filter("x is not null and y is not null and z is not null")
+    # A place keeps as many ids as can ever be wanted of it; each task keeps its own smallest first.
+    nth = F.row_number().over(Window.partitionBy("z", "x", "y").orderBy("node_id"))
+    at = at.withColumn("_nth", nth).filter(F.col("_nth") <= k + 1).groupBy("z", "x", "y").agg(F.array_sort(F.collect_list("node_id")).alias("ids"))
+    square = at.groupBy("z").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-9)) * (1 + 1e-9)
+    at = at.join(square.select("z", "x0", "y0", side.alias("side")), "z")
+    cell = lambda c: F.floor((F.col(c) - F.col(f"{c}0")) / F.col("side") * (1 << LEVELS))
+    at = graph.cut(at.withColumns({"cx": cell("x"), "cy": cell("y")}))
+    up = lambda c: F.expr(f"shiftright({c}, {LEVELS} - level)").alias(c)
+    every = at.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+    corner = [F.first(c).alias(c) for c in ("x0", "y0", "side")]
+    cells = every.groupBy("z", "level", up("cx"), up("cy")).agg(F.sum(F.size("ids")).alias("n"), F.count("*").alias("places"), *corner)
+    cells = cells.withColumn("split", (F.col("places") > LEAF) & (F.col("level") < LEVELS)).drop("places")
+    return at, cells
+
+
+def candidates(points: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """Pairs of each point (point, z, px, py) and the places of its slice that its k nearest other nodes can lie in,
+    with dist and the places' ids.
+
+    From the whole slice on down, a point keeps the cells that can matter: those whose nearest corner is not
+    farther than the farthest corners of the cells that together surely hold k + 1 nodes.  Then the cells kept
+    are split, level by level.  So a point far from all others, or in a crowd, meets a few cells of every
+    size, and never a whole slice."""
+    at, cells = _tree(nodes, k)
+    cells = graph.cut(cells)
+    deepest = cells.filter("split").agg(F.max("level")).first()[0]
+    known = ["z", "level", "cx", "cy", "n", "split", "x0", "y0", "side"]
+    front = points.select("point", "z", "px", "py").join(cells.filter("level = 0"), "z")
+    near = Window.partitionBy("point").orderBy("far", "cx", "cy", "level")
+    enough = F.sum("n").over(near.rowsBetween(Window.unboundedPreceding, 0))
+    for level in range(0 if deepest is None else deepest + 1):
+        below = cells.filter(F.col("level") == level + 1).select(
+            *(F.col(c).alias(f"_{c}") for c in ("cx", "cy", "n", "split")), F.col("z").alias("_z"), F.shiftright("cx", 1).alias("_px"), F.shiftright("cy", 1).alias("_py"))
+        open_ = front.filter((F.col("level") == level) & F.col("split"))
+        inside = open_.join(below, (F.col("z") == F.col("_z")) & (F.col("cx") == F.col("_px")) & (F.col("cy") == F.col("_py")))
+        inside = inside.select("point", "px", "py", "z", F.lit(level + 1).alias("level"), *(F.col(f"_{c}").alias(c) for c in ("cx", "cy", "n", "split")), "x0", "y0", "side")
+        kept = front.filter(~((F.col("level") == level) & F.col("split"))).select("point", "px", "py", *known)
+        front = kept.unionByName(inside)
+        size = F.col("side") / F.pow(F.lit(2.0), F.col("level"))
+        low = {c: F.col(f"{c}0") + F.col(f"c{c}") * size for c in "xy"}
+        aside = {c: F.greatest(low[c] - F.col(f"p{c}"), F.col(f"p{c}") - low[c] - size, F.lit(0.0)) for c in "xy"}
+        beyond = {c: F.greatest(F.abs(low[c] - F.col(f"p{c}")), F.abs(low[c] + size - F.col(f"p{c}"))) for c in "xy"}
+        front = front.withColumns({"close": F.hypot(aside["x"], aside["y"]), "far": F.hypot(beyond["x"], beyond["y"])})
+        front = front.withColumn("_seen", enough)
+        reach = F.min(F.when(F.col("_seen") > k, F.col("far"))).over(Window.partitionBy("point"))
+        front = front.withColumn("_reach", F.coalesce(reach, F.lit(float("inf"))) * (1 + 1e-9) + 1e-9).filter("close <= _reach").drop("_seen", "_reach", "close", "far")
+        if level % 3 == 2:
+            front = graph.cut(front)
+    # A place lies in the one kept cell of its point that holds it.
+    last = front.select("point", "px", "py", "z", "level", "cx", "cy").withColumn("_up", LEVELS - F.col("level"))
+    every = at.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+    up = lambda c: F.expr(f"shiftright({c}, {LEVELS} - level)").alias(c)
+    places = every.select("z", "x", "y", "ids", "level", up("cx"), up("cy")).join(cells.filter("not split").select("z", "level", "cx", "cy"), ["z", "level", "cx", "cy"])
+    both = last.join(places, ["z", "level", "cx", "cy"])
+    return both.select("point", "ids", F.sqrt((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2).alias("dist"))
+
+
+def k_nearest(points: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """The k nearest other nodes (point is a node's id) of each point's slice, all if there are fewer: point, rank,
+    node_id, dist; the smaller id comes first on ties.  Points of unknown place have none."""
     order = Window.partitionBy("point").orderBy("dist", "node_id")
-    top = lambda d: d.filter("node_id <> point").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("point", "rank", "node_id", "dist")
-    near = graph.cut(top(within(points, nodes, radius)))
-    full = near.groupBy("point").agg(F.count("*").alias("n")).filter(F.col("n") == k).select("point")
-    rest = points.join(full, "point", "left_anti").join(nodes.select("node_id", "z", "x", "y"), "z")
-    rest = top(rest.withColumn("dist", F.sqrt((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2)))
-    return near.join(full, "point", "left_semi").unionByName(rest)
+    pairs = candidates(points, nodes, k).select("point", "dist", F.explode("ids").alias("node_id")).filter("node_id <> point")
+    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("point", "rank", "node_id", "dist")
 
 
 #: The affine from stack pixels to full-resolution pixels, and file z less stack z.

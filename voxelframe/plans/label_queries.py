@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, MapType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from voxelframe.operators import frames, labels, ledgers, metrics, segments
+from voxelframe.operators import drift, frames, labels, ledgers, metrics, segments
 from voxelframe.plans.base import query
 from voxelframe.plans.catalogue import _FLAGS, _LATEST, _TABLE
 from voxelframe.sources import lenses as L
@@ -42,7 +42,7 @@ def ledger_summary(spark, sf):
     return labels.summary(_labels(spark, sf))
 
 
-@query(f"""{_FLAGS}, o AS (SELECT neuron, chain_idx, z, row_number() OVER (PARTITION BY neuron, chain_idx ORDER BY (z * 7919 + 5) * 104729 % 1000003, z) AS nth
+@query(f"""{_FLAGS}, o AS (SELECT neuron, chain_idx, z, row_number() OVER (PARTITION BY neuron, chain_idx ORDER BY (z * 7919 + ('0x' || substr(md5(neuron || ':' || chain_idx), 1, 7))::BIGINT + 5) * 104729 % 1000003, z) AS nth
  FROM flags WHERE flag_count < 1 AND z <> 1501) SELECT neuron, chain_idx, z, 'ok' AS verdict, 'sampled' AS role FROM o WHERE nth <= 8""")
 def sample_unflagged(spark, sf):
     flagged = _flags(spark, sf)
@@ -282,10 +282,81 @@ def chains_on_disk(spark, sf):
     return _paths(spark, sf).select("neuron", "chain_idx").distinct().groupBy("chain_idx").agg(F.count("*").alias("n_neurons"), F.min("neuron").alias("first"))
 
 
-@query(f"""{_FLAGS}, d AS (SELECT z // 4 * 4 AS bin, abs(x0 - area) AS drift, z FROM flags) SELECT bin, count(*) AS n, round(avg(drift), 6) AS mean, round(quantile_cont(drift, 0.5), 6) AS median, round(quantile_cont(drift, 0.9), 6) AS p90,
- (SELECT round(corr(z, drift), 6) FROM d) AS corr FROM d GROUP BY ALL""")
+_ACTS = """last AS (SELECT event_type AS neuron, user_id AS chain_idx, max(event_id) AS k FROM events GROUP BY ALL),
+ra AS (SELECT neuron, chain_idx, CASE WHEN k % 2 = 0 THEN 'approve' ELSE 'reject' END AS action, CASE WHEN k % 3 = 0 THEN 'leak' ELSE 'drift' END AS error_type, 1500 + k % 5 AS anchor_z FROM last WHERE chain_idx % 4 <> 0)"""
+
+
+@query(f"""{_FLAGS}, {_ACTS}, qd AS (SELECT f.neuron, f.chain_idx, f.z, CASE WHEN action = 'approve' THEN 'ok' ELSE 'wrong' END AS verdict, CASE WHEN z = anchor_z THEN 'anchor' ELSE 'flagged' END AS role,
+ CASE WHEN action = 'reject' THEN error_type END AS error_type, action AS source FROM flags f JOIN ra USING (neuron, chain_idx) WHERE flag_count >= 2),
+so AS (SELECT neuron, chain_idx, z, row_number() OVER (PARTITION BY neuron, chain_idx ORDER BY (z * 7919 + ('0x' || substr(md5(neuron || ':' || chain_idx), 1, 7))::BIGINT + 3) * 104729 % 1000003, z) AS nth
+ FROM flags JOIN ra USING (neuron, chain_idx) WHERE flag_count < 1)
+FROM qd UNION ALL SELECT neuron, chain_idx, z, 'ok', 'sampled', NULL, 'sample' FROM so WHERE nth <= 8""")
+def action_labels(spark, sf):
+    """Approved and rejected chains as labels of their queued frames, and of a sample of the others."""
+    last = L.table(spark, sf, "events").groupBy(F.col("event_type").alias("neuron"), F.col("user_id").alias("chain_idx")).agg(F.max("event_id").alias("k"))
+    acts = last.filter("chain_idx % 4 <> 0").selectExpr(
+        "neuron", "chain_idx", "if(k % 2 = 0, 'approve', 'reject') as action", "if(k % 3 = 0, 'leak', 'drift') as error_type", "1500 + k % 5 as anchor_z")
+    shown = _flags(spark, sf).withColumn("flag", F.col("flag_count") >= 1)
+    return labels.expanded(acts, shown.filter("flag_count >= 2"), shown, 8, 3)
+
+
+@query(f"""WITH {L.CHAIN_STATES}, {L.MANIFEST}, sv AS (SELECT neuron, chain_idx, k FROM chain_k WHERE k % 4 = 0), wn AS (SELECT neuron, min(ox) AS ox, min(oy) AS oy, (max(ox + w) - min(ox))::INT AS w, (max(oy + h) - min(oy))::INT AS h FROM chain_states GROUP BY ALL),
+na AS (SELECT neuron, CASE WHEN max(k) % 2 = 0 THEN 'approved' ELSE 'rejected' END AS review, min(k) + 5 AS seq FROM chain_k WHERE k % 3 = 1 GROUP BY ALL),
+rv AS (SELECT neuron, chain_idx, review, seq FROM chain_k JOIN na USING (neuron) UNION ALL SELECT neuron, chain_idx, 'corrected', k FROM sv), lt AS (SELECT neuron, chain_idx, arg_max(review, (seq, review)) AS review FROM rv GROUP BY ALL)
+SELECT k.neuron, k.chain_idx, review, CASE WHEN sv.k IS NOT NULL AND wn.ox IS NOT NULL THEN wn.ox ELSE c.ox END AS origin_x, CASE WHEN sv.k IS NOT NULL AND wn.ox IS NOT NULL THEN wn.w ELSE c.w END AS width,
+ CASE WHEN sv.k IS NOT NULL AND wn.ox IS NOT NULL THEN greatest(4, ceil(greatest(wn.w, wn.h) / 200)) ELSE c.scale END::INT AS scale
+FROM chain_k k LEFT JOIN chain_states c USING (neuron, chain_idx) LEFT JOIN sv USING (neuron, chain_idx) LEFT JOIN wn USING (neuron) LEFT JOIN lt USING (neuron, chain_idx)""")
+def branch_saved(spark, sf):
+    """Neurons approved or rejected as a whole, and branches saved on their own: dispositions and windows after."""
+    states = L.chain_states(spark, sf)
+    k = L.table(spark, sf, "customer").selectExpr("concat('Brand#', 1 + c_custkey % 5, 1 + c_custkey div 5 % 5) as neuron", "c_custkey % 7 as chain_idx", "c_custkey as k").groupBy("neuron", "chain_idx").agg(F.min("k").alias("k"))
+    left, top, right, bottom = (f("crop_window.origin_tif")[i] for f, i in ((F.col, 0), (F.col, 1), (F.col, 0), (F.col, 1)))
+    size = F.col("crop_window.size_tif")
+    w = states.filter("crop_window is not null").groupBy("neuron").agg(F.min(left).alias("x0"), F.min(top).alias("y0"), F.max(right + size[0]).alias("x1"), F.max(bottom + size[1]).alias("y1"))
+    windows = w.selectExpr("neuron", """named_struct('origin_tif', array(x0, y0), 'size_tif', array(cast(x1 - x0 as int), cast(y1 - y0 as int)),
+        'crop_scale', cast(greatest(4, ceil(greatest(cast(x1 - x0 as int), cast(y1 - y0 as int)) / 200)) as int), 'sam_scale', 8) as crop_window""")
+    now = F.lit(0).alias("ts")
+    whole = k.filter("k % 3 = 1").groupBy("neuron").agg(F.max("k").alias("m"), (F.min("k") + 5).alias("seq"))
+    whole = whole.select("neuron", F.expr("if(m % 2 = 0, 'approved', 'rejected')").alias("review"), now, "seq")
+    states, corrected = ledgers.saved(states, k.filter("k % 4 = 0").select("neuron", "chain_idx", now, F.col("k").alias("seq")), windows)
+    reviews = ledgers.of_neurons(k, whole).unionByName(corrected)
+    last = reviews.groupBy("neuron", "chain_idx").agg(F.max_by("review", F.struct("seq", "review")).alias("review"))
+    c = F.col("crop_window")
+    return states.join(last, ["neuron", "chain_idx"], "left").select("neuron", "chain_idx", "review", c["origin_tif"][0].alias("origin_x"), c["size_tif"][0].alias("width"), c["crop_scale"].alias("scale"))
+
+
+_DRIFT = f"""WITH {L.CHAIN_RUNS}, {L.CHAIN_STATES}, cen AS (SELECT neuron, chain_idx, slice AS z, sum((x1 - x0) * (x0 + x1 - 1)) / 2 / sum(x1 - x0) AS cx, sum((x1 - x0) * y) / sum(x1 - x0) AS cy,
+ CASE WHEN slice % 3 = 0 THEN NULL ELSE (slice + chain_idx) % 4 <> 0 END AS contained FROM chain_runs GROUP BY ALL),
+nd AS (SELECT 'Brand#' || (1 + c_custkey % 5) || (1 + c_custkey // 5 % 5) AS neuron, c_custkey % 7 AS chain_idx, c_custkey % 20 AS z, avg(c_custkey * 7 % 145) AS nx, avg(c_custkey * 3 % 40) AS ny FROM customer GROUP BY ALL),
+o AS (SELECT *, nx - CASE WHEN scale IS NULL THEN cx ELSE (cx * scale + ox) / 8 END AS offx, ny - CASE WHEN scale IS NULL THEN cy ELSE (cy * scale + oy) / 8 END AS offy, z - 8 AS zoff FROM cen JOIN nd USING (neuron, chain_idx, z) LEFT JOIN chain_states USING (neuron, chain_idx)),
+d AS (SELECT *, sqrt(offx ** 2 + offy ** 2) AS dist, scale IS NOT NULL AS tier2 FROM o)"""
+
+
+def _drift(spark, sf):
+    n = F.col("x1") - F.col("x0")
+    cen = L.chain_runs(spark, sf).groupBy("neuron", "chain_idx", F.col("slice").alias("z")).agg(
+        (F.sum(n * (F.col("x0") + F.col("x1") - 1)) / 2 / F.sum(n)).alias("cx"), (F.sum(n * F.col("y")) / F.sum(n)).alias("cy"))
+    cen = cen.withColumn("contained", F.expr("if(z % 3 = 0, null, (z + chain_idx) % 4 <> 0)"))
+    nodes = L.table(spark, sf, "customer").selectExpr(
+        "concat('Brand#', 1 + c_custkey % 5, 1 + c_custkey div 5 % 5) as neuron", "c_custkey % 7 as chain_idx", "c_custkey % 20 as z", "c_custkey * 7 % 145 as xs", "c_custkey * 3 % 40 as ys")
+    return drift.offsets(cen, nodes, L.chain_states(spark, sf), 8, 8)
+
+
+@query(f"""{_DRIFT}, g AS (SELECT (floor(zoff / 4) * 4)::BIGINT AS bin, count(*) AS n, avg(offx) AS mx, avg(offy) AS my, avg(dist) AS md, avg(coalesce(contained, false)::INT) AS contained FROM d GROUP BY ALL)
+SELECT bin, n, round(mx, 6) AS mean_x, round(my, 6) AS mean_y, round(sqrt(mx ** 2 + my ** 2), 6) AS common, round(md, 6) AS mean_dist, round(contained, 6) AS contained, round(sqrt(mx ** 2 + my ** 2) / greatest(md, 1e-6), 6) AS coherence FROM g""")
 def drift_bins(spark, sf):
-    """Drift per bin of sections, and its correlation with depth over all of them."""
-    d = _flags(spark, sf).select(F.expr("z div 4 * 4").alias("bin"), F.abs(F.col("x0") - F.col("area")).cast("double").alias("drift"), "z")
-    bins = d.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("drift"), 6).alias("mean"), *(F.round(F.percentile("drift", p), 6).alias(c) for c, p in (("median", 0.5), ("p90", 0.9))))
-    return bins.crossJoin(F.broadcast(d.agg(F.round(F.corr("z", "drift"), 6).alias("corr"))))  # one row
+    """How far registered nodes lie from the masks that followed them, per bin of sections from the fit."""
+    r = lambda c: F.round(c, 6).alias(c)
+    return drift.bins(_drift(spark, sf), 4).select("bin", "n", r("mean_x"), r("mean_y"), r("common"), r("mean_dist"), r("contained"), r("coherence"))
+
+
+@query(f"""{_DRIFT}, s AS (SELECT z, sqrt(avg(offx) ** 2 + avg(offy) ** 2) AS common FROM d GROUP BY z HAVING count(*) >= 3), f AS (SELECT sqrt(avg(offx) ** 2 + avg(offy) ** 2) AS common FROM d WHERE z >= (SELECT max(z) FROM d) - 5),
+t AS (SELECT CASE WHEN count(*) > 3 THEN corr(z, common) END AS r, count(*) AS n FROM s)
+SELECT count(*) AS n, count(DISTINCT (neuron, chain_idx)) AS n_chains, round(avg(dist), 6) AS mean, round(avg(coalesce(contained, false)::INT), 6) AS contained, round(corr(zoff, dist), 6) AS r_dist, (SELECT n FROM t) AS n_sections, (SELECT round(r, 6) FROM t) AS r_common,
+ (SELECT round(common, 6) FROM f) AS far_common, round(quantile_cont(dist, 0.5), 6) AS median, round(quantile_cont(dist, 0.9), 6) AS p90, round(quantile_cont(dist, 0.5) FILTER (tier2), 6) AS median_crop, round(quantile_cont(dist, 0.5) FILTER (NOT tier2), 6) AS median_full,
+ coalesce((SELECT r FROM t) > 0.4 AND (SELECT common FROM f) > 15, false) AS drifts FROM d""")
+def drift_report(spark, sf):
+    """Whether the registration drifts towards the far end of the stack."""
+    one = drift.report(_drift(spark, sf), far=5)
+    r = lambda c: F.round(c, 6).alias(c)
+    return one.select("n", "n_chains", r("mean"), r("contained"), r("r_dist"), "n_sections", r("r_common"), r("far_common"), r("median"), r("p90"), r("median_crop"), r("median_full"), "drifts")

@@ -264,3 +264,23 @@ def window_place(spark, sf):
 @query(f"""WITH {L.RUNS}, {L.TRUTH}, new AS (SELECT * FROM truth WHERE slice % 2 = 0), a AS (SELECT * FROM pred ANTI JOIN new USING (slice, neuron) UNION ALL FROM new) SELECT slice, neuron, y, x0, x1 FROM a""")
 def frames_merge(spark, sf):
     return masks.replaced(_pred(spark, sf), _truth(spark, sf).filter("slice % 2 = 0"))
+
+
+_UNION = f"""{L.CHAIN_RUNS}, {L.CHAIN_STATES}, pos AS (SELECT r.*, coalesce(ox, 0) AS ox, coalesce(oy, 0) AS oy, coalesce(w, 145 * 8) AS w, coalesce(h, 40 * 8) AS h, coalesce(scale, 8) AS scale FROM chain_runs r LEFT JOIN chain_states USING (neuron, chain_idx)),
+geo AS (SELECT *, round_even(w / scale, 0)::BIGINT AS fw, round_even(h / scale, 0)::BIGINT AS fh, greatest(1, round_even(w / 8, 0))::BIGINT AS tw, greatest(1, round_even(h / 8, 0))::BIGINT AS th, round_even(ox / 8, 0)::BIGINT AS px, round_even(oy / 8, 0)::BIGINT AS py FROM pos),
+tx AS (SELECT unnest(range(0, 145)) AS tx), ty AS (SELECT unnest(range(0, 40)) AS ty),
+pix AS (SELECT DISTINCT slice, neuron, ty + py AS y, tx + px AS x FROM geo JOIN ty ON ty < th AND ty * fh // th = y JOIN tx ON tx < tw AND tx * fw // tw >= x0 AND tx * fw // tw < x1 WHERE ty + py BETWEEN 0 AND 39 AND tx + px BETWEEN 0 AND 144)"""
+
+
+def _chain_union(spark, sf):
+    return masks.merged(masks.unplaced(L.chain_runs(spark, sf), L.chain_states(spark, sf), FRAME, 8))
+
+
+@query(f"WITH {_UNION} SELECT slice, neuron, count(*) AS area, sum(x)::BIGINT AS sum_x, sum(y)::BIGINT AS sum_y, min(x) AS x0, max(x) + 1 AS x1, min(y) AS y0, max(y) + 1 AS y1 FROM pix GROUP BY ALL")
+def chain_masks_union(spark, sf):
+    """Masks of a neuron's chains, of whole frames and of crops at several scales, united in the full frame."""
+    n = F.col("x1") - F.col("x0")
+    return _chain_union(spark, sf).groupBy("slice", "neuron").agg(
+        F.sum(n).alias("area"), F.expr("sum((x1 - x0) * (x0 + x1 - 1) div 2)").alias("sum_x"), F.sum(n * F.col("y")).alias("sum_y"),
+        F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"),
+    )

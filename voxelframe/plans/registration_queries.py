@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voxelframe.operators import graph
 from voxelframe.operators import registration as R
+from voxelframe.operators.quantiles import quantiles
 from voxelframe.plans.base import query
 from voxelframe.sources import lenses as L
 
@@ -41,12 +43,22 @@ def _rounded(df, columns, n, *first):
     return df.select(*first, *(F.round(c, n).alias(c) for c in columns))
 
 
-@query(f"WITH {_PAIRS} SELECT z, neuron, count(*) AS n, round(avg(sx), 6) AS mx, round(avg(sy), 6) AS my, round(sqrt(coalesce(stddev_samp(sx), 0) ** 2 + coalesce(stddev_samp(sy), 0) ** 2), 6) AS spread FROM pairs GROUP BY z, neuron HAVING count(*) >= 2 AND sqrt(coalesce(stddev_samp(sx), 0) ** 2 + coalesce(stddev_samp(sy), 0) ** 2) <= 180")
+_SPREAD = 330
+_CORR = f"""{L.NODES}, {L.SEGMENT_RUNS}, own AS (SELECT slice, label, y, x0, x1 FROM segment_runs JOIN segments USING (segment)),
+fresh AS (SELECT *, CASE WHEN x0 <= max(x1) OVER (PARTITION BY slice, label, y ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM own),
+isl AS (SELECT *, sum(f) OVER (PARTITION BY slice, label, y ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) AS k FROM fresh),
+un AS (SELECT slice, label, y, min(x0) AS x0, max(x1) AS x1 FROM isl GROUP BY slice, label, y, k), id AS (SELECT *, row_number() OVER (ORDER BY slice, label, y, x0) AS id FROM un),
+e AS (SELECT a.id AS u, b.id AS v FROM id a JOIN id b ON a.slice = b.slice AND a.label = b.label AND b.y = a.y + 1 AND a.x0 < b.x1 AND b.x0 < a.x1), e2 AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+reach AS (SELECT id, id AS root FROM id UNION SELECT e2.v, reach.root FROM reach JOIN e2 ON e2.u = reach.id), comp AS (SELECT id, min(root) AS c FROM reach GROUP BY ALL),
+mask AS (SELECT slice AS z, label, sum((x1 - x0) * (x0 + x1 - 1)) / 2 / sum(x1 - x0) AS gx, sum((x1 - x0) * y) / sum(x1 - x0) AS gy FROM id JOIN comp USING (id) GROUP BY ALL HAVING count(DISTINCT c) = 1),
+place AS (SELECT z, {L.NODE_LABEL_SQL} AS label, count(*) AS n_nodes, avg(x) AS sx, avg(y) AS sy FROM nodes GROUP BY ALL HAVING sqrt(coalesce(stddev_samp(x), 0) ** 2 + coalesce(stddev_samp(y), 0) ** 2) <= {_SPREAD})"""
+
+
+@query(f"WITH RECURSIVE {_CORR} SELECT z, label, n_nodes, round(sx, 6) AS sx, round(sy, 6) AS sy, round(gx, 6) AS gx, round(gy, 6) AS gy FROM place JOIN mask USING (z, label)")
 def correspondences(spark, sf):
-    """Centroid and spread per section and neuron; those with few nodes or in several places are left out."""
-    std = lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))
-    g = _pairs(spark, sf).groupBy("z", "neuron").agg(F.count("*").alias("n"), F.round(F.avg("sx"), 6).alias("mx"), F.round(F.avg("sy"), 6).alias("my"), F.hypot(std("sx"), std("sy")).alias("spread"))
-    return g.filter("n >= 2 and spread <= 180").withColumn("spread", F.round("spread", 6))
+    """Mean node and mask centroid of each label on each section where the two can be paired."""
+    found = R.correspondences(L.labelled_nodes(spark, sf), L.segment_runs(spark, sf), L.segments(spark, sf), spread=_SPREAD)
+    return _rounded(found, ("sx", "sy", "gx", "gy"), 6, "z", "label", "n_nodes")
 
 
 @query(f"WITH {_GLOBAL} SELECT {_R('abcd', 9)} FROM lin")
@@ -82,8 +94,8 @@ def registration_smooth(spark, sf):
     return _rounded(_model(spark, sf), R.PARAMETERS, 6, "z")
 
 
-def _model(spark, sf):
-    return R.smoothed(R.filled(R.affine(_pairs(spark, sf)), 1, 24), 5)
+def _model(spark, sf, pairs=None):
+    return R.smoothed(R.filled(R.affine(pairs or _pairs(spark, sf)), 1, 24), 5)
 
 
 @query(f"WITH {_SMOOTH} SELECT z, {', '.join(f'round({c} / 4, 6) AS {c}' for c in R.PARAMETERS)} FROM smo")
@@ -113,10 +125,13 @@ _RES = f"WITH {_SMOOTH}, res AS (SELECT p.z, a * sx + b * sy + tx - gx AS dx, c
 @query(f"{_RES} SELECT count(*) AS n, round(avg(res), 6) AS mean, round(median(res), 6) AS median, round(quantile_cont(res, 0.9), 6) AS p90, round(max(res), 6) AS max, (SELECT round(avg(res), 6) FROM r1) AS best_mean, (SELECT round(median(res), 6) FROM r1) AS best_median, (SELECT round(quantile_cont(res, 0.9), 6) FROM r1) AS best_p90 FROM res")
 def residual_report(spark, sf):
     """Residuals under the model, and under the best affine that each section could have had."""
-    pairs = _pairs(spark, sf)
-    r = R.residuals(pairs, _model(spark, sf)).select("res").unionByName(R.best(pairs).select("best"), allowMissingColumns=True)
-    of = lambda c, name: (F.round(F.avg(c), 6).alias(f"{name}mean"), F.round(F.median(c), 6).alias(f"{name}median"), F.round(F.percentile(c, 0.9), 6).alias(f"{name}p90"))
-    return r.agg(F.count("res").alias("n"), *of("res", ""), F.round(F.max("res"), 6).alias("max"), *of("best", "best_"))
+    pairs = graph.cut(_pairs(spark, sf))
+    of = lambda df, c, kind: df.select(F.lit(kind).alias("kind"), F.col(c).alias("res"))
+    both = graph.cut(of(R.residuals(pairs, _model(spark, sf, pairs)), "res", "model").unionByName(of(R.best(pairs), "best", "best")))
+    sums = both.groupBy("kind").agg(F.avg("res").alias("mean"), F.max("res").alias("most")).join(quantiles(both, "res", ["kind"], [0.5, 0.9]), "kind")
+    one = lambda kind, c: F.round(F.max(F.when(F.col("kind") == kind, F.col(c))), 6)
+    named = lambda kind, head: (one(kind, c).alias(head + name) for c, name in (("mean", "mean"), ("q0", "median"), ("q1", "p90")))
+    return sums.agg(F.max(F.when(F.col("kind") == "model", F.col("n"))).alias("n"), *named("model", ""), one("model", "most").alias("max"), *named("best", "best_"))
 
 
 @query(f"{_RES} SELECT z, count(*) AS n, round(sqrt(avg(dx) ** 2 + avg(dy) ** 2) / avg(res), 6) AS coherence FROM res GROUP BY z HAVING count(*) >= 4")

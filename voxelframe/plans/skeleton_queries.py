@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxelframe.operators import masks, metrics, skeletons
+from voxelframe.operators import labelmaps, masks, registration, skeletons
+from voxelframe.plans import registration_queries
 from voxelframe.plans.base import query
 from voxelframe.sources import lenses as L
 
@@ -165,7 +166,7 @@ def nearest_node(spark, sf):
 @query(f"""WITH {L.NODES}, {_POINTS}, d AS (SELECT point, node_id, sqrt((x - px) ** 2 + (y - py) ** 2) AS dist FROM pts JOIN nodes USING (z) WHERE node_id <> point),
 o AS (SELECT point, row_number() OVER (PARTITION BY point ORDER BY dist, node_id) AS rank, node_id, round(dist, 6) AS dist FROM d) FROM o WHERE rank <= 3""")
 def knn_negatives(spark, sf):
-    return skeletons.k_nearest(_points(spark, sf), L.nodes(spark, sf), 3, 40.0).withColumn("dist", F.round("dist", 6))
+    return skeletons.k_nearest(_points(spark, sf), L.nodes(spark, sf), 3).withColumn("dist", F.round("dist", 6))
 
 
 @query(f"""WITH {L.NODES}, b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM nodes),
@@ -230,23 +231,64 @@ def grow_window(spark, sf):
     return L.nodes(spark, sf).select("node_id", low("x").alias("left_"), low("y").alias("top_"), (high("x") - low("x")).alias("width"), (high("y") - low("y")).alias("height"))
 
 
-_MAPS = f"""{L.RUNS}, {L.TRUTH}, px AS (SELECT slice, y, unnest(range(x0, x1)) AS x, neuron AS lab FROM pred), gx AS (SELECT slice, y, unnest(range(x0, x1)) AS x, neuron AS lab FROM truth),
+_MAPS = f"""px AS (SELECT slice, y, unnest(range(x0, x1)) AS x, neuron AS lab FROM pred), gx AS (SELECT slice, y, unnest(range(x0, x1)) AS x, neuron AS lab FROM truth),
 a AS (SELECT slice, y, x, min(lab) AS seg, count(*) AS n FROM px GROUP BY ALL), b AS (SELECT slice, y, x, min(lab) AS gt FROM gx GROUP BY ALL),
-c AS (SELECT seg, gt, count(*) AS n FROM a JOIN b USING (slice, y, x) GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY seg) AS n_seg, sum(n) OVER (PARTITION BY gt) AS n_gt FROM c),
+c AS (SELECT coalesce(seg, '') AS seg, gt, count(*) AS n FROM b LEFT JOIN a USING (slice, y, x) WHERE slice IN (SELECT slice FROM pred) GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY seg) AS n_seg, sum(n) OVER (PARTITION BY gt) AS n_gt FROM c),
 v AS (SELECT -sum(n * log2(n / n_gt)) / sum(n) AS vs, -sum(n * log2(n / n_seg)) / sum(n) AS vm FROM m), pb AS (SELECT sum(n * (n - 1))::DOUBLE AS b FROM c),
 ps AS (SELECT sum(q * (q - 1))::DOUBLE AS s FROM (SELECT sum(n) AS q FROM c GROUP BY seg)), pg AS (SELECT sum(q * (q - 1))::DOUBLE AS g FROM (SELECT sum(n) AS q FROM c GROUP BY gt))"""
+#: Nodes through the smoothed registration, at an eighth of its scale, and the label that most pixels around have.
+_ON_MAP = f"""at_px AS (SELECT node_id, n.z AS slice, round_even((a * x + b * y + tx) / 8, 0)::BIGINT AS px, round_even((c * x + d * y + ty) / 8, 0)::BIGINT AS py FROM nodes n JOIN smo ON smo.z = greatest(1, least(24, n.z))),
+win5 AS (SELECT node_id, substr(seg, 7)::INT AS lab, count(*) AS n FROM at_px JOIN a ON a.slice = at_px.slice AND a.y BETWEEN py - 2 AND py + 2 AND a.x BETWEEN px - 2 AND px + 2 GROUP BY ALL),
+most AS (SELECT node_id, arg_max(lab, (n, -lab)) AS lab FROM win5 GROUP BY ALL), on_map AS (SELECT n.* EXCLUDE (label), coalesce(lab, 0) AS label FROM nodes n LEFT JOIN most USING (node_id))"""
 
 
-@query(f"""WITH RECURSIVE {L.NODES}, {_runs_sql()}, {_MAPS}, tot AS ({_TOTAL})
+def _map_fit(spark, sf):
+    return registration.scaled(registration_queries._model(spark, sf), 0.125)
+
+
+_NUMBER = "cast(substring(neuron, 7) as int)"
+
+
+@query(f"""WITH RECURSIVE {registration_queries._SMOOTH}, {L.NODES}, {L.RUNS}, {L.TRUTH}, {_MAPS}, {_ON_MAP}, {_runs_sql('on_map', 1, 0.1)}, tot AS ({_TOTAL})
 SELECT erl, total_length, (SELECT sum(n - 1)::BIGINT FROM a) AS collisions, round(vs, 6) AS voi_split, round(vm, 6) AS voi_merge, round(1 - 2 * (b / s) * (b / g) / (b / s + b / g), 9) AS are,
  round(1 - b / g, 9) AS split_error, round(1 - b / s, 9) AS merge_error FROM tot, v, pb, ps, pg""")
 def labelmap_report(spark, sf):
-    """Collisions of the composite, both partition scores of its pixels against the truth's, run length."""
+    """A map of all neurons' masks: pixels claimed twice, both partition scores over the truth's foreground, and the
+    run length of the labels that registered nodes find in it."""
     pred, truth = (masks.merged(L.raw_runs(spark, sf, truth=t)) for t in (False, True))
-    a, b = masks.composite(pred), masks.composite(truth).select("slice", "y", F.col("neuron").alias("gt"), F.col("x0").alias("t0"), F.col("x1").alias("t1"))
-    both = a.join(b, ["slice", "y"]).filter("x0 < t1 and t0 < x1")
-    table = both.groupBy(F.col("neuron").alias("seg"), "gt").agg(F.sum(F.least("x1", "t1") - F.greatest("x0", "t0")).alias("n"))
-    voi = metrics.variation_of_information(table).select("voi_split", "voi_merge")
-    rand = metrics.adapted_rand(table).select("are", "split_error", "merge_error")
-    lost = masks.collisions(pred).agg(F.sum("collisions").alias("collisions"))
-    return _total(L.nodes(spark, sf)).select("erl", "total_length").crossJoin(lost).crossJoin(voi).crossJoin(rand)  # one row each
+    return labelmaps.report(pred, truth, L.nodes(spark, sf), _map_fit(spark, sf), F.expr(_NUMBER), min_count=1, min_share=0.1)
+
+
+@query(f"""WITH {registration_queries._SMOOTH}, {L.NODES}, {L.RUNS}, {L.TRUTH}, {_MAPS}, {_ON_MAP} SELECT label, count(*) AS n, count(DISTINCT cell_name) AS n_cells FROM on_map GROUP BY ALL""")
+def labelmap_nodes(spark, sf):
+    """Nodes by the label that they find in the map of all neurons' masks."""
+    runs = masks.composite(masks.merged(L.raw_runs(spark, sf))).withColumn("label", F.expr(_NUMBER)).drop("neuron")
+    on = labelmaps.sampled(L.nodes(spark, sf), _map_fit(spark, sf), runs)
+    return on.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("cell_name").alias("n_cells"))
+
+
+_FRAMES_SQL = f"""{L.NODES}, ch AS (SELECT cell_name AS neuron, node_id % 5 AS chain_idx, node_id, x, y, z, substr(cell_name, 2)::BIGINT AS u FROM nodes),
+st AS (SELECT neuron, chain_idx, min(z) + 1 AS lo, max(z) AS hi, (u + chain_idx) % 3 <> 0 AS crop, 100 + 10 * chain_idx AS ox, 200 AS oy, 300 AS w, 400 AS h, 2 + chain_idx % 2 AS scale FROM ch GROUP BY ALL),
+pt AS (SELECT neuron, chain_idx, CASE WHEN z BETWEEN lo AND hi THEN z - lo END AS frame, CASE WHEN crop THEN (x - ox) / scale ELSE x / 8 END AS px, CASE WHEN crop THEN (y - oy) / scale ELSE y / 8 END AS py,
+ CASE WHEN crop THEN round_even(w / scale, 0) ELSE 1000 / 8 END AS pw, CASE WHEN crop THEN round_even(h / scale, 0) ELSE 1000 / 8 END AS ph FROM ch JOIN st USING (neuron, chain_idx))"""
+
+
+def _chain_members(spark, sf):
+    return L.nodes(spark, sf).selectExpr("cell_name as neuron", "node_id % 5 as chain_idx", "node_id", "x", "y", "z")
+
+
+def _frame_states(spark, sf):
+    """The saved state of each chain: its frames' sections, which leave out the first, and a crop window or none."""
+    ends = _chain_members(spark, sf).groupBy("neuron", "chain_idx").agg((F.min("z") + 1).alias("lo"), F.max("z").alias("hi"))
+    window = "named_struct('origin_tif', array(100D + 10 * chain_idx, 200D), 'size_tif', array(300, 400), 'crop_scale', cast(2 + chain_idx % 2 as int), 'sam_scale', 8)"
+    frames = "if(lo > hi, map(), map_from_arrays(sequence(0L, hi - lo), sequence(lo, hi)))"
+    crop = "(cast(substring(neuron, 2) as bigint) + chain_idx) % 3 <> 0"
+    return ends.selectExpr("neuron", "chain_idx", f"cast({frames} as map<bigint,bigint>) as frame_to_z", f"if({crop}, {window}, null) as crop_window")
+
+
+@query(f"""WITH {_FRAMES_SQL} SELECT neuron, chain_idx, frame, count(*) AS n_points, count_if(px >= 0 AND px < pw AND py >= 0 AND py < ph) AS n_inside, round(sum(px), 6) AS sum_x, round(sum(py), 6) AS sum_y FROM pt GROUP BY ALL""")
+def frame_points(spark, sf):
+    """Nodes of each chain as points on its frames, through its window; those of no frame have frame null."""
+    p = skeletons.on_frames(_chain_members(spark, sf), _frame_states(spark, sf), 8, (1000, 1000))
+    sums = [F.round(F.sum(f"p{c}"), 6).alias(f"sum_{c}") for c in "xy"]
+    return p.groupBy("neuron", "chain_idx", "frame").agg(F.count("*").alias("n_points"), F.count_if(F.col("inside")).alias("n_inside"), *sums)

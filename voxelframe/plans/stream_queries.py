@@ -38,7 +38,9 @@ def ledger_stream(spark, sf):
 SELECT neuron, chain_idx, seq, area, CASE WHEN area > 0 AND p > 0 THEN round(area / p, 9) END AS area_ratio FROM l""")
 def qc_stream(spark, sf):
     rows = _events(spark, sf).selectExpr("event_type as neuron", "user_id as chain_idx", "ts", "event_id as seq", "if(event_id % 23 = 0, 0L, cast(floor(value) as bigint) + 5) as area")
-    return live.drained(live.ratios(rows)).withColumn("area_ratio", F.round("area_ratio", 9))
+    live.with_map_state(spark)
+    last = live.revised(live.ratios(rows), ["neuron", "chain_idx", "seq"])
+    return last.select("neuron", "chain_idx", "seq", "area", F.round("area_ratio", 9).alias("area_ratio"))
 
 
 _DONE = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"

@@ -119,3 +119,54 @@ REVIEWS = """
 reviews AS (SELECT 'N' || user_id AS neuron, event_id % 15 AS chain_idx, ts, event_id AS seq,
   CASE event_type WHEN 'view' THEN 'in_review' WHEN 'click' THEN 'approved' WHEN 'error' THEN 'rejected'
     WHEN 'purchase' THEN 'corrected' ELSE 'unreviewed' END AS review FROM events)"""
+
+
+def chain_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of chains' masks, each in the space that its chain's state names; they may overlap."""
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey % 20 as slice", "p_brand as neuron", "p_partkey % 7 as chain_idx", "p_partkey div 20 % 40 as y",
+        "p_partkey * 13 % 90 as x0", "p_partkey * 13 % 90 + p_size as x1")
+
+
+def chain_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved state of each chain, from its first customer: a crop window of some scale, or none."""
+    first = "concat('Brand#', 1 + c_custkey % 5, 1 + c_custkey div 5 % 5) as neuron", "c_custkey % 7 as chain_idx", "c_custkey as k"
+    window = """named_struct('origin_tif', array(k * 37 % 1100 - 200 + 0.5D, k * 29 % 330 - 90 + 0.25D),
+        'size_tif', array(cast((145 + k % 4) * (2 + k % 4) as int), cast((40 + k % 3) * (2 + k % 4) as int)),
+        'crop_scale', cast(2 + k % 4 as int), 'sam_scale', 8)"""
+    rows = table(spark, sf_dir, "customer").selectExpr(*first).groupBy("neuron", "chain_idx").min("k").withColumnRenamed("min(k)", "k")
+    return rows.selectExpr("neuron", "chain_idx", f"if(k % 6 = 0, null, {window}) as crop_window")
+
+
+CHAIN_RUNS = """chain_runs AS (SELECT p_partkey % 20 AS slice, p_brand AS neuron, p_partkey % 7 AS chain_idx, p_partkey // 20 % 40 AS y, p_partkey * 13 % 90 AS x0,
+  p_partkey * 13 % 90 + p_size AS x1 FROM part)"""
+CHAIN_STATES = """
+chain_k AS (SELECT 'Brand#' || (1 + c_custkey % 5) || (1 + c_custkey // 5 % 5) AS neuron, c_custkey % 7 AS chain_idx, min(c_custkey) AS k FROM customer GROUP BY ALL),
+chain_states AS (SELECT neuron, chain_idx, k * 37 % 1100 - 200 + 0.5::DOUBLE AS ox, k * 29 % 330 - 90 + 0.25::DOUBLE AS oy,
+  (145 + k % 4) * (2 + k % 4) AS w, (40 + k % 3) * (2 + k % 4) AS h, 2 + k % 4 AS scale FROM chain_k WHERE k % 6 <> 0)"""
+
+
+NODE_LABEL_SQL = "'L' || substr(cell_name, 2)::BIGINT % 12 || '.' || substr(cell_name, 2)::BIGINT // 12 % 3"
+
+
+def labelled_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes with the label of the neuron that several cells of ``nodes`` share."""
+    n = "cast(substring(cell_name, 2) as bigint)"
+    return nodes(spark, sf_dir).selectExpr("node_id", "z", "x", "y", f"concat('L', {n} % 12, '.', {n} div 12 % 3) as label")
+
+
+def segment_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of segments: a brand within a block of the parts that fill each image row once."""
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey % 20 as slice", "concat(p_brand, '.', p_partkey div 800) as segment", "p_partkey div 20 % 40 as y",
+        "p_partkey * 13 % 90 as x0", "p_partkey * 13 % 90 + p_size as x1")
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label of each segment; a label has several."""
+    of = "concat('L', cast(substring(p_brand, 7) as bigint) % 12, '.', p_partkey div 800) as label"
+    return table(spark, sf_dir, "part").selectExpr("concat(p_brand, '.', p_partkey div 800) as segment", of).distinct()
+
+
+SEGMENT_RUNS = """segment_runs AS (SELECT p_partkey % 20 AS slice, p_brand || '.' || p_partkey // 800 AS segment, p_partkey // 20 % 40 AS y, p_partkey * 13 % 90 AS x0, p_partkey * 13 % 90 + p_size AS x1 FROM part),
+segments AS (SELECT DISTINCT p_brand || '.' || p_partkey // 800 AS segment, 'L' || substr(p_brand, 7)::BIGINT % 12 || '.' || p_partkey // 800 AS label FROM part)"""

@@ -14,6 +14,37 @@ from pyspark.sql import functions as F
 _NAME = r"(?:_s|mask_|/)(\d+)\.png$"
 
 
+def _unfiltered(how: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Bytes of (rows, pixels, bytes of a pixel) from those that the rows' filters have left.
+
+    Where only none, Sub and Up occur, whole rows are summed.  Average and Paeth need the pixels to the left
+    and above, so then all pixels of a diagonal, which need none of each other, are done at once."""
+    height, width, step = raw.shape
+    if not np.isin(how, (3, 4)).any():
+        out, above = np.empty_like(raw), np.zeros((width, step), np.uint8)
+        for y in range(height):
+            row = np.add.accumulate(raw[y], axis=0, dtype=np.uint8) if how[y] == 1 else raw[y]
+            out[y] = above = row + above if how[y] == 2 else row
+        return out
+    # A row above and a pixel before each row are 0.  The pixels of a diagonal lie ``width`` apart.
+    padded = np.zeros((height + 1, width + 1, step), np.int16)
+    flat, source = padded.reshape(-1, step), raw.reshape(-1, step)
+    kinds = [(how == k)[:, None] for k in range(5)]
+    for d in range(height + width - 1):
+        top, end = max(0, d - width + 1), min(height, d + 1)
+        n, first = end - top, (top + 1) * (width + 1) + d - top + 1
+        at = lambda k: flat[first - k : first - k + (n - 1) * width + 1 : width]
+        a, b, c = at(1), at(width + 1), at(width + 2)
+        of = slice(top, end)
+        pa, pb, pc = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+        paeth = np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c))
+        guess = np.select([kinds[1][of], kinds[2][of], kinds[3][of], kinds[4][of]], [a, b, (a + b) >> 1, paeth], 0)
+        start = top * width + d - top
+        left = source[start : start + (n - 1) * (width - 1) + 1 : width - 1] if width > 1 else source[start : start + 1]
+        at(0)[:] = (left + guess) & 255
+    return padded[1:, 1:].astype(np.uint8)
+
+
 def decoded(content: bytes) -> np.ndarray:
     """Pixels of a grey or colour PNG of 8 or 16 bits, not interlaced; of colours the first channel."""
     if content[:8] != b"\x89PNG\r\n\x1a\n":
@@ -33,28 +64,7 @@ def decoded(content: bytes) -> np.ndarray:
         raise ValueError("a kind of PNG that is not read")
     step = channels * depth // 8
     lines = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(height, 1 + width * step)
-    out = np.zeros((height, width * step), np.uint8)
-    above = np.zeros(width * step, np.uint8)
-    for y in range(height):
-        how, line = lines[y, 0], lines[y, 1:]
-        if how == 0:
-            row = line
-        elif how == 2:
-            row = line + above
-        elif how == 1:
-            row = np.add.accumulate(line.reshape(width, step), axis=0, dtype=np.uint8).ravel()
-        else:
-            row = line.astype(int)
-            for i in range(len(row)):
-                a, b = (row[i - step] if i >= step else 0), int(above[i])
-                if how == 3:
-                    guess = (a + b) // 2
-                else:
-                    c = int(above[i - step]) if i >= step else 0
-                    guess = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
-                row[i] = (row[i] + guess) & 255
-            row = row.astype(np.uint8)
-        out[y] = above = row
+    out = _unfiltered(lines[:, 0], lines[:, 1:].reshape(height, width, step))
     pixels = out.reshape(height, width, channels, depth // 8)[:, :, 0].astype(np.uint16)
     return pixels[..., 0] << 8 | pixels[..., 1] if depth == 16 else pixels[..., 0]
 
@@ -70,19 +80,27 @@ def runs_of(pixels: np.ndarray) -> np.ndarray:
     return np.stack([label, y, x0, x1], 1)[label > 0]
 
 
+#: Runs in a batch that Python gives back.
+RUNS_AT_ONCE = 100_000
+
+
 def label_runs(spark: SparkSession, pattern: str, binary: bool = False) -> DataFrame:
     """slice, label, y, x0, x1 of all files of the pattern; the slice is the number at the end of a file's
     name.  Of masks (``binary``) every pixel above 0 has the label 1.  A file that cannot be read fails its
-    task, which Spark tries again."""
-    files = spark.read.format("binaryFile").load(pattern)
-    files = files.select("path", F.regexp_extract("path", _NAME, 1).cast("long").alias("slice"), "content")
+    task, which Spark tries again.
+
+    Spark reads the files, from any store that it reaches, and sends them to Python in batches; for slices of
+    100 MB set ``spark.sql.execution.arrow.maxBytesPerBatch``, or read them one by one (``trees``)."""
+    files = spark.read.format("binaryFile").load(pattern).select("path", F.regexp_extract("path", _NAME, 1).cast("long").alias("slice"), "content")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, z, content in zip(batch["path"], batch["slice"], batch["content"]):
                 pixels = decoded(content)
                 table = runs_of((pixels > 0).astype(np.uint16) if binary else pixels)
-                yield pd.DataFrame(table, columns=["label", "y", "x0", "x1"]).astype("int64").assign(path=path, slice=z)[["path", "slice", "label", "y", "x0", "x1"]]
+                for k in range(0, len(table), RUNS_AT_ONCE):
+                    part = table[k : k + RUNS_AT_ONCE]
+                    yield pd.DataFrame(part, columns=["label", "y", "x0", "x1"]).astype("int64").assign(path=path, slice=z)[["path", "slice", "label", "y", "x0", "x1"]]
 
     return files.mapInPandas(decode, "path string, slice long, label long, y long, x0 long, x1 long")
 
