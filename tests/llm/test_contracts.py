@@ -152,6 +152,10 @@ def test_samples_are_exact(spark):
     got = sampling.bounded(df, "g", 60).collect()
     assert sorted(r.g for r in got) == ["a"] * 60 + ["b"] * 60 and len({r.doc_id for r in got}) == 120
     assert sampling.bounded(df.filter("g = 'b'"), "g", 500).count() == 100
+    many = spark.range(100_000).selectExpr("id % 1000 as doc_id", "'a' as g")  # 1,000 ids of 100 rows
+    found = [r.doc_id for r in sampling.bounded(many, "g", 400).collect()]
+    assert len(found) == len(set(found)) == 400
+    assert sorted(found) == sorted(r.doc_id for r in sampling.bounded(many.distinct().repartition(3), "g", 400).collect())
 
 
 def test_held_out_rows(spark, tables):
@@ -179,7 +183,7 @@ def test_lines_of_a_bad_document_need_not_all_be_bad():
     assert p[0] > 0.5 > p[3] and field.score(texts[0]) > 0.5 > field.score(texts[-1])
     y = lines_crf.line_labels(np.full((2, 4), 0.5), np.array([[10, 10, 10, 10], [5, 5, 0, 0.0]]), np.array([0, 1]))
     assert (y[0] == 0).sum() == 4 and y[1, :2].tolist() == [1, 1]
-    assert len(lines_crf.chains("\n".join(f"line {i}" for i in range(5000)))) == lines_crf.CHAINS
+    assert sum(map(len, lines_crf.chains("\n".join(f"line {i}" for i in range(5000))))) == 5000
 
 
 def test_vectors_take_characters_whole():
@@ -281,3 +285,39 @@ def test_pipeline_by_brute_force(spark):
     rows = spark.createDataFrame([(d["doc_id"], d["source"]) for d in docs], "doc_id long, source string")
     slot = {r.doc_id: r.slot for r in mixing.mix(rows).collect()}
     assert [r.doc_id for r in sorted(got, key=lambda r: r.position)] == sorted(slot, key=lambda i: (slot[i], i))
+
+
+def test_risk_and_its_gradient_by_finite_differences():
+    rng = np.random.default_rng(6)
+    for prior, floor in ((0.05, False), (0.9, True)):
+        x_p, x_u = rng.integers(0, 2, (7, 4)).astype(float), rng.integers(0, 2, (11, 4)).astype(float)
+        w, b = rng.normal(size=4) + (2 if floor else 0), 1.0 if floor else 0.0
+        if floor:  # unlabelled rows that look clean: the corrected negative part falls below zero
+            x_u *= 0
+            b = -3.0
+        sig = lambda z: 1 / (1 + np.exp(-z))
+        part = lambda v: np.mean([sig(v[:-1] @ r + v[-1]) for r in x_u]) - prior * np.mean([sig(v[:-1] @ r + v[-1]) for r in x_p])
+        whole = lambda v: prior * np.mean([1 - sig(v[:-1] @ r + v[-1]) for r in x_p]) + max(0.0, part(v))
+        at = np.append(w, b)
+        value, way = toxicity.risk(w, b, x_p, x_u, prior)
+        assert (part(at) < 0) == floor and abs(value - whole(at)) < 1e-12
+        f = (lambda v: -part(v)) if floor else whole
+        steps = np.eye(5) * 1e-6
+        assert np.allclose(way, [(f(at + e) - f(at - e)) / 2e-6 for e in steps], atol=1e-7)
+
+
+def test_sizes_by_the_library_and_ties():
+    import zstandard as zstd
+
+    raw = {"xx": b"uno dos tres cuatro cinco", "aa": b"one two three four five", "bb": b"one two three four five"}
+    found = langid.Compressors(raw)
+    for text in ("one two three four five", "Dos tres!", "none of them", "One " * 3000):
+        sizes = {}
+        for lang, content in raw.items():
+            words = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            sizes[lang] = len(zstd.ZstdCompressor(level=langid.LEVEL, dict_data=words, write_content_size=False).compress(text.lower().encode()))
+        best = min(sizes, key=lambda k: (sizes[k], k))
+        lang, score, rejected = found.classify(text)
+        gap = sorted(sizes.values())[1] - sizes[best]
+        assert lang == best and rejected == (gap < langid.MARGIN) and 0.5 <= score <= 1
+    assert found.classify("one two three four five")[::2] == ("aa", True)  # equal sizes: the first by name

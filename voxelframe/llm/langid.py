@@ -1,7 +1,6 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary: slices of SLICE characters of SAMPLE_ROWS of its
-texts.  A text takes the language whose dictionary compresses it smallest.  When the best two sizes
+Each language has a zstandard raw-content dictionary: SAMPLE_ROWS of its texts, whole.  A text takes the language whose dictionary compresses it smallest.  When the best two sizes
 differ by less than MARGIN bytes the answer is marked ``rejected``; the best guess still stands in
 ``lang_pred``.
 
@@ -23,9 +22,8 @@ from pyspark.sql import functions as F
 
 from voxelframe.llm.sampling import added, bounded, fold, texts_of
 
-#: What is learned from, per language: so many texts, and so many characters from the middle of each.
-SAMPLE_ROWS = 400
-SLICE = 2000
+#: How many texts are learned from, per language.
+SAMPLE_ROWS = 300
 LEVEL = 3
 MARGIN = 4
 _LETTER = regex.compile(r"\p{L}")
@@ -57,18 +55,17 @@ class Compressors:
 
 
 def train(docs: DataFrame) -> Compressors:
-    """From text and lang of the rows given; SAMPLE_ROWS slices per language reach the driver."""
+    """From text and lang of the rows given; SAMPLE_ROWS texts per language reach the driver."""
     known = docs.filter("lang is not null and text rlike '\\\\p{L}'")
-    middle = F.expr(f"substring(text, 1 + greatest(0, (length(text) - {SLICE}) div 2), {SLICE})")
     raw: dict[str, list[bytes]] = {}
-    for r in texts_of(known, bounded(known, "lang", SAMPLE_ROWS), middle).select("lang", "text").collect():
+    for r in texts_of(known, bounded(known, "lang", SAMPLE_ROWS), F.col("text")).select("lang", "text").collect():
         raw.setdefault(r["lang"], []).append(r["text"].lower().encode("utf-8", "surrogatepass"))
     return Compressors({lang: b"\n".join(sorted(texts)) for lang, texts in raw.items()})
 
 
 def classify(docs: DataFrame, trained: Compressors, text: str = "text") -> DataFrame:
     """Adds lang_pred, score, rejected."""
-    sent = docs.sparkSession.sparkContext.broadcast(trained)  # SAMPLE_ROWS * SLICE characters per language
+    sent = docs.sparkSession.sparkContext.broadcast(trained)  # SAMPLE_ROWS texts per language
 
     @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
     def of(texts: pa.Array) -> pa.Array:

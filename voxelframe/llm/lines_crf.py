@@ -7,8 +7,8 @@ give, under the constraint that a good document is good for GOOD_SHARE of its le
 one bad for BAD_SHARE of it.  A document's quality is the mean of the forward-backward marginals of its
 lines, weighted by length, then mapped to a probability.
 
-Training reads a bounded sample: SAMPLE_ROWS documents per label, and of each at most CHAINS chains of
-CHAIN lines, evenly spread over the whole text.  Scoring runs over all lines of every whole text.
+Training reads a bounded sample: SAMPLE_ROWS documents per label, whole, as chains of CHAIN lines.  Scoring
+runs over all lines of every whole text.
 
 Edge cases: null, empty and white-space texts have no lines and get the share of good labels in the
 sample; repeated rows repeat their score, and a repeated doc_id is learned from once; with no labels
@@ -26,9 +26,8 @@ from pyspark.sql import functions as F
 
 from voxelframe.llm.sampling import bounded, fold, texts_of
 
-SAMPLE_ROWS = 1500
+SAMPLE_ROWS = 1000
 CHAIN = 32
-CHAINS = 8
 GOOD_SHARE, BAD_SHARE = 0.8, 0.3
 PREDICT_AT = 0.3
 _N = 12
@@ -67,13 +66,10 @@ def with_neighbours(rows: np.ndarray) -> np.ndarray:
 
 
 def chains(text: str | None) -> list[np.ndarray]:
-    """At most CHAINS chains of CHAIN lines, evenly spread: features of lines and neighbours, then length."""
+    """All lines as chains of CHAIN lines at most: features of lines and neighbours, then length."""
     rows, lengths = line_features(text)
     table = np.hstack([with_neighbours(rows), lengths[:, None]]).astype(np.float32)
-    starts = np.arange(0, len(rows), CHAIN)
-    if len(starts) > CHAINS:
-        starts = starts[np.arange(CHAINS) * (len(starts) - 1) // (CHAINS - 1)]
-    return [table[at : at + CHAIN] for at in starts]
+    return [table[at : at + CHAIN] for at in range(0, len(rows), CHAIN)]
 
 
 class LineField:

@@ -15,11 +15,12 @@ def fold(doc_id: str, n: int) -> Column:
 
 def bounded(rows: DataFrame, group: str, at_most: int) -> DataFrame:
     """doc_id and group of the ``at_most`` doc_ids of each group that come first by a hash; a repeated
-    doc_id counts once, a null one never.  Counts are over all rows.  They are broadcast: one row per group, and each group
-    (a class or a language) has its own part of a model that the driver holds anyway."""
+    doc_id counts once, a null one never.  Ids are counted over all rows, to one per cent, which is the same for every
+    partitioning; the cut leaves a quarter more of them and 50, so that the order alone decides.  Counts are
+    broadcast: one row per group, and each group (a class or a language) has its own part of a model that
+    the driver holds anyway."""
     rows = rows.filter("doc_id is not null").select("doc_id", group).withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(_SPAN)))
-    counts = rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
-    # Far more than at_most hashes lie below the cut, so that the order alone decides.
+    counts = rows.groupBy(F.col(group).alias("_g")).agg(F.approx_count_distinct("doc_id", 0.01).alias("_n"))
     below = F.col("_h") * F.col("_n") <= F.lit(float(_SPAN)) * (1.25 * at_most + 50)
     near = rows.join(F.broadcast(counts), F.col(group).eqNullSafe(F.col("_g"))).filter(below).select("doc_id", group, "_h").distinct()
     nth = F.row_number().over(Window.partitionBy(group).orderBy("_h", "doc_id"))

@@ -41,6 +41,19 @@ def features(text: str | None) -> set[int]:
     return {xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) & mask for w in words}
 
 
+def risk(w: np.ndarray, b: float, x_p: np.ndarray, x_u: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The corrected risk of positive and unlabelled rows, not below that of the positive ones, and the way to
+    go for weights and bias: its gradient, or away from a negative part that has fallen below zero."""
+    w4 = w.astype(x_p.dtype)  # a wider vector would copy the matrices
+    s_p, s_u = _sigmoid(x_p @ w4 + b), _sigmoid(x_u @ w4 + b)
+    # Sigmoid loss as the method has it: l(z) = 1 - sigmoid(z) as positive, sigmoid(z) as negative.
+    d_p, d_u = (s_p * (1 - s_p) / len(x_p)).astype(x_p.dtype), (s_u * (1 - s_u) / len(x_u)).astype(x_u.dtype)
+    as_positive = np.append(-(x_p.T @ d_p), -d_p.sum())
+    negative = np.append(x_u.T @ d_u, d_u.sum()) - prior * np.append(x_p.T @ d_p, d_p.sum())
+    part = float(s_u.mean() - prior * s_p.mean())
+    return float(prior * (1 - s_p).mean()) + max(0.0, part), prior * as_positive + negative if part >= 0 else -negative
+
+
 class PULearner:
     def __init__(self, index: dict[int, int], weights: np.ndarray, bias: float):
         self.index, self.weights, self.bias = index, weights, bias
@@ -79,15 +92,7 @@ class PULearner:
         w, b = np.zeros(len(index)), float(np.log(prior / (1 - prior)))
         m, v = np.zeros(len(index) + 1), np.zeros(len(index) + 1)
         for step in range(1, steps + 1):
-            w4 = w.astype(np.float32)  # a wider vector would copy the matrices
-            s_p, s_u = _sigmoid(x_p @ w4 + b), _sigmoid(x_u @ w4 + b)
-            # Sigmoid loss as the method has it: l(z) = 1 - sigmoid(z) as positive, sigmoid(z) as negative.
-            d_p, d_u = (s_p * (1 - s_p) / n_p).astype(np.float32), (s_u * (1 - s_u) / n_u).astype(np.float32)
-            as_positive = np.append(-(x_p.T @ d_p), -d_p.sum())
-            negative = np.append(x_u.T @ d_u, d_u.sum()) - prior * np.append(x_p.T @ d_p, d_p.sum())
-            risk = s_u.mean() - prior * s_p.mean()
-            grad = prior * as_positive + negative if risk >= 0 else -negative
-            grad = grad + 1e-5 * np.append(w, 0)
+            grad = risk(w, b, x_p, x_u, prior)[1] + 1e-5 * np.append(w, 0)
             m = 0.9 * m + 0.1 * grad
             v = 0.999 * v + 0.001 * grad**2
             move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
