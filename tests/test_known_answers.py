@@ -2,6 +2,7 @@
 
 import json
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -9,8 +10,8 @@ import pytest
 
 from pyspark.sql import functions as F
 from voxelframe.functions import names
-from voxelframe.operators import frames, graph, ledgers, masks, metrics, registration, segments, skeletons
-from voxelframe.sources import files, rasters
+from voxelframe.operators import frames, graph, labels, ledgers, masks, metrics, registration, segments, skeletons
+from voxelframe.sources import files, rasters, trees
 
 
 def _line(spark, labels, name="A", start=0):
@@ -172,13 +173,81 @@ def test_segment_lines(spark):
     assert got == {0: ("Background", False, None, "background"), 5: ("AVAL", True, 12, "neuron"), 6: ("AVAR", True, None, "neuron"), 7: ("Phagosome3", False, None, "organelle")}
 
 
-def _png(pixels, depth=8):
+def _filtered(rows, kinds, step):
+    """Rows of bytes as the five filters of PNG leave them, byte by byte."""
+    out = []
+    for y, (row, kind) in enumerate(zip(rows, kinds)):
+        above, left = rows[y - 1] if y else bytes(len(row)), lambda r, i: r[i - step] if i >= step else 0
+        line = bytearray([kind])
+        for i, v in enumerate(row):
+            a, b, c = left(row, i), above[i], left(above, i)
+            paeth = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+            line.append((v - (0, a, b, (a + b) // 2, paeth)[kind]) % 256)
+        out.append(bytes(line))
+    return b"".join(out)
+
+
+def _png(pixels, depth=8, kinds=None):
     h, w = pixels.shape
-    raw = b"".join(b"\0" + row.astype(">u2" if depth == 16 else "u1").tobytes() for row in pixels)
+    rows = [row.astype(">u2" if depth == 16 else "u1").tobytes() for row in pixels]
+    raw = _filtered(rows, kinds or [0] * h, depth // 8)
     chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
+def test_all_filters_of_png():
+    rng = np.random.default_rng(0)
+    for depth in (8, 16):
+        for shape in ((1, 1), (1, 9), (9, 1), (13, 7), (7, 13), (40, 40)):
+            grid = rng.integers(0, 1 << depth, shape)
+            grid[rng.random(shape) < 0.5] = 3
+            for kinds in ([0] * shape[0], [1, 2] * shape[0], [4] * shape[0], [3] * shape[0], rng.integers(0, 5, shape[0]).tolist()):
+                assert np.array_equal(rasters.decoded(_png(grid, depth, kinds[: shape[0]])), grid)
+
+
+def test_a_slice_with_filters_is_read_in_seconds():
+    raw = np.random.default_rng(1).integers(0, 256, (600, 500, 2), dtype=np.uint8)
+    start = time.time()
+    rasters._unfiltered(np.full(600, 4), raw)
+    assert time.time() - start < 5  # byte by byte this takes minutes
+
+
+def test_trees_read_only_what_filters_leave(spark, tmp_path):
+    for n in ("A", "B"):
+        for k in (0, 3):
+            folder = tmp_path / n / f"chain_{k:02d}" / "masks"
+            folder.mkdir(parents=True)
+            for z in (5, 6, 1500):
+                (folder / f"mask_{z:04d}.png").write_bytes(_png(np.array([[0, 7, 7, 1]])))
+    (tmp_path / "C").mkdir()
+    (tmp_path / "C" / "11.png").write_bytes(_png(np.array([[9, 0, 0, 0]])))
+    (tmp_path / "B" / "chain_03" / "masks" / "mask_1500.png").write_bytes(b"no picture")
+    trees.register(spark)
+    tree = spark.read.format("mask_tree").load(str(tmp_path))
+    one = tree.filter("neuron = 'A'")
+    assert one.rdd.getNumPartitions() == 2 and one.count() == 6
+    assert tree.filter("neuron in ('A', 'C') and slice <= 11").rdd.getNumPartitions() == 3
+    assert sorted(map(tuple, tree.filter("neuron in ('A', 'C') and slice between 6 and 11").collect())) == [("A", 0, 6, 1, 0, 1, 4), ("A", 3, 6, 1, 0, 1, 4), ("C", 0, 11, 1, 0, 0, 1)]
+    assert tree.filter("chain_idx = 3 and slice < 1500 and x1 > 0").count() == 4 and tree.filter("neuron = 'X'").count() == 0
+    labels = spark.read.format("mask_tree").option("binary", "false").load(str(tmp_path)).filter("neuron = 'A' and slice = 5 and chain_idx = 0")
+    assert sorted((r.label, r.x0, r.x1) for r in labels.collect()) == [(1, 3, 4), (7, 1, 3)]
+    with pytest.raises(Exception, match="no PNG"):
+        tree.count()
+
+
+def test_reviews_become_labels(spark):
+    frames_ = spark.createDataFrame([("A", k, z, z % 4 == 0) for k in (0, 1) for z in range(40)] + [("B", 0, 1, False)], "neuron string, chain_idx long, z long, flag boolean")
+    acts = spark.createDataFrame([("A", 0, "approve", "leak", 4), ("A", 1, "reject", "leak", 99)], "neuron string, chain_idx long, action string, error_type string, anchor_z long")
+    queued = frames_.filter("z in (4, 8, 9)")
+    got = labels.expanded(acts, queued, frames_, n=5, seed=1).collect()
+    shown = {(r.chain_idx, r.z): (r.verdict, r.role, r.error_type) for r in got if r.role != "sampled"}
+    assert shown == {(0, 4): ("ok", "anchor", None), (0, 8): ("ok", "flagged", None), (0, 9): ("ok", "flagged", None)} | {(1, z): ("wrong", "flagged", "leak") for z in (4, 8, 9)}
+    drawn = {k: {r.z for r in got if r.role == "sampled" and r.chain_idx == k} for k in (0, 1)}
+    assert all(len(z) == 5 and not z & {4, 8, 9} and not any(x % 4 == 0 for x in z) for z in drawn.values()) and drawn[0] != drawn[1]
+    with pytest.raises(Exception, match="neither approve nor reject"):
+        labels.expanded(acts.withColumn("action", F.lit("maybe")), queued, frames_).collect()
+
+
 def test_rasters(spark, tmp_path):
     grid = np.array([[0, 1, 1], [2, 300, 300]])
     (tmp_path / "gt").mkdir()

@@ -34,6 +34,11 @@ def _common() -> Column:
     return F.hypot(F.avg("offx"), F.avg("offy"))
 
 
+def _corr(a: str, b: str) -> Column:
+    """Correlation; null where either does not vary."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def bins(rows: DataFrame, width: int = 40) -> DataFrame:
     """Per bin of sections from the fit: n, the mean offset's length (common), the mean length, their ratio (near 1
     where all chains are off alike) and the share of frames known to contain their skeleton."""
@@ -50,10 +55,10 @@ def report(rows: DataFrame, far: int = 30, least: int = 3) -> DataFrame:
     rows = graph.cut(rows)
     whole = rows.agg(
         F.count("*").alias("n"), F.countDistinct("neuron", "chain_idx").alias("n_chains"), F.avg("dist").alias("mean"),
-        F.avg(F.coalesce(F.col("contained"), F.lit(False)).cast("int")).alias("contained"), F.corr("zoff", "dist").alias("r_dist"), F.max("z").alias("last"),
+        F.avg(F.coalesce(F.col("contained"), F.lit(False)).cast("int")).alias("contained"), _corr("zoff", "dist").alias("r_dist"), F.max("z").alias("last"),
     )
     sections = rows.groupBy("z").agg(F.count("*").alias("k"), _common().alias("common")).filter(F.col("k") >= least)
-    sections = sections.agg(F.count("*").alias("n_sections"), F.corr("z", "common").alias("r_common"))
+    sections = sections.agg(F.count("*").alias("n_sections"), _corr("z", "common").alias("r_common"))
     sections = sections.withColumn("r_common", F.when(F.col("n_sections") > 3, F.col("r_common")))
     end = rows.crossJoin(F.broadcast(whole.select("last"))).filter(F.col("z") >= F.col("last") - far).agg(_common().alias("far_common"))  # one row
     tiers = quantiles(rows, "dist", ["tier2"], [0.5])

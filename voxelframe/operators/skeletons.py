@@ -154,14 +154,20 @@ def on_frames(members: DataFrame, states: DataFrame, scale: int, image: tuple[in
     return at.select("neuron", "chain_idx", "node_id", "z", "frame", "px", "py", inside.alias("inside"))
 
 
-#: Levels of the tree of cells below a slice's square, and the most places of a cell that is not split.
-LEVELS, LEAF = 12, 32
+#: Levels of the tree of cells that are made at once, the deepest, and the most places of a cell that is not split.
+LEVELS, DEEPEST, LEAF = 4, 40, 32
+
+
+def _cell(c: str, level: Column) -> Column:
+    """Number of the cell on a level, of a place given as a fraction of its slice's square."""
+    return F.floor(F.col(f"f{c}") * F.pow(F.lit(2.0), level))
 
 
 def _tree(nodes: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Places (z, x, y, with the k + 1 smallest ids of the nodes there) in the cells of a tree over each slice's
-    square, and all of its cells down to those that are not split: z, level, cx, cy, n (nodes, not more than
-    k + 1 of a place), split, and the square's corner x0, y0 and side."""
+    """A tree of square cells over each slice's nodes.  Its cells: z, level, cx, cy, n (nodes, of one place k + 1 at
+    most), split, and the square's corner x0, y0 and side.  Its places: z, x, y, ids (the k + 1 smallest there) and
+    level, cx, cy of the cell, not split, in which they are.  Cells of more than LEAF places are split, so
+    crowds go deep and the rest does not; only places in split cells go on to further levels."""
     at = nodes.select("node_id", "z", "x", "y").filter("x is not null and y is not null and z is not null")
     # A place keeps as many ids as can ever be wanted of it; each task keeps its own smallest first.
     nth = F.row_number().over(Window.partitionBy("z", "x", "y").orderBy("node_id"))
@@ -169,14 +175,24 @@ def _tree(nodes: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     square = at.groupBy("z").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
     side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-9)) * (1 + 1e-9)
     at = at.join(square.select("z", "x0", "y0", side.alias("side")), "z")
-    cell = lambda c: F.floor((F.col(c) - F.col(f"{c}0")) / F.col("side") * (1 << LEVELS))
-    at = graph.cut(at.withColumns({"cx": cell("x"), "cy": cell("y")}))
-    up = lambda c: F.expr(f"shiftright({c}, {LEVELS} - level)").alias(c)
-    every = at.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
-    corner = [F.first(c).alias(c) for c in ("x0", "y0", "side")]
-    cells = every.groupBy("z", "level", up("cx"), up("cy")).agg(F.sum(F.size("ids")).alias("n"), F.count("*").alias("places"), *corner)
-    cells = cells.withColumn("split", (F.col("places") > LEAF) & (F.col("level") < LEVELS)).drop("places")
-    return at, cells
+    at = graph.cut(at.withColumns({f"f{c}": (F.col(c) - F.col(f"{c}0")) / F.col("side") for c in "xy"}))
+    cell, corner = ["z", "level", "cx", "cy"], [F.first(c).alias(c) for c in ("x0", "y0", "side")]
+    cells, places, first = None, None, 0
+    while True:
+        every = at.withColumn("level", F.explode(F.sequence(F.lit(first), F.lit(first + LEVELS - 1))))
+        every = every.withColumns({f"c{c}": _cell(c, F.col("level")) for c in "xy"})
+        made = every.groupBy(*cell).agg(F.sum(F.size("ids")).alias("n"), F.count("*").alias("places"), *corner)
+        made = graph.cut(made.withColumn("split", (F.col("places") > LEAF) & (F.col("level") < DEEPEST)).drop("places"))
+        cells = made if cells is None else cells.unionByName(made)
+        home = F.min(F.when(~F.col("split"), F.col("level"))).alias("level")
+        held = every.join(made.select(*cell, "split"), cell).groupBy("z", "x", "y").agg(home)
+        held = graph.cut(at.join(held, ["z", "x", "y"]))
+        rest = held.filter("level is null")
+        here = held.filter("level is not null").withColumns({f"c{c}": _cell(c, F.col("level")) for c in "xy"}).select("z", "x", "y", "ids", "level", "cx", "cy")
+        places = here if places is None else places.unionByName(here)
+        if rest.isEmpty():
+            return places, cells
+        at, first = rest.drop("level"), first + LEVELS
 
 
 def candidates(points: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -187,8 +203,7 @@ def candidates(points: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     farther than the farthest corners of the cells that together surely hold k + 1 nodes.  Then the cells kept
     are split, level by level.  So a point far from all others, or in a crowd, meets a few cells of every
     size, and never a whole slice."""
-    at, cells = _tree(nodes, k)
-    cells = graph.cut(cells)
+    places, cells = _tree(nodes, k)
     deepest = cells.filter("split").agg(F.max("level")).first()[0]
     known = ["z", "level", "cx", "cy", "n", "split", "x0", "y0", "side"]
     front = points.select("point", "z", "px", "py").join(cells.filter("level = 0"), "z")
@@ -212,12 +227,7 @@ def candidates(points: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
         front = front.withColumn("_reach", F.coalesce(reach, F.lit(float("inf"))) * (1 + 1e-9) + 1e-9).filter("close <= _reach").drop("_seen", "_reach", "close", "far")
         if level % 3 == 2:
             front = graph.cut(front)
-    # A place lies in the one kept cell of its point that holds it.
-    last = front.select("point", "px", "py", "z", "level", "cx", "cy").withColumn("_up", LEVELS - F.col("level"))
-    every = at.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
-    up = lambda c: F.expr(f"shiftright({c}, {LEVELS} - level)").alias(c)
-    places = every.select("z", "x", "y", "ids", "level", up("cx"), up("cy")).join(cells.filter("not split").select("z", "level", "cx", "cy"), ["z", "level", "cx", "cy"])
-    both = last.join(places, ["z", "level", "cx", "cy"])
+    both = front.select("point", "px", "py", "z", "level", "cx", "cy").join(places, ["z", "level", "cx", "cy"])
     return both.select("point", "ids", F.sqrt((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2).alias("dist"))
 
 
