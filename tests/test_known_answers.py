@@ -222,15 +222,14 @@ def test_trees_read_only_what_filters_leave(spark, tmp_path):
     (tmp_path / "C").mkdir()
     (tmp_path / "C" / "11.png").write_bytes(_png(np.array([[9, 0, 0, 0]])))
     (tmp_path / "B" / "chain_03" / "masks" / "mask_1500.png").write_bytes(b"no picture")
-    trees.register(spark)
-    tree = spark.read.format("mask_tree").load(str(tmp_path))
+    tree = trees.read(spark, str(tmp_path))
     one = tree.filter("neuron = 'A'")
     assert one.rdd.getNumPartitions() == 2 and one.count() == 6
     assert tree.filter("neuron in ('A', 'C') and slice <= 11").rdd.getNumPartitions() == 3
     assert sorted(map(tuple, tree.filter("neuron in ('A', 'C') and slice between 6 and 11").collect())) == [("A", 0, 6, 1, 0, 1, 4), ("A", 3, 6, 1, 0, 1, 4), ("C", 0, 11, 1, 0, 0, 1)]
     assert tree.filter("chain_idx = 3 and slice < 1500 and x1 > 0").count() == 4 and tree.filter("neuron = 'X'").count() == 0
-    labels = spark.read.format("mask_tree").option("binary", "false").load(str(tmp_path)).filter("neuron = 'A' and slice = 5 and chain_idx = 0")
-    assert sorted((r.label, r.x0, r.x1) for r in labels.collect()) == [(1, 3, 4), (7, 1, 3)]
+    own = trees.read(spark, str(tmp_path), binary=False).filter("neuron = 'A' and slice = 5 and chain_idx = 0")
+    assert sorted((r.label, r.x0, r.x1) for r in own.collect()) == [(1, 3, 4), (7, 1, 3)]
     with pytest.raises(Exception, match="no PNG"):
         tree.count()
 
@@ -271,6 +270,10 @@ def test_files(spark, tmp_path):
         p.write_text(json.dumps(body))
     got = {(r.neuron_dir, r.chain_idx): r.frame_to_z for r in files.states(spark, f"{tmp_path}/out", "frame_to_z map<string,int>").collect()}
     assert got == {("A", 1): {0: 5, 1: 6}, ("B", 0): None}
+    for k, body in (("A/chain_00", "{broken"), ("A/chain_02", json.dumps({"config": {"model_size": "large", "scale": 8}})), ("B/chain_01", json.dumps({"config": {"scale": 4}}))):
+        (tmp_path / "runs" / k).mkdir(parents=True)
+        (tmp_path / "runs" / k / "state.json").write_text(body)
+    assert [tuple(r) for r in files.provenance(spark, f"{tmp_path}/runs").collect()] == [("large", 8, None, None, "A/chain_02")]
     fit = spark.createDataFrame([(4, 1.0, 0.0, 2.0, 0.0, 1.0, 3.0), (3, 1.0, 0.5, 1.0, 0.0, 1.0, 0.0)], "z long, a double, b double, tx double, c double, d double, ty double")
     files.write_registration(fit, fit.filter("z = 4").select("a", "b", "c", "d"), f"{tmp_path}/reg")
     assert sorted(map(tuple, files.registration_json(spark, f"{tmp_path}/reg").collect())) == sorted(map(tuple, fit.collect()))

@@ -41,8 +41,7 @@ def sample_unflagged(flagged: DataFrame, n: int, seed: int, exclude: DataFrame |
     free = flagged.filter("coalesce(flag, false) = false")
     if exclude is not None:
         free = free.join(exclude.select(*FRAME), FRAME, "left_anti")
-    own = "cast(conv(substring(md5(concat(neuron, ':', chain_idx)), 1, 7), 16, 10) as bigint)"
-    mix = F.expr(f"(z * 7919 + {own} + {seed}) * 104729 % 1000003")
+    mix = F.md5(F.concat_ws(":", *FRAME, F.lit(str(seed))))
     order = Window.partitionBy("neuron", "chain_idx").orderBy(mix, "z")
     picked = free.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= n)
     return picked.select(*FRAME, F.lit("ok").alias("verdict"), F.lit("sampled").alias("role"))

@@ -62,15 +62,20 @@ def region_counts(pred: DataFrame, truth: DataFrame) -> DataFrame:
     return out.select(*key, "tp", fp.alias("fp"), fn.alias("fn"), "pred_area", "gt_area")
 
 
-def rollup(counts: DataFrame, *by: str) -> DataFrame:
-    """Ratios of summed counts, and means of the slices' ratios."""
+def rollup(counts: DataFrame, *by: str, timing: DataFrame | None = None) -> DataFrame:
+    """Ratios of summed counts, and means of the slices' ratios; with a ``timing`` (by, seconds) also how long
+    the group took and its slices per second, null where that is not known or nothing."""
     sums = [F.sum(c).alias(c) for c in ("tp", "fp", "fn")]
     tp, wrong = F.col("tp"), F.col("fp") + F.col("fn")
     macro = [
         F.round(F.avg(F.try_divide(tp.cast("double"), tp + wrong)), 9).alias("macro_iou"),
         F.round(F.avg(F.try_divide(2.0 * tp, 2 * tp + wrong)), 9).alias("macro_dice"),
     ]
-    return ratios(counts.groupBy(*by).agg(F.count("*").alias("n_slices"), *sums, *macro))
+    out = ratios(counts.groupBy(*by).agg(F.count("*").alias("n_slices"), *sums, *macro))
+    if timing is None:
+        return out
+    rate = F.when(F.col("seconds") > 0, F.round(F.col("n_slices") / F.col("seconds"), 3))
+    return out.join(timing.select(*by, "seconds"), list(by), "left").withColumn("slices_per_s", rate).withColumn("seconds", F.round("seconds", 2))
 
 
 def skipped(pred: DataFrame, known: DataFrame) -> DataFrame:
@@ -315,6 +320,15 @@ def hits(points: DataFrame, runs: DataFrame, radius: int = 0) -> DataFrame:
     return on.withColumn("pixels", F.least("x1", "w1") - F.greatest("x0", "w0")).drop("w0", "w1")
 
 
+def spread(points: DataFrame, by: str, most: int) -> DataFrame:
+    """Points on ``most`` slices of each group at most, at an even stride over those that the group is on."""
+    at = points.select(by, "slice").distinct()
+    w = Window.partitionBy(by)
+    at = at.withColumns({"_i": F.row_number().over(w.orderBy("slice")) - 1, "_stride": F.greatest(F.lit(1), F.expr(f"cast(count(*) over (partition by {by}) div {most} as int)"))})
+    picked = at.filter(f"_i % _stride = 0 and _i div _stride < {most}").select(by, "slice")
+    return points.join(picked, [by, "slice"], "left_semi")
+
+
 def labels_at(points: DataFrame, runs: DataFrame, label, radius: int = 0) -> DataFrame:
     """The label most frequent in each point's window, the smallest on ties, 0 where there is none."""
     found = hits(points, runs, radius).withColumn("label", label).groupBy("id", "label").agg(F.sum("pixels").alias("n"))

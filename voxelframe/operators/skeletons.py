@@ -135,6 +135,22 @@ def nearest(points: DataFrame, nodes: DataFrame, radius: float) -> DataFrame:
     return points.join(best, "point", "left").select("point", "b.node_id", "b.dist")
 
 
+def crop_windows(boxes: DataFrame, image: tuple[int, int], pad: int, scale: int, longest: int, least: int = 0) -> DataFrame:
+    """Adds to boxes x0, y0, x1, y1 the window in which to crop the image of (rows, columns): left, top, width, height
+    and crop_scale.  The box is padded, to ``least`` pixels a side at least and the image's size at most, about
+    its centre, and then clipped; the scale is coarser than ``scale`` where the longer side would have more than
+    ``longest`` pixels."""
+    extent = lambda c, size: F.least(F.lit(float(size)), F.greatest(F.col(f"{c}1") - F.col(f"{c}0") + 2 * pad, F.lit(float(least))))
+    b = boxes.withColumns({"_w": extent("x", image[1]), "_h": extent("y", image[0])})
+    ends = {}
+    for c, side, size, low, length in (("x", "_w", image[1], "left", "width"), ("y", "_h", image[0], "top", "height")):
+        middle = 0.5 * (F.col(f"{c}0") + F.col(f"{c}1"))
+        ends[low] = F.greatest(F.lit(0), F.floor(middle - F.col(side) / 2))
+        ends[length] = F.greatest(F.lit(1), F.least(F.lit(size), F.ceil(middle + F.col(side) / 2)) - ends[low])
+    coarse = F.ceil(F.greatest("_w", "_h", F.lit(1.0)) / float(longest))
+    return b.withColumns(ends | {"crop_scale": F.greatest(F.lit(scale), coarse)}).drop("_w", "_h")
+
+
 def on_frames(members: DataFrame, states: DataFrame, scale: int, image: tuple[int, int]) -> DataFrame:
     """Nodes of chains (neuron, chain_idx, node_id, x, y, z, in full-resolution pixels) as points on the chains'
     frames: frame, px, py, and whether the point is inside the picture.

@@ -174,9 +174,11 @@ def region_score(spark, sf):
 
 
 @query(f"""{_REGION}, s AS (SELECT neuron, count(*) AS n_slices, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn,
- round(avg(tp / nullif(tp + fp + fn, 0)), 9) AS macro_iou, round(avg(2 * tp / nullif(2 * tp + fp + fn, 0)), 9) AS macro_dice FROM k GROUP BY ALL) SELECT *, {_RATIO} FROM s""")
+ round(avg(tp / nullif(tp + fp + fn, 0)), 9) AS macro_iou, round(avg(2 * tp / nullif(2 * tp + fp + fn, 0)), 9) AS macro_dice FROM k GROUP BY ALL), tm AS (SELECT p_brand AS neuron, (count(*) % 7) / 4 AS seconds FROM part GROUP BY ALL)
+SELECT s.*, {_RATIO}, round(seconds, 2) AS seconds, CASE WHEN seconds > 0 THEN round(n_slices / seconds, 3) END AS slices_per_s FROM s LEFT JOIN tm USING (neuron)""")
 def neuron_rollup(spark, sf):
-    return masks.rollup(_counts(spark, sf), "neuron")
+    timing = L.table(spark, sf, "part").groupBy(F.col("p_brand").alias("neuron")).agg((F.count("*") % 7 / 4).alias("seconds"))
+    return masks.rollup(_counts(spark, sf), "neuron", timing=timing)
 
 
 _LATEST = f"WITH {L.MANIFEST}, {L.REVIEWS}, latest AS (SELECT neuron, chain_idx, arg_max(review, (ts, seq)) AS review FROM reviews GROUP BY ALL)"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, MapType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from voxelframe.operators import drift, frames, labels, ledgers, metrics, segments
+from voxelframe.operators import drift, frames, labels, ledgers, masks, metrics, segments
 from voxelframe.plans.base import query
 from voxelframe.plans.catalogue import _FLAGS, _LATEST, _TABLE
 from voxelframe.sources import lenses as L
@@ -42,7 +42,7 @@ def ledger_summary(spark, sf):
     return labels.summary(_labels(spark, sf))
 
 
-@query(f"""{_FLAGS}, o AS (SELECT neuron, chain_idx, z, row_number() OVER (PARTITION BY neuron, chain_idx ORDER BY (z * 7919 + ('0x' || substr(md5(neuron || ':' || chain_idx), 1, 7))::BIGINT + 5) * 104729 % 1000003, z) AS nth
+@query(f"""{_FLAGS}, o AS (SELECT neuron, chain_idx, z, row_number() OVER (PARTITION BY neuron, chain_idx ORDER BY md5(neuron || ':' || chain_idx || ':' || z || ':5'), z) AS nth
  FROM flags WHERE flag_count < 1 AND z <> 1501) SELECT neuron, chain_idx, z, 'ok' AS verdict, 'sampled' AS role FROM o WHERE nth <= 8""")
 def sample_unflagged(spark, sf):
     flagged = _flags(spark, sf)
@@ -171,12 +171,26 @@ def ab_ranking(spark, sf):
     return g.agg(F.count_if("queue").alias("n_queue"), F.count_if(F.expr("area = 0")).alias("n_errors"), F.countDistinct("chain_idx").alias("n_chains")).orderBy("n_queue", "config")
 
 
-_SCREEN = "s AS (SELECT l_linenumber AS variant, avg((l_suppkey % 10 = l_partkey % 12)::INT) AS iou, count(*) AS n FROM lineitem GROUP BY ALL)"
+#: Variants 1 to 4 of the masks: moved by so many pixels and without some; each is scored against the truth.
+_SCREEN = f"""{L.TRUTH}, vr AS (SELECT unnest([1, 2, 3, 4]) AS variant), rw AS (SELECT variant, p_partkey % 20 AS slice, p_brand AS neuron, p_partkey // 20 % 40 AS y, p_partkey * 13 % 90 + variant - 1 AS x0, p_partkey * 13 % 90 + p_size + variant - 1 AS x1 FROM part, vr WHERE p_partkey % (variant + 4) <> 0),
+fr AS (SELECT *, CASE WHEN x0 <= max(x1) OVER (PARTITION BY variant, slice, neuron, y ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM rw),
+il AS (SELECT *, sum(f) OVER (PARTITION BY variant, slice, neuron, y ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) AS k FROM fr), vp AS (SELECT variant, slice, neuron, y, min(x0) AS x0, max(x1) AS x1 FROM il GROUP BY variant, slice, neuron, y, k),
+va AS (SELECT variant, slice, neuron, sum(x1 - x0) AS a FROM vp GROUP BY ALL), vg AS (SELECT slice, neuron, sum(x1 - x0) AS g FROM truth GROUP BY ALL),
+vt AS (SELECT variant, p.slice, p.neuron, sum(least(p.x1, t.x1) - greatest(p.x0, t.x0)) AS tp FROM vp p JOIN truth t ON p.slice = t.slice AND p.neuron = t.neuron AND p.y = t.y AND p.x0 < t.x1 AND t.x0 < p.x1 GROUP BY ALL),
+s AS (SELECT variant, sum(coalesce(tp, 0)) / sum(a + coalesce(g, 0) - coalesce(tp, 0)) AS iou, count(*) AS n FROM va LEFT JOIN vg USING (slice, neuron) LEFT JOIN vt USING (variant, slice, neuron)
+ WHERE neuron IN (SELECT neuron FROM truth) AND slice IN (SELECT slice FROM truth) GROUP BY ALL)"""
 
 
 def _screen(spark, sf):
-    hit = F.expr("cast(l_suppkey % 10 = l_partkey % 12 as int)")
-    return L.table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("variant")).agg(F.avg(hit).alias("iou"), F.count("*").alias("n"))
+    """Overlap of each variant with the truth, over the pixels of all its neurons, from the score of its regions."""
+    rows = L.table(spark, sf, "part").withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(4)))).filter("p_partkey % (variant + 4) <> 0")
+    runs = rows.selectExpr(
+        "p_partkey % 20 as slice", "concat(variant, '/', p_brand) as neuron", "p_partkey div 20 % 40 as y", "p_partkey * 13 % 90 + variant - 1 as x0", "p_partkey * 13 % 90 + p_size + variant - 1 as x1")
+    truth = masks.merged(L.raw_runs(spark, sf, truth=True)).withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    truth = truth.withColumn("neuron", F.concat_ws("/", "variant", "neuron")).drop("variant")
+    counts = masks.region_counts(masks.merged(runs), truth)
+    over = F.sum("tp").cast("double") / F.sum(F.col("tp") + F.col("fp") + F.col("fn"))
+    return counts.groupBy(F.split("neuron", "/")[0].cast("int").alias("variant")).agg(over.alias("iou"), F.count("*").alias("n"))
 
 
 @query(f"WITH {_SCREEN} SELECT s.variant, round(s.iou, 9) AS iou, round(s.iou - b.iou, 9) AS delta, s.n FROM s, (SELECT iou FROM s WHERE variant = 1) b")
@@ -288,7 +302,7 @@ ra AS (SELECT neuron, chain_idx, CASE WHEN k % 2 = 0 THEN 'approve' ELSE 'reject
 
 @query(f"""{_FLAGS}, {_ACTS}, qd AS (SELECT f.neuron, f.chain_idx, f.z, CASE WHEN action = 'approve' THEN 'ok' ELSE 'wrong' END AS verdict, CASE WHEN z = anchor_z THEN 'anchor' ELSE 'flagged' END AS role,
  CASE WHEN action = 'reject' THEN error_type END AS error_type, action AS source FROM flags f JOIN ra USING (neuron, chain_idx) WHERE flag_count >= 2),
-so AS (SELECT neuron, chain_idx, z, row_number() OVER (PARTITION BY neuron, chain_idx ORDER BY (z * 7919 + ('0x' || substr(md5(neuron || ':' || chain_idx), 1, 7))::BIGINT + 3) * 104729 % 1000003, z) AS nth
+so AS (SELECT neuron, chain_idx, z, row_number() OVER (PARTITION BY neuron, chain_idx ORDER BY md5(neuron || ':' || chain_idx || ':' || z || ':3'), z) AS nth
  FROM flags JOIN ra USING (neuron, chain_idx) WHERE flag_count < 1)
 FROM qd UNION ALL SELECT neuron, chain_idx, z, 'ok', 'sampled', NULL, 'sample' FROM so WHERE nth <= 8""")
 def action_labels(spark, sf):

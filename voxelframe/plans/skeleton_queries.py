@@ -127,19 +127,36 @@ def anchor_node(spark, sf):
     return _chains(spark, sf).select("cell_name", "chain_idx", F.expr("element_at(nodes, cast(size(nodes) div 2 + 1 as int))").alias("anchor"))
 
 
-@query(f"""WITH RECURSIVE {_CHAINS}, c AS (SELECT cell_name, chain_idx, unnest(nodes) AS node_id FROM ch), b AS (SELECT c.cell_name, chain_idx, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM c JOIN nodes USING (node_id) GROUP BY ALL)
-SELECT cell_name, chain_idx, greatest(0, floor(x0 - 20))::BIGINT AS left_, greatest(0, floor(y0 - 20))::BIGINT AS top_, least(1000, ceil(x1 + 20))::BIGINT AS right_, least(1000, ceil(y1 + 20))::BIGINT AS bottom_,
- greatest(1, ceil((least(1000, ceil(x1 + 20)) - greatest(0, floor(x0 - 20))) / 256.0))::BIGINT AS scale FROM b""")
+_WINDOW = """wd AS (SELECT *, least(1000, greatest(x1 - x0 + 2 * {pad}, {least})) AS w_, least(1000, greatest(y1 - y0 + 2 * {pad}, {least})) AS h_, (x0 + x1) / 2 AS mx, (y0 + y1) / 2 AS my FROM b),
+wi AS (SELECT *, greatest(0, floor(mx - w_ / 2))::BIGINT AS "left", greatest(0, floor(my - h_ / 2))::BIGINT AS top, greatest({scale}, ceil(greatest(w_, h_, 1) / {longest}.0))::BIGINT AS crop_scale FROM wd)
+SELECT {keys}, "left", top, greatest(1, least(1000, ceil(mx + w_ / 2)) - "left")::BIGINT AS width, greatest(1, least(1000, ceil(my + h_ / 2)) - top)::BIGINT AS height, crop_scale FROM wi"""
+
+
+def _windows(boxes, *keys, **sizes):
+    return skeletons.crop_windows(boxes, (1000, 1000), **sizes).select(*keys, "left", "top", "width", "height", "crop_scale")
+
+
+@query(f"""WITH RECURSIVE {_CHAINS}, c AS (SELECT cell_name, chain_idx, unnest(nodes) AS node_id FROM ch), b AS (SELECT c.cell_name, chain_idx, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM c JOIN nodes USING (node_id) GROUP BY ALL),
+{_WINDOW.format(pad=20, least=90, scale=2, longest=256, keys='cell_name, chain_idx')}""")
 def chain_window(spark, sf):
-    """Window of each chain's nodes, padded, within the image, and the scale that keeps it below 256 px."""
+    """Window of each chain's nodes, padded, within the image, and the scale that keeps both sides below 256 px."""
     chain_nodes = skeletons.chains(L.nodes(spark, sf))
     ids = skeletons.chain_table(chain_nodes).select("head", "chain_idx")
     box = chain_nodes.join(L.nodes(spark, sf).select("node_id", "x", "y"), "node_id").groupBy("cell_name", "head").agg(
         *(f(c).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))))
-    low = lambda c: F.greatest(F.lit(0), F.floor(F.col(c) - 20))
-    high = lambda c: F.least(F.lit(1000), F.ceil(F.col(c) + 20))
-    box = box.join(ids, "head").select("cell_name", "chain_idx", low("x0").alias("left_"), low("y0").alias("top_"), high("x1").alias("right_"), high("y1").alias("bottom_"))
-    return box.withColumn("scale", F.greatest(F.lit(1), F.ceil((F.col("right_") - F.col("left_")) / 256.0)))
+    return _windows(box.join(ids, "head"), "cell_name", "chain_idx", pad=20, least=90, scale=2, longest=256)
+
+
+@query(f"""WITH {L.NODES}, mb AS (SELECT 'U' || c_custkey AS cell_name, min(c_custkey * 7 % 900)::DOUBLE AS x0, max(c_custkey * 7 % 900 + 60)::DOUBLE AS x1, min(c_custkey * 11 % 800)::DOUBLE AS y0, max(c_custkey * 11 % 800 + 30)::DOUBLE AS y1 FROM customer GROUP BY ALL),
+u AS (SELECT cell_name, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM nodes GROUP BY ALL),
+b AS (SELECT u.cell_name, least(u.x0, mb.x0) AS x0, greatest(u.x1, mb.x1) AS x1, least(u.y0, mb.y0) AS y0, greatest(u.y1, mb.y1) AS y1 FROM u LEFT JOIN mb USING (cell_name)), {_WINDOW.format(pad=12, least=0, scale=2, longest=300, keys='cell_name')}""")
+def neuron_window(spark, sf):
+    """Window of all of a neuron's nodes and, where it has masks already, of their box."""
+    box = L.nodes(spark, sf).groupBy("cell_name").agg(*(f(c).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))))
+    mask = L.table(spark, sf, "customer").selectExpr("concat('U', c_custkey) as cell_name", "c_custkey * 7 % 900 as a", "c_custkey * 11 % 800 as b").groupBy("cell_name").agg(
+        F.min("a").cast("double").alias("a0"), (F.max("a") + 60).cast("double").alias("a1"), F.min("b").cast("double").alias("b0"), (F.max("b") + 30).cast("double").alias("b1"))
+    both = box.join(mask, "cell_name", "left").select("cell_name", F.least("x0", "a0").alias("x0"), F.greatest("x1", "a1").alias("x1"), F.least("y0", "b0").alias("y0"), F.greatest("y1", "b1").alias("y1"))
+    return _windows(both, "cell_name", pad=12, scale=2, longest=300)
 
 
 @query(f"WITH {L.NODES}, u AS (SELECT DISTINCT cell_name FROM nodes) SELECT cell_name, (row_number() OVER (ORDER BY cell_name) - 1) // 7 AS chunk FROM u")

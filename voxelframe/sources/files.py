@@ -45,6 +45,18 @@ def states(spark: SparkSession, root: str, schema) -> DataFrame:
     return ledgers.states(raw.withColumnRenamed("value", "json"), schema)
 
 
+_CONFIG = "config struct<model_size:string,scale:int,save_downscale:int,chain_crop:boolean>"
+
+
+def provenance(spark: SparkSession, root: str) -> DataFrame:
+    """How a prediction was made: the settings in the first state, by path, that can be read; no row if none can."""
+    raw = spark.read.text(f"{root}/*/chain_*/state.json", wholetext=True)
+    read = raw.select(F.col("_metadata.file_path").alias("path"), F.from_json("value", f"_corrupt_record string, neuron string, {_CONFIG}", {"mode": "PERMISSIVE"}).alias("s"))
+    known = read.filter("s is not null and s._corrupt_record is null")
+    chain = F.regexp_extract("path", r"([^/]+/chain_\d+)/state\.json$", 1).alias("example_chain")
+    return known.orderBy("path").limit(1).select("s.config.*", chain)
+
+
 def write_states(rows: DataFrame, path: str) -> None:
     rows.withColumn("frame_to_z", F.transform_keys("frame_to_z", lambda k, _: k.cast("string"))).write.mode("overwrite").json(path)
 

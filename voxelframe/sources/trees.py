@@ -1,7 +1,6 @@
 """A data source for trees of masks or label rasters in PNG files, pruned by path.
 
-    trees.register(spark)
-    spark.read.format("mask_tree").load("/data/run").filter("neuron = 'AVAL'")
+    trees.read(spark, "/data/run").filter("neuron = 'AVAL'")
 
 The tree is ``<root>/<neuron>/chain_<k>/masks/mask_<z>.png`` or ``<root>/<neuron>/<z>.png`` (chain 0), rows are
 neuron, chain_idx, slice, label, y, x0, x1.  Every folder of masks is a partition of the scan.  Filters on
@@ -9,6 +8,9 @@ neuron, chain_idx and slice (=, IN, <, <=, >, >=) choose folders and files befor
 pushes filters to Python sources (``spark.sql.python.filterPushdown.enabled``, which ``register`` sets); else
 Spark applies them itself.  A task reads its files one by one, so it holds one raster at a time.
 
+``read`` adds a filter that all rows meet.  Without one, Spark 4.1 would let a frame that is used again without
+filters keep those of its last use; so take ``read`` rather than the bare format.
+
 The root is a path or an address that pyarrow can open.  Options: ``binary`` (true: every pixel above 0 has the
 label 1; false: labels as they are).  A folder without such files gives nothing; a file that can't be read
 fails its task, which Spark tries again.
@@ -24,7 +26,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from voxelframe.sources.rasters import RUNS_AT_ONCE, decoded, runs_of
@@ -116,3 +118,9 @@ def register(spark: SparkSession) -> None:
     """Makes ``spark.read.format("mask_tree")`` known to the session, with its filters pushed down."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(MaskTree)
+
+
+def read(spark: SparkSession, root: str, binary: bool = True) -> DataFrame:
+    """Runs of all masks (or, not ``binary``, of all labels) of the tree."""
+    register(spark)
+    return spark.read.format("mask_tree").option("binary", str(binary).lower()).load(root).filter("slice >= 0")
