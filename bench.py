@@ -1,7 +1,7 @@
 """Times the headline queries at $BENCH_SF_DIR and prints one JSON line.
 
 A small job starts the session first, so no query bears that.  Of families that repeat the same work (run
-lengths, morphology, registration) one or two queries stand for all.
+lengths, morphology, registration, streams) one or two queries stand for all; REPEATED names those left out.
 """
 
 import json
@@ -14,10 +14,10 @@ from pyspark.sql import SparkSession
 from voxelframe.plans import catalogue
 
 REPEATED = set(
-    "erl_runs erl_total_tolerant erl_subset erl_report neuron_report labelmap_report chain_enumerate chains_first_n anchor_node chain_window "
-    "mask_open_close mask_smooth mask_holes mask_cleanup mask_largest mask_islands box_from_mask qc_signals anchor_gate fallback_policy anchor_select "
+    "erl_runs erl_total_tolerant erl_subset erl_report neuron_report labelmap_nodes chain_enumerate chains_first_n anchor_node chain_window "
+    "mask_open_close mask_smooth mask_holes mask_largest mask_islands box_from_mask qc_signals anchor_gate fallback_policy anchor_select "
     "registration_fill registration_smooth registration_scale registration_apply chain_prompts residual_coherence composite_max pending_unclaimed "
-    "triage_stream ledger_stream qc_stream events_window review_sessions".split()
+    "triage_stream events_window review_sessions ab_winners measurement_log".split()
 )
 
 if __name__ == "__main__":

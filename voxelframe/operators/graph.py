@@ -20,17 +20,24 @@ def cut(df: DataFrame) -> DataFrame:
 
 def tops(links: DataFrame) -> DataFrame:
     """node, top and depth of a forest given as node, up: a node without up, or whose up is no node, is a top.
-    Each round doubles the way that a pointer spans, so the rounds are the logarithm of the depth."""
+    Each round doubles the way that a pointer spans, so the rounds are the logarithm of the depth.  A pointer that
+    has come to its top leaves the loop: it is only looked up from then on, and no longer dealt by its top,
+    which a whole tree may share."""
     known = links.select(F.col("node").alias("up"), F.lit(1).alias("known"))
     at = links.join(known, "up", "left")
-    at = at.select("node", F.when(F.col("known") == 1, F.col("up")).otherwise(F.col("node")).alias("top"), F.coalesce("known", F.lit(0)).cast("long").alias("depth"))
-    at = cut(at)
+    at = cut(at.select("node", F.when(F.col("known") == 1, F.col("up")).otherwise(F.col("node")).alias("top"), F.coalesce("known", F.lit(0)).cast("long").alias("depth")))
+    done, open_, hung = at.filter("depth = 0"), at.filter("depth > 0"), None
     while True:
-        over = at.select(F.col("node").alias("top"), F.col("top").alias("over"), F.col("depth").alias("more")).filter("more > 0")
-        at = cut(at.join(over, "top", "left").select("node", F.coalesce("over", "top").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("over").isNotNull().alias("moved")))
-        if at.filter("moved").isEmpty():
-            return at.select("node", "top", "depth")
-        at = at.drop("moved")
+        # Pointers of all nodes that are no tops: those under way, and those at their end.
+        look = open_ if hung is None else open_.unionByName(hung)
+        look = look.select(F.col("node").alias("top"), F.col("top").alias("over"), F.col("depth").alias("more"))
+        step = open_.join(look, "top", "left").select("node", F.coalesce("over", "top").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("over").isNotNull().alias("moved"))
+        step = cut(step)
+        arrived = step.filter("not moved").drop("moved")
+        hung = arrived if hung is None else hung.unionByName(arrived)
+        open_ = step.filter("moved").drop("moved")
+        if open_.isEmpty():
+            return done.unionByName(hung)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

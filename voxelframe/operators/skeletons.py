@@ -24,7 +24,8 @@ def edges(nodes: DataFrame) -> DataFrame:
 
 def merge_labels(edge: DataFrame, min_count: int = 1, min_share: float = 0.0) -> DataFrame:
     """Labels that two or more neurons contribute to; only nodes on an edge count.  A neuron contributes with
-    min_count of its nodes, or the share of the label's nodes if that is more."""
+    min_count of its nodes, or the share of the label's nodes if that is more.  ``neurons`` lists them, once each;
+    where it is not asked for, Spark leaves it out."""
     own = F.struct("node_id", "label", "cell_name")
     parent = F.struct(F.col("p_node_id").alias("node_id"), F.col("p_label").alias("label"), F.col("p_cell_name").alias("cell_name"))
     ends = edge.select(F.explode(F.array(own, parent)).alias("e")).select("e.*").filter("label <> 0")
@@ -53,8 +54,9 @@ def edge_classes(edge: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def classified(nodes: DataFrame, **tolerance) -> DataFrame:
-    """Edges with their class; merge labels are found over all neurons."""
-    e = edges(nodes)
+    """Edges with their class; merge labels are found over all neurons.  Edges are read three times from here on,
+    so they are made once."""
+    e = graph.cut(edges(nodes).select("node_id", "p_node_id", "cell_name", "p_cell_name", "label", "p_label", "length"))
     return edge_classes(e, merge_labels(e, **tolerance))
 
 
