@@ -79,3 +79,17 @@ def test_stages_take_empty_tables(spark, tmp_path):
     none = _read_again(spark, spark.createDataFrame([], SCHEMA), tmp_path, "none")
     for stage in (corpus_pipeline.exact_dedup, corpus_pipeline.near_dedup, corpus_pipeline.mixed, corpus_pipeline.encoded):
         assert stage(spark, none, "").count() == 0
+
+
+def test_stages_take_empty_tables_and_clashing_names(spark, monkeypatch):
+    from voxelframe.llm import lines_crf
+
+    monkeypatch.setattr(lines_crf, "trained_on", lambda spark, sf_dir: lines_crf.LineField.fit([], []))
+    names = "row score key id component_id slot block lang_pred _norm _h2 _nth _row _mix_k ids decoded position digest node"
+    schema = SCHEMA + "".join(f", {n} long" for n in names.split())
+    rows = [(*r, *range(len(names.split()))) for r in (ROWS[4], ROWS[7], MORE[4])]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for df, n in ((docs, 3), (docs.limit(0), 0)):
+            out = stage(spark, df, "")
+            assert out.count() == n - (name == "near_dedup" and n > 0) and out.columns == df.columns, name
