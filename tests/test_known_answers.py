@@ -234,6 +234,20 @@ def test_trees_read_only_what_filters_leave(spark, tmp_path):
         tree.count()
 
 
+def test_trees_are_written_and_read(spark, tmp_path):
+    rows = [("A", 1, 7, 3, 0, 1, 4), ("A", 1, 7, 9, 0, 3, 6), ("A", 1, 7, 2, 2, -2, 1), ("A", 1, 9, 500, 1, 5, 99), ("B", 0, 2, 1, 0, 0, 6), ("B", 0, 99, 1, 0, 0, 6), ("B", 0, 2, 1, 7, 0, 6)]
+    runs = spark.createDataFrame(rows, trees.SCHEMA)
+    at = spark.createDataFrame([("A", 1, 7), ("A", 1, 8), ("A", 1, 9), ("B", 0, 2), ("C", 0, 1)], "neuron string, chain_idx long, slice long")
+    for binary, labels_ in ((False, [3, 9, 2, 500, 1]), (True, [1] * 5)):
+        root = f"{tmp_path}/{binary}"
+        for _ in range(2):  # writing again replaces
+            counts = {(r.neuron, r.chain_idx): (r.n_written, r.n_skipped) for r in trees.write(runs, at, root, (3, 6), binary).collect()}
+        assert counts == {("A", 1): (2, 1), ("B", 0): (1, 0), ("C", 0): (0, 1)}
+        got = sorted(tuple(r) for r in trees.read(spark, root, binary).collect())
+        first = [("A", 1, 7, 3, 0, 1, 3), ("A", 1, 7, 9, 0, 3, 6)] if not binary else [("A", 1, 7, 1, 0, 1, 6)]
+        assert got == sorted([*first, ("A", 1, 7, labels_[2], 2, 0, 1), ("A", 1, 9, labels_[3], 1, 5, 6), ("B", 0, 2, 1, 0, 0, 6)])
+
+
 def test_reviews_become_labels(spark):
     frames_ = spark.createDataFrame([("A", k, z, z % 4 == 0) for k in (0, 1) for z in range(40)] + [("B", 0, 1, False)], "neuron string, chain_idx long, z long, flag boolean")
     acts = spark.createDataFrame([("A", 0, "approve", "leak", 4), ("A", 1, "reject", "leak", 99)], "neuron string, chain_idx long, action string, error_type string, anchor_z long")

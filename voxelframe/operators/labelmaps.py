@@ -25,6 +25,20 @@ def run_length(nodes: DataFrame, fit: DataFrame, runs: DataFrame, *by: str, radi
     return skeletons.run_lengths(classes, skeletons.runs(classes), *by)
 
 
+def against_ceiling(nodes: DataFrame, fit: DataFrame, runs: DataFrame, radius: int = 2, **tolerance) -> DataFrame:
+    """Per neuron, in micrometres: its run length along the map, the ceiling, which labels that equal the neurons
+    would reach (the length of its edges), the share of it, and how many of its nodes lie on any label."""
+    on = graph.cut(sampled(nodes, fit, runs, radius))
+    classes = skeletons.classified(on, **tolerance)
+    own = skeletons.run_lengths(classes, skeletons.runs(classes), "cell_name").select("cell_name", "erl")
+    # Each neuron here is one tree, so under perfect labels all of its edges are one run.
+    whole = classes.groupBy("cell_name").agg(F.sum("length").alias("ceiling"))
+    hit = on.groupBy("cell_name").agg(F.avg((F.col("label") != 0).cast("int")).alias("hit"))
+    um = lambda c, name: F.round(F.col(c) / 1000, 3).alias(name)
+    share = F.round(F.try_divide(100 * F.col("erl"), F.col("ceiling")), 2).alias("pct_of_ceiling")
+    return own.join(whole, "cell_name").join(hit, "cell_name").select("cell_name", um("erl", "erl_um"), um("ceiling", "ceiling_um"), share, F.round("hit", 6).alias("on_segment"))
+
+
 def report(pred: DataFrame, truth: DataFrame, nodes: DataFrame, fit: DataFrame, label, radius: int = 2, **tolerance) -> DataFrame:
     """One row.  Masks that claim a pixel twice are counted, and the first neuron has it; pixels of the truth's
     foreground, with the background of the map as a segment of its own, give the variation of information and the

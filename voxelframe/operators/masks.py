@@ -115,6 +115,14 @@ def collisions(runs: DataFrame) -> DataFrame:
     return pieces(runs).groupBy("slice").agg(F.sum((F.col("n") - 1) * (F.col("x1") - F.col("x0"))).alias("collisions"))
 
 
+def shared(runs: DataFrame) -> DataFrame:
+    """Per mask: area, and how many of its pixels other neurons claim too."""
+    claimed = pieces(runs).filter("n > 1").select("slice", "y", F.col("x0").alias("c0"), F.col("x1").alias("c1"))
+    both = met(runs, claimed, ["slice", "y"], "c0", "c1").groupBy(*MASK).agg(F.sum(F.least("x1", "c1") - F.greatest("x0", "c0")).alias("shared"))
+    own = runs.groupBy(*MASK).agg(F.sum(F.col("x1") - F.col("x0")).alias("area"))
+    return own.join(both, MASK, "left").fillna(0, ["shared"])
+
+
 def difference(old: DataFrame, new: DataFrame) -> DataFrame:
     """Pieces that only one of two masks has: slice, neuron, y, x0, x1, side (lost or gained)."""
     both = old.withColumn("side", F.lit("lost")).unionByName(new.withColumn("side", F.lit("gained")))

@@ -98,6 +98,30 @@ def best(pairs: DataFrame, least: int = 4) -> DataFrame:
     return pairs.join(fit, "z").select("z", F.hypot(off("a", "b", "gx"), off("c", "d", "gy")).alias("best"))
 
 
+#: A residual is structured where the sections' own fits would lower its median by more than this share.
+GAIN = 0.25
+
+
+def diagnosis(pairs: DataFrame, fit: DataFrame) -> DataFrame:
+    """One row.  coherence: median over sections of two pairs or more of the mean residual's length over the mean
+    length, near 1 where sections are off as a whole.  median_model and median_best: of the residuals on sections
+    of four pairs or more, under the fit and under each section's own; gain, the share that the latter would
+    take off, and helps, whether that is worth it.  r_z: correlation of residual and section, null for five
+    sections or fewer."""
+    at = graph.cut(residuals(pairs, fit).select("z", "res", (F.col("rx") - F.col("gx")).alias("dx"), (F.col("ry") - F.col("gy")).alias("dy")))
+    sections = graph.cut(at.groupBy("z").agg(F.count("*").alias("n"), (F.hypot(F.avg("dx"), F.avg("dy")) / F.greatest(F.avg("res"), F.lit(1e-6))).alias("coherence")))
+    coherent = quantiles(sections.filter("n >= 2"), "coherence", [], [0.5]).select(F.col("q0").alias("coherence"))
+    of = lambda df, c, kind: df.select(F.lit(kind).alias("kind"), F.col(c).alias("res"))
+    many = at.join(sections.filter("n >= 4").select("z"), "z", "left_semi")
+    medians = quantiles(of(many, "res", "model").unionByName(of(best(pairs), "best", "best")), "res", ["kind"], [0.5])
+    one = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("q0"))).alias(f"median_{kind}")
+    gain = (F.col("median_model") - F.col("median_best")) / F.greatest("median_model", F.lit(1e-6))
+    medians = medians.agg(one("model"), one("best")).withColumn("gain", gain).withColumn("helps", F.col("gain") > GAIN)
+    r = F.try_divide(F.covar_pop("z", "res"), F.stddev_pop("z") * F.stddev_pop("res"))
+    trend = at.agg(F.count("*").alias("n"), F.when(F.countDistinct("z") > 5, r).alias("r_z"))
+    return trend.crossJoin(medians).join(coherent, F.lit(True), "left")  # one row each
+
+
 def affine(pairs: DataFrame) -> DataFrame:
     """A fit per section of four pairs or more, with one round of rejecting outliers if four pairs stay."""
     first = graph.cut(_fit(pairs, "z"))  # a row per section; what follows reads it several times

@@ -137,6 +137,27 @@ def nearest(points: DataFrame, nodes: DataFrame, radius: float) -> DataFrame:
     return points.join(best, "point", "left").select("point", "b.node_id", "b.dist")
 
 
+def slices_at(nodes: DataFrame, by: list[str], share) -> DataFrame:
+    """The slices of each group (by, z) at some places of its list of slices, in order: by, k, z.  ``share`` makes
+    an array of places, from 0, of the list's length n; a group has few slices beside its nodes."""
+    z = F.array_sort(F.collect_set("z"))
+    at = nodes.filter("z is not null").groupBy(*by).agg(z.alias("zs"))
+    at = at.select(*by, "zs", F.posexplode(share(F.size("zs"))).alias("k", "at"))
+    return at.select(*by, "k", F.get("zs", F.col("at").cast("int")).alias("z"))
+
+
+def middle_slice(nodes: DataFrame, by: list[str]) -> DataFrame:
+    """The middle one of each group's slices, the later of two."""
+    return slices_at(nodes, by, lambda n: F.array(F.floor(n / 2))).drop("k")
+
+
+def even_slices(nodes: DataFrame, by: list[str], most: int) -> DataFrame:
+    """``most`` slices of each group from its first to its last at even steps, rounded down; all if it has fewer."""
+    steps = lambda n: F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda j: F.floor(j * (n - 1) / F.lit(float(max(1, most - 1)))))
+    every = lambda n: F.transform(F.sequence(F.lit(0), n - 1), lambda j: j.cast("bigint"))
+    return slices_at(nodes, by, lambda n: F.when(n >= most, steps(n)).otherwise(every(n)))
+
+
 def crop_windows(boxes: DataFrame, image: tuple[int, int], pad: int, scale: int, longest: int, least: int = 0) -> DataFrame:
     """Adds to boxes x0, y0, x1, y1 the window in which to crop the image of (rows, columns): left, top, width, height
     and crop_scale.  The box is padded, to ``least`` pixels a side at least and the image's size at most, about

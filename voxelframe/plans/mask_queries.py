@@ -52,6 +52,13 @@ def mask_diff(spark, sf):
     return d.groupBy("slice", "neuron").agg(side("lost"), side("gained"))
 
 
+@query(f"""WITH {L.RUNS}, px AS (SELECT slice, neuron, y, unnest(range(x0, x1)) AS x FROM pred), c AS (SELECT *, count(*) OVER (PARTITION BY slice, y, x) AS n FROM px)
+SELECT slice, neuron, count(*) AS area, count_if(n > 1) AS shared FROM c GROUP BY ALL""")
+def neighbour_overlap(spark, sf):
+    """How much of each mask its neighbours claim too."""
+    return masks.shared(_pred(spark, sf))
+
+
 _PARTS = f"""{L.RUNS}, n AS (SELECT *, row_number() OVER (ORDER BY slice, neuron, y, x0) AS id FROM pred),
 e AS (SELECT a.id AS u, b.id AS v FROM n a JOIN n b ON a.slice = b.slice AND a.neuron = b.neuron AND b.y = a.y + 1 AND a.x0 <= b.x1 AND b.x0 <= a.x1), e2 AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
 reach AS (SELECT id, id AS root FROM n UNION SELECT e2.v, reach.root FROM reach JOIN e2 ON e2.u = reach.id), comp AS (SELECT id, min(root) AS c FROM reach GROUP BY ALL),

@@ -142,6 +142,16 @@ def residual_coherence(spark, sf):
     return g.filter("n >= 4")
 
 
+@query(f"""{_RES}, sec AS (SELECT z, count(*) AS n, sqrt(avg(dx) ** 2 + avg(dy) ** 2) / greatest(avg(res), 1e-6) AS co FROM res GROUP BY z), mb AS (SELECT median(r1.res) AS b FROM r1 WHERE z IN (SELECT z FROM sec WHERE n >= 4)),
+mm AS (SELECT median(res) AS m FROM res WHERE z IN (SELECT z FROM sec WHERE n >= 4))
+SELECT count(*) AS n, CASE WHEN count(DISTINCT z) > 5 THEN round(corr(z, res), 6) END AS r_z, (SELECT round(m, 6) FROM mm) AS median_model, (SELECT round(b, 6) FROM mb) AS median_best, (SELECT round((m - b) / greatest(m, 1e-6), 6) FROM mm, mb) AS gain,
+ (SELECT (m - b) / greatest(m, 1e-6) > 0.25 FROM mm, mb) AS helps, (SELECT round(median(co), 6) FROM sec WHERE n >= 2) AS coherence FROM res""")
+def residual_verdict(spark, sf):
+    """Whether the residuals have a structure that more of a model would take up."""
+    pairs = graph.cut(_pairs(spark, sf))
+    return _rounded(R.diagnosis(pairs, _model(spark, sf, pairs)), ("r_z", "median_model", "median_best", "gain", "coherence"), 6, "n", "helps")
+
+
 @query(f"""WITH {_PAIRS}, {_cross('one', 'pairs')}, r AS (SELECT sqrt((a * sx + b * sy + tx - gx) ** 2 + (c * sx + d * sy + ty - gy) ** 2) AS res FROM pairs, one)
 SELECT {_R(R.PARAMETERS, 6)}, round(sqrt(a * a + c * c), 6) AS scale, round(degrees(atan2(c, a)), 6) AS angle, round((SELECT avg(res) FROM r), 6) AS mean, round((SELECT max(res) FROM r), 6) AS max, round((SELECT stddev_pop(res) FROM r), 6) AS std FROM one""")
 def landmark_affine(spark, sf):

@@ -309,3 +309,28 @@ def frame_points(spark, sf):
     p = skeletons.on_frames(_chain_members(spark, sf), _frame_states(spark, sf), 8, (1000, 1000))
     sums = [F.round(F.sum(f"p{c}"), 6).alias(f"sum_{c}") for c in "xy"]
     return p.groupBy("neuron", "chain_idx", "frame").agg(F.count("*").alias("n_points"), F.count_if(F.col("inside")).alias("n_inside"), *sums)
+
+
+_ZS = f"{L.NODES}, zs AS (SELECT cell_name, list(DISTINCT z ORDER BY z) AS zs FROM nodes GROUP BY ALL)"
+
+
+@query(f"WITH {_ZS} SELECT cell_name, zs[len(zs) // 2 + 1] AS z FROM zs")
+def middle_slice(spark, sf):
+    """The middle one of the slices that each neuron has nodes on."""
+    return skeletons.middle_slice(L.nodes(spark, sf), ["cell_name"])
+
+
+@query(f"""WITH {_ZS}, p AS (SELECT cell_name, zs, unnest(CASE WHEN len(zs) >= 4 THEN [floor(j * (len(zs) - 1) / 3)::BIGINT for j in range(0, 4)] ELSE range(0, len(zs)) END) AS pl FROM zs)
+SELECT cell_name, row_number() OVER (PARTITION BY cell_name ORDER BY pl) - 1 AS k, zs[pl + 1] AS z FROM p""")
+def even_slices(spark, sf):
+    """Four slices of each neuron from its first to its last at even steps."""
+    return skeletons.even_slices(L.nodes(spark, sf), ["cell_name"], 4)
+
+
+@query(f"""WITH RECURSIVE {registration_queries._SMOOTH}, {L.NODES}, {L.RUNS}, {L.TRUTH}, {_MAPS}, {_ON_MAP}, {_runs_sql('on_map', 1, 0.1)}, {_BY_NEURON}, cl AS (SELECT cell_name, sum(length) AS ceiling FROM edges GROUP BY ALL),
+h AS (SELECT cell_name, avg((label <> 0)::INT) AS hit FROM on_map GROUP BY ALL)
+SELECT cell_name, round(erl / 1000, 3) AS erl_um, round(ceiling / 1000, 3) AS ceiling_um, round(100 * erl / ceiling, 2) AS pct_of_ceiling, round(hit, 6) AS on_segment FROM per JOIN cl USING (cell_name) JOIN h USING (cell_name)""")
+def labelmap_erl(spark, sf):
+    """Run length of each neuron along the map that its registered nodes find, against that of labels that equal the neurons."""
+    runs = masks.composite(masks.merged(L.raw_runs(spark, sf))).withColumn("label", F.expr(_NUMBER)).drop("neuron")
+    return labelmaps.against_ceiling(L.nodes(spark, sf), _map_fit(spark, sf), runs, min_count=1, min_share=0.1)

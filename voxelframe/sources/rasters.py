@@ -69,6 +69,16 @@ def decoded(content: bytes) -> np.ndarray:
     return pixels[..., 0] << 8 | pixels[..., 1] if depth == 16 else pixels[..., 0]
 
 
+def encoded(pixels: np.ndarray) -> bytes:
+    """A grey PNG of 8 bits, or of 16 where the type of the pixels has more."""
+    depth = 16 if pixels.dtype.itemsize > 1 else 8
+    rows = np.ascontiguousarray(pixels, ">u2" if depth == 16 else "u1").view(np.uint8).reshape(len(pixels), -1)
+    lines = np.concatenate([np.zeros((len(rows), 1), np.uint8), rows], axis=1)  # no filter
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = struct.pack(">IIBBBBB", pixels.shape[1], len(pixels), depth, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
 def runs_of(pixels: np.ndarray) -> np.ndarray:
     """Rows label, y, x0, x1 of equal pixels that are not 0."""
     edge = np.ones((len(pixels), 1), bool)

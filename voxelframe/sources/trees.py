@@ -13,7 +13,7 @@ filters keep those of its last use; so take ``read`` rather than the bare format
 
 The root is a path or an address that pyarrow can open.  Options: ``binary`` (true: every pixel above 0 has the
 label 1; false: labels as they are).  A folder without such files gives nothing; a file that can't be read
-fails its task, which Spark tries again.
+fails its task, which Spark tries again.  ``write`` is the way back: a file per frame.
 """
 
 from __future__ import annotations
@@ -27,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
-from voxelframe.sources.rasters import RUNS_AT_ONCE, decoded, runs_of
+from voxelframe.sources.rasters import RUNS_AT_ONCE, decoded, encoded, runs_of
 
 SCHEMA = "neuron string, chain_idx bigint, slice bigint, label bigint, y bigint, x0 bigint, x1 bigint"
 _FILE = re.compile(r"(?:mask_)?0*(\d+)\.png$")
@@ -102,6 +103,49 @@ class TreeReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(part[:, c]) for c in range(4)], names)
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    files: list[str]
+
+
+class TreeWriter(DataSourceArrowWriter):
+    """Writes rows that come sorted by neuron, chain_idx and slice, one raster at a time.  A file appears whole or
+    not at all; a task that is done again writes the same files again."""
+
+    def __init__(self, options: dict):
+        self.options, self.binary = options, options.get("binary", "true").lower() == "true"
+        self.shape = int(options["height"]), int(options["width"])
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        store, root = TreeReader(self.options)._store()
+        at, pixels, files = None, None, []
+
+        def close() -> None:
+            if at is None:
+                return
+            neuron, chain, z = at
+            folder = f"{root}/{neuron}/chain_{chain:02d}/masks"
+            store.create_dir(folder, recursive=True)
+            path = f"{folder}/mask_{z:04d}.png"
+            with store.open_output_stream(f"{path}.part") as file:
+                file.write(encoded((pixels > 0).astype(np.uint8) * np.uint8(255) if self.binary else pixels))
+            store.move(f"{path}.part", path)
+            files.append(path)
+
+        for batch in iterator:
+            names = zip(*(batch.column(c).to_pylist() for c in ("neuron", "chain_idx", "slice")))
+            spans = zip(*(batch.column(c).to_pylist() for c in ("label", "y", "x0", "x1")))
+            for name, (label, y, x0, x1) in zip(names, spans):
+                if name != at:
+                    close()
+                    at, pixels = name, np.zeros(self.shape, np.uint16)
+                if 0 <= y < self.shape[0] and x1 > 0:
+                    part = pixels[y, max(0, x0) : x1]
+                    np.maximum(part, label, out=part)  # of several objects the highest number has a pixel
+        close()
+        return Written(files)
+
+
 class MaskTree(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -113,6 +157,9 @@ class MaskTree(DataSource):
     def reader(self, schema) -> TreeReader:
         return TreeReader(dict(self.options))
 
+    def writer(self, schema, overwrite: bool) -> TreeWriter:
+        return TreeWriter(dict(self.options))
+
 
 def register(spark: SparkSession) -> None:
     """Makes ``spark.read.format("mask_tree")`` known to the session, with its filters pushed down."""
@@ -124,3 +171,20 @@ def read(spark: SparkSession, root: str, binary: bool = True) -> DataFrame:
     """Runs of all masks (or, not ``binary``, of all labels) of the tree."""
     register(spark)
     return spark.read.format("mask_tree").option("binary", str(binary).lower()).load(root).filter("slice >= 0")
+
+
+def write(runs: DataFrame, frames: DataFrame, root: str, shape: tuple[int, int], binary: bool = True) -> DataFrame:
+    """Writes a raster of (rows, columns) for every frame (neuron, chain_idx, slice) that has runs (with label, y, x0,
+    x1), as masks of 0 and 255 or with labels, of which the highest wins.  Files that are there stay or are
+    replaced.  Gives back, per chain, how many frames were written and how many were skipped for want of an object.
+    Runs of other frames are left out; to write at another size, resample the runs first."""
+    spark, key = runs.sparkSession, ["neuron", "chain_idx", "slice"]
+    register(spark)
+    frames = frames.select(*key).distinct()
+    columns = [F.col(c.split()[0]).cast(c.split()[1]) for c in SCHEMA.split(", ")]
+    dealt = runs.join(frames, key, "left_semi").select(*columns).repartition(*key).sortWithinPartitions(*key)
+    out = dealt.write.format("mask_tree").mode("append").option("binary", str(binary).lower())
+    out.option("height", shape[0]).option("width", shape[1]).save(root)
+    seen = runs.select(*key).distinct().withColumn("seen", F.lit(1))
+    counts = frames.join(seen, key, "left").groupBy("neuron", "chain_idx")
+    return counts.agg(F.count("seen").alias("n_written"), (F.count("*") - F.count("seen")).alias("n_skipped"))
