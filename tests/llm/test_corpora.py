@@ -87,8 +87,7 @@ def _trie(spark, convs):
     return sorted((tuple(r) for r in trie.trie(df).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends").collect()), key=repr)
 
 
-@pytest.mark.parametrize("cells", [trie.CELLS, 3])
-@pytest.mark.parametrize("sent", [trie.SENT, 0])
+@pytest.mark.parametrize("cells,sent", [(trie.CELLS, trie.SENT), (3, 0)])
 def test_trie_by_brute_force(spark, monkeypatch, cells, sent):
     monkeypatch.setattr(trie, "CELLS", cells)
     monkeypatch.setattr(trie, "SENT", sent)
