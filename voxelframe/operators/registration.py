@@ -85,7 +85,7 @@ def residuals(pairs: DataFrame, fit: DataFrame) -> DataFrame:
 def best(pairs: DataFrame, least: int = 4) -> DataFrame:
     """z, best: what each pair of a section with enough of them keeps under that section's own least squares, a
     lower bound for any affine per section.  Points on one line are fitted along it, which leaves no more."""
-    sums = _solved(moments(pairs, "z")).filter(F.col("n") >= least)
+    sums = graph.cut(_solved(moments(pairs, "z")).filter(F.col("n") >= least))  # a row per section
     wide = F.col("xx") >= F.col("yy")
     along = lambda c, g, q, side: F.coalesce(c, F.when(side, F.try_divide(g, q)), F.lit(0.0))
     fit = sums.select(
@@ -108,7 +108,7 @@ def diagnosis(pairs: DataFrame, fit: DataFrame) -> DataFrame:
     of four pairs or more, under the fit and under each section's own; gain, the share that the latter would
     take off, and helps, whether that is worth it.  r_z: correlation of residual and section, null for five
     sections or fewer."""
-    at = graph.cut(residuals(pairs, fit).select("z", "res", (F.col("rx") - F.col("gx")).alias("dx"), (F.col("ry") - F.col("gy")).alias("dy")))
+    at = residuals(pairs, fit).select("z", "res", (F.col("rx") - F.col("gx")).alias("dx"), (F.col("ry") - F.col("gy")).alias("dy"))
     sections = graph.cut(at.groupBy("z").agg(F.count("*").alias("n"), (F.hypot(F.avg("dx"), F.avg("dy")) / F.greatest(F.avg("res"), F.lit(1e-6))).alias("coherence")))
     coherent = quantiles(sections.filter("n >= 2"), "coherence", [], [0.5]).select(F.col("q0").alias("coherence"))
     of = lambda df, c, kind: df.select(F.lit(kind).alias("kind"), F.col(c).alias("res"))

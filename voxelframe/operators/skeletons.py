@@ -244,18 +244,17 @@ def candidates(points: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     size, and never a whole slice."""
     places, cells = _tree(nodes, k)
     deepest = cells.filter("split").agg(F.max("level")).first()[0]
-    known = ["z", "level", "cx", "cy", "n", "split", "x0", "y0", "side"]
     front = points.select("point", "z", "px", "py").join(cells.filter("level = 0"), "z")
     near = Window.partitionBy("point").orderBy("far", "cx", "cy", "level")
     enough = F.sum("n").over(near.rowsBetween(Window.unboundedPreceding, 0))
     for level in range(0 if deepest is None else deepest + 1):
         below = cells.filter(F.col("level") == level + 1).select(
-            *(F.col(c).alias(f"_{c}") for c in ("cx", "cy", "n", "split")), F.col("z").alias("_z"), F.shiftright("cx", 1).alias("_px"), F.shiftright("cy", 1).alias("_py"))
-        open_ = front.filter((F.col("level") == level) & F.col("split"))
-        inside = open_.join(below, (F.col("z") == F.col("_z")) & (F.col("cx") == F.col("_px")) & (F.col("cy") == F.col("_py")))
-        inside = inside.select("point", "px", "py", "z", F.lit(level + 1).alias("level"), *(F.col(f"_{c}").alias(c) for c in ("cx", "cy", "n", "split")), "x0", "y0", "side")
-        kept = front.filter(~((F.col("level") == level) & F.col("split"))).select("point", "px", "py", *known)
-        front = kept.unionByName(inside)
+            *(F.col(c).alias(f"_{c}") for c in ("level", "cx", "cy", "n", "split")), F.col("z").alias("_z"), F.shiftright("cx", 1).alias("_ux"), F.shiftright("cy", 1).alias("_uy"))
+        # Cells that are not split on this level meet nothing and stay: their keys are no cells, and differ.
+        open_ = (F.col("level") == level) & F.col("split")
+        front = front.withColumn("_kx", F.when(open_, F.col("cx")).otherwise(-1 - F.pmod(F.xxhash64("point", "cx"), F.lit(1 << 30))))
+        front = front.join(below, (F.col("z") == F.col("_z")) & (F.col("_kx") == F.col("_ux")) & (F.col("cy") == F.col("_uy")), "left")
+        front = front.select("point", "px", "py", "z", *(F.coalesce(f"_{c}", c).alias(c) for c in ("level", "cx", "cy", "n", "split")), "x0", "y0", "side")
         size = F.col("side") / F.pow(F.lit(2.0), F.col("level"))
         low = {c: F.col(f"{c}0") + F.col(f"c{c}") * size for c in "xy"}
         aside = {c: F.greatest(low[c] - F.col(f"p{c}"), F.col(f"p{c}") - low[c] - size, F.lit(0.0)) for c in "xy"}

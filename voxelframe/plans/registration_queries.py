@@ -74,7 +74,7 @@ def registration_offsets(spark, sf):
 
 @query(f"WITH {_AFFINE} SELECT z, {_R(R.PARAMETERS, 6)} FROM fit")
 def registration_affine(spark, sf):
-    return _rounded(R.affine(_pairs(spark, sf)), R.PARAMETERS, 6, "z")
+    return _rounded(R.affine(_kept_pairs(spark, sf)), R.PARAMETERS, 6, "z")
 
 
 _FILLED = f"""{_AFFINE}, sp AS (SELECT unnest(range(1, 25)) AS z), lo AS (SELECT sp.z, max(f.z) AS p, (SELECT min(z) FROM fit WHERE fit.z >= sp.z) AS q FROM sp LEFT JOIN fit f ON f.z <= sp.z GROUP BY sp.z),
@@ -83,7 +83,7 @@ fil AS (SELECT lo.z, {', '.join(f'coalesce(u.{c} + (CASE WHEN v.z > u.z THEN (lo
 
 @query(f"WITH {_FILLED} SELECT z, {_R(R.PARAMETERS, 6)} FROM fil")
 def registration_fill(spark, sf):
-    return _rounded(R.filled(R.affine(_pairs(spark, sf)), 1, 24), R.PARAMETERS, 6, "z")
+    return _rounded(R.filled(R.affine(_kept_pairs(spark, sf)), 1, 24), R.PARAMETERS, 6, "z")
 
 
 _SMOOTH = f"{_FILLED}, e AS (SELECT min(z) AS lo, max(z) AS hi FROM fil), win AS (SELECT f.z, g.* EXCLUDE (z) FROM fil f, e, (SELECT unnest([-2, -1, 0, 1, 2]) AS k) JOIN fil g ON g.z = greatest(lo, least(hi, f.z + k))), smo AS (SELECT z, {', '.join(f'median({c}) AS {c}' for c in R.PARAMETERS)} FROM win GROUP BY z)"
@@ -94,8 +94,13 @@ def registration_smooth(spark, sf):
     return _rounded(_model(spark, sf), R.PARAMETERS, 6, "z")
 
 
+def _kept_pairs(spark, sf):
+    """The pairs, dealt over all cores once: they are read many times, and the file may be a single split."""
+    return graph.cut(_pairs(spark, sf).repartition(spark.sparkContext.defaultParallelism))
+
+
 def _model(spark, sf, pairs=None):
-    return R.smoothed(R.filled(R.affine(pairs or _pairs(spark, sf)), 1, 24), 5)
+    return R.smoothed(R.filled(R.affine(pairs or _kept_pairs(spark, sf)), 1, 24), 5)
 
 
 @query(f"WITH {_SMOOTH} SELECT z, {', '.join(f'round({c} / 4, 6) AS {c}' for c in R.PARAMETERS)} FROM smo")
@@ -125,9 +130,9 @@ _RES = f"WITH {_SMOOTH}, res AS (SELECT p.z, a * sx + b * sy + tx - gx AS dx, c
 @query(f"{_RES} SELECT count(*) AS n, round(avg(res), 6) AS mean, round(median(res), 6) AS median, round(quantile_cont(res, 0.9), 6) AS p90, round(max(res), 6) AS max, (SELECT round(avg(res), 6) FROM r1) AS best_mean, (SELECT round(median(res), 6) FROM r1) AS best_median, (SELECT round(quantile_cont(res, 0.9), 6) FROM r1) AS best_p90 FROM res")
 def residual_report(spark, sf):
     """Residuals under the model, and under the best affine that each section could have had."""
-    pairs = graph.cut(_pairs(spark, sf))
+    pairs = _kept_pairs(spark, sf)
     of = lambda df, c, kind: df.select(F.lit(kind).alias("kind"), F.col(c).alias("res"))
-    both = graph.cut(of(R.residuals(pairs, _model(spark, sf, pairs)), "res", "model").unionByName(of(R.best(pairs), "best", "best")))
+    both = of(R.residuals(pairs, graph.cut(_model(spark, sf, pairs))), "res", "model").unionByName(of(R.best(pairs), "best", "best"))
     sums = both.groupBy("kind").agg(F.avg("res").alias("mean"), F.max("res").alias("most")).join(quantiles(both, "res", ["kind"], [0.5, 0.9]), "kind")
     one = lambda kind, c: F.round(F.max(F.when(F.col("kind") == kind, F.col(c))), 6)
     named = lambda kind, head: (one(kind, c).alias(head + name) for c, name in (("mean", "mean"), ("q0", "median"), ("q1", "p90")))
@@ -148,8 +153,8 @@ SELECT count(*) AS n, CASE WHEN count(DISTINCT z) > 5 THEN round(corr(z, res), 6
  (SELECT (m - b) / greatest(m, 1e-6) > 0.25 FROM mm, mb) AS helps, (SELECT round(median(co), 6) FROM sec WHERE n >= 2) AS coherence FROM res""")
 def residual_verdict(spark, sf):
     """Whether the residuals have a structure that more of a model would take up."""
-    pairs = graph.cut(_pairs(spark, sf))
-    return _rounded(R.diagnosis(pairs, _model(spark, sf, pairs)), ("r_z", "median_model", "median_best", "gain", "coherence"), 6, "n", "helps")
+    pairs = _kept_pairs(spark, sf)
+    return _rounded(R.diagnosis(pairs, graph.cut(_model(spark, sf, pairs))), ("r_z", "median_model", "median_best", "gain", "coherence"), 6, "n", "helps")
 
 
 @query(f"""WITH {_PAIRS}, {_cross('one', 'pairs')}, r AS (SELECT sqrt((a * sx + b * sy + tx - gx) ** 2 + (c * sx + d * sy + ty - gy) ** 2) AS res FROM pairs, one)
