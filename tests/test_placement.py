@@ -113,6 +113,19 @@ def test_quantiles_are_exact(spark, by):
     assert quantiles(spark.createDataFrame([], "g int, v double"), "v", by, [0.5]).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_quantiles_of_large_groups(spark, monkeypatch, few):
+    from voxelframe.operators import quantiles as module
+
+    monkeypatch.setattr(module, "FEW", few)
+    rng = np.random.default_rng(6)
+    groups = {g: np.round(rng.normal(size=n) ** 3, 4) for g, n in enumerate((40_000, 7001, 6000))}
+    df = spark.createDataFrame([(g, float(v)) for g, values in groups.items() for v in values], "g int, v double").repartition(6)
+    shares = [0.0, 0.003, 0.25, 0.5, 0.9, 0.9995, 1.0]
+    for r in quantiles(df, "v", ["g"], shares).collect():
+        assert np.allclose([r[f"q{k}"] for k in range(len(shares))], np.quantile(groups[r.g], shares), atol=1e-12) and r.n == len(groups[r.g])
+
+
 def test_correspondences_leave_out_what_is_ambiguous(spark):
     nodes = [("A", 1, 10.0, 20.0), ("A", 1, 14.0, 22.0), ("A", 2, 0.0, 0.0), ("A", 2, 900.0, 900.0), ("A", 3, 5.0, 5.0), ("A", 4, 5.0, None), ("B", 1, 1.0, 1.0), ("C", 1, 2.0, 2.0)]
     runs = [

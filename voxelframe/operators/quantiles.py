@@ -8,8 +8,10 @@ from pyspark.sql.window import Window
 
 from voxelframe.operators import graph
 
-#: A sketch's ranks are wrong by a share of 1 / ACCURACY at most; brackets reach twice as far.
+#: A sketch's ranks are wrong by a share of 1 / ACCURACY at most; brackets reach twice as far, which leaves room
+#: for the ranks' rounding in groups of more than FEW values.  Smaller groups keep all of theirs.
 ACCURACY = 1000
+FEW = 5 * ACCURACY
 
 
 def _compressed(rows: DataFrame, shares: list[float]) -> DataFrame:
@@ -18,10 +20,10 @@ def _compressed(rows: DataFrame, shares: list[float]) -> DataFrame:
     one row, which has their smallest.  Both passes combine before they shuffle."""
     reach = 2 / ACCURACY
     ends = [e for s in shares for e in (max(0.0, s - reach), min(1.0, s + reach))]
-    sketch = rows.groupBy("g").agg(F.percentile_approx("v", F.array(*map(F.lit, ends)), F.lit(ACCURACY)).alias("e"))
+    sketch = rows.groupBy("g").agg(F.percentile_approx("v", F.array(*map(F.lit, ends)), F.lit(ACCURACY)).alias("e"), F.count("*").alias("all"))
     at = rows.join(sketch, "g")
     lows, highs = [F.col("e")[2 * k] for k in range(len(shares))], [F.col("e")[2 * k + 1] for k in range(len(shares))]
-    inside, above = F.lit(False), F.lit(0)
+    inside, above = F.col("all") <= FEW, F.lit(0)
     for low, high in zip(lows, highs):
         inside, above = inside | ((F.col("v") >= low) & (F.col("v") <= high)), above + (F.col("v") > low).cast("int")
     at = at.withColumns({"own": F.when(inside, F.col("v")), "above": F.when(~inside, above)})
