@@ -218,3 +218,13 @@ def test_drift_of_a_stack(spark):
     assert b == {-40: (100, 4.75, 1.0), 0: (200, 19.75, 1.0), 40: (100, 34.75, 1.0)}
     flat = rows.withColumns({"offx": F.lit(0.0), "offy": F.lit(0.0), "dist": F.lit(0.0)})
     assert drift.report(flat).first().drifts is False
+
+
+def test_equal_runs_are_merged_once(spark):
+    rng = np.random.default_rng(5)
+    some = [(0, "A", int(y), int(x), int(x + n)) for y, x, n in zip(rng.integers(0, 3, 40), rng.integers(0, 90, 40), rng.integers(1, 5, 40))]
+    runs = spark.createDataFrame(some * 60, "slice long, neuron string, y long, x0 long, x1 long").repartition(7)
+    want = np.zeros((3, 100), bool)
+    for _, _, y, a, b in some:
+        want[y, a:b] = True
+    assert sorted((r.y, r.x0, r.x1) for r in masks.merged(runs).collect()) == sorted(_runs_of(want))
