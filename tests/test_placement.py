@@ -228,3 +228,15 @@ def test_equal_runs_are_merged_once(spark):
     for _, _, y, a, b in some:
         want[y, a:b] = True
     assert sorted((r.y, r.x0, r.x1) for r in masks.merged(runs).collect()) == sorted(_runs_of(want))
+
+
+def test_the_rate_on_masks_counts_every_slice(spark, tmp_path):
+    from voxelframe.plans import catalogue
+
+    # One neuron with nodes on four slices, and a run to the frame's end on each image row of them.
+    spark.createDataFrame([(k, "Brand#11", 145) for k in range(0, 800, 5)], "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    nodes = range(0, 4000, 25)
+    spark.createDataFrame([(k,) for k in nodes], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    on = sum(k * 7 % 145 >= (k % 20 + 20 * (k * 3 % 40)) * 13 % 90 for k in nodes)
+    (row,) = catalogue.queries()["on_mask_rate"](spark, str(tmp_path)).collect()
+    assert (row.neuron, row.n, row.n_on) == ("Brand#11", len(nodes), on)

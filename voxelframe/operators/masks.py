@@ -328,15 +328,6 @@ def hits(points: DataFrame, runs: DataFrame, radius: int = 0) -> DataFrame:
     return on.withColumn("pixels", F.least("x1", "w1") - F.greatest("x0", "w0")).drop("w0", "w1")
 
 
-def spread(points: DataFrame, by: str, most: int) -> DataFrame:
-    """Points on ``most`` slices of each group at most, at an even stride over those that the group is on."""
-    at = points.select(by, "slice").distinct()
-    w = Window.partitionBy(by)
-    at = at.withColumns({"_i": F.row_number().over(w.orderBy("slice")) - 1, "_stride": F.greatest(F.lit(1), F.expr(f"cast(count(*) over (partition by {by}) div {most} as int)"))})
-    picked = at.filter(f"_i % _stride = 0 and _i div _stride < {most}").select(by, "slice")
-    return points.join(picked, [by, "slice"], "left_semi")
-
-
 def labels_at(points: DataFrame, runs: DataFrame, label, radius: int = 0) -> DataFrame:
     """The label most frequent in each point's window, the smallest on ties, 0 where there is none."""
     found = hits(points, runs, radius).withColumn("label", label).groupBy("id", "label").agg(F.sum("pixels").alias("n"))

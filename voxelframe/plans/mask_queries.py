@@ -209,14 +209,12 @@ def node_labels(spark, sf):
 _HIT = "hit AS (SELECT DISTINCT p.id, p.slice, p.neuron AS own, r.neuron FROM pts p JOIN pred r ON r.slice = p.slice AND r.y = p.py AND r.x0 <= p.px AND p.px < r.x1)"
 
 
-@query(f"""WITH {L.RUNS}, {_PTS}, {_HIT}, sl AS (SELECT DISTINCT neuron, slice FROM pts WHERE slice IN (SELECT slice FROM pred)), st AS (SELECT neuron, slice, row_number() OVER (PARTITION BY neuron ORDER BY slice) - 1 AS i, greatest(1, count(*) OVER (PARTITION BY neuron) // 3) AS stride FROM sl),
-s AS (SELECT pts.* FROM pts JOIN st USING (neuron, slice) WHERE i % stride = 0 AND i // stride < 3) SELECT neuron, count(*) AS n, count_if(id IN (SELECT id FROM hit WHERE own = neuron)) AS n_on,
+@query(f"""WITH {L.RUNS}, {_PTS}, {_HIT}, s AS (SELECT * FROM pts WHERE slice IN (SELECT slice FROM pred)) SELECT neuron, count(*) AS n, count_if(id IN (SELECT id FROM hit WHERE own = neuron)) AS n_on,
  round(count_if(id IN (SELECT id FROM hit WHERE own = neuron)) / count(*), 9) AS rate FROM s GROUP BY ALL""")
 def on_mask_rate(spark, sf):
-    """How many nodes lie on their own neuron's mask, from three slices of each neuron."""
+    """How many nodes lie on their own neuron's mask, over all slices that have masks."""
     runs = _pred(spark, sf)
     points = _points(spark, sf).withColumnRenamed("neuron", "own").join(runs.select("slice").distinct(), "slice", "left_semi")
-    points = masks.spread(points, "own", 3)
     on = masks.hits(points, runs).filter("own = neuron").select("id").distinct().withColumn("on", F.lit(1))
     g = points.join(on, "id", "left").groupBy(F.col("own").alias("neuron")).agg(F.count("*").alias("n"), F.count("on").alias("n_on"))
     return g.withColumn("rate", F.round(F.col("n_on") / F.col("n"), 9))
