@@ -5,7 +5,7 @@ from collections import Counter
 
 import corpus_pipeline
 from tests.llm.test_operators import ROWS, SCHEMA
-from voxelframe.llm import mixing
+from voxelframe.llm import exact, mixing
 
 LONG = [f"w{i}" for i in range(60)]
 NEAR = " ".join([*LONG[:59], "other"])
@@ -29,6 +29,19 @@ def test_exact_dedup_keeps_one_row_per_text(spark):
     assert got.columns == docs.columns and _rows(got) == Counter(first.values())
 
 
+def test_exact_dedup_combines_in_salted_groups(spark, monkeypatch):
+    """The stage takes the operator's way: groups of a text and a salt first, then one per text."""
+    calls = []
+    salted = exact.salted
+    monkeypatch.setattr(exact, "salted", lambda keyed, *of: calls.append(keyed.select(*exact.TEXT, "_salt")) or salted(keyed, *of))
+    docs = spark.createDataFrame([(i, "a  copy" if i % 2 else "a copy", "en", "s", i, "x") for i in range(500)], SCHEMA).repartition(4)
+    (kept,) = corpus_pipeline.exact_dedup(spark, docs, "").collect()
+    assert (kept.doc_id, kept.text) == (0, "a copy")
+    assert len(calls) == 1 and calls[0].distinct().count() > exact.SALTS // 2
+    spark.createDataFrame([(1, "x", {"k": 1}), (None, "x", {"k": 2})], "doc_id long, text string, m map<string,int>").createOrReplaceTempView("maps")
+    assert [r.m for r in exact.keep_one(spark.table("maps")).collect()] == [{"k": 1}]
+
+
 def test_near_dedup_keeps_one_row_per_class(spark):
     rows = [r for r in ROWS + MORE if r[1] and len(r[1].split()) > 6]
     got = _rows(corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA).coalesce(1), ""))

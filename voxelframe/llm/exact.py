@@ -10,14 +10,14 @@ that shared them would stop the job rather than merge.
 Edge cases: a null text counts as empty, so null and empty texts form one group; ties go to the
 smallest doc_id; a repeated doc_id counts once per row; a row with a null doc_id has a null ``kept`` in
 ``groups``, while ``keep_one`` always keeps one row per text; an empty table gives an empty one; extra
-columns are ignored by ``groups`` and kept by ``keep_one``.
+columns are ignored by ``groups`` and kept by ``keep_one``, which combines whole rows the same way and
+so needs no way back.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Salts of a digest, at most 64: the most rows that one text sends to the last stage.
 SALTS = 64
@@ -27,19 +27,28 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), normalised(F.col(text)).alias("_norm")).select(
-        "doc_id", "_norm", F.sha2("_norm", 256).alias("text_sha256"), F.xxhash64("_norm").alias("_h2"),
-        F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SALTS)).alias("_salt"),
-    )
+#: What makes two rows copies: the digests spare long comparisons, the text itself decides.
+TEXT = ("text_sha256", "_h2", "_norm")
+
+
+def _keyed(docs: DataFrame, doc_id: str, text: str, *more: Column) -> DataFrame:
+    """doc_id, the text and its digests, the salt, and further columns."""
+    return docs.select(F.col(doc_id).alias("doc_id"), normalised(F.col(text)).alias("_norm"), *more).withColumns({
+        "text_sha256": F.sha2("_norm", 256), "_h2": F.xxhash64("_norm"), "_salt": F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SALTS)),
+    })
+
+
+def salted(keyed: DataFrame, *of: Column) -> DataFrame:
+    """Aggregates ``of`` per text and salt: copies meet inside their task, then in the salt's group.  The rows
+    are dealt by the digest, so that a grouping by text which follows stays in place."""
+    return keyed.groupBy(*TEXT, "_salt").agg(*of).repartition("text_sha256")
 
 
 def winners(keyed: DataFrame) -> DataFrame:
     """One row per text and salt that its copies have: text_sha256, _h2, _salt, keep_id, group_size."""
-    salted = keyed.groupBy("text_sha256", "_h2", "_norm", "_salt").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n"))
     # Dealt once, by the digest; both groupings below and the next join's side stay in place.
     salts = F.bit_or(F.expr("shiftleft(1L, cast(_salt as int))")).alias("_salts")
-    whole = salted.repartition("text_sha256").groupBy("text_sha256", "_h2", "_norm").agg(
+    whole = salted(keyed, F.min("doc_id").alias("_first"), F.count("*").alias("_n")).groupBy(*TEXT).agg(
         F.min("_first").alias("keep_id"), F.sum("_n").alias("group_size"), salts
     )
     one = whole.groupBy("text_sha256", "_h2").agg(
@@ -63,13 +72,16 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One whole row per text: that of the smallest doc_id, null ids last.  Ties go to the smallest row,
-    column by column (to any of them if a column holds maps).  Each task drops its own copies first, so a
-    hot text sends one row a task; rows are compared by the whole text."""
-    rows = docs.select("doc_id", F.struct("*").alias("_row"), normalised(F.col("text")).alias("_norm"))
-    rows = rows.withColumn("_h2", F.xxhash64("_norm"))
-    tie = [] if "map<" in docs.schema.simpleString() else [F.col("_row")]
-    first = F.row_number().over(Window.partitionBy("_h2", "_norm").orderBy(F.col("doc_id").asc_nulls_last(), *tie))
-    return rows.withColumn("_nth", first).filter("_nth = 1").select("_row.*")
+    column by column (to any of them if a column holds maps).  Rows take the same salted way as the ids of
+    ``winners``: each task keeps its first row of a text and salt, so a hot text sends one a task and salt."""
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row")).alias("_at")
+    rows = docs.select(F.col("doc_id"), F.col("text"), F.struct("*").alias("_row"))
+    if "map<" in docs.schema.simpleString():
+        least = F.min_by("_at", F.struct("_at.none", "_at.id")).alias("_at")
+    else:
+        least = F.min("_at").alias("_at")
+    found = salted(_keyed(rows, "doc_id", "text", first), least).withColumn("_norm", normalised(F.col("_at._row.text")))  # so it isn't dealt again
+    return found.groupBy(*TEXT).agg(least).select("_at._row.*")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
