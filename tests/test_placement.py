@@ -240,3 +240,17 @@ def test_the_rate_on_masks_counts_every_slice(spark, tmp_path):
     on = sum(k * 7 % 145 >= (k % 20 + 20 * (k * 3 % 40)) * 13 % 90 for k in nodes)
     (row,) = catalogue.queries()["on_mask_rate"](spark, str(tmp_path)).collect()
     assert (row.neuron, row.n, row.n_on) == ("Brand#11", len(nodes), on)
+
+
+def test_leaks_grow_with_the_picture(spark, tmp_path):
+    from voxelframe.plans import catalogue
+
+    # Every pixel of the nodes holds 50 of them, and each node comes twice: the join meets a row per pixel.
+    spark.createDataFrame([(k, "Brand#99", 145) for k in range(800)], "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    nodes = [k * 145 * 400 for k in range(50)] * 2  # on slice 0, in its first image row and column
+    spark.createDataFrame([(k,) for k in nodes], "c_custkey long").repartition(1).write.parquet(f"{tmp_path}/customer.parquet")
+    met, hits = [], masks.hits
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(masks, "hits", lambda points, runs, radius=0: met.append(points) or hits(points, runs, radius))
+        (row,) = catalogue.queries()["leak_nodes"](spark, str(tmp_path)).collect()
+    assert (row.slice, row.neuron, row.n_leaks) == (0, "Brand#99", 50) and met[0].count() <= 5

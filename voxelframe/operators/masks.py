@@ -328,6 +328,12 @@ def hits(points: DataFrame, runs: DataFrame, radius: int = 0) -> DataFrame:
     return on.withColumn("pixels", F.least("x1", "w1") - F.greatest("x0", "w0")).drop("w0", "w1")
 
 
+def by_pixel(points: DataFrame, *by: str) -> DataFrame:
+    """Points of one pixel as one row with their number n, per ``by``.  Where only numbers of points are asked for,
+    a join of these rows with runs grows with the picture and not with the points."""
+    return points.groupBy(*by, "slice", "px", "py").agg(F.count("*").alias("n"))
+
+
 def labels_at(points: DataFrame, runs: DataFrame, label, radius: int = 0) -> DataFrame:
     """The label most frequent in each point's window, the smallest on ties, 0 where there is none."""
     found = hits(points, runs, radius).withColumn("label", label).groupBy("id", "label").agg(F.sum("pixels").alias("n"))

@@ -215,16 +215,19 @@ def on_mask_rate(spark, sf):
     """How many nodes lie on their own neuron's mask, over all slices that have masks."""
     runs = _pred(spark, sf)
     points = _points(spark, sf).withColumnRenamed("neuron", "own").join(runs.select("slice").distinct(), "slice", "left_semi")
-    on = masks.hits(points, runs).filter("own = neuron").select("id").distinct().withColumn("on", F.lit(1))
-    g = points.join(on, "id", "left").groupBy(F.col("own").alias("neuron")).agg(F.count("*").alias("n"), F.count("on").alias("n_on"))
+    points = masks.by_pixel(points, "own")
+    pixel = ["own", "slice", "px", "py"]
+    on = masks.hits(points, runs).filter("own = neuron").select(*pixel).distinct().withColumn("on", F.lit(True))
+    g = points.join(on, pixel, "left").groupBy(F.col("own").alias("neuron")).agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("on"), F.col("n"))), F.lit(0)).alias("n_on"))
     return g.withColumn("rate", F.round(F.col("n_on") / F.col("n"), 9))
 
 
 @query(f"WITH {L.RUNS}, {_PTS}, {_HIT} SELECT slice, neuron, count(*) AS n_leaks FROM hit WHERE own <> neuron GROUP BY ALL")
 def leak_nodes(spark, sf):
     """Nodes of other neurons that a mask has swallowed."""
-    found = masks.hits(_points(spark, sf).withColumnRenamed("neuron", "own"), _pred(spark, sf)).filter("own <> neuron")
-    return found.groupBy("slice", "neuron").agg(F.countDistinct("id").alias("n_leaks"))
+    points = _points(spark, sf).withColumnRenamed("neuron", "own").distinct()
+    found = masks.hits(masks.by_pixel(points, "own"), _pred(spark, sf)).filter("own <> neuron")
+    return found.groupBy("slice", "neuron").agg(F.sum("n").alias("n_leaks"))
 
 
 @query(f"""WITH {L.RUNS}, {_PTS}, r AS (SELECT unnest(range(0, 7)) AS radius), s AS (SELECT radius, count_if(dist > radius) AS noskel, count(*) AS n FROM dist, r GROUP BY ALL)
