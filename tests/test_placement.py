@@ -254,3 +254,22 @@ def test_leaks_grow_with_the_picture(spark, tmp_path):
         m.setattr(masks, "hits", lambda points, runs, radius=0: met.append(points) or hits(points, runs, radius))
         (row,) = catalogue.queries()["leak_nodes"](spark, str(tmp_path)).collect()
     assert (row.slice, row.neuron, row.n_leaks) == (0, "Brand#99", 50) and met[0].count() <= 5
+
+
+@pytest.mark.parametrize("few", [3, 5000])
+def test_values_and_pairs_stay_where_they_are(spark, monkeypatch, few):
+    """A hot group, or section, is not dealt by its key: what belongs to it is sent to its rows."""
+    from voxelframe.operators import graph, quantiles as q
+
+    cuts = []
+    monkeypatch.setattr(graph, "cut", lambda df, cut=graph.cut: cuts.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    monkeypatch.setattr(q, "FEW", few)
+    values = spark.range(1000).selectExpr("id % 2 as k", "cast(id as double) as v")
+    got = {r.k: (r.n, r.q0, r.q1) for r in q.quantiles(values, "v", ["k"], [0.5, 0.9]).collect()}
+    want = {k: (500, *np.quantile(np.arange(k, 1000, 2), [0.5, 0.9])) for k in (0, 1)}
+    assert all(got[k] == pytest.approx(want[k]) for k in want) and "strategy=broadcast" in cuts[0]
+    pairs = spark.range(60).selectExpr("id % 3 as z", "cast(id % 7 as double) as sx", "cast(id % 5 as double) as sy", "cast(id % 7 as double) as gx", "cast(id % 5 + 1 as double) as gy")
+    fit = spark.createDataFrame([(z, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0) for z in range(3)], "z long, a double, b double, tx double, c double, d double, ty double")
+    for df, n in ((registration.residuals(pairs, fit), 2), (registration.best(pairs), 1)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == n
+    assert registration.residuals(pairs, fit).agg(F.min("res"), F.max("res")).first()[:] == (1.0, 1.0)

@@ -17,13 +17,15 @@ FEW = 5 * ACCURACY
 def _compressed(rows: DataFrame, shares: list[float]) -> DataFrame:
     """g, v, w, exact: the values of each group (g, v) as few rows in their order.  A sketch brackets every rank
     sought; each value within a bracket is a row with its weight, and all values between two brackets are
-    one row, which has their smallest.  Both passes combine before they shuffle."""
+    one row, which has their smallest.  Both passes combine before they shuffle.  Values stay where they are:
+    only groups of more than FEW values need their sketch, and those are sent round, at most one row in FEW."""
     reach = 2 / ACCURACY
     ends = [e for s in shares for e in (max(0.0, s - reach), min(1.0, s + reach))]
     sketch = rows.groupBy("g").agg(F.percentile_approx("v", F.array(*map(F.lit, ends)), F.lit(ACCURACY)).alias("e"), F.count("*").alias("all"))
-    at = rows.join(sketch, "g")
+    large = sketch.filter(F.col("all") > FEW).select(F.col("g").alias("of"), "e")
+    at = rows.join(F.broadcast(large), F.col("g").eqNullSafe(F.col("of")), "left")
     lows, highs = [F.col("e")[2 * k] for k in range(len(shares))], [F.col("e")[2 * k + 1] for k in range(len(shares))]
-    inside, above = F.col("all") <= FEW, F.lit(0)
+    inside, above = F.col("e").isNull(), F.lit(0)
     for low, high in zip(lows, highs):
         inside, above = inside | ((F.col("v") >= low) & (F.col("v") <= high)), above + (F.col("v") > low).cast("int")
     at = at.withColumns({"own": F.when(inside, F.col("v")), "above": F.when(~inside, above)})

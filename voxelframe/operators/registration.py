@@ -1,7 +1,8 @@
 """Registration of sections: linear and affine least squares by sums of products, filling, smoothing, residuals.
 
 Pairs are rows of z, sx, sy (skeleton) and gx, gy (truth).  A fit is one row of six parameters per section:
-x = a*sx + b*sy + tx, y = c*sx + d*sy + ty.  Sums are those of pairs centred on each section, for accuracy.
+x = a*sx + b*sy + tx, y = c*sx + d*sy + ty.  What has a row per section is sent to the pairs, which stay where
+they are: dealt by section, all pairs of one would meet in a task.  Sums are those of pairs centred on each section, for accuracy.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def applied(rows: DataFrame, fit: DataFrame, x: str = "sx", y: str = "sy") -> Da
     the nearest end."""
     ends = F.broadcast(fit.agg(F.min("z").alias("_lo"), F.max("z").alias("_hi")))  # one row
     at = rows.crossJoin(ends).withColumn("_z", F.greatest("_lo", F.least("_hi", F.bround("z").cast("long"))))
-    at = at.join(fit.select(F.col("z").alias("_z"), *PARAMETERS), "_z")
+    at = at.join(F.broadcast(fit.select(F.col("z").alias("_z"), *PARAMETERS)), "_z")
     rx, ry = F.col("a") * F.col(x) + F.col("b") * F.col(y) + F.col("tx"), F.col("c") * F.col(x) + F.col("d") * F.col(y) + F.col("ty")
     return at.withColumn("rx", rx).withColumn("ry", ry).drop("_z", "_lo", "_hi", *PARAMETERS)
 
@@ -95,7 +96,7 @@ def best(pairs: DataFrame, least: int = 4) -> DataFrame:
     )
     u = {c: F.col(c) - F.col(f"m_{c}") for c in ("sx", "sy", "gx", "gy")}
     off = lambda p, q, v: F.col(p) * u["sx"] + F.col(q) * u["sy"] - u[v]
-    return pairs.join(fit, "z").select("z", F.hypot(off("a", "b", "gx"), off("c", "d", "gy")).alias("best"))
+    return pairs.join(F.broadcast(fit), "z").select("z", F.hypot(off("a", "b", "gx"), off("c", "d", "gy")).alias("best"))
 
 
 #: A residual is structured where the sections' own fits would lower its median by more than this share.
@@ -112,7 +113,7 @@ def diagnosis(pairs: DataFrame, fit: DataFrame) -> DataFrame:
     sections = graph.cut(at.groupBy("z").agg(F.count("*").alias("n"), (F.hypot(F.avg("dx"), F.avg("dy")) / F.greatest(F.avg("res"), F.lit(1e-6))).alias("coherence")))
     coherent = quantiles(sections.filter("n >= 2"), "coherence", [], [0.5]).select(F.col("q0").alias("coherence"))
     of = lambda df, c, kind: df.select(F.lit(kind).alias("kind"), F.col(c).alias("res"))
-    many = at.join(sections.filter("n >= 4").select("z"), "z", "left_semi")
+    many = at.join(F.broadcast(sections.filter("n >= 4").select("z")), "z", "left_semi")
     medians = quantiles(of(many, "res", "model").unionByName(of(best(pairs), "best", "best")), "res", ["kind"], [0.5])
     one = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("q0"))).alias(f"median_{kind}")
     gain = (F.col("median_model") - F.col("median_best")) / F.greatest("median_model", F.lit(1e-6))
@@ -126,9 +127,9 @@ def affine(pairs: DataFrame) -> DataFrame:
     """A fit per section of four pairs or more, with one round of rejecting outliers if four pairs stay."""
     first = graph.cut(_fit(pairs, "z"))  # a row per section; what follows reads it several times
     rx, ry = _by(first)
-    res = pairs.join(first.drop("n"), "z").withColumn("res", F.hypot(rx - F.col("gx"), ry - F.col("gy")))
+    res = pairs.join(F.broadcast(first.drop("n")), "z").withColumn("res", F.hypot(rx - F.col("gx"), ry - F.col("gy")))
     bound = quantiles(res, "res", ["z"], [0.5]).select("z", F.greatest(F.lit(OUTLIER), 3 * F.col("q0")).alias("bound"))
-    kept = res.join(bound, "z").filter("res <= bound").select(*pairs.columns)
+    kept = res.join(F.broadcast(bound), "z").filter("res <= bound").select(*pairs.columns)
     again = _fit(kept, "z").select("z", *(F.col(p).alias(f"{p}2") for p in PARAMETERS))
     both = first.join(again, "z", "left")
     return graph.cut(both.select("z", *(F.coalesce(f"{p}2", p).alias(p) for p in PARAMETERS)))
