@@ -105,3 +105,27 @@ def test_appended_rows_come_once(spark, tmp_path):
         _write(spark, _reviews(np.random.default_rng(k), 10, 10 * k), REVIEW, source)
         assert live.drained(_stream(spark, source, REVIEW).select("neuron", "seq"), at).count() == 10 * (k + 1)
     assert live._names(spark, f"{at}/none") == []
+
+
+def test_a_chain_sends_its_frames_at_once():
+    """The store gets one message per chain and batch, however many frames there are."""
+    import pandas as pd
+
+    sent, held = [], []
+
+    class State:
+        get = staticmethod(lambda: iter(held))
+        put = staticmethod(lambda rows: (sent.append(len(rows)), held.clear(), held.extend(rows)))
+        appendList = staticmethod(lambda rows: (sent.append(len(rows)), held.extend(rows)))
+
+    class Handle:
+        getListState = staticmethod(lambda name, schema: State)
+
+    p = live._Ratios(None)
+    p.init(Handle)
+    frames = lambda seqs, area: pd.DataFrame({"ts": pd.to_datetime(list(seqs), unit="s"), "seq": list(seqs), "area": area})
+    assert len(next(p.handleInputRows(("A", 0), iter([frames(range(0, 100, 2), 4)]), None))) == 50
+    (late,) = p.handleInputRows(("A", 0), iter([frames([5], 8)]), None)
+    assert list(zip(late["seq"], late["area_ratio"])) == [(5, 2.0), (6, 0.5)]
+    (again,) = p.handleInputRows(("A", 0), iter([frames([5], 2)]), None)
+    assert list(zip(again["seq"], again["area_ratio"])) == [(5, 0.5), (6, 2.0)] and sent == [50, 1, 51] and len(held) == 51

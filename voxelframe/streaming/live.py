@@ -126,18 +126,22 @@ class _Ratios(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.frames = handle.getMapState("frames", "ts long, seq long", "area long")
+        self.frames = handle.getListState("frames", _FRAME)
 
     def _kept(self) -> list[tuple[tuple[int, int], int]]:
-        return sorted(((int(k[0]), int(k[1])), int(v[0])) for k, v in self.frames.iterator())
+        return sorted(((int(f[0]), int(f[1])), int(f[2])) for f in self.frames.get())
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         new = pd.concat(list(rows))
         stamps = new["ts"].astype("datetime64[us]").astype("int64")
         places = dict(zip(zip(stamps.tolist(), new["seq"].tolist()), new["area"].tolist()))
-        at = dict(self._kept()) | places
-        for place, area in places.items():
-            self.frames.updateValue(place, (area,))
+        kept = dict(self._kept())
+        at = kept | places
+        # One message to the store per chain, not per frame.
+        if kept.keys() & places.keys():
+            self.frames.put([(*place, area) for place, area in at.items()])
+        else:
+            self.frames.appendList([(*place, area) for place, area in places.items()])
         order = sorted(at)
         out = []
         for k, place in enumerate(order):
@@ -153,8 +157,10 @@ class _Ratios(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         """Forgets the frames that nothing on time can come behind any more, but for the last of them."""
         until = (expiredTimerInfo.getExpiryTimeInMs() - self.horizon) * 1000
-        for place, _ in [f for f in self._kept() if f[0][0] <= until][:-1]:
-            self.frames.removeKey(place)
+        kept = self._kept()
+        late = len([f for f in kept if f[0][0] <= until][:-1])
+        if late:
+            self.frames.put([(*place, area) for place, area in kept[late:]])
         yield pd.DataFrame(columns=[c.split()[0] for c in RATIO.split(", ")])
 
     def close(self) -> None:
@@ -167,7 +173,7 @@ def ratios(frames: DataFrame, horizon: int | None = None) -> DataFrame:
     changes what it is measured against, or itself.
 
     With a ``horizon`` (milliseconds) and a watermark on ts, frames that far behind the watermark are
-    forgotten by a timer; without, a chain's frames all stay in the state.  The state is a map per chain in
+    forgotten by a timer; without, a chain's frames all stay in the state.  The state is a list per chain in
     the store that ``spark.sql.streaming.stateStore.providerClass`` names, which has to be RocksDB's."""
     grouped = frames.select(*KEY, "ts", "seq", "area").groupBy(*KEY)
     return grouped.transformWithStateInPandas(_Ratios(horizon), RATIO, "Update", "None" if horizon is None else "EventTime")
