@@ -198,6 +198,30 @@ def test_pairs_compared_grow_with_the_points(spark):
     assert large < 6 * small and large < 150 * 4000
 
 
+@pytest.mark.parametrize("sent", [0, 40, 100_000])
+def test_nearest_nodes_by_boxes_made_once(spark, monkeypatch, sent):
+    """Each node is put into its box once, however deep they lie, and meets points from around it only."""
+    from voxelframe.operators import graph
+
+    rng = np.random.default_rng(8)
+    nodes = [(i, int(i % 7 == 0), *(float(v) for v in np.round(rng.exponential(30, 2), 1))) for i in range(2000)]
+    nodes += [(2000 + i, 0, *(float(v) for v in 500 + rng.normal(0, 1e-4, 2))) for i in range(500)] + [(2500 + i, 0, 3.0, 4.0) for i in range(20)]
+    points = [(n, z, x + n % 7, y - n % 5) for n, z, x, y in nodes if n % 4 == 0]
+    p = spark.createDataFrame(points, "point long, z long, px double, py double").repartition(3)
+    n = spark.createDataFrame(nodes, "node_id long, z long, x double, y double").repartition(3)
+    cuts = []
+    monkeypatch.setattr(graph, "cut", lambda df, cut=graph.cut: cuts.append(cut(df)) or cuts[-1])
+    monkeypatch.setattr(skeletons, "SENT", sent, raising=False)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that the curve is cut into ranges
+    try:
+        got = {(r.point, r.rank, r.node_id, round(r.dist, 9)) for r in skeletons.k_nearest(p, n, 3).collect()}
+        assert got == _k_nearest(points, nodes, 3)
+        assert sum(c.count() for c in cuts) < 1.5 * len(nodes)
+        assert skeletons.candidates(p, n, 3).count() < 50 * len(points)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_drift_of_a_stack(spark):
     rng = np.random.default_rng(1)
     signals, nodes, states = [], [], [("A", k, None if k % 2 else ([80.0, 40.0], [400, 400], 2, 8)) for k in range(5)]

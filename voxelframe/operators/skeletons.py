@@ -193,80 +193,82 @@ def on_frames(members: DataFrame, states: DataFrame, scale: int, image: tuple[in
     return at.select("neuron", "chain_idx", "node_id", "z", "frame", "px", "py", inside.alias("inside"))
 
 
-#: Levels of the tree of cells that are made at once, the deepest, and the most places of a cell that is not split.
-LEVELS, DEEPEST, LEAF = 4, 40, 32
+#: Boxes of a level that form one of the next, as bits; the most boxes of a level that are sent round.
+FAN, SENT = 3, 100_000
 
 
-def _cell(c: str, level: Column) -> Column:
-    """Number of the cell on a level, of a place given as a fraction of its slice's square."""
-    return F.floor(F.col(f"f{c}") * F.pow(F.lit(2.0), level))
+def _interleaved(x: Column, y: Column) -> Column:
+    """The bits of two numbers below 2 ** 31 by turns, so that what is near in the plane is mostly near in order."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        x, y = (v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask)) for v in (x, y))
+    return x.bitwiseOR(F.shiftleft(y, 1))
 
 
-def _tree(nodes: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """A tree of square cells over each slice's nodes.  Its cells: z, level, cx, cy, n (nodes, of one place k + 1 at
-    most), split, and the square's corner x0, y0 and side.  Its places: z, x, y, ids (the k + 1 smallest there) and
-    level, cx, cy of the cell, not split, in which they are.  Cells of more than LEAF places are split, so
-    crowds go deep and the rest does not; only places in split cells go on to further levels."""
+def _tree(nodes: DataFrame, k: int) -> tuple[DataFrame, list[DataFrame]]:
+    """A packed tree of boxes over each slice's nodes: its places, z, x, y, ids (the k + 1 smallest there) and box, and
+    its levels of boxes from the leaves up to one a slice: z, box, the corners x0, y0, x1, y1 of what it holds, and n (nodes, of
+    one place k + 1 at most).
+
+    Places are dealt by ranges along a curve through the slices and numbered in its order; a leaf is a stretch of
+    more than k numbers, and a box of a higher level the next 2 ** FAN below it.  So crowds and lone places
+    make boxes of as many, each place is dealt twice, and higher levels are made from the few boxes below."""
     at = nodes.select("node_id", "z", "x", "y").filter("x is not null and y is not null and z is not null")
+    square = at.groupBy("z").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-9)) * (1 + 1e-9)
     # A place keeps as many ids as can ever be wanted of it; each task keeps its own smallest first.
     nth = F.row_number().over(Window.partitionBy("z", "x", "y").orderBy("node_id"))
     at = at.withColumn("_nth", nth).filter(F.col("_nth") <= k + 1).groupBy("z", "x", "y").agg(F.array_sort(F.collect_list("node_id")).alias("ids"))
-    square = at.groupBy("z").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
-    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-9)) * (1 + 1e-9)
-    at = at.join(square.select("z", "x0", "y0", side.alias("side")), "z")
-    at = graph.cut(at.withColumns({f"f{c}": (F.col(c) - F.col(f"{c}0")) / F.col("side") for c in "xy"}))
-    cell, corner = ["z", "level", "cx", "cy"], [F.first(c).alias(c) for c in ("x0", "y0", "side")]
-    cells, places, first = None, None, 0
-    while True:
-        every = at.withColumn("level", F.explode(F.sequence(F.lit(first), F.lit(first + LEVELS - 1))))
-        every = every.withColumns({f"c{c}": _cell(c, F.col("level")) for c in "xy"})
-        made = every.groupBy(*cell).agg(F.sum(F.size("ids")).alias("n"), F.count("*").alias("places"), *corner)
-        made = graph.cut(made.withColumn("split", (F.col("places") > LEAF) & (F.col("level") < DEEPEST)).drop("places"))
-        cells = made if cells is None else cells.unionByName(made)
-        home = F.min(F.when(~F.col("split"), F.col("level"))).alias("level")
-        held = every.join(made.select(*cell, "split"), cell).groupBy("z", "x", "y").agg(home)
-        held = graph.cut(at.join(held, ["z", "x", "y"]))
-        rest = held.filter("level is null")
-        here = held.filter("level is not null").withColumns({f"c{c}": _cell(c, F.col("level")) for c in "xy"}).select("z", "x", "y", "ids", "level", "cx", "cy")
-        places = here if places is None else places.unionByName(here)
-        if rest.isEmpty():
-            return places, cells
-        at, first = rest.drop("level"), first + LEVELS
+    at = at.join(F.broadcast(square.select("z", "x0", "y0", side.alias("side"))), "z")  # a row per slice
+    most = 2**31
+    at = at.withColumns({f"g{c}": F.least(F.floor((F.col(c) - F.col(f"{c}0")) / F.col("side") * most), F.lit(most - 1)) for c in "xy"})
+    order = ["z", "along", "x", "y"]
+    at = at.withColumn("along", _interleaved(F.col("gx"), F.col("gy"))).select(*order, "ids").repartitionByRange(*order).sortWithinPartitions(*order)
+    places = graph.cut(at.select("z", "x", "y", "ids", F.monotonically_increasing_id().alias("number")))
+    # The number of the partition and that within it, without the gap between them.
+    within = F.col("number").bitwiseAND(F.lit((1 << 33) - 1))
+    leaf = max(3, (k + 1).bit_length())
+    bits = max(leaf, (places.agg(F.max(within)).first()[0] or 0).bit_length())
+    number = F.shiftleft(F.shiftright("number", 33), bits).bitwiseOR(within)
+    places = places.select("z", "x", "y", "ids", F.shiftright(number, leaf).alias("box"))
+    corner = lambda x, y, n: [*(f(c).alias(f"{a}{i}") for i, f in enumerate((F.min, F.max)) for a, c in (("x", x[i]), ("y", y[i]))), F.sum(n).alias("n")]
+    levels, base = [graph.cut(places.groupBy("z", "box").agg(*corner("xx", "yy", F.size("ids"))))], 0
+    # The boxes of a slice are one on the level where their numbers' leading bits are the same.
+    ends = levels[0].groupBy("z").agg(F.min("box").alias("low"), F.max("box").alias("high"))
+    slices, last, apart = ends.agg(F.count("*"), F.max("high"), F.max(F.col("low").bitwiseXOR(F.col("high")))).first()
+    heights = range(-(-(apart or 0).bit_length() // FAN) + 1)
+    few = [slices + ((last or 0) >> FAN * h) <= SENT for h in heights]
+    for h in heights[1:]:
+        up = levels[base].groupBy("z", F.shiftright("box", FAN * (h - base)).alias("box")).agg(*corner(("x0", "x1"), ("y0", "y1"), "n"))
+        if few[base]:  # the levels above one of few boxes are all made from it, where they are used
+            levels.append(up)
+        else:
+            levels, base = [*levels, graph.cut(up)], h
+    return places, [F.broadcast(v) if sent else v for v, sent in zip(levels, few)]
 
 
 def candidates(points: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """Pairs of each point (point, z, px, py) and the places of its slice that its k nearest other nodes can lie in,
     with dist and the places' ids.
 
-    From the whole slice on down, a point keeps the cells that can matter: those whose nearest corner is not
-    farther than the farthest corners of the cells that together surely hold k + 1 nodes.  Then the cells kept
-    are split, level by level.  So a point far from all others, or in a crowd, meets a few cells of every
-    size, and never a whole slice."""
-    places, cells = _tree(nodes, k)
-    deepest = cells.filter("split").agg(F.max("level")).first()[0]
-    front = points.select("point", "z", "px", "py").join(cells.filter("level = 0"), "z")
-    near = Window.partitionBy("point").orderBy("far", "cx", "cy", "level")
-    enough = F.sum("n").over(near.rowsBetween(Window.unboundedPreceding, 0))
-    for level in range(0 if deepest is None else deepest + 1):
-        below = cells.filter(F.col("level") == level + 1).select(
-            *(F.col(c).alias(f"_{c}") for c in ("level", "cx", "cy", "n", "split")), F.col("z").alias("_z"), F.shiftright("cx", 1).alias("_ux"), F.shiftright("cy", 1).alias("_uy"))
-        # Cells that are not split on this level meet nothing and stay: their keys are no cells, and differ.
-        open_ = (F.col("level") == level) & F.col("split")
-        front = front.withColumn("_kx", F.when(open_, F.col("cx")).otherwise(-1 - F.pmod(F.xxhash64("point", "cx"), F.lit(1 << 30))))
-        front = front.join(below, (F.col("z") == F.col("_z")) & (F.col("_kx") == F.col("_ux")) & (F.col("cy") == F.col("_uy")), "left")
-        front = front.select("point", "px", "py", "z", *(F.coalesce(f"_{c}", c).alias(c) for c in ("level", "cx", "cy", "n", "split")), "x0", "y0", "side")
-        size = F.col("side") / F.pow(F.lit(2.0), F.col("level"))
-        low = {c: F.col(f"{c}0") + F.col(f"c{c}") * size for c in "xy"}
-        aside = {c: F.greatest(low[c] - F.col(f"p{c}"), F.col(f"p{c}") - low[c] - size, F.lit(0.0)) for c in "xy"}
-        beyond = {c: F.greatest(F.abs(low[c] - F.col(f"p{c}")), F.abs(low[c] + size - F.col(f"p{c}"))) for c in "xy"}
-        front = front.withColumns({"close": F.hypot(aside["x"], aside["y"]), "far": F.hypot(beyond["x"], beyond["y"])})
-        front = front.withColumn("_seen", enough)
-        reach = F.min(F.when(F.col("_seen") > k, F.col("far"))).over(Window.partitionBy("point"))
-        front = front.withColumn("_reach", F.coalesce(reach, F.lit(float("inf"))) * (1 + 1e-9) + 1e-9).filter("close <= _reach").drop("_seen", "_reach", "close", "far")
-        if level % 3 == 2:
-            front = graph.cut(front)
-    both = front.select("point", "px", "py", "z", "level", "cx", "cy").join(places, ["z", "level", "cx", "cy"])
-    return both.select("point", "ids", F.sqrt((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2).alias("dist"))
+    From the whole slice on down, a point keeps the boxes that can matter: those that begin within its reach, which is
+    the farthest corner of the box nearest by it among all met that hold k + 1 nodes.  So a point far from
+    all others, or in a crowd, meets a few boxes of every level, and never a whole slice; and of the places
+    in the leaves kept, only those within its reach go on.  Levels of few boxes are sent to the points, which stay."""
+    places, levels = _tree(nodes, k)
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    front = points.select("point", "z", "px", "py").repartition(tasks, "point")
+    front = front.join(levels[-1].select("z", "box"), "z").withColumn("reach", F.lit(float("inf")))
+    slack = F.col("reach") * (1 + 1e-12) + 1e-150  # dist and hypot round, and squares vanish, in ways of their own
+    for level in levels[-2::-1]:
+        below = level.withColumnRenamed("box", "_box").withColumn("box", F.shiftright("_box", FAN))
+        front = front.join(below, ["z", "box"])
+        aside = {c: F.greatest(F.col(f"{c}0") - F.col(f"p{c}"), F.col(f"p{c}") - F.col(f"{c}1"), F.lit(0.0)) for c in "xy"}
+        beyond = {c: F.greatest(F.abs(F.col(f"{c}0") - F.col(f"p{c}")), F.abs(F.col(f"{c}1") - F.col(f"p{c}"))) for c in "xy"}
+        front = front.withColumns({"close": F.hypot(aside["x"], aside["y"]), "far": F.when(F.col("n") > k, F.hypot(beyond["x"], beyond["y"]))}).filter(F.col("close") <= slack)
+        front = front.select("point", "z", "px", "py", F.col("_box").alias("box"), "close", F.least("reach", F.min("far").over(Window.partitionBy("point"))).alias("reach"))
+        front = front.filter(F.col("close") <= slack).drop("close")
+    both = front.join(places, ["z", "box"]).withColumn("dist", F.sqrt((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2))
+    return both.filter(F.col("dist") <= slack).select("point", "ids", "dist")
 
 
 def k_nearest(points: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
