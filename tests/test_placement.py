@@ -222,6 +222,14 @@ def test_nearest_nodes_by_boxes_made_once(spark, monkeypatch, sent):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_nearest_nodes_of_odd_places(spark):
+    nan = float("nan")
+    n = spark.createDataFrame([(i, 0, float(i), 0.0) for i in range(20)] + [(20, 0, nan, 0.0), (30, 1, 1.0, 1.0), (31, 1, nan, 1.0)], "node_id long, z long, x double, y double")
+    p = spark.createDataFrame([(0, 0, 0.0, 0.0), (900, 0, None, 1.0), (901, 1, 1.0, 1.0)], "point long, z long, px double, py double")
+    got = sorted((r.point, r.rank, r.node_id) for r in skeletons.k_nearest(p, n, 3).collect())
+    assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (901, 1, 30), (901, 2, 31)]
+
+
 def test_drift_of_a_stack(spark):
     rng = np.random.default_rng(1)
     signals, nodes, states = [], [], [("A", k, None if k % 2 else ([80.0, 40.0], [400, 400], 2, 8)) for k in range(5)]

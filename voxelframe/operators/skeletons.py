@@ -193,7 +193,7 @@ def on_frames(members: DataFrame, states: DataFrame, scale: int, image: tuple[in
     return at.select("neuron", "chain_idx", "node_id", "z", "frame", "px", "py", inside.alias("inside"))
 
 
-#: Boxes of a level that form one of the next, as bits; the most boxes of a level that are sent round.
+#: Boxes of a level that form one of the next, as bits; the most boxes of a level, or slices, that are sent round.
 FAN, SENT = 3, 100_000
 
 
@@ -213,12 +213,14 @@ def _tree(nodes: DataFrame, k: int) -> tuple[DataFrame, list[DataFrame]]:
     more than k numbers, and a box of a higher level the next 2 ** FAN below it.  So crowds and lone places
     make boxes of as many, each place is dealt twice, and higher levels are made from the few boxes below."""
     at = nodes.select("node_id", "z", "x", "y").filter("x is not null and y is not null and z is not null")
-    square = at.groupBy("z").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    square = at.groupBy("z").agg(*(f(F.nanvl(c, F.lit(None).cast("double"))).alias(f"{c}{i}") for i, f in enumerate((F.min, F.max)) for c in "xy"))
     side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-9)) * (1 + 1e-9)
+    square = graph.cut(square.select("z", "x0", "y0", side.alias("side")))
+    slices = square.count()
     # A place keeps as many ids as can ever be wanted of it; each task keeps its own smallest first.
     nth = F.row_number().over(Window.partitionBy("z", "x", "y").orderBy("node_id"))
     at = at.withColumn("_nth", nth).filter(F.col("_nth") <= k + 1).groupBy("z", "x", "y").agg(F.array_sort(F.collect_list("node_id")).alias("ids"))
-    at = at.join(F.broadcast(square.select("z", "x0", "y0", side.alias("side"))), "z")  # a row per slice
+    at = at.join(F.broadcast(square) if slices <= SENT else square, "z")
     most = 2**31
     at = at.withColumns({f"g{c}": F.least(F.floor((F.col(c) - F.col(f"{c}0")) / F.col("side") * most), F.lit(most - 1)) for c in "xy"})
     order = ["z", "along", "x", "y"]
@@ -234,7 +236,7 @@ def _tree(nodes: DataFrame, k: int) -> tuple[DataFrame, list[DataFrame]]:
     levels, base = [graph.cut(places.groupBy("z", "box").agg(*corner("xx", "yy", F.size("ids"))))], 0
     # The boxes of a slice are one on the level where their numbers' leading bits are the same.
     ends = levels[0].groupBy("z").agg(F.min("box").alias("low"), F.max("box").alias("high"))
-    slices, last, apart = ends.agg(F.count("*"), F.max("high"), F.max(F.col("low").bitwiseXOR(F.col("high")))).first()
+    last, apart = ends.agg(F.max("high"), F.max(F.col("low").bitwiseXOR(F.col("high")))).first()
     heights = range(-(-(apart or 0).bit_length() // FAN) + 1)
     few = [slices + ((last or 0) >> FAN * h) <= SENT for h in heights]
     for h in heights[1:]:
@@ -256,19 +258,20 @@ def candidates(points: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     in the leaves kept, only those within its reach go on.  Levels of few boxes are sent to the points, which stay."""
     places, levels = _tree(nodes, k)
     tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    front = points.select("point", "z", "px", "py").repartition(tasks, "point")
+    front = points.select("point", "z", "px", "py").filter("px is not null and py is not null").repartition(tasks, "point")
     front = front.join(levels[-1].select("z", "box"), "z").withColumn("reach", F.lit(float("inf")))
-    slack = F.col("reach") * (1 + 1e-12) + 1e-150  # dist and hypot round, and squares vanish, in ways of their own
+    # dist and hypot round, and squares vanish, in ways of their own.  NaN is beyond all reach, but what is with it in a box is not.
+    within = lambda c: F.isnan(c) | (F.col(c) <= F.col("reach") * (1 + 1e-12) + 1e-150)
     for level in levels[-2::-1]:
         below = level.withColumnRenamed("box", "_box").withColumn("box", F.shiftright("_box", FAN))
         front = front.join(below, ["z", "box"])
         aside = {c: F.greatest(F.col(f"{c}0") - F.col(f"p{c}"), F.col(f"p{c}") - F.col(f"{c}1"), F.lit(0.0)) for c in "xy"}
         beyond = {c: F.greatest(F.abs(F.col(f"{c}0") - F.col(f"p{c}")), F.abs(F.col(f"{c}1") - F.col(f"p{c}"))) for c in "xy"}
-        front = front.withColumns({"close": F.hypot(aside["x"], aside["y"]), "far": F.when(F.col("n") > k, F.hypot(beyond["x"], beyond["y"]))}).filter(F.col("close") <= slack)
+        front = front.withColumns({"close": F.hypot(aside["x"], aside["y"]), "far": F.when(F.col("n") > k, F.hypot(beyond["x"], beyond["y"]))}).filter(within("close"))
         front = front.select("point", "z", "px", "py", F.col("_box").alias("box"), "close", F.least("reach", F.min("far").over(Window.partitionBy("point"))).alias("reach"))
-        front = front.filter(F.col("close") <= slack).drop("close")
+        front = front.filter(within("close")).drop("close")
     both = front.join(places, ["z", "box"]).withColumn("dist", F.sqrt((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2))
-    return both.filter(F.col("dist") <= slack).select("point", "ids", "dist")
+    return both.filter(within("dist")).select("point", "ids", "dist")
 
 
 def k_nearest(points: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
