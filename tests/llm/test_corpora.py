@@ -179,3 +179,15 @@ def test_alignment_by_brute_force(spark, monkeypatch):
     got = align.align(df, FILES).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
     assert align.align(df.limit(0), FILES).count() == 0
+
+
+def test_no_row_of_alignment_is_as_long_as_a_chunk(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    align.chunks(docs.coalesce(1), FILES).write.parquet(f"{tmp_path}/chunks")
+    made = spark.read.parquet(f"{tmp_path}/chunks")
+    rows = made.selectExpr("size(pairs) as n", "octet_length(place) as place", "first").collect()
+    assert sum(r.place is not None for r in rows) == docs.count()
+    pieces = sorted((r.first, r.n) for r in rows if r.place is None)
+    assert len(pieces) > 1 and max(n for _, n in pieces) == align.PIECE and [k for k, _ in pieces] == [align.PIECE * i for i in range(len(pieces))]
+    looked = align.looked_up(made)
+    assert "Broadcast" not in looked._jdf.queryExecution().toString() and looked.groupBy("in_chunk", "at").count().filter("count > 1").isEmpty()

@@ -6,9 +6,10 @@ one by steps that double and then by halving.  Common ends cut the tokens into g
 places of two neighbouring ends is the range of tokens that the token between them overlaps, its links.
 
 One pass tokenizes and aligns chunks of texts and writes, per chunk, the figures of its texts, its distinct
-linked id pairs and which text has how many of each.  The counts of all pairs are then grouped in Spark,
-joined with each chunk's pairs, and a second pass over the chunks sums them up per text.  No table of pairs
-goes to every executor, and nothing grows with the corpus but the number of chunks.
+linked id pairs and which text has how many of each, as rows of a text or of PIECE pairs.  The counts of all
+pairs are then grouped in Spark, joined with each chunk's pairs, and a second pass over the chunks sums them
+up per text.  No table of pairs goes to every executor, no row, group or batch holds more than a chunk, and
+nothing grows with the corpus but the number of chunks.
 
 Edge cases: a null or empty text, and one that either tokenizer does not give back byte by byte (A after a
 space, B by its own), has no tokens: zeros and an empty digest.  Repeated rows count each time; a null or
@@ -21,7 +22,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +30,7 @@ import pyarrow as pa
 import sentencepiece
 import tiktoken
 import tokenizers
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,46 +151,52 @@ def _pair(files: tuple) -> Pair:
     return _MADE[files]
 
 
-_DOC = "doc_id:bigint,n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha256:string,n_pairs:bigint"
-#: One row per chunk: its texts, its distinct pairs and their counts, and each text's pairs by place, with counts.
-CHUNKS = f"chunk string, docs array<struct<{_DOC}>>, pairs array<bigint>, counts array<bigint>, place array<int>, times array<int>"
+#: A row per text of a chunk: its figures, and its pairs by place, with counts, as packed 32-bit integers.
+_TEXT = "chunk bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, place binary, times binary"
+#: Besides, PIECE of a chunk's distinct pairs and their counts a row, from the place ``first`` on: a row is never as long as a chunk.
+CHUNKS = f"{_TEXT}, first int, pairs array<bigint>, counts array<bigint>"
+PIECE = 4096
 
 
-def _chunk(pair: Pair, ids: list, texts: list) -> dict:
+def _arrow(schema: str) -> pa.Schema:
+    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
+    return pa.schema([(n, types[t]) for n, t in (c.split() for c in schema.split(", "))])
+
+
+def _chunk(pair: Pair, chunk: int, ids: list, texts: list) -> list[dict]:
     docs, held, times = [], [], []
     for doc_id, text in zip(ids, texts):
         a, b, cut_a, cut_b, link_a, link_b = pair.aligned(text)
         found, n = np.unique(a[link_a] << BITS | b[link_b], return_counts=True)
         digest = hashlib.sha256(pair.groups(a, b, cut_a, cut_b).encode()).hexdigest() if len(a) else ""
-        fields = (doc_id, len(a), len(b), len(cut_a), len(link_a), digest, len(found))
-        docs.append(dict(zip((c.split(":")[0] for c in _DOC.split(",")), fields)))
+        docs.append({"chunk": chunk, "doc_id": doc_id, "n_a": len(a), "n_b": len(b), "n_groups": len(cut_a), "n_links": len(link_a), "groups_sha256": digest})
         held.append(found)
         times.append(n)
-    held, times = np.concatenate(held), np.concatenate(times)
-    pairs, place = np.unique(held, return_inverse=True)
-    counts = np.bincount(place, weights=times, minlength=len(pairs)).astype(np.int64)
-    return {"chunk": uuid.uuid4().hex, "docs": docs, "pairs": pairs, "counts": counts, "place": place.astype(np.int32), "times": times.astype(np.int32)}
+    pairs, place = np.unique(np.concatenate(held), return_inverse=True)
+    counts = np.bincount(place, weights=np.concatenate(times), minlength=len(pairs)).astype(np.int64)
+    ends = np.cumsum([len(found) for found in held])
+    for doc, at, n in zip(docs, np.split(place.astype("<i4"), ends[:-1]), times):
+        doc |= {"place": at.tobytes(), "times": n.astype("<i4").tobytes()}
+    return docs + [{"chunk": chunk, "first": k, "pairs": pairs[k : k + PIECE], "counts": counts[k : k + PIECE]} for k in range(0, len(pairs), PIECE)]
 
 
 def chunks(docs: DataFrame, files: tuple) -> DataFrame:
-    """Rows of CHUNKS for the columns doc_id and text.  A chunk is a stretch of rows that one task reads."""
-    schema = pa.schema(
-        [("chunk", pa.string()), ("docs", pa.list_(pa.struct([(n, pa.string() if t == "string" else pa.int64()) for n, t in (c.split(":") for c in _DOC.split(","))])))]
-        + [("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("place", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))]
-    )
+    """Rows of CHUNKS for the columns doc_id and text.  A chunk is a stretch of rows that one task reads, and
+    is known by the task's partition and its place there."""
+    schema = _arrow(CHUNKS)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, ids, texts, size = _pair(files), [], [], 0
+        pair, ids, texts, size, chunk = _pair(files), [], [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 ids.append(doc_id.as_py())
                 texts.append(text.as_py())
                 size += len(texts[-1] or "")
                 if size >= CHUNK or len(ids) >= CHUNK // 64:
-                    yield pa.RecordBatch.from_pylist([_chunk(pair, ids, texts)], schema)
-                    ids, texts, size = [], [], 0
+                    yield pa.RecordBatch.from_pylist(_chunk(pair, chunk, ids, texts), schema)
+                    ids, texts, size, chunk = [], [], 0, chunk + 1
         if ids:
-            yield pa.RecordBatch.from_pylist([_chunk(pair, ids, texts)], schema)
+            yield pa.RecordBatch.from_pylist(_chunk(pair, chunk, ids, texts), schema)
 
     return docs.select("doc_id", "text").mapInArrow(made, CHUNKS)
 
@@ -200,35 +207,36 @@ def pair_counts(made: DataFrame) -> DataFrame:
     counts = made.select(F.explode(F.arrays_zip("pairs", "counts")).alias("p")).groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.counts").alias("count"))
     of_b = F.col("pair").bitwiseAND((1 << BITS) - 1)
     most = counts.groupBy(of_b.alias("b")).agg(F.max("count").alias("most"))
-    return counts.join(most, of_b == F.col("b")).select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
+    return counts.hint("merge").join(most, of_b == F.col("b")).select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
+
+
+def looked_up(made: DataFrame) -> DataFrame:
+    """in_chunk, at, count and best of each chunk's pairs.  Spark reckons with the size before the pairs are
+    exploded, so it is told not to send them, nor their counts, to every executor."""
+    mine = made.select(F.col("chunk").alias("in_chunk"), "first", F.posexplode("pairs").alias("pos", "pair")).withColumn("at", F.col("first") + F.col("pos"))
+    return mine.hint("merge").join(pair_counts(made), "pair").select("in_chunk", "at", "count", "best")
+
+
+_OUT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in range(batch.num_rows):
-            docs, place, times, looked = (batch.column(c)[row].values for c in ("docs", "place", "times", "looked"))
-            at, count, best = (looked.field(c).to_numpy(zero_copy_only=False) for c in ("at", "count", "best"))
-            by_place = np.empty((2, len(at)), np.int64)
-            by_place[0, at], by_place[1, at] = count, best
-            text = np.repeat(np.arange(len(docs)), docs.field("n_pairs").to_numpy())
-            sums = np.zeros((2, len(docs)), np.int64)
-            for k in range(2):
-                np.add.at(sums[k], text, by_place[k, place.to_numpy()] * times.to_numpy())
-            columns = {c: docs.field(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")}
-            columns |= {"n_best": pa.array(sums[1]), "count_sum": pa.array(sums[0]), "groups_sha256": docs.field("groups_sha256")}
-            yield pa.RecordBatch.from_pydict(columns)
+def _summed(texts: pa.Table, looked: pa.Table) -> pa.Table:
+    """The texts of one chunk and the counts of its pairs."""
+    at = looked["at"].to_numpy()
+    by_place = np.empty((2, len(at)), np.int64)
+    by_place[0, at], by_place[1, at] = looked["count"].to_numpy(), looked["best"].to_numpy()
+    place, times = ([np.frombuffer(x.as_py(), "<i4") for x in texts[c]] for c in ("place", "times"))
+    sums = np.array([by_place[:, p] @ t.astype(np.int64) for p, t in zip(place, times)], np.int64).reshape(-1, 2)
+    columns = {c: texts[c] for c in _arrow(_OUT).names if c in texts.column_names}
+    return pa.table(columns | {"count_sum": sums[:, 0], "n_best": sums[:, 1]}).select(_arrow(_OUT).names)
 
 
 def align(docs: DataFrame, files: tuple) -> DataFrame:
     """Per text: n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256.  ``Pair.aligned`` has the
-    groups and links of a text themselves."""
+    groups and links of a text themselves.  Chunks meet their counts by sorting, one at a time in memory."""
     made = shared.written(chunks(docs, files), f"{shared.folder(docs.sparkSession, 'align')}/chunks")
-    mine = made.select("chunk", F.posexplode("pairs").alias("at", "pair"))
-    looked = mine.join(pair_counts(made), "pair").groupBy("chunk").agg(F.collect_list(F.struct("at", "count", "best")).alias("looked"))
-    both = made.select("chunk", "docs", "place", "times").join(looked, "chunk", "left")
-    none = F.array().cast("array<struct<at:int,count:bigint,best:boolean>>")
-    both = both.select("docs", "place", "times", F.coalesce("looked", none).alias("looked"))
-    return both.mapInArrow(_summed, "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string")
+    texts = made.filter("pairs is null").select(*_arrow(_TEXT).names)
+    return texts.groupBy("chunk").cogroup(looked_up(made).groupBy("in_chunk")).applyInArrow(_summed, _OUT)
 
 
 def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
