@@ -5,7 +5,7 @@ from collections import Counter
 
 import corpus_pipeline
 from tests.llm.test_operators import ROWS, SCHEMA
-from voxelframe.llm import exact, mixing
+from voxelframe.llm import exact, mixing, sketch
 
 LONG = [f"w{i}" for i in range(60)]
 NEAR = " ".join([*LONG[:59], "other"])
@@ -106,3 +106,14 @@ def test_stages_take_empty_tables_and_clashing_names(spark, monkeypatch):
         for df, n in ((docs, 3), (docs.limit(0), 0)):
             out = stage(spark, df, "")
             assert out.count() == n - (name == "near_dedup" and n > 0) and out.columns == df.columns, name
+
+
+def test_buckets_are_not_sent_through_the_driver(spark, monkeypatch, tmp_path):
+    made = spark.createDataFrame([(0, [1, 2, 3]), (1, [3, 4, 4]), (2, [2, 9, 3])], "node long, keys array<long>").selectExpr("node", "3L as n", "0 as pos", "explode(keys) as bucket")
+    several = sketch._several(made)
+    assert "Broadcast" not in several._jdf.queryExecution().toString()
+    assert sorted((r.bucket, r.node) for r in several.collect()) == [(2, 0), (2, 2), (3, 0), (3, 1), (3, 2), (4, 1), (4, 1)]
+    plans = []
+    monkeypatch.setattr(sketch, "_kept", lambda df, path, kept=sketch._kept: plans.append(df._jdf.queryExecution().toString()) or kept(df, path))
+    found = sketch._Classes(made.select("node").distinct(), None, str(tmp_path)).open(several)
+    assert found.count() == 5 and "Broadcast" not in plans[0]

@@ -234,6 +234,18 @@ def _narrow(sets: DataFrame) -> DataFrame:
     return sets.select("node", n, F.posexplode(prefix("set")).alias("pos", "bucket"))
 
 
+def _unsent(buckets: DataFrame) -> DataFrame:
+    """Buckets that are joined by sorting.  Spark reckons their size from before the explode, or from a file in
+    which repeated values take no room, and would send them to all executors by way of the driver."""
+    return buckets.hint("merge")
+
+
+def _several(buckets: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one node."""
+    several = buckets.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").select("bucket")
+    return _unsent(buckets).join(several, "bucket")
+
+
 #: Sets of n and n_v shingles that reach the threshold share ``least`` of them at least, so the first one that
 #: they share, in the order of shingles, has as many from it on in either set.
 _FITS = "pos + least <= n and pos_v + least <= n_v".replace("least", f"ceil({PERCENT} * (n + n_v) / {100 + PERCENT}D)")
@@ -281,7 +293,7 @@ class _Classes:
             here = buckets.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         spread = here.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
         self.step += 1
-        found = _kept(here.join(spread.select("bucket"), "bucket"), f"{self.at}/open{self.step}")
+        found = _kept(_unsent(here).join(spread.select("bucket"), "bucket"), f"{self.at}/open{self.step}")
         if self.opened:
             _removed(self.spark, self.opened)
         self.opened = f"{self.at}/open{self.step}"
@@ -318,7 +330,7 @@ class _Classes:
             # A set with few rare shingles is close to most: it goes first, in buckets of bands any.
             rank = F.struct((F.col("pos") / F.col("n")).alias("at"), F.xxhash64(F.lit(self.step), F.col("bucket") % PIVOT_ORDERS, "node").alias("h"), F.col("node").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("n_v"), F.col("pos").alias("pos_v"))
             pivot = here.groupBy("bucket").agg(F.min(rank).alias("m")).select("bucket", "m.p", "m.p_root", "m.n_v", "m.pos_v")
-            met = here.join(pivot, "bucket")
+            met = _unsent(here).join(pivot, "bucket")
             self.compare(met.filter(f"root <> p_root and {_FITS}").select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")))
             buckets = met.filter("node <> p").select(*buckets.columns)
         return self.open(buckets)
@@ -329,9 +341,9 @@ class _Classes:
         member = F.xxhash64("node")
         same = here.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("k"), F.bit_xor(member).alias("x"), F.sum(F.shiftright(member, 8)).alias("s"), F.min("pos").alias("pos"))
         once = same.groupBy("lo", "hi", "k", "x", "s").agg(F.min_by("bucket", "pos").alias("bucket")).select("bucket")
-        here = here.join(once, "bucket")
+        here = _unsent(here).join(once, "bucket")
         other = here.select("bucket", F.col("node").alias("v"), F.col("root").alias("v_root"), F.col("n").alias("n_v"), F.col("pos").alias("pos_v"))
-        pairs = here.join(other, "bucket").filter(f"node < v and root <> v_root and {_FITS}")
+        pairs = _unsent(here).join(other, "bucket").filter(f"node < v and root <> v_root and {_FITS}")
         self.compare(pairs.select(F.col("node").alias("u"), "v"))
 
 
@@ -347,8 +359,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = _kept(same.select(F.monotonically_increasing_id().alias("node"), "digest", "n_shingles", "sketch", "copies", "first.doc_id", "first.text_hash"), f"{at}/nodes")
     bands = nodes.select("node", F.col("n_shingles").alias("n"), F.posexplode(_bands("sketch")).alias("band", "key"))
     bands = bands.select("node", "n", F.lit(0).alias("pos"), F.xxhash64("band", "key").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").select("bucket")
-    buckets = _kept(bands.join(shared, "bucket"), f"{at}/buckets")
+    buckets = _kept(_several(bands), f"{at}/buckets")
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash")
     own = lambda ids: F.expr(f"doc_id <=> {ids}_id and text_hash <=> {ids}_hash")
     chosen = wanted.select("node", F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"))
@@ -363,9 +374,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     left = classes.by_pivots(buckets, PIVOT_ROUNDS)
     if not left.isEmpty():
         unsure = sets.join(left.select("node").distinct(), "node", "left_semi")
-        narrow = _narrow(unsure)
-        several = narrow.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").select("bucket")
-        narrow = _kept(narrow.join(several, "bucket"), f"{at}/narrow")
+        narrow = _kept(_several(_narrow(unsure)), f"{at}/narrow")
         left = classes.by_pivots(narrow, NARROW_ROUNDS)
         if not left.isEmpty():
             classes.in_full(left)
