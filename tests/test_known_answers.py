@@ -82,6 +82,14 @@ def test_signals_and_failures(spark):
     assert (r.flag_z, r.ratio_z, r.jump_z, r.jump) == (3, 4, 3, 10)
 
 
+def test_rates_at_a_decimal_tie(spark):
+    n = {0: (57, 800), 1: (69, 800), 2: (1, 32), 3: (0, 5), 4: (7, 7), 5: (1, 3)}
+    rows = spark.createDataFrame([("A", k, a, b) for k, (a, b) in n.items()], "neuron string, chain_idx long, a long, b long")
+    frame = rows.selectExpr("neuron", "chain_idx", "explode(transform(sequence(1, b), i -> i <= a)) as flag").selectExpr("*", "flag as intervene", "flag as queue", "flag as skeleton_contained")
+    got = {r.chain_idx: r.flag_rate for r in frames.summary(frame).collect()}
+    assert got == {0: 0.0712, 1: 0.0862, 2: 0.0313, 3: 0.0, 4: 1.0, 5: 0.3333}
+
+
 def test_resume_and_second_pass(spark):
     s = spark.createDataFrame([(x,) for x in ("pending", "running", "failed", "done", "flagged")], "status string")
     ask = lambda c: [r[0] for r in s.select(c).collect()]

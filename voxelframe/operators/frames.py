@@ -41,7 +41,8 @@ def flags(frames: DataFrame, pred_iou: float = 0.3, ratio=(0.5, 2.0), temporal:
 
 
 def summary(flagged: DataFrame) -> DataFrame:
-    """One row per chain; a chain is flagged when any of its frames is queued."""
+    """One row per chain; a chain is flagged when any of its frames is queued.  The rate is rounded as the nearest
+    whole number of ten-thousandths, as databases do; Spark's round goes by its printed digits, 57 / 800 up."""
     g = flagged.groupBy(*CHAIN).agg(
         F.count("*").alias("n_frames"),
         F.count_if("flag").alias("n_flagged"),
@@ -50,7 +51,7 @@ def summary(flagged: DataFrame) -> DataFrame:
         F.count_if(~F.col("skeleton_contained")).alias("n_missing"),
         F.count_if(F.col("skeleton_contained").isNull()).alias("n_not_assessable"),
     )
-    rate = F.round(F.col("n_flagged") / F.col("n_frames"), 4)
+    rate = F.round(F.col("n_flagged") / F.col("n_frames") * 10_000) / 10_000
     return g.withColumn("flag_rate", rate).withColumn("status", F.when(F.col("n_queue") >= 1, "flagged").otherwise("done"))
 
 
